@@ -1,43 +1,62 @@
-"""Three-vectors as structs <x,y,z>, and array<double> vectors."""
+"""Three-vectors as triples of columns, and array<double> vectors.
+
+A chain of vector steps is written as a chain of ``select``s with flat columns
+(``fields`` to name a result, ``named`` to read it in the next step). Catalyst
+then evaluates every step once, inside whole-stage code; nested in one
+expression the steps would be copied into each other.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import EPSILON
 
 
-def xyz(x: Column, y: Column, z: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
+class Vec(NamedTuple):
+    x: Column
+    y: Column
+    z: Column
+
+
+def point(column: str) -> Vec:
+    """Components of a struct<x,y,z> column."""
+    return Vec(*[F.col(f"{column}.{k}") for k in "xyz"])
+
 
+def named(name: str) -> Vec:
+    return Vec(*[F.col(f"{name}_{k}") for k in "xyz"])
 
-def _map2(a: Column, b: Column, op) -> Column:
-    return xyz(op(a["x"], b["x"]), op(a["y"], b["y"]), op(a["z"], b["z"]))
 
+def fields(name: str, v: Vec) -> list[Column]:
+    return [c.alias(f"{name}_{k}") for k, c in zip("xyz", v)]
 
-def add(a: Column, b: Column) -> Column:
-    return _map2(a, b, lambda p, q: p + q)
 
+def as_struct(v: Vec) -> Column:
+    return F.struct(*[c.alias(k) for k, c in zip("xyz", v)])
 
-def sub(a: Column, b: Column) -> Column:
-    return _map2(a, b, lambda p, q: p - q)
 
+def add(a: Vec, b: Vec) -> Vec:
+    return Vec(*[p + q for p, q in zip(a, b)])
 
-def scale(a: Column, k) -> Column:
-    return xyz(a["x"] * k, a["y"] * k, a["z"] * k)
 
+def sub(a: Vec, b: Vec) -> Vec:
+    return Vec(*[p - q for p, q in zip(a, b)])
 
-def dot(a: Column, b: Column) -> Column:
-    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
+def scale(a: Vec, k) -> Vec:
+    return Vec(*[p * k for p in a])
 
-def cross(a: Column, b: Column) -> Column:
-    return xyz(
-        a["y"] * b["z"] - a["z"] * b["y"],
-        a["z"] * b["x"] - a["x"] * b["z"],
-        a["x"] * b["y"] - a["y"] * b["x"],
-    )
+
+def dot(a: Vec, b: Vec) -> Column:
+    return a.x * b.x + a.y * b.y + a.z * b.z
+
+
+def cross(a: Vec, b: Vec) -> Vec:
+    return Vec(a.y * b.z - a.z * b.y, a.z * b.x - a.x * b.z, a.x * b.y - a.y * b.x)
 
 
 def finite(v: Column) -> Column:
@@ -45,15 +64,10 @@ def finite(v: Column) -> Column:
     return F.when(F.abs(v) < F.lit(float("inf")), v).otherwise(F.lit(0.0))
 
 
-def unit(a: Column) -> Column:
+def unit(a: Vec) -> Vec:
     """v / sqrt(|v|^2 + 1e-8), with anything not finite set to zero."""
     length = F.sqrt(dot(a, a) + EPSILON)
-    return xyz(finite(a["x"] / length), finite(a["y"] / length), finite(a["z"] / length))
-
-
-def distance(a: Column, b: Column) -> Column:
-    d = sub(a, b)
-    return F.sqrt(dot(d, d))
+    return Vec(*[finite(p / length) for p in a])
 
 
 def array_dot(a: Column, b: Column) -> Column:
@@ -62,6 +76,6 @@ def array_dot(a: Column, b: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Vector divided by its length + 1e-8."""
-    wide = F.transform(a, lambda v: v.cast("double"))
+    wide = a.cast("array<double>")
     length = F.sqrt(array_dot(wide, wide)) + EPSILON
     return F.transform(wide, lambda v: v / length)

@@ -72,23 +72,24 @@ def edge_features(edges: DataFrame, residues: DataFrame, drop_unresolved: bool =
 
     An edge without coordinates takes the mean direction of its chain.
     """
-    at = residues.select("chain_key", "pos", "has_ca", V.xyz(F.col("x"), F.col("y"), F.col("z")).alias("p"))
-    source = at.select("chain_key", F.col("pos").alias("src"), F.col("p").alias("p_src"), F.col("has_ca").alias("has_src"))
-    target = at.select("chain_key", F.col("pos").alias("dst"), F.col("p").alias("p_dst"), F.col("has_ca").alias("has_dst"))
-    placed = edges.join(source, ["chain_key", "src"]).join(target, ["chain_key", "dst"]).withColumn(
-        "v", V.sub(F.col("p_src"), F.col("p_dst")))
+    def end(position: str, name: str) -> DataFrame:
+        return residues.select("chain_key", F.col("pos").alias(position), F.col("has_ca").alias(f"has_{position}"),
+                               *[F.col(k).alias(f"{name}_{k}") for k in "xyz"])
+
+    placed = edges.join(end("src", "a"), ["chain_key", "src"]).join(end("dst", "b"), ["chain_key", "dst"]).select(
+        *edges.columns, "has_src", "has_dst", *V.fields("v", V.sub(V.named("a"), V.named("b"))))
     if drop_unresolved:
         filled = placed.filter("resolved")
     else:
-        mean = placed.filter("resolved").groupBy("chain_key").agg(*[F.avg(f"v.{a}").alias(f"m{a}") for a in "xyz"])
-        filled = placed.join(mean, "chain_key", "left").withColumn(
-            "v", F.when(F.col("resolved"), F.col("v")).otherwise(V.xyz(F.col("mx"), F.col("my"), F.col("mz"))))
+        mean = placed.filter("resolved").groupBy("chain_key").agg(*[F.avg(f"v_{k}").alias(f"mean_{k}") for k in "xyz"])
+        own = [F.when(F.col("resolved"), F.col(f"v_{k}")).otherwise(F.col(f"mean_{k}")).alias(f"v_{k}") for k in "xyz"]
+        filled = placed.join(mean, "chain_key", "left").select(*edges.columns, "has_src", "has_dst", *own)
     offset = (F.col("src") - F.col("dst")).cast("double")
     rates = [math.exp(-t * math.log(10000.0) / embeddings) for t in range(0, embeddings, 2)]
     position = F.array(*[F.cos(offset * r) for r in rates], *[F.sin(offset * r) for r in rates])
     return filled.select(
         "chain_key", "src", "dst", "dist", rbf(F.col("dist"), 0.0, 20.0, bins).alias("rbf"), position.alias("posemb"),
-        V.unit(F.col("v")).alias("u"), (~F.col("has_src")).cast("int").alias("src_missing"),
+        V.as_struct(V.unit(V.named("v"))).alias("u"), (~F.col("has_src")).cast("int").alias("src_missing"),
         (~F.col("has_dst")).cast("int").alias("dst_missing"))
 
 
@@ -108,6 +109,6 @@ def flatten_graph(edges: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def unflatten_graph(flat: DataFrame) -> DataFrame:
-    """Place in batch and positions back from the common numbering."""
-    return flat.select("batch_id", "chain_key", F.floor(F.col("node_src") / F.col("N")).alias("slot"),
+    """Add the place in the batch and the positions behind the common numbering."""
+    return flat.select("batch_id", "chain_key", "node_src", "node_dst", F.floor(F.col("node_src") / F.col("N")).alias("slot"),
                        (F.col("node_src") % F.col("N")).alias("src"), (F.col("node_dst") % F.col("N")).alias("dst"))

@@ -121,12 +121,16 @@ def pad_arrays(df: DataFrame, batch: str, column: str, value) -> DataFrame:
     return df.join(widest, batch).withColumn(column, F.concat(F.col(column), fill)).select(*df.columns)
 
 
-def infer_cb(n: Column, ca: Column, c: Column) -> Column:
-    """Position of the first side-chain atom from the backbone."""
+def infer_cb(backbone: DataFrame) -> DataFrame:
+    """Position of the first side-chain atom of each residue, from its backbone."""
     # Ideal geometry coefficients.
     normal, along, back = -0.58273431, 0.56802827, -0.54067466
-    b, a = V.sub(ca, n), V.sub(c, ca)
-    return V.add(V.add(V.add(V.scale(V.cross(b, a), normal), V.scale(b, along)), V.scale(a, back)), ca)
+    bond = V.sub(V.point("ca"), V.point("n"))
+    leave = V.sub(V.point("c"), V.point("ca"))
+    steps = backbone.select("chain_key", "pos", "ca", *V.fields("b", bond), *V.fields("c", leave))
+    b, c = V.named("b"), V.named("c")
+    cb = V.add(V.add(V.add(V.scale(V.cross(b, c), normal), V.scale(b, along)), V.scale(c, back)), V.point("ca"))
+    return steps.select("chain_key", "pos", *V.fields("cb", cb))
 
 
 def distogram(pairs: DataFrame, backbone: DataFrame, min_bin: float, max_bin: float, bins: int) -> DataFrame:
@@ -135,17 +139,17 @@ def distogram(pairs: DataFrame, backbone: DataFrame, min_bin: float, max_bin: fl
     The pair table decides which cells are binned, so a caller asks for the
     neighbourhood needed; a residue without all three atoms yields NULL.
     """
-    beta = backbone.select("chain_key", "pos", infer_cb(F.col("n"), F.col("ca"), F.col("c")).alias("cb"))
-    left = beta.select("chain_key", F.col("pos").alias("i"), F.col("cb").alias("bi"))
-    right = beta.select("chain_key", F.col("pos").alias("j"), F.col("cb").alias("bj"))
+    beta = infer_cb(backbone)
+    left = beta.select("chain_key", F.col("pos").alias("i"), *V.fields("l", V.named("cb")))
+    right = beta.select("chain_key", F.col("pos").alias("j"), *V.fields("r", V.named("cb")))
     step = (max_bin - min_bin) / (bins - 2)
-    edges = [(min_bin + step * k) ** 2 for k in range(bins - 1)]
-    gap = V.sub(F.col("bi"), F.col("bj"))
-    squared = V.dot(gap, gap)
-    bin_no = sum((F.when(F.col("d2") > e, 1).otherwise(0) for e in edges), F.lit(0))
-    return (pairs.join(left, ["chain_key", "i"]).join(right, ["chain_key", "j"])
-            .select("chain_key", "i", "j", squared.alias("d2"))
-            .select("chain_key", "i", "j", F.when(F.col("d2").isNotNull(), bin_no).alias("bin")))
+    edges = F.array(*[F.lit((min_bin + step * k) ** 2) for k in range(bins - 1)])
+    gap = V.named("g")
+    met = pairs.select("chain_key", "i", "j").join(left, ["chain_key", "i"]).join(right, ["chain_key", "j"]).select(
+        "chain_key", "i", "j", *V.fields("g", V.sub(V.named("l"), V.named("r"))))
+    squared = met.select("chain_key", "i", "j", V.dot(gap, gap).alias("d2"))
+    bin_no = F.size(F.filter(edges, lambda e: e < F.col("d2")))
+    return squared.select("chain_key", "i", "j", F.when(F.col("d2").isNotNull(), bin_no).alias("bin"))
 
 
 def symmetrize(directed: DataFrame, how: str = "mean", keys: tuple[str, ...] = ("chain_key",), value: str = "x") -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import vectors as V
 from ..operators import geometry as G
 from ..operators import graph
 from . import proxies as P
@@ -98,8 +99,9 @@ f5 AS (SELECT chain_key, pos, e1, e2, {v_cross('e1', 'e2')} AS e3 FROM f4)
 SELECT chain_key, pos, {flat('e1')}, {flat('e2')}, {flat('e3')},
     round(e1.x * 1.0 + e2.x * 2.0 + e3.x * 3.0, 6) + 0.0 AS turned_x FROM f5""")
 def frames(spark, d):
-    vector = F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"))
-    out = G.frames(P.backbone(spark, d)).withColumn("turned", G.rotate(vector, F.col("e1"), F.col("e2"), F.col("e3")))
+    vector = V.Vec(F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    out = G.frames(P.backbone(spark, d))
+    out = out.withColumn("turned", V.as_struct(G.rotate(vector, "e1", "e2", "e3")))
     return out.select("chain_key", "pos", *flat_cols("e1"), *flat_cols("e2"), *flat_cols("e3"), S.r6(F.col("turned.x")).alias("turned_x"))
 
 
@@ -164,8 +166,4 @@ def flatten_graph(spark, d):
         F.when(F.col("resolved"), F.col(c)).otherwise(-1).alias(c) for c in ("src", "dst")])
     batches = points.groupBy("chain_key", F.col("pdb_id").alias("batch_id")).agg(F.count(F.lit(1)).alias("L"))
     flat_edges = graph.flatten_graph(edges, batches)
-    back = graph.unflatten_graph(flat_edges)
-    both = flat_edges.select("batch_id", "chain_key", "node_src", "node_dst", F.floor(F.col("node_src") / F.col("N")).alias("slot"),
-                             (F.col("node_src") % F.col("N")).alias("src"), (F.col("node_dst") % F.col("N")).alias("dst"))
-    assert set(back.columns) <= set(both.columns)
-    return both
+    return graph.unflatten_graph(flat_edges)

@@ -58,12 +58,12 @@ def pair_distances(spark, d):
 
 
 @query("contact_rows", f"""WITH {CONTACTS_SQL},
-both AS (SELECT chain_key, i, j FROM contacts UNION ALL SELECT chain_key, j, i FROM contacts),
+mirrored AS (SELECT chain_key, i, j FROM contacts UNION ALL SELECT chain_key, j, i FROM contacts),
 lengths AS (SELECT chain_key, count(*)::INT AS L FROM points GROUP BY chain_key)
 SELECT chain_key, i, string_agg(CASE WHEN hit THEN '1' ELSE '0' END, '' ORDER BY k) AS cells FROM (
-  SELECT r.chain_key, r.i, k, b.j IS NOT NULL AS hit FROM (SELECT DISTINCT chain_key, i FROM both) r
+  SELECT r.chain_key, r.i, k, b.j IS NOT NULL AS hit FROM (SELECT DISTINCT chain_key, i FROM mirrored) r
   JOIN lengths USING (chain_key), LATERAL (SELECT unnest(range(0, L)) AS k) u
-  LEFT JOIN both b ON b.chain_key = r.chain_key AND b.i = r.i AND b.j = k) GROUP BY chain_key, i""")
+  LEFT JOIN mirrored b ON b.chain_key = r.chain_key AND b.i = r.i AND b.j = k) GROUP BY chain_key, i""")
 def contact_rows(spark, d):
     lengths = P.points(spark, d).groupBy("chain_key").agg(F.count(F.lit(1)).cast("int").alias("L"))
     return B.matrix_rows(_contacts(spark, d), lengths).select(
