@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = (
-    "structures", "pairs", "geometry", "retrieval", "transfer",
+    "structures", "pairs", "geometry", "retrieval", "transfer", "splits", "batches", "evaluation", "runs",
 )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +56,11 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     if planned_bytes(df) >= cores * 32 * 1024 * 1024:
         return df
     return df.repartition(cores, *keys)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder for intermediate tables, shared on a cluster, local only where no folder is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/foldlake-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="foldlake-", dir="/tmp")
