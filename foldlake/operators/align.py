@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import AMINO_ACIDS, GAP, MATCH, MISMATCH
-from ..session import spread
 
 
 def _codes(seq: str) -> np.ndarray:
@@ -76,6 +75,71 @@ def align(query: str, template: str, gap: int = GAP) -> tuple[str, str, int]:
     return "".join(reversed(out_q)), "".join(reversed(out_t)), total
 
 
+def _align_together(pairs: list[tuple[str, str]], gap: int) -> list[tuple[str, str, int]]:
+    """The same result as ``align`` for several short pairs, row by row side by side."""
+    size = len(pairs)
+    a, b = np.zeros((size, max(len(q) for q, _ in pairs)), np.int16), np.zeros((size, max(len(t) for _, t in pairs)), np.int16)
+    for k, (q, t) in enumerate(pairs):
+        a[k, :len(q)], b[k, :len(t)] = _codes(q), _codes(t)
+    ramp = (np.arange(b.shape[1] + 1) * gap).astype(np.int32)
+    row = np.tile(-ramp, (size, 1))
+    ends = np.array([len(t) for _, t in pairs])
+    totals = row[np.arange(size), ends]
+    ways = np.ones((a.shape[1], size, b.shape[1] + 1), np.int8)
+    for i in range(a.shape[1]):
+        code = a[:, i:i + 1]
+        score = np.where(b == code, np.int32(MATCH), np.int32(MISMATCH)) * ((b > 0) & (code > 0))
+        diagonal, up = row[:, :-1] + score, row[:, 1:] - gap
+        new = np.empty_like(row)
+        new[:, 0] = row[:, 0] - gap
+        np.maximum(diagonal, up, out=new[:, 1:])
+        row = np.maximum.accumulate(new + ramp, axis=1) - ramp
+        ways[i, :, 1:] = np.where(row[:, 1:] == diagonal, 0, np.where(row[:, 1:] == up, 1, 2))
+        done = np.array([len(q) == i + 1 for q, _ in pairs])
+        totals = np.where(done, row[np.arange(size), ends], totals)
+    return [(*_walk_back(q, t, ways[:, k]), int(totals[k])) for k, (q, t) in enumerate(pairs)]
+
+
+def _walk_back(query: str, template: str, ways: np.ndarray) -> tuple[str, str]:
+    out_q, out_t, i, j = [], [], len(query), len(template)
+    while i > 0 or j > 0:
+        way = 2 if i == 0 else ways[i - 1, j]
+        out_q.append("-" if way == 2 else query[i - 1])
+        out_t.append("-" if way == 1 else template[j - 1])
+        i, j = i - (way != 2), j - (way != 1)
+    return "".join(reversed(out_q)), "".join(reversed(out_t))
+
+
+# Cells of the score tables worked on side by side; a longer pair is aligned by itself.
+_CELLS = 16_000_000
+
+
+def align_many(pairs: list[tuple[str, str]], gap: int = GAP) -> list[tuple[str, str, int]]:
+    """Alignments of many pairs, those of similar size together."""
+    results: list = [None] * len(pairs)
+    waiting: list[int] = []
+
+    def flush() -> None:
+        if waiting:
+            for k, done in zip(waiting, _align_together([pairs[k] for k in waiting], gap)):
+                results[k] = done
+            waiting.clear()
+
+    rows = cols = 0
+    for k in sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1]))):
+        m, n = len(pairs[k][0]), len(pairs[k][1])
+        if m * n > _CELLS // 4 or m == 0 or n == 0:
+            results[k] = align(*pairs[k], gap)
+            continue
+        if waiting and max(rows, m) * max(cols, n) * (len(waiting) + 1) > _CELLS:
+            flush()
+            rows = cols = 0
+        rows, cols = max(rows, m), max(cols, n)
+        waiting.append(k)
+    flush()
+    return results
+
+
 def align_pairs(pairs: DataFrame, queries: DataFrame, templates: DataFrame, gap: int = GAP) -> DataFrame:
     """Alignments of (query_key, tpl_key) candidates: q_aln, t_aln, score.
 
@@ -88,12 +152,14 @@ def align_pairs(pairs: DataFrame, queries: DataFrame, templates: DataFrame, gap:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done = [align(q, t, gap) for q, t in zip(frame["q_seq"], frame["t_seq"])]
+            done = align_many(list(zip(frame["q_seq"], frame["t_seq"])), gap)
             yield pd.DataFrame({
                 "query_key": frame["query_key"], "tpl_key": frame["tpl_key"], "q_aln": [d[0] for d in done],
                 "t_aln": [d[1] for d in done], "score": [d[2] for d in done]})
 
-    return spread(found, "query_key", "tpl_key").mapInPandas(
+    spark = pairs.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return found.repartition(tasks, "query_key", "tpl_key").mapInPandas(
         run, "query_key string, tpl_key string, q_aln string, t_aln string, score int")
 
 

@@ -40,7 +40,10 @@ def pair_distances(residues: DataFrame, radius: float) -> DataFrame:
         ((F.col("o.a") == 0) & (F.col("o.b") == 0) & (F.col("o.c") == 0)).alias("home"))
     dx, dy, dz = F.col("x") - F.col("u"), F.col("y") - F.col("v"), F.col("z") - F.col("w")
     dist = F.sqrt(dx * dx + dy * dy + dz * dz)
-    met = here.join(reach, (F.col("chain_key") == F.col("k")) & (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey"))
+    # Catalyst's size estimate does not see the explode, so the strategy is named: build the hash
+    # table from the plain side and stream the 14 times larger one past it. Keys are (chain, cube),
+    # which keeps the partitions even.
+    met = here.hint("shuffle_hash").join(reach, (F.col("chain_key") == F.col("k")) & (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey"))
                     & (F.col("cz") == F.col("ez")) & (~F.col("home") | (F.col("q") < F.col("p"))) & (dist < radius))
     return met.select("chain_key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), dist.alias("dist"))
 
@@ -161,23 +164,32 @@ def symmetrize(directed: DataFrame, how: str = "mean", keys: tuple[str, ...] = (
     return summed.select(*keys, "i", "j", F.when(F.col("i") == F.col("j"), F.col("__diagonal")).otherwise(F.col("__total")).alias(value))
 
 
-def apc(directed: DataFrame, keys: tuple[str, ...] = ("chain_key",), value: str = "x") -> DataFrame:
-    """x - row sum * column sum / total, on a table with both orders of each pair.
+def apc(pairs: DataFrame, keys: tuple[str, ...] = ("chain_key",), values: tuple[str, ...] = ("x",)) -> DataFrame:
+    """x - row sum * column sum / total of a symmetric matrix given by its pairs i < j.
 
-    Row and column sums are map-side aggregates of at most one row per residue;
-    the pair table itself is joined to them on (chain, residue), which no single
-    chain can make one-sided.
+    Several value columns are corrected in one pass. The row sums are map-side
+    aggregates, one row per residue; the pairs are joined to them on (chain,
+    residue), which no single chain can make one-sided.
     """
-    rows = directed.groupBy(*keys, "i").agg(F.sum(value).alias("__row"))
-    cols = directed.groupBy(*keys, "j").agg(F.sum(value).alias("__col"))
-    totals = rows.groupBy(*keys).agg(F.sum("__row").alias("__all"))
-    cols = cols.join(totals, list(keys)).select(*keys, "j", (F.col("__col") / F.col("__all")).alias("__share"))
-    return (directed.join(rows, [*keys, "i"]).join(cols, [*keys, "j"])
-            .withColumn(value, F.col(value) - F.col("__row") * F.col("__share")).select(*directed.columns))
+    ends = pairs.select(*keys, F.explode(F.array("i", "j")).alias("__r"), *values)
+    rows = ends.groupBy(*keys, "__r").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
+    totals = rows.groupBy(*keys).agg(*[F.sum(f"__s_{v}").alias(f"__all_{v}") for v in values])
+    shares = rows.join(totals, list(keys)).select(
+        *keys, F.col("__r").alias("j"), *[(F.col(f"__s_{v}") / F.col(f"__all_{v}")).alias(f"__share_{v}") for v in values])
+    rows = rows.withColumnRenamed("__r", "i")
+    fixed = {v: (F.col(v) - F.col(f"__s_{v}") * F.col(f"__share_{v}")).alias(v) for v in values}
+    return (pairs.join(rows, [*keys, "i"]).join(shares, [*keys, "j"])
+            .select(*[fixed[c] if c in fixed else F.col(c) for c in pairs.columns]))
 
 
-def logistic_score(features: DataFrame, weights: DataFrame, bias: float) -> DataFrame:
-    """sigmoid(sum of channel weight * channel value + bias) per pair.
+def logistic_score(features: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
+    """sigmoid(sum of weight * channel + bias) per pair, channels side by side as columns."""
+    z = sum((F.col(c) * w for c, w in weights.items()), F.lit(float(bias)))
+    return features.select("chain_key", "i", "j", (1 / (1 + F.exp(-z))).alias("score"))
+
+
+def logistic_score_long(features: DataFrame, weights: DataFrame, bias: float) -> DataFrame:
+    """The same for a row per pair and channel, for models with hundreds of channels.
 
     ``weights`` (channel, w) has one row per channel, a size fixed by the model.
     """

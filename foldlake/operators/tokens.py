@@ -34,9 +34,9 @@ def encode(df: DataFrame, layout: str = "roberta", column: str = "seq", max_len:
     """
     ids = token_ids(layout)
     _, _, starts, ends = VOCAB_LAYOUTS[layout]
-    lookup = F.create_map(*[F.lit(v) for t in RESIDUE_TOKENS for v in (t, ids[t])])
+    residues, first = F.lit("".join(RESIDUE_TOKENS)), ids[RESIDUE_TOKENS[0]]  # residue ids follow each other
     letters = F.filter(F.split(column, ""), lambda c: c != "")
-    body = F.transform(letters, lambda c: lookup[c])
+    body = F.transform(letters, lambda c: F.call_function("instr", residues, c) + (first - 1))
     if max_len:
         body = F.slice(body, 1, max_len)
     parts = [F.array(F.lit(ids["<cls>"]))] * starts + [body] + [F.array(F.lit(ids["<eos>"]))] * ends

@@ -190,12 +190,9 @@ def symmetrize_mean(spark, d):
 
 
 def _channels(spark, d):
-    """Three feature channels per pair, both orders."""
-    rows = F.array(*[F.struct(F.lit(c).alias("channel"), x.alias("x")) for c, x in enumerate(
-        (F.col("p"), F.col("p") * F.col("p"), (F.col("y") + 1) * F.col("p")))])
-    long = P.pair_scores(spark, d).select("chain_key", "i", "j", F.explode(rows).alias("r")).select(
-        "chain_key", "i", "j", "r.channel", "r.x")
-    return B.mirror(long)
+    """Three feature channels per pair."""
+    p = F.col("p")
+    return P.pair_scores(spark, d).select("chain_key", "i", "j", p.alias("c0"), (p * p).alias("c1"), ((F.col("y") + 1) * p).alias("c2"))
 
 
 _CHANNEL_SQL = """halves AS (SELECT chain_key, i, j, 0 AS channel, p AS x FROM pair_scores
@@ -207,14 +204,25 @@ corrected AS (SELECT chain_key, channel, i, j, x - sum(x) OVER (PARTITION BY cha
 
 @query("apc", f"""WITH {P.PAIRS_SQL}, {_CHANNEL_SQL} SELECT chain_key, i, j, round(x, 6) + 0.0 AS x FROM corrected WHERE channel = 0""")
 def apc(spark, d):
-    directed = B.mirror(P.pair_scores(spark, d).select("chain_key", "i", "j", F.col("p").alias("x")))
-    return B.apc(directed).withColumn("x", S.r6(F.col("x")))
+    scores = P.pair_scores(spark, d).select("chain_key", "i", "j", F.col("p").alias("x"))
+    return B.mirror(B.apc(scores)).withColumn("x", S.r6(F.col("x")))
 
 
-@query("logistic_score", f"""WITH {P.PAIRS_SQL}, {_CHANNEL_SQL}, weights(channel, w) AS (VALUES (0, 1.5), (1, -0.7), (2, 0.4))
+_LOGISTIC_SQL = f"""WITH {P.PAIRS_SQL}, {_CHANNEL_SQL}, weights(channel, w) AS (VALUES (0, 1.5), (1, -0.7), (2, 0.4))
 SELECT chain_key, i, j, round(1 / (1 + exp(-(sum(x * w::DOUBLE) - 0.25))), 6) + 0.0 AS score
-FROM corrected JOIN weights USING (channel) GROUP BY chain_key, i, j""")
+FROM corrected JOIN weights USING (channel) WHERE i < j GROUP BY chain_key, i, j"""
+
+
+@query("logistic_score", _LOGISTIC_SQL)
 def logistic_score(spark, d):
+    corrected = B.apc(_channels(spark, d), values=("c0", "c1", "c2"))
+    return B.logistic_score(corrected, {"c0": 1.5, "c1": -0.7, "c2": 0.4}, -0.25).withColumn("score", S.r6(F.col("score")))
+
+
+@query("logistic_score_long", _LOGISTIC_SQL)
+def logistic_score_long(spark, d):
+    """The form with a row per channel."""
+    rows = F.array(*[F.struct(F.lit(k).alias("channel"), F.col(f"c{k}").alias("x")) for k in range(3)])
+    long = _channels(spark, d).select("chain_key", "i", "j", F.explode(rows).alias("r")).select("chain_key", "i", "j", "r.channel", "r.x")
     weights = spark.createDataFrame([(0, 1.5), (1, -0.7), (2, 0.4)], "channel int, w double")
-    corrected = B.apc(_channels(spark, d), keys=("chain_key", "channel"))
-    return B.logistic_score(corrected, weights, -0.25).withColumn("score", S.r6(F.col("score")))
+    return B.logistic_score_long(B.apc(long, keys=("chain_key", "channel")), weights, -0.25).withColumn("score", S.r6(F.col("score")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import AMINO_ACIDS, RESIDUE_LETTERS
+from ..session import spread
 
 CHAIN_SIZE = 50
 
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A text table, dealt out to all cores when the files are too few to do so themselves."""
+    return spread(table(spark, sf_dir, name), *keys)
+
+
 # ---------------------------------------------------------------- residues
 
 def _chain_columns() -> list[Column]:
@@ -141,7 +147,7 @@ def clean_sql(column: str) -> str:
 
 def sequences(spark: SparkSession, d: str) -> DataFrame:
     """One residue string per document, from its whole text."""
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents", "doc_id").select(
         F.col("doc_id"), F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("chain_key"),
         clean(F.col("text")).alias("seq"),
     )

@@ -24,7 +24,7 @@ _LETTERS = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
 
 def _raw_letters(spark, d):
     """All letters of the whole text, J included, which no vocabulary has."""
-    return P.table(spark, d, "documents").select(
+    return P.texts(spark, d, "documents", "doc_id").select(
         "doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
 
 
@@ -65,7 +65,7 @@ def chunk_sequences(spark, d):
 
 def _token_vecs(spark, d):
     """A four-dimensional vector per letter of every conversation turn."""
-    turns = P.table(spark, d, "conversations").select(
+    turns = P.texts(spark, d, "conversations", "conv_id", "turn").select(
         F.concat_ws("_", "conv_id", "turn").alias("chain_key"), P.clean(F.col("text")).alias("seq"))
     letters = turns.select("chain_key", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "c"))
     code = F.log(F.ascii("c").cast("double"))

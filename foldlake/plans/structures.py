@@ -140,7 +140,7 @@ def msa_check(spark, d):
 @query("id_list", """SELECT DISTINCT trim(line) AS pdb_id FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
     WHERE length(trim(line)) > 0""")
 def id_list(spark, d):
-    lines = P.table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    lines = P.texts(spark, d, "documents", "doc_id").select(F.explode(F.split("text", "\n")).alias("value"))
     return ids.clean_ids(lines).distinct()
 
 
