@@ -60,9 +60,6 @@ def ingest_summary(atoms: DataFrame, chains: DataFrame, min_len: int) -> DataFra
     return files.join(counts, F.lit(True))
 
 
-_POSITION = F.struct("x", "y", "z")
-
-
 def _residue_letters(spark: SparkSession) -> DataFrame:
     """Residue names and letters: a table of 23 rows."""
     return spark.createDataFrame(sorted(RESIDUE_LETTERS.items()), "res_name string, aa string")
@@ -78,7 +75,7 @@ def residues(atoms: DataFrame) -> DataFrame:
     grouped = (
         atoms.filter(~F.col("hetero")).join(letters, "res_name")
         .groupBy("pdb_id", "path", "chain_id", "res_no", "icode", "res_name", "aa")
-        .agg(F.min("line_no").alias("first_line"), F.max_by(_POSITION, rank).alias("ca"))
+        .agg(F.min("line_no").alias("first_line"), F.max_by(F.struct("x", "y", "z"), rank).alias("ca"))
     )
     in_chain = Window.partitionBy("pdb_id", "path", "chain_id").orderBy("first_line")
     return grouped.select(
@@ -97,7 +94,7 @@ def backbone_pivot(atoms: DataFrame, wanted=("N", "CA", "C")) -> DataFrame:
     def place(name: str):
         mine = F.col("atom") == name
         twice = F.raise_error(F.lit("structure has several atoms of one name in a residue"))
-        point = F.max(F.when(mine, _POSITION))
+        point = F.max(F.when(mine, F.struct("x", "y", "z")))
         return F.when(F.count_if(mine) > 1, twice.cast("struct<x:double,y:double,z:double>")).otherwise(point).alias(name.lower())
 
     return atoms.filter(~F.col("hetero") & F.col("atom").isin(*wanted)).groupBy(
