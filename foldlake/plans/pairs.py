@@ -110,6 +110,14 @@ def crop_pairs(spark, d):
     return B.crop_pairs(_contacts(spark, d).select("chain_key", "i", "j"), B.crop_windows(chains, 30, "center"))
 
 
+@query("crop_residues", f"""WITH {P.POINTS_SQL}, windows AS (SELECT chain_key, (count(*) - 30) // 2 AS s FROM points GROUP BY chain_key)
+SELECT chain_key, (pos - s)::INT AS pos, aa, has_ca FROM points JOIN windows USING (chain_key) WHERE pos >= s AND pos < s + 30""")
+def crop_residues(spark, d):
+    points = P.points(spark, d).select("chain_key", "pos", "aa", "has_ca")
+    windows = B.crop_windows(points.groupBy("chain_key").agg(F.count(F.lit(1)).alias("L")), 30, "center")
+    return B.crop_residues(points, windows)
+
+
 @query("pad_batch", f"""WITH {P.SEQUENCES_SQL}, wide AS (SELECT *, doc_id // 8 AS batch_id,
     max(length(seq)) OVER (PARTITION BY doc_id // 8) AS width FROM sequences)
 SELECT batch_id, chain_key, width AS size, width - length(seq) AS padded,

@@ -10,6 +10,7 @@ from ..operators import pairs as B
 from ..operators import retrieve as R
 from ..operators import runs as H
 from ..operators import transfer as T
+from ..session import cut_lineage
 from . import proxies as P
 from .pairs import ALL_NEAR_SQL
 from .registry import query
@@ -72,5 +73,5 @@ def pair_features(spark, d):
 
 @query("pair_classifier")
 def pair_classifier(spark, d):
-    features = _features(spark, d)
+    features = cut_lineage(_features(spark, d))  # read by the weights, the fit and the scoring
     return M.score_pairs(M.fit_pair_classifier(features), features).withColumn("p", r6(F.col("p")))

@@ -37,17 +37,17 @@ candidates AS (SELECT q.chain_key AS query_key, t.chain_key AS tpl_key, t.c - q.
 
 
 def _aligned(spark, d):
-    """Stand-in alignment: positions moved by the gap between the chains, every seventh query position unpaired."""
-    q = P.points(spark, d).select(F.col("chain_key").alias("query_key"), F.col("pos").alias("qpos"), F.col("aa").alias("q_aa"))
+    """Stand-in alignment: positions moved by the gap between the chains, unresolved query residues unpaired."""
+    q = P.points(spark, d).filter("has_ca").select(F.col("chain_key").alias("query_key"), F.col("pos").alias("qpos"), F.col("aa").alias("q_aa"))
     t = P.points(spark, d).select(F.col("chain_key").alias("tpl_key"), F.col("pos").alias("tpos"), F.col("aa").alias("t_aa"))
-    moved = q.filter(F.col("qpos") % 7 != 0).join(_candidates(spark, d), "query_key").withColumn(
+    moved = q.join(_candidates(spark, d), "query_key").withColumn(
         "tpos", (F.col("qpos") + F.col("step")).cast("int"))
     return moved.join(t, ["tpl_key", "tpos"]).select("query_key", "tpl_key", "qpos", "tpos", "q_aa", "t_aa")
 
 
 _ALIGNED_SQL = f"""{CONTACTS_SQL}, {_CANDIDATES_SQL},
 aligned AS (SELECT query_key, tpl_key, q.pos AS qpos, t.pos AS tpos, q.aa AS q_aa, t.aa AS t_aa FROM candidates
-    JOIN points q ON q.chain_key = query_key JOIN points t ON t.chain_key = tpl_key AND t.pos = q.pos + step WHERE q.pos % 7 <> 0)"""
+    JOIN points q ON q.chain_key = query_key JOIN points t ON t.chain_key = tpl_key AND t.pos = q.pos + step WHERE q.has_ca)"""
 _BLOSUM_SQL = "blosum(ai, aj, score) AS (VALUES " + ", ".join(f"('{a}','{b}',{s})" for a, b, s in blosum62_pairs()) + ")"
 _PROJECTED_SQL = f"""{_ALIGNED_SQL}, {_BLOSUM_SQL},
 projected AS (SELECT a.query_key, a.tpl_key, least(a.qpos, b.qpos) AS i, greatest(a.qpos, b.qpos) AS j,

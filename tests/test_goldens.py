@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldlake.functions import scalars as S
 from foldlake.functions import vectors as V
-from foldlake.operators import batching, evaluate, geometry, losses, pairs, retrieve, runs, splits
+from foldlake.operators import batching, embed, evaluate, geometry, graph, losses, pairs, retrieve, runs, splits
 
 
 @pytest.fixture(scope="module")
@@ -152,3 +152,41 @@ def test_unit_handles_missing(spark):
     df = spark.createDataFrame([(None, 1.0, 2.0), (0.0, 0.0, 0.0)], "v_x double, v_y double, v_z double")
     rows = df.select(V.as_struct(V.unit(V.named("v"))).alias("u")).collect()
     assert all(r.u.x == 0.0 for r in rows)
+
+
+def test_mean_pool_without_valid_tokens(spark):
+    df = spark.createDataFrame([("a", [1.0, 3.0], True), ("a", [3.0, 5.0], True), ("a", [9.0, 9.0], False), ("b", [7.0, 7.0], False)],
+                               "chain_key string, vec array<double>, ok boolean")
+    assert {r.chain_key: r.emb for r in embed.mean_pool(df, valid="ok").collect()} == {"a": [2.0, 4.0], "b": [0.0, 0.0]}
+
+
+def test_chunk_pool_ignores_chunk_size(spark):
+    df = spark.createDataFrame([("a", 0, [0.0]), ("a", 0, [2.0]), ("a", 1, [5.0])], "chain_key string, chunk_no int, vec array<double>")
+    assert embed.chunk_pool(df).first().emb == [3.0]
+
+
+def test_unresolved_edges_take_the_mean_direction(spark):
+    points = spark.createDataFrame([("c", 0, 0.0, 0.0, 0.0, True), ("c", 1, 2.0, 0.0, 0.0, True), ("c", 2, None, None, None, False)],
+                                   "chain_key string, pos int, x double, y double, z double, has_ca boolean")
+    edges = spark.createDataFrame([("c", 1, 0, 2.0, True), ("c", 0, 2, 1.02e8, False)],
+                                  "chain_key string, src int, dst int, dist double, resolved boolean")
+    rows = {(r.src, r.dst): r for r in graph.edge_features(edges, points, drop_unresolved=False).collect()}
+    assert rows[0, 2].u.x == pytest.approx(1.0) and rows[0, 2].dst_missing == 1 and rows[0, 2].rbf == [0.0] * 16
+    assert graph.edge_features(edges, points).count() == 1
+
+
+def test_empty_index_is_an_error(spark):
+    table = spark.createDataFrame([("p_A", "p", 3)], "chain_key string, pdb_id string, L int")
+    with pytest.raises(ValueError, match="index is empty"):
+        embed.require_rows(embed.build_index(table, table.select("pdb_id")))
+
+
+def test_stored_split_is_reused(spark, tmp_path):
+    ids = spark.range(40).selectExpr("cast(id as string) as pdb_id")
+    tag = splits.split_tag(0.1, 42, 20)
+    assert tag == "val10_seed42_min20"
+    first = splits.named_split(spark, str(tmp_path), tag, ids)
+    again = splits.named_split(spark, str(tmp_path), tag, ids.limit(3))
+    assert sorted(first.collect()) == sorted(again.collect()) and again.count() == 40
+    given = ids.selectExpr("pdb_id", "'test' as split")
+    assert splits.named_split(spark, str(tmp_path), tag, ids, lists=given).filter("split = 'test'").count() == 40
