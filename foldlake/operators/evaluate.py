@@ -19,20 +19,19 @@ def precision_at_k(scores: DataFrame, width: int = 64) -> DataFrame:
     chain, so a long chain is not sorted in one task.
     """
     valid = scores.filter("valid").select("chain_key", "i", "j", "p", "y")
-    ends = valid.select("chain_key", F.explode(F.array("i", "j")).alias("r")).distinct()
-    sizes = ends.groupBy("chain_key").agg(F.count(F.lit(1)).alias("Lb"))
+    ends = valid.select("chain_key", F.explode(F.array("i", "j")).alias("r")).groupBy("chain_key", "r").agg(F.count(F.lit(1)).alias("n"))
+    # Each valid pair has two ends and stands for two entries.
+    sizes = ends.groupBy("chain_key").agg(F.count(F.lit(1)).alias("Lb"), F.sum("n").alias("entries"))
     best = (F.desc("p"), "i", "j")
     stripe = Window.partitionBy("chain_key", "stripe").orderBy(*best)
     chain = Window.partitionBy("chain_key").orderBy(*best)
     local = valid.withColumn("stripe", F.floor(F.col("i") / width)).withColumn("r", F.row_number().over(stripe))
     kept = local.join(sizes, "chain_key").filter(F.col("r") <= F.floor((F.col("Lb") + 1) / 2))
     ranked = kept.withColumn("r", F.row_number().over(chain))
-    counts = valid.groupBy("chain_key").agg((F.count(F.lit(1)) * 2).alias("entries"))
 
     # Each chain keeps at least as many rows as its largest K needs, so sums below are complete.
     ks = {"p_at_l": F.col("Lb"), "p_at_l2": F.greatest(F.lit(1), F.floor(F.col("Lb") / 2)),
           "p_at_l5": F.greatest(F.lit(1), F.floor(F.col("Lb") / 5))}
-    ranked = ranked.join(counts, "chain_key")
     aggs = []
     for name, k in ks.items():
         cap = F.least(k, F.col("entries"))
