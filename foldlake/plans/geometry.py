@@ -158,7 +158,7 @@ def rbf(spark, d):
 @query("flatten_graph", f"""WITH {_KNN_SQL}, lengths AS (SELECT chain_key, pdb_id AS batch_id, count(*) AS L FROM points GROUP BY ALL),
 slots AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY chain_key) - 1 AS slot,
     max(L) OVER (PARTITION BY batch_id) AS N FROM lengths)
-SELECT batch_id, chain_key, slot * N + src AS node_src, slot * N + dst AS node_dst, slot, src, dst
+SELECT batch_id, chain_key, slot * N + src AS node_src, slot * N + dst AS node_dst, slot, src::BIGINT AS src, dst::BIGINT AS dst
 FROM knn JOIN slots USING (chain_key) WHERE resolved""")
 def flatten_graph(spark, d):
     points = P.points(spark, d)

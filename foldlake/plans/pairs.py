@@ -120,7 +120,7 @@ def crop_residues(spark, d):
 
 @query("pad_batch", f"""WITH {P.SEQUENCES_SQL}, wide AS (SELECT *, doc_id // 8 AS batch_id,
     max(length(seq)) OVER (PARTITION BY doc_id // 8) AS width FROM sequences)
-SELECT batch_id, chain_key, width AS size, width - length(seq) AS padded,
+SELECT batch_id, chain_key, width::INT AS size, (width - length(seq))::INT AS padded,
     md5(seq || repeat('-', (width - length(seq))::INT)) AS digest FROM wide""")
 def pad_batch(spark, d):
     """Whole residue strings as letter arrays, padded inside batches of eight."""

@@ -40,7 +40,7 @@ _IDS_SQL = "CASE c " + " ".join(f"WHEN '{t}' THEN '{K.token_ids('roberta')[t]}'"
 
 
 @query("tokenize", f"""WITH texts AS (SELECT doc_id, {_LETTERS} AS seq FROM documents)
-SELECT doc_id, NOT contains(seq, 'J') AS known, CASE WHEN NOT contains(seq, 'J') THEN length(seq) + 2 END AS n_tokens,
+SELECT doc_id, NOT contains(seq, 'J') AS known, CASE WHEN NOT contains(seq, 'J') THEN (length(seq) + 2)::INT END AS n_tokens,
     CASE WHEN NOT contains(seq, 'J') THEN md5('0,' || CASE WHEN seq = '' THEN '' ELSE array_to_string(
         list_transform(string_split(seq, ''), lambda c: {_IDS_SQL}), ',') || ',' END || '2') END AS digest FROM texts""")
 def tokenize(spark, d):
@@ -57,7 +57,7 @@ def token_batches(spark, d):
 
 @query("chunk_sequences", f"""WITH {P.SEQUENCES_SQL}, cut AS (SELECT chain_key, seq,
     unnest(range(0, (length(seq) + 1021) // 1022)) AS chunk_no FROM sequences)
-SELECT chain_key, chunk_no, length(substr(seq, chunk_no * 1022 + 1, 1022)) AS size,
+SELECT chain_key, chunk_no::INT AS chunk_no, length(substr(seq, chunk_no * 1022 + 1, 1022))::INT AS size,
     md5(substr(seq, chunk_no * 1022 + 1, 1022)) AS digest FROM cut""")
 def chunk_sequences(spark, d):
     return K.chunk(P.sequences(spark, d)).select("chain_key", "chunk_no", F.length("chunk").alias("size"), F.md5("chunk").alias("digest"))
@@ -134,7 +134,7 @@ def index_exclude(spark, d):
 _SIMS_SQL = f"""{P.INDEX_SQL}, unit AS (SELECT chain_key, pdb_id, sqrt(list_inner_product(emb, emb)) + 1e-8 AS norm, emb FROM index_vectors),
 sims AS (SELECT q.chain_key AS query_key, t.chain_key AS tpl_key, q.pdb_id = t.pdb_id AS same_group,
     round(list_inner_product(q.emb, t.emb) / (q.norm * t.norm), 9) AS sim FROM unit q, unit t)"""
-_TOP_SQL = """top AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY sim DESC, tpl_key) AS rank FROM sims
+_TOP_SQL = """top AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY sim DESC, tpl_key)::INT AS rank FROM sims
     WHERE {0} QUALIFY rank <= 4)"""
 
 

@@ -26,7 +26,7 @@ RESIDUES_SQL = f"""{ATOMS_SQL}, {_MAP_SQL},
 best AS (SELECT *, row_number() OVER (PARTITION BY pdb_id, chain_id, res_no, icode, res_name, atom
     ORDER BY occupancy DESC, line_no) AS place FROM good WHERE NOT hetero),
 residues AS (SELECT pdb_id, chain_id, pdb_id || '_' || chain_id AS chain_key, path,
-    row_number() OVER (PARTITION BY pdb_id, chain_id ORDER BY first_line) - 1 AS pos, aa, x, y, z, x IS NOT NULL AS has_ca
+    (row_number() OVER (PARTITION BY pdb_id, chain_id ORDER BY first_line) - 1)::INT AS pos, aa, x, y, z, x IS NOT NULL AS has_ca
     FROM (SELECT pdb_id, path, chain_id, res_no, icode, aa, min(line_no) AS first_line,
             max(CASE WHEN atom = 'CA' AND place = 1 THEN x END) AS x, max(CASE WHEN atom = 'CA' AND place = 1 THEN y END) AS y,
             max(CASE WHEN atom = 'CA' AND place = 1 THEN z END) AS z
@@ -50,7 +50,7 @@ def _residues(spark, d):
 
 
 @query("pdb_scan", f"""WITH {P.LINES_SQL},
-body AS (SELECT pdb_id, line, row_number() OVER (PARTITION BY pdb_id ORDER BY line_no) + 1 AS line_no FROM structure_lines)
+body AS (SELECT pdb_id, line, (row_number() OVER (PARTITION BY pdb_id ORDER BY line_no) + 1)::INT AS line_no FROM structure_lines)
 SELECT pdb_id, line_no, line FROM body
 UNION ALL SELECT DISTINCT pdb_id, 0, 'HEADER    TEST' FROM body
 UNION ALL SELECT DISTINCT pdb_id, 1, 'MODEL        1' FROM body""")
@@ -130,7 +130,7 @@ def alignment_clean(spark, d):
     return both.withColumn("n_kept", F.length(F.regexp_replace("raw", "[a-z]", "")).cast("bigint"))
 
 
-@query("msa_check", """SELECT conv_id AS msa_id, count(*) AS n_rows, min(length(text)) AS min_len, max(length(text)) AS max_len,
+@query("msa_check", """SELECT conv_id AS msa_id, count(*) AS n_rows, min(length(text))::INT AS min_len, max(length(text))::INT AS max_len,
     min(length(text)) = max(length(text)) AS aligned FROM conversations GROUP BY conv_id""")
 def msa_check(spark, d):
     return fasta.check_msa(P.table(spark, d, "conversations").select(

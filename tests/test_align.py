@@ -139,3 +139,47 @@ def test_token_batches(spark, partitions):
     if partitions == 1:
         got = [b["size"].tolist() for _, b in out.groupby("batch_no")]
         assert got == greedy([len(s) + 2 for _, s in rows], 300)
+
+
+def test_transfer_equals_brute_force(spark, sf_dir):
+    """Hits, alignments, projection and vote of a few chains, once more in plain Python."""
+    from foldlake.operators import pairs as B
+    from foldlake.operators.chains import all_chains
+    from foldlake.plans import proxies as P
+    from foldlake.plans.transfer import chain_index
+
+    seqs = {r.chain_key: r.seq for r in all_chains(P.points(spark, sf_dir)).collect()}
+    found = B.contacts(P.points(spark, sf_dir))
+    contacts = {}
+    for r in found.collect():
+        contacts.setdefault(r.chain_key, []).append((r.i, r.j))
+    index = chain_index(spark, sf_dir)
+    vectors = {r.chain_key: np.array(r.emb) / np.linalg.norm(r.emb) for r in index.collect()}
+    want = {}
+    for q in vectors:
+        hits = sorted(((-float(vectors[q] @ v), t) for t, v in vectors.items() if t.split("_")[0] != q.split("_")[0]))[:4]
+        e = np.exp(np.array([-s for s, _ in hits]) + hits[0][0])
+        for (_, t), w in zip(hits, e / (e.sum() + 1e-8)):
+            a, b, _ = A.align(seqs[q], seqs[t])
+            back, i, j = {}, 0, 0
+            for x, y in zip(a, b):
+                if x != "-" and y != "-":
+                    back[j] = i
+                i, j = i + (x != "-"), j + (y != "-")
+            for ti, tj in contacts.get(t, []):
+                if ti in back and tj in back and abs(back[ti] - back[tj]) >= 6:
+                    key = (q, min(back[ti], back[tj]), max(back[ti], back[tj]))
+                    prior, count = want.get(key, (0.0, 0))
+                    want[key] = (prior + w, count + 1)
+    all_seqs = all_chains(P.points(spark, sf_dir)).select("chain_key", "seq")
+    got = {(r.query_key, r.i, r.j): (r.prior, r.cnt) for r in T.transfer(index, index, all_seqs, found, min_sep=6).collect()}
+    assert set(got) == set(want) and len(want) > 500
+    for key in want:
+        assert got[key] == pytest.approx(want[key], abs=1e-6)
+
+
+def test_classifier_learns(spark, sf_dir):
+    import __spark_entry__ as entry
+    scored = entry.queries()["pair_classifier"](spark, sf_dir).toPandas()
+    assert scored["p"].between(0, 1).all() and len(scored) > 1000
+    assert scored.loc[scored.y == 1, "p"].mean() > scored.loc[scored.y == 0, "p"].mean()
