@@ -29,10 +29,6 @@ def relpos_bucket(i: Column, j: Column, cuts=RELPOS_CUTS) -> Column:
     return sum((F.when(distance > c, 1).otherwise(0) for c in cuts), F.lit(0))
 
 
-def one_hot(bucket: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(k == bucket, 1).otherwise(0))
-
-
 def relpos_clipped(i: Column, j: Column, bins: int, valid: Column) -> Column:
     """Signed offset clipped to +-bins and moved above zero; masked pairs get 0."""
     clipped = F.greatest(F.lit(-bins), F.least(F.lit(bins), j - i))
@@ -85,4 +81,14 @@ def pick(array: Column, index: int) -> Column:
 
 
 def relpos_one_hot(i: Column, j: Column, cuts=RELPOS_CUTS) -> Column:
-    return one_hot(relpos_bucket(i, j, cuts), len(cuts) + 1)
+    """The bucket as 0/1 flags, each from its own two borders (no lambda, so it stays in compiled code)."""
+    distance = F.abs(i - j)
+    flags = []
+    for k in range(len(cuts) + 1):
+        inside = F.lit(True)
+        if k > 0:
+            inside = inside & (distance > cuts[k - 1])
+        if k < len(cuts):
+            inside = inside & (distance <= cuts[k])
+        flags.append(inside.cast("int"))
+    return F.array(*flags)

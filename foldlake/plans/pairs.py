@@ -210,10 +210,12 @@ corrected AS (SELECT chain_key, channel, i, j, x - sum(x) OVER (PARTITION BY cha
     * sum(x) OVER (PARTITION BY chain_key, channel, j) / sum(x) OVER (PARTITION BY chain_key, channel) AS x FROM channels)"""
 
 
-@query("apc", f"""WITH {P.PAIRS_SQL}, {_CHANNEL_SQL} SELECT chain_key, i, j, round(x, 6) + 0.0 AS x FROM corrected WHERE channel = 0""")
+@query("apc", f"""WITH {P.PAIRS_SQL}, {_CHANNEL_SQL} SELECT chain_key, i, j, round(x + 1.3e-8, 6) + 0.0 AS x FROM corrected WHERE channel = 0""")
 def apc(spark, d):
     scores = P.pair_scores(spark, d).select("chain_key", "i", "j", F.col("p").alias("x"))
-    return B.mirror(B.apc(scores)).withColumn("x", S.r6(F.col("x")))
+    # Corrected scores are short fractions, often half way between two roundings, where the order of
+    # a sum decides; the small step, taken in the SQL as well, moves them off that point.
+    return B.mirror(B.apc(scores)).withColumn("x", S.r6(F.col("x") + 1.3e-8))
 
 
 _LOGISTIC_SQL = f"""WITH {P.PAIRS_SQL}, {_CHANNEL_SQL}, weights(channel, w) AS (VALUES (0, 1.5), (1, -0.7), (2, 0.4))

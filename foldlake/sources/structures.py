@@ -24,8 +24,10 @@ def structure_lines(files: DataFrame) -> DataFrame:
     A file is one row here, so the order of its lines never depends on a shuffle
     and the later models are cut off before any line is made a row.
     """
-    first_model = F.substring_index(F.col("value"), "\nENDMDL", 1)
-    return files.select("pdb_id", "path", F.posexplode(F.split(first_model, "\r?\n")).alias("line_no", "line"))
+    marked = F.concat(F.lit("\n"), F.col("value"))
+    first_model = F.substring_index(F.substring_index(marked, "\nENDMDL", 1), "\nMODEL ", 2)
+    lines = F.split(F.substring(first_model, 2, 2**31 - 1), "\r?\n")
+    return files.select("pdb_id", "path", F.posexplode(lines).alias("line_no", "line"))
 
 
 def parse_atoms(lines: DataFrame) -> DataFrame:
@@ -53,11 +55,15 @@ def split_rejects(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ingest_summary(atoms: DataFrame, chains: DataFrame, min_len: int) -> DataFrame:
     """Files read, files with broken records, chains kept and chains too short or without CA."""
     broken = F.col("res_no").isNull() | F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
-    files = atoms.groupBy("path").agg(F.max(F.when(broken, 1).otherwise(0)).alias("bad")).agg(
-        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("failed"))
+    names = ["files", "failed", "saved", "skipped"]
+
+    def tally(df: DataFrame, **flags) -> DataFrame:
+        return df.agg(*[F.coalesce(F.sum(flags[n].cast("bigint")), F.lit(0)).alias(n) if n in flags else F.lit(0).cast("bigint").alias(n) for n in names])
+
     kept = (F.col("L") >= min_len) & (F.col("n_ca") > 0)
-    counts = chains.agg(F.count_if(kept).alias("saved"), F.count_if(~kept).alias("skipped"))
-    return files.join(counts, F.lit(True))
+    per_file = atoms.groupBy("path").agg(F.max(F.when(broken, 1).otherwise(0)).alias("bad"))
+    both = tally(per_file, files=F.lit(1), failed=F.col("bad")).unionByName(tally(chains, saved=kept.cast("int"), skipped=(~kept).cast("int")))
+    return both.agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _residue_letters(spark: SparkSession) -> DataFrame:

@@ -30,6 +30,15 @@ def test_files_equal_lines(spark, sf_dir, structure_dir):
     assert rows(read) == rows(P.structure_lines(spark, sf_dir))
 
 
+def test_only_the_first_model_counts(spark):
+    texts = ["MODEL        1\nA\nB\nENDMDL\nMODEL        2\nC\nENDMDL\n", "X\nMODEL        1\nA\nMODEL        2\nC\n", "A\r\nB"]
+    files = spark.createDataFrame([(str(k), "f", t) for k, t in enumerate(texts)], "pdb_id string, path string, value string")
+    got = {}
+    for r in structures.structure_lines(files).orderBy("pdb_id", "line_no").collect():
+        got.setdefault(r.pdb_id, []).append(r.line)
+    assert got == {"0": ["MODEL        1", "A", "B"], "1": ["X", "MODEL        1", "A"], "2": ["A", "B"]}
+
+
 def test_broken_records_are_kept_apart(spark, structure_dir):
     atoms = structures.parse_atoms(structures.structure_lines(structures.read_structures(spark, structure_dir)))
     good, bad = structures.split_rejects(atoms)
