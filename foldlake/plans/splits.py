@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as U
 from ..operators import embed as E
 from ..operators import splits as X
-from ..session import scratch_dir
+from ..session import shared_folder
 from . import proxies as P
 from .registry import query
 
@@ -28,7 +28,7 @@ def split_ids(spark, d):
 @query("named_split", f"WITH {_SPLIT_SQL} SELECT * FROM split_ids")
 def named_split(spark, d):
     """Stored on the first call, read back on the second."""
-    folder, tag = scratch_dir(spark), X.split_tag(0.1, 42, 20)
+    folder, tag = shared_folder(spark), X.split_tag(0.1, 42, 20)
     X.named_split(spark, folder, tag, _ids(spark, d))
     return X.named_split(spark, folder, tag, _ids(spark, d))
 

@@ -27,19 +27,41 @@ def build_session(app: str = "foldlake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors can read and write.
 
-    A folder is chosen here only when the session names none, as on a laptop.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``. A temporary one is made only where
+    driver and executors are one process on one machine, as in tests; elsewhere the setting is required.
     """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return tempfile.mkdtemp(prefix="foldlake-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return f"{base.rstrip('/')}/foldlake-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` reliably, in the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foldlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder and read back.
+
+    Used where several later steps read the same rows: they are computed once, survive lost executors, and only the
+    columns a step needs are read again.
+    """
+    spark = df.sparkSession
+    target = f"{shared_folder(spark)}/table"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for ``df``; nothing is executed."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -56,11 +78,3 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     if planned_bytes(df) >= cores * 32 * 1024 * 1024:
         return df
     return df.repartition(cores, *keys)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder for intermediate tables, shared on a cluster, local only where no folder is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/foldlake-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="foldlake-", dir="/tmp")
