@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, quality, simhash, token_counts, topk
+from . import fingerprints, langid, licenses, packing, quality, simhash, token_counts, topk
 from .encoding import vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_rules")
 def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op8_chunk_fingerprints")
+def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edited(table(spark, sf_dir, "documents"))
