@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, packing, quality, simhash, token_counts, topk
+from . import fingerprints, html_text, langid, licenses, packing, quality, simhash, token_counts, topk
 from .encoding import vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_chunk_fingerprints")
 def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edited(table(spark, sf_dir, "documents"))
+
+
+@query("op9_html_blocks")
+def op9_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
