@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, langid, licenses, packing, quality, simhash, token_counts, topk
+from . import fingerprints, html_text, langid, licenses, mixing, packing, quality, simhash, token_counts, topk
 from .encoding import vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,58 @@ def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_blocks")
 def op9_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: Domains are runs of sources; the weights of domains, languages and sources are whole numbers.
+_DOMAIN = "'d' || cast(try_cast(substring(source, 4) AS int) % 4 AS string)"
+_WEIGHTS = {
+    "domain": "CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END",
+    "lang": "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 3 WHEN 'fr' THEN 2 ELSE 1 END",
+    "source": "1 + length(source) % 3",
+}
+
+
+def source_tree() -> mixing.Tree:
+    levels = {"domain": F.expr(_DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.Tree(levels, {name: F.expr(weight) for name, weight in _WEIGHTS.items()})
+
+
+def _level_sql(path: list[str], parent: str) -> str:
+    """CTEs that share the quotas of ``parent`` among the nodes of ``path``."""
+    name, above = path[-1], ", ".join(path[:-1])
+    by = f"PARTITION BY {above} " if above else ""
+    join = f"JOIN {parent} USING ({above})" if above else f"CROSS JOIN {parent}"
+    group = f"PARTITION BY {above}, filled" if above else "PARTITION BY filled"
+    nodes = ", ".join(path)
+    return f"""
+    asked_{name} AS (SELECT {nodes}, CASE WHEN sum(supply) > 0 THEN max(w_{name}) ELSE 0 END::HUGEINT AS weight, sum(supply)::HUGEINT AS supply FROM leaves GROUP BY ALL),
+    marked_{name} AS (SELECT *, supply = 0 OR supply * sum(weight) OVER rest <= (quota - coalesce(sum(supply) OVER before, 0)) * weight AS filled
+        FROM (SELECT * FROM asked_{name} {join})
+        WINDOW before AS ({by}ORDER BY supply::DOUBLE / greatest(weight, 1), {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+               rest AS ({by}ORDER BY supply::DOUBLE / greatest(weight, 1), {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    shared_{name} AS (SELECT *, CASE WHEN filled THEN supply ELSE ((quota - taken) * weight)::HUGEINT // open::HUGEINT END::HUGEINT AS share FROM (
+        SELECT *, sum(CASE WHEN filled THEN supply ELSE 0 END) OVER ({by}) AS taken, sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({by}) AS open FROM marked_{name})),
+    given_{name} AS (SELECT {nodes}, (share + CASE WHEN NOT filled AND turn <= remain THEN 1 ELSE 0 END)::HUGEINT AS quota FROM (
+        SELECT *, quota - sum(share) OVER ({by}) AS remain, row_number() OVER ({group} ORDER BY {name}) AS turn FROM shared_{name}))"""
+
+
+_MIX_SQL = rf"""
+    WITH rows AS (SELECT doc_id, coalesce('d' || (TRY_CAST(substring(source, 4) AS INT) % 4)::VARCHAR, '(none)') AS domain, coalesce(lang, '(none)') AS lang,
+        coalesce(source, '(none)') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ 	
+]+'))::BIGINT AS n_tokens FROM documents),
+    leaves AS (SELECT *, ({_WEIGHTS["domain"]})::BIGINT AS w_domain, ({_WEIGHTS["lang"]})::BIGINT AS w_lang, ({_WEIGHTS["source"]})::BIGINT AS w_source, tokens * 3 AS supply
+        FROM (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM rows GROUP BY ALL)),
+    root AS (SELECT least(sum(supply), sum(tokens))::HUGEINT AS quota FROM leaves),
+    {_level_sql(["domain"], "root")}, {_level_sql(["domain", "lang"], "given_domain")}, {_level_sql(["domain", "lang", "source"], "given_lang")},
+    plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN (quota // tokens)::INT ELSE 0 END AS epochs,
+        CASE WHEN tokens > 0 THEN (quota % tokens)::BIGINT ELSE 0 END AS rest FROM leaves JOIN given_source USING (domain, lang, source)),
+    placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), '42', epochs::VARCHAR)), doc_id, n_tokens
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS start FROM rows JOIN plan USING (domain, lang, source))
+    SELECT doc_id, domain, lang, source, epoch::INT AS epoch, n_tokens, n_tokens AS take_tokens FROM (SELECT *, unnest(range(epochs)) AS epoch FROM placed)
+    UNION ALL SELECT doc_id, domain, lang, source, epochs AS epoch, n_tokens, least(n_tokens, rest - start)::BIGINT FROM placed WHERE rest > 0 AND start < rest"""
+
+
+@query("op1_hierarchical_mix", _MIX_SQL)
+def op1_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as there are, dealt by weight, a document up to three times."""
+    return mixing.mix(table(spark, sf_dir, "documents"), source_tree(), F.col("total"), max_epochs=3)
