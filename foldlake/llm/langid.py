@@ -145,12 +145,12 @@ def fit(labelled: DataFrame, rows_per_language: int = 4000, dims: int = 1024, n:
     return Model(languages, prototypes, dims, n, seed)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score (the cosine, at least 0) of every whole text.
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with ``names``: the language and the score (the cosine, at least 0) of every whole text.
 
     ``und`` with score 0 where the text is null or has no letter, or no language was learned. Equal cosines go to the
     first language by name. Only ``text`` is read for the prediction; all columns stay. An empty table gives no rows;
-    columns already named lang_pred or score are replaced.
+    columns already called so are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -170,10 +170,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 langs.append(model.languages[best])
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
 
-    kept = docs.drop("lang_pred", "score")
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    kept = docs.drop(*names)
+    schema = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     return kept.mapInArrow(run, schema)
 
 

@@ -28,6 +28,8 @@ NAMES = (
     "log_chars", "log_words", "word_length", "upper", "digit", "symbol", "stop", "bang", "space", "beyond_ascii",
     "distinct_words", "distinct_shingles", "distinct_lines", "line_length", "marked_words",
 )
+#: Begins the names of their columns.
+PREFIX = "__q_"
 _LOWER, _UPPER, _DIGIT, _SYMBOL, _STOP, _BANG, _SPACE, _LEAD, _TAIL = range(9)
 
 
@@ -62,10 +64,10 @@ def statistics(text: str) -> tuple[float, ...]:
 
 
 def with_statistics(docs: DataFrame, drop_text: bool = False) -> DataFrame:
-    """``docs`` with a column q_<name> for each statistic of ``text`` (null: empty)."""
-    kept = docs.drop(*[f"q_{n}" for n in NAMES])
+    """``docs`` with a column ``PREFIX`` + name for each statistic of ``text`` (null: empty)."""
+    kept = docs.drop(*[f"{PREFIX}{n}" for n in NAMES])
     names = [c for c in kept.columns if not (drop_text and c == "text")]
-    schema = StructType([*[kept.schema[c] for c in names], *[StructField(f"q_{n}", DoubleType()) for n in NAMES]])
+    schema = StructType([*[kept.schema[c] for c in names], *[StructField(f"{PREFIX}{n}", DoubleType()) for n in NAMES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,14 +91,14 @@ class Ensemble:
     intercept: float
 
     def score(self) -> Column:
-        """The probability as an expression over the q_ columns."""
+        """The probability as an expression over the columns of the statistics."""
         total = reduce(lambda a, b: a + b, [F.when(condition(r), F.lit(w)).otherwise(F.lit(0.0)) for r, w in self.rules], F.lit(self.intercept))
         return 1.0 / (1.0 + F.exp(-total))
 
 
 def condition(rule: Rule) -> Column:
     def one(part: tuple[int, bool, float]) -> Column:
-        column = F.col(f"q_{NAMES[part[0]]}")
+        column = F.col(f"{PREFIX}{NAMES[part[0]]}")
         return column > part[2] if part[1] else column <= part[2]
 
     return reduce(and_, map(one, rule))
@@ -117,14 +119,14 @@ def _paths(node, above: dict) -> Iterator[Rule]:
 
 
 def fit(labelled: DataFrame, trees: int = 12, depth: int = 3, penalty: float = 0.0005, seed: int = 5) -> Ensemble:
-    """Rules and weights from ``labelled``: q_ columns and ``label`` 0.0 or 1.0, a bounded table.
+    """Rules and weights from ``labelled``: the statistics and ``label`` 0.0 or 1.0, a bounded table.
 
     With no rows, or one label only, there are no rules and the score is 0.5, or near that label.
     """
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Ensemble((), 0.0 if not counts else 6.0 if 1.0 in counts else -6.0)
-    columns = [f"q_{n}" for n in NAMES]
+    columns = [f"{PREFIX}{n}" for n in NAMES]
     table = VectorAssembler(inputCols=columns, outputCol="statistics").transform(labelled.select("label", *columns))
     forest = RandomForestClassifier(labelCol="label", featuresCol="statistics", numTrees=trees, maxDepth=depth, maxBins=64,
                                     featureSubsetStrategy="0.5", seed=seed).fit(table)
@@ -155,15 +157,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return fit(stored(with_statistics(texts, drop_text=True)))
 
 
-def predict(docs: DataFrame, ensemble: Ensemble) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if the score is 0.5 or more).
+def predict(docs: DataFrame, ensemble: Ensemble, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with ``names``: the score (0 to 1), and 1 if it is 0.5 or more, else 0.
 
     Null texts count as empty; empty texts are scored by their statistics (all 0). An empty table gives no rows.
-    Columns already named score or predicted are replaced, other columns stay.
+    Columns already called so are replaced, other columns stay.
     """
-    kept = docs.drop("score", "predicted")
-    scored = with_statistics(kept).withColumn("score", ensemble.score())
-    return scored.select(*kept.columns, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    kept = docs.drop(*names)
+    scored = with_statistics(kept).withColumn(names[0], ensemble.score())
+    return scored.select(*kept.columns, names[0], F.when(F.col(names[0]) >= 0.5, 1).otherwise(0).alias(names[1]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
