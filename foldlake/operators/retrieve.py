@@ -1,9 +1,8 @@
 """Exact cosine top-k with a same-group filter.
 
-Both ways below compare vectors block by block in NumPy and let only the best
-``k`` of a block out; neither joins rows with rows. The table with the smaller,
-checked size travels. Beyond that size, pivots bound the similarity and a probe
-goes only to the cells that can still hold a better hit.
+Vectors of both tables are cut once into blocks of some thousand. Every query block meets every index block, a pair of
+blocks is a unit of work, and only the best ``k`` per query leave it, to be merged in two steps. Exact search over all
+pairs costs queries times index; blocks make that matrix products and send a vector once per block of the other side.
 """
 
 from __future__ import annotations
@@ -16,10 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import TOP_K
-from ..session import spread
+from ..session import stored
 
-# Queries up to this many bytes of vectors are sent to every index partition.
-BROADCAST_BYTES = 8 * 1024 * 1024
+#: Vectors in a block, for queries and index alike.
+BLOCK = 8192
 _HITS = "query_key string, tpl_key string, sim double, same_group boolean"
 
 
@@ -58,130 +57,52 @@ def _block_best(q: pd.DataFrame, qm: np.ndarray, t: pd.DataFrame, tm: np.ndarray
     return pd.concat(out) if out else pd.DataFrame(columns=["query_key", "tpl_key", "sim", "same_group"])
 
 
-def _keep_best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = hits.sort_values(["query_key", "sim", "tpl_key"], ascending=[True, False, True])
-    return ordered.groupby("query_key", sort=False).head(k)
+def blocks(vectors: DataFrame, name: str, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """Block number ``name`` and the block's rows, and how many blocks there are; ``vectors`` must be stored."""
+    count = max(1, -(-vectors.count() // size))
+    number = F.pmod(F.xxhash64("chain_key"), F.lit(count)).cast("int")
+    return vectors.groupBy(number.alias(name)).agg(F.collect_list(F.struct("chain_key", "pdb_id", "emb")).alias(f"{name}_rows")), count
 
 
-def _merge(partial: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` of the partial lists; Spark cuts each list before the shuffle."""
-    best = Window.partitionBy("query_key").orderBy(F.desc("sim"), "tpl_key")
-    return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+def block_pairs(queries: DataFrame, index: DataFrame, size: int = BLOCK) -> DataFrame:
+    """A row for each pair of a query block q and an index block t, dealt out by pair."""
+    asked, q_count = blocks(queries, "q", size)
+    known, t_count = blocks(index, "t", size)
+    meet = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    return asked.select("*", meet(t_count, "t")).join(known.select("*", meet(q_count, "q")), ["q", "t"])
 
 
-def _scan_index(queries: DataFrame, index: DataFrame, k: int, exclude: bool) -> DataFrame:
-    """Few queries: one pass over the index, the query block sent along."""
-    block = queries.select("chain_key", "pdb_id", "emb").toPandas()  # size checked by the caller
-    sent = queries.sparkSession.sparkContext.broadcast((block[["chain_key", "pdb_id"]], _unit_rows(block["emb"]) if len(block) else None))
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, qm = sent.value
-        best = None
+def _compare(pairs: DataFrame, k: int, exclude: bool) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(q) == 0 or len(frame) == 0:
-                continue
-            found = _block_best(q, qm, frame, _unit_rows(frame["emb"]), k, exclude)
-            best = found if best is None else _keep_best(pd.concat([best, found]), k)
-        if best is not None:
-            yield best
-
-    return spread(index.select("chain_key", "pdb_id", "emb")).mapInPandas(scan, _HITS)
-
-
-def _probe_cells(queries: DataFrame, index: DataFrame, k: int, exclude: bool, n_index: int, block: int = 512) -> DataFrame:
-    """Many queries: index and queries meet block by block in the cells that matter.
-
-    Each vector belongs to the cell of its nearest pivot. By the triangle
-    inequality on angles, a vector of a cell is no closer to a query than
-    (angle query-pivot) - (cell radius). A first look at one block of the
-    query's own cell gives a bound that the k-th hit cannot fall below; cells
-    that cannot beat it are skipped, all others are searched in full. Every
-    cell is cut into blocks of about ``block`` vectors, so a crowded cell is
-    many small tasks.
-    """
-    spark = queries.sparkSession
-    n_pivots = int(min(256, max(4, np.sqrt(n_index / block) * 4)))
-    rows = index.select("emb").orderBy(F.md5("chain_key")).limit(n_pivots).toPandas()  # at most 256 vectors
-    pivots = spark.sparkContext.broadcast(_unit_rows(rows["emb"]))
-    n_pivots = len(rows)
+            for asked, known in zip(frame["q_rows"], frame["t_rows"]):
+                q, t = pd.DataFrame(list(asked)), pd.DataFrame(list(known))
+                yield _block_best(q, _unit_rows(q["emb"]), t, _unit_rows(t["emb"]), k, exclude)
 
-    def angles(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        unit = _unit_rows(frame["emb"])
-        return unit, np.arccos(np.clip(unit @ pivots.value.T, -1.0, 1.0))
+    return pairs.mapInPandas(run, _HITS)
 
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                _, ang = angles(frame)
-                cell = ang.argmin(axis=1)
-                yield frame.assign(cell=cell.astype("int32"), angle=ang[np.arange(len(frame)), cell])
-
-    fields = "chain_key string, pdb_id string, emb array<double>, cell int, angle double"
-    vectors = [F.col("chain_key"), F.col("pdb_id"), F.col("emb").cast("array<double>").alias("emb")]
-    placed = index.select(*vectors).mapInPandas(assign, fields)
-    stats = placed.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.max("angle").alias("radius")).toPandas()  # a row per pivot
-    n_blocks = np.zeros(n_pivots, dtype=int)
-    radius = np.zeros(n_pivots)
-    n_blocks[stats["cell"]], radius[stats["cell"]] = stats["blocks"], stats["radius"]
-    blocks_of = F.array(*[F.lit(int(max(b, 1))) for b in n_blocks])
-    member = F.struct("chain_key", "pdb_id", "emb")
-    packed = placed.select("cell", member.alias("m"), F.pmod(F.xxhash64("chain_key"), F.element_at(blocks_of, F.col("cell") + 1)).cast("int").alias("blk")
-                           ).groupBy("cell", "blk").agg(F.collect_list("m").alias("tpl"))
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def table(members):
-            return pd.DataFrame([{"chain_key": m["chain_key"], "pdb_id": m["pdb_id"], "emb": m["emb"]} for m in members])
 
-        for frame in frames:
-            for asked, stored in zip(frame["asked"], frame["tpl"]):
-                q, t = table(asked), table(stored)
-                yield _block_best(q, _unit_rows(q["emb"]), t, _unit_rows(t["emb"]), k, exclude)
+def _merge(partial: DataFrame, k: int, pieces: int = 64) -> DataFrame:
+    """Best ``k`` of the lists: over pieces of the index first, so that no query's lists meet all at once."""
+    order = [F.desc("sim"), F.col("tpl_key")]
+    cut = partial.withColumn("__piece", F.pmod(F.xxhash64("tpl_key"), F.lit(pieces)))
+    first = Window.partitionBy("query_key", "__piece").orderBy(*order)
+    kept = cut.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).drop("rank", "__piece")
+    best = Window.partitionBy("query_key").orderBy(*order)
+    return kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    def meet(probes: DataFrame) -> DataFrame:
-        """(cell, blk, m) rows -> partial hits, queries packed into blocks of their own."""
-        piece = F.pmod(F.xxhash64(F.col("m.chain_key"), F.lit(7)), F.lit(max(1, n_query_pieces))).cast("int")
-        asked = probes.groupBy("cell", "blk", piece.alias("piece")).agg(F.collect_list("m").alias("asked"))
-        joined = asked.join(packed, ["cell", "blk"]).select("asked", "tpl")
-        return joined.mapInPandas(compare, _HITS)
-
-    n_query_pieces = -(-queries.count() // block)
-    asking = queries.select(*vectors)
-    own = asking.mapInPandas(assign, fields)
-    first = own.select("cell", F.pmod(F.xxhash64("chain_key", F.lit(3)), F.element_at(blocks_of, F.col("cell") + 1)).cast("int").alias("blk"),
-                       member.alias("m"))
-    bounds = _merge(meet(first), k).groupBy("query_key").agg(F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")).select(
-        F.col("query_key").alias("chain_key"), F.when(F.col("n") >= k, F.col("sim")).alias("floor"))
-    bounded = asking.join(bounds, "chain_key", "left")
-
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame) == 0:
-                continue
-            _, ang = angles(frame)
-            reach = np.cos(np.maximum(ang - radius[None, :], 0.0))
-            floor = frame["floor"].fillna(-2.0).to_numpy(dtype=float)
-            wanted = (reach >= floor[:, None] - 1e-7) & (n_blocks[None, :] > 0)
-            yield frame[["chain_key", "pdb_id", "emb"]].assign(cells=[np.flatnonzero(w).astype("int32") for w in wanted])
-
-    chosen = bounded.mapInPandas(choose, "chain_key string, pdb_id string, emb array<double>, cells array<int>")
-    by_cell = chosen.select(member.alias("m"), F.explode("cells").alias("cell"))
-    probes = by_cell.select("cell", "m", F.explode(F.sequence(F.lit(0), F.element_at(blocks_of, F.col("cell") + 1) - 1)).alias("blk"))
-    return meet(probes)
-
-
-def topk_similar(queries: DataFrame, index: DataFrame, k: int = TOP_K, exclude_same_group: bool = True,
-                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+
+def topk_similar(queries: DataFrame, index: DataFrame, k: int = TOP_K, exclude_same_group: bool = True, block: int = BLOCK) -> DataFrame:
     """The ``k`` most similar index chains of each query: query_key, tpl_key, sim, rank, same_group.
 
-    With the filter on, members of the query's own group are left out before
-    ranking, so a query gets ``k`` hits whenever that many other chains exist.
+    With the filter on, members of the query's own group are left out before ranking, so a query gets ``k`` hits
+    whenever that many other chains exist. Both tables are computed once and stored before they are cut into blocks;
+    one table given twice is stored once.
     """
-    dims = queries.select(F.max(F.size("emb")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    if (dims["d"] or 0) * dims["n"] * 8 <= broadcast_bytes:
-        partial = _scan_index(queries, index, k, exclude_same_group)
-    else:
-        partial = _probe_cells(queries, index, k, exclude_same_group, index.count())
+    names = ["chain_key", "pdb_id", "emb"]
+    known = stored(index.select(*names))
+    asked = known if queries is index else stored(queries.select(*names))
+    partial = _compare(block_pairs(asked, known, block), k, exclude_same_group)
     return _merge(partial, k).select("query_key", "tpl_key", "sim", "rank", "same_group")
 
 

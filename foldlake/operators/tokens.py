@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK_LENGTH, RESIDUE_TOKENS, VOCAB_LAYOUTS
+from ..functions.ordering import hash_pieces, ordinal
 
 
 def tokens_of(layout: str) -> list[str]:
@@ -48,29 +49,34 @@ def split_unknown(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return encoded.filter(F.col("tokens").isNotNull()), encoded.filter(F.col("tokens").isNull())
 
 
-def token_batches(df: DataFrame, budget: int, extra: int = 0, key: str = "chain_key", partitions: int | None = None) -> DataFrame:
-    """Batches of similar length whose padded size stays within ``budget`` tokens.
+def token_batches(df: DataFrame, budget: int, extra: int = 0, key: str = "chain_key") -> DataFrame:
+    """key, size, batch_no: batches of similar length whose padded size stays within ``budget`` tokens.
 
-    Sequences are range-partitioned by (length, key) and packed in that order
-    inside each partition; a batch never crosses partitions. Only keys and
-    lengths move. A sequence longer than the budget gets a batch of its own.
+    Sequences are taken by length and packed greedily; those of one length come in the order of a hash of their key.
+    A sequence longer than the budget gets a batch of its own. The batches depend on how many sequences there are of
+    each length only, so the greedy pass runs over that histogram, a row per distinct length. Each sequence then finds
+    its batch by its place among those of its length. Neither partitions nor settings change the result.
     """
     sized = df.select(F.col(key).alias("key"), (F.length("seq") + extra).cast("int").alias("size"))
-    cut = sized.repartitionByRange(partitions, "size", "key") if partitions else sized.repartitionByRange("size", "key")
-    ordered = cut.sortWithinPartitions("size", "key").withColumn("part", F.spark_partition_id())
+    hashed = sized.withColumn("__h", F.md5("key"))
+    placed = ordinal(hashed, ["size"], [F.col("__h"), F.col("key")], hash_pieces(F.col("__h"), 2), "place")
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, count, widest = 0, 0, 0
+        last, used = -1, 0  # the open batch and the sequences in it
         for frame in frames:
-            numbers = []
-            for size in frame["size"].tolist():
-                if count and max(size, widest) * (count + 1) > budget:
-                    batch, count, widest = batch + 1, 0, 0
-                widest, count = max(widest, size), count + 1
-                numbers.append(batch)
-            yield frame.assign(batch_no=numbers)
-
-    return ordered.mapInPandas(pack, "key string, size int, part int, batch_no int")
+            rows = []
+            for size, n in zip(frame["size"].tolist(), frame["n"].tolist()):
+                fit = max(1, budget // size) if size else n + used
+                here = min(n, max(0, fit - used)) if used else 0
+                rows.append((size, fit, here, last))
+                rest = n - here
+                last, used = last + -(-rest // fit), (rest - 1) % fit + 1 if rest else used + n
+            yield pd.DataFrame(rows, columns=["size", "fit", "here", "open"])
+
+    lengths = sized.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    runs = lengths.repartition(1).sortWithinPartitions("size").mapInPandas(pack, "size int, fit bigint, here bigint, open bigint")
+    later = F.expr("CASE WHEN place < here THEN 0 ELSE (place - here) div fit + 1 END")
+    return placed.join(runs, "size").select("key", "size", (F.col("open") + later).alias("batch_no"))
 
 
 def chunk(df: DataFrame, max_len: int = CHUNK_LENGTH, key: str = "chain_key") -> DataFrame:

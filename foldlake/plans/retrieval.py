@@ -50,7 +50,17 @@ def tokenize(spark, d):
                         F.md5(F.array_join("tokens", ",")).alias("digest"))
 
 
-@query("token_batches")
+@query("token_batches", f"""WITH RECURSIVE {P.SEQUENCES_SQL}, sized AS (SELECT chain_key AS key, (length(seq) + 2)::INT AS size FROM sequences),
+placed AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY md5(key), key) - 1 AS place FROM sized),
+lengths AS (SELECT size, count(*) AS n, row_number() OVER (ORDER BY size) AS step FROM sized GROUP BY size),
+packed AS (SELECT 0::BIGINT AS step, 0::BIGINT AS size, 0::BIGINT AS fit, 0::BIGINT AS here, -1::BIGINT AS open, 0::BIGINT AS used, -1::BIGINT AS last
+    UNION ALL SELECT step, size, fit, here, open, CASE WHEN n > here THEN (n - here - 1) % fit + 1 ELSE used + n END,
+        open + (greatest(0, n - here) + fit - 1) // fit FROM (
+        SELECT l.step, l.size, greatest(1, 8192 // l.size) AS fit, l.n, p.last AS open, p.used,
+            CASE WHEN p.used = 0 THEN 0 ELSE least(l.n, greatest(0, greatest(1, 8192 // l.size) - p.used)) END AS here
+        FROM packed p JOIN lengths l ON l.step = p.step + 1))
+SELECT key, s.size, (open + CASE WHEN place < here THEN 0 ELSE (place - here) // fit + 1 END)::BIGINT AS batch_no
+FROM placed s JOIN packed p ON p.size = s.size""")
 def token_batches(spark, d):
     return K.token_batches(P.sequences(spark, d), budget=8192, extra=2)
 
@@ -110,19 +120,19 @@ _COUNTS = [f"(length(seq) - length(replace(seq, '{a}', '')))" for a in AMINO_ACI
 
 
 @query("embed_stub", f"""WITH {P.SEQUENCES_SQL}, counts AS (SELECT chain_key, {', '.join(f'{c} AS n{k}' for k, c in enumerate(_COUNTS))} FROM sequences)
-SELECT chain_key, {', '.join(f"round(n{k} / (sqrt({' + '.join(f'n{m} * n{m}' for m in range(20))}) + 1e-8), 6) + 0.0 AS v{k}" for k in (0, 7, 19))}
+SELECT chain_key, {', '.join(f"round(n{k} / (sqrt({' + '.join(f'n{m} * n{m}' for m in range(20))}) + 1e-8), 6) + 0.0 AS v{k}" for k in range(20))}
 FROM counts""")
 def embed_stub(spark, d):
     counts = P.sequences(spark, d).select("chain_key", F.array(*[F.expr(c).cast("double") for c in _COUNTS]).alias("counts"))
     out = E.embed(counts, _composition_model, "counts", len(AMINO_ACIDS))
-    return out.select("chain_key", *[r6(F.col("emb")[k]).alias(f"v{k}") for k in (0, 7, 19)])
+    return out.select("chain_key", *[r6(F.col("emb")[k]).alias(f"v{k}") for k in range(20)])
 
 
 @query("l2_normalize", f"""WITH {P.INDEX_SQL}, n AS (SELECT chain_key, emb, sqrt(list_inner_product(emb, emb)) + 1e-8 AS norm FROM index_vectors)
-SELECT chain_key, {', '.join(f'round(emb[{k + 1}] / norm, 6) + 0.0 AS v{k}' for k in (0, 31, 63))} FROM n""")
+SELECT chain_key, {', '.join(f'round(emb[{k + 1}] / norm, 6) + 0.0 AS v{k}' for k in range(64))} FROM n""")
 def normalized(spark, d):
     unit = P.index_vectors(spark, d).select("chain_key", l2_normalize(F.col("emb")).alias("u"))
-    return unit.select("chain_key", *[r6(F.col("u")[k]).alias(f"v{k}") for k in (0, 31, 63)])
+    return unit.select("chain_key", *[r6(F.col("u")[k]).alias(f"v{k}") for k in range(64)])
 
 
 @query("index_exclude", f"""WITH {P.GROUPS_SQL}, {P.TEST_IDS_SQL}
@@ -153,6 +163,20 @@ def topk_blocked(spark, d):
     return R.topk_similar(vectors, vectors, exclude_same_group=False).select("query_key", "tpl_key", "rank", "same_group")
 
 
+_OTHER_SQL = _SIMS_SQL.replace("FROM unit q, unit t)", "FROM asked q, unit t)").replace("sims AS (", """asked AS (SELECT 'q' || chain_key AS chain_key, pdb_id, norm,
+    list_concat(emb[33:64], emb[1:32]) AS emb FROM unit), sims AS (""", 1)
+
+
+@query("topk_other", f"""WITH {_OTHER_SQL}, {_TOP_SQL.format('NOT same_group')}
+SELECT query_key, tpl_key, rank, round(sim, 6) + 0.0 AS sim FROM top""")
+def topk_other(spark, d):
+    """Queries that are not in the index: its vectors with their halves exchanged."""
+    vectors = P.index_vectors(spark, d)
+    asked = vectors.select(F.concat(F.lit("q"), "chain_key").alias("chain_key"), "pdb_id",
+                           F.concat(F.slice("emb", 33, 32), F.slice("emb", 1, 32)).alias("emb"))
+    return R.topk_similar(asked, vectors).select("query_key", "tpl_key", "rank", r6(F.col("sim")).alias("sim"))
+
+
 @query("hit_weights", f"""WITH {_SIMS_SQL}, {_TOP_SQL.format('NOT same_group')},
 e AS (SELECT *, exp(sim - max(sim) OVER (PARTITION BY query_key)) AS e FROM top)
 SELECT query_key, tpl_key, round(e / (sum(e) OVER (PARTITION BY query_key) + 1e-8), 6) + 0.0 AS weight FROM e""")

@@ -62,19 +62,10 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate for ``df``; nothing is executed."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def spread(df: DataFrame, *keys) -> DataFrame:
-    """Give CPU-heavy Python stages one partition per core when the input is small.
+    """``df`` dealt out to as many partitions as ``spark.foldlake.text.partitions`` says; as it is where that is not set.
 
-    Inputs big enough to fill the cores by themselves are left alone, so no
-    shuffle is added where it would cost something.
+    For tables of one small file that feed CPU-heavy stages on many cores. Large tables come in many splits anyway.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if planned_bytes(df) >= cores * 32 * 1024 * 1024:
-        return df
-    return df.repartition(cores, *keys)
+    partitions = int(df.sparkSession.conf.get("spark.foldlake.text.partitions", "0"))
+    return df.repartition(partitions, *keys) if partitions else df
