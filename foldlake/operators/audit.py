@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 
 def _count_and_sample(found: DataFrame, column: str, sample: int = 10) -> DataFrame:
@@ -46,9 +47,27 @@ def top_multichain(index: DataFrame, limit: int = 10) -> DataFrame:
     return index.join(F.broadcast(top), "pdb_id").select("pdb_id", "n_chains", "chain_key")  # at most ``limit`` rows broadcast
 
 
-def audit_report(checks: dict[str, DataFrame]) -> DataFrame:
-    """One row per check (passed when its n is 0) and a last one for all of them."""
-    rows = [df.select(F.lit(name).alias("check_name"), F.col("n"), (F.col("n") == 0).alias("passed")) for name, df in checks.items()]
-    each = reduce(DataFrame.unionByName, rows)
+def audit_report(checks: dict[str, DataFrame | None]) -> DataFrame:
+    """One row per check (passed when its n is 0) and a last one for all of them.
+
+    A check that could not be made (None) has no n and counts as failed.
+    """
+    def row(name: str, df: DataFrame | None) -> DataFrame:
+        if df is None:
+            return made[0].limit(0).agg(F.lit(name).alias("check_name"), F.lit(None).cast("bigint").alias("n"), F.lit(False).alias("passed"))
+        return df.select(F.lit(name).alias("check_name"), F.col("n"), (F.col("n") == 0).alias("passed"))
+
+    made = [df for df in checks.values() if df is not None]
+    if not made:
+        raise ValueError("no check could be made")
+    each = reduce(DataFrame.unionByName, [row(name, df) for name, df in checks.items()])
     overall = each.agg(F.sum("n").alias("n"), F.bool_and("passed").alias("passed")).select(F.lit("overall").alias("check_name"), "n", "passed")
     return each.unionByName(overall)
+
+
+def attempt(check, *inputs) -> DataFrame | None:
+    """The check's result, or None where an input cannot be read (a missing table or column): a failed check."""
+    try:
+        return check(*[make() for make in inputs])
+    except AnalysisException:
+        return None

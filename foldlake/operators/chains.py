@@ -87,17 +87,20 @@ def encode_multimer(df: DataFrame, alphabet: str, offset: int = 512, linker: str
     """
     width = len(linker)
     parts = F.split("seq", ":")
-    pieces = F.transform(
-        parts, lambda part, k: F.struct(
-            k.alias("chain"), F.when(k < F.size(parts) - 1, F.concat(part, F.lit(linker))).otherwise(part).alias("text"),
-            F.length(part).alias("own")))
-    starts = F.transform(parts, lambda part, k: F.aggregate(
-        F.slice(parts, 1, k), F.lit(0), lambda acc, p: acc + F.length(p) + width))
-    chains = df.select("key", F.posexplode(F.arrays_zip(pieces.alias("piece"), starts.alias("start"))).alias("n", "z"))
-    letters = chains.select(
-        "key", F.col("z.piece.chain").alias("chain_index"), F.col("z.start").alias("start"), F.col("z.piece.own").alias("own"),
-        F.posexplode(F.filter(F.split("z.piece.text", ""), lambda c: c != "")).alias("k", "aa"))
-    code = F.expr(f"locate(aa, '{alphabet}')") - 1
+    # One pass that carries where the next chain starts.
+    empty = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<chain:int,start:int,own:int,text:string>>").alias("done"))
+
+    def append(acc, part):
+        n, last = F.size(acc["done"]), F.size(acc["done"]) == F.size(parts) - 1
+        piece = F.struct(n.alias("chain"), acc["next"].alias("start"), F.length(part).alias("own"),
+                         F.when(last, part).otherwise(F.concat(part, F.lit(linker))).alias("text"))
+        return F.struct((acc["next"] + F.length(part) + width).alias("next"), F.concat(acc["done"], F.array(piece)).alias("done"))
+
+    pieces = F.aggregate(parts, empty, append, lambda acc: acc["done"])
+    chains = df.select("key", F.explode(pieces).alias("z"))
+    letters = chains.select("key", F.col("z.chain").alias("chain_index"), F.col("z.start").alias("start"), F.col("z.own").alias("own"),
+                            F.posexplode(F.filter(F.split("z.text", ""), lambda c: c != "")).alias("k", "aa"))
+    code = F.call_function("locate", F.col("aa"), F.lit(alphabet)) - 1
     return letters.select(
         "key", (F.col("start") + F.col("k")).cast("int").alias("pos"),
         F.when(code < 0, len(alphabet)).otherwise(code).cast("int").alias("code"),

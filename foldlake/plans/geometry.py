@@ -97,12 +97,13 @@ f3 AS (SELECT chain_key, pos, e1, {_vec(*[f"v.{k} - e1.{k} * {v_dot('e1', 'v')}"
 f4 AS (SELECT chain_key, pos, e1, {v_unit('u')} AS e2 FROM f3),
 f5 AS (SELECT chain_key, pos, e1, e2, {v_cross('e1', 'e2')} AS e3 FROM f4)
 SELECT chain_key, pos, {flat('e1')}, {flat('e2')}, {flat('e3')},
-    round(e1.x * 1.0 + e2.x * 2.0 + e3.x * 3.0, 6) + 0.0 AS turned_x FROM f5""")
+    {', '.join(f"round(e1.{k} * 1.0 + e2.{k} * 2.0 + e3.{k} * 3.0, 6) + 0.0 AS turned_{k}" for k in 'xyz')} FROM f5""")
 def frames(spark, d):
     vector = V.Vec(F.lit(1.0), F.lit(2.0), F.lit(3.0))
     out = G.frames(P.backbone(spark, d))
     out = out.withColumn("turned", V.as_struct(G.rotate(vector, "e1", "e2", "e3")))
-    return out.select("chain_key", "pos", *flat_cols("e1"), *flat_cols("e2"), *flat_cols("e3"), S.r6(F.col("turned.x")).alias("turned_x"))
+    return out.select("chain_key", "pos", *flat_cols("e1"), *flat_cols("e2"), *flat_cols("e3"),
+                      *[S.r6(F.col(f"turned.{k}")).alias(f"turned_{k}") for k in "xyz"])
 
 
 @query("node_features", f"""WITH {_TORSIONS_SQL}, {_ORIENT_SQL}, {_SIDE_SQL}
@@ -132,20 +133,20 @@ def _rbf_sql(value: str, hi: float, k: int) -> str:
     return f"round(exp(-pow(({value} - {S.linspace(0.0, hi, 16)[k]!r}) / {hi / 16!r}, 2)), 6) + 0.0 AS rbf_{k}"
 
 
-_RATE = math.exp(-4 * math.log(10000.0) / 16)
+_RATES = [math.exp(-t * math.log(10000.0) / 16) for t in range(0, 16, 2)]
 
 
 @query("edge_features", f"""WITH {_KNN_SQL}, e AS (SELECT k.*, a.has_ca AS sa, b.has_ca AS sb, {v_sub('a', 'b')} AS v FROM knn k
     JOIN points a ON a.chain_key = k.chain_key AND a.pos = k.src JOIN points b ON b.chain_key = k.chain_key AND b.pos = k.dst
     WHERE resolved), u AS (SELECT *, {v_unit('v')} AS u FROM e)
-SELECT chain_key, src, dst, {', '.join(_rbf_sql('dist', 20.0, k) for k in (0, 3, 9, 15))},
-    round(cos((src - dst) * {_RATE!r}), 6) + 0.0 AS cos_2, round(sin((src - dst) * {_RATE!r}), 6) + 0.0 AS sin_2, {flat('u')},
+SELECT chain_key, src, dst, {', '.join(_rbf_sql('dist', 20.0, k) for k in range(16))},
+    {', '.join(f"round({f}((src - dst) * {r!r}), 6) + 0.0 AS {f}_{k}" for f in ('cos', 'sin') for k, r in enumerate(_RATES))}, {flat('u')},
     (NOT sa)::INT AS src_missing, (NOT sb)::INT AS dst_missing FROM u""")
 def edge_features(spark, d):
     points = P.points(spark, d)
     out = graph.edge_features(graph.knn_edges(points, 8), points)
-    return out.select("chain_key", "src", "dst", *[S.r6(F.col("rbf")[k]).alias(f"rbf_{k}") for k in (0, 3, 9, 15)],
-                      S.r6(F.col("posemb")[2]).alias("cos_2"), S.r6(F.col("posemb")[10]).alias("sin_2"), *flat_cols("u"),
+    return out.select("chain_key", "src", "dst", *[S.r6(F.col("rbf")[k]).alias(f"rbf_{k}") for k in range(16)],
+                      *[S.r6(F.col("posemb")[k]).alias(f"{'cos' if k < 8 else 'sin'}_{k % 8}") for k in range(16)], *flat_cols("u"),
                       "src_missing", "dst_missing")
 
 

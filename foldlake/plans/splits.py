@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as U
-from ..operators import embed as E
 from ..operators import splits as X
 from ..session import shared_folder
 from . import proxies as P
@@ -34,15 +33,17 @@ def named_split(spark, d):
 
 
 def _listed(spark, d):
-    """Three id lists that overlap: sources by hash, of long texts, of short texts."""
-    groups = P.groups(spark, d)
-    return (P.test_ids(spark, d).withColumn("split", F.lit("test"))
-            .unionByName(groups.filter("L > 6000").select("pdb_id").distinct().withColumn("split", F.lit("val")))
-            .unionByName(groups.filter("L < 60").select("pdb_id").distinct().withColumn("split", F.lit("train"))))
+    """Three id lists that overlap, of structures named by source and document: by hash, labelled ones, toxic ones."""
+    ids = P.table(spark, d, "documents").select("doc_id", F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("pdb_id"))
+    marked = ids.join(P.table(spark, d, "labels"), "doc_id").select("pdb_id", "quality", "toxic")
+    return (ids.filter(F.substring(F.md5("pdb_id"), 1, 1) < "4").select("pdb_id").withColumn("split", F.lit("test"))
+            .unionByName(marked.filter("quality = 1").select("pdb_id").distinct().withColumn("split", F.lit("val")))
+            .unionByName(marked.filter("toxic = 1").select("pdb_id").distinct().withColumn("split", F.lit("train"))))
 
 
-_LISTED_SQL = f"""{P.GROUPS_SQL}, {P.TEST_IDS_SQL}, listed AS (SELECT pdb_id, 'test' AS split FROM test_ids
-    UNION ALL SELECT DISTINCT pdb_id, 'val' FROM groups WHERE L > 6000 UNION ALL SELECT DISTINCT pdb_id, 'train' FROM groups WHERE L < 60)"""
+_LISTED_SQL = f"""{P.GROUPS_SQL}, {P.TEST_IDS_SQL}, marked AS (SELECT chain_key AS pdb_id, quality, toxic FROM groups JOIN labels USING (doc_id)),
+listed AS (SELECT chain_key AS pdb_id, 'test' AS split FROM groups WHERE substr(md5(chain_key), 1, 1) < '4'
+    UNION ALL SELECT DISTINCT pdb_id, 'val' FROM marked WHERE quality = 1 UNION ALL SELECT DISTINCT pdb_id, 'train' FROM marked WHERE toxic = 1)"""
 
 
 def _summary_sql(found: str) -> str:
@@ -102,11 +103,10 @@ def top_multichain(spark, d):
 
 _CHECKS_SQL = f"""checks AS (SELECT 'val_test' AS check_name, (SELECT count(*) FROM ({_SHARED})) AS n
     UNION ALL SELECT 'train_test', (SELECT count(*) FROM ({_SHARED.replace("'val'", "'train'")}))
-    UNION ALL SELECT 'index', (SELECT count(DISTINCT pdb_id) FROM groups WHERE pdb_id NOT IN (SELECT pdb_id FROM test_ids)
-        AND pdb_id IN (SELECT pdb_id FROM test_ids)))"""
+    UNION ALL SELECT 'index', (SELECT count(DISTINCT pdb_id) FROM indexed WHERE pdb_id IN (SELECT pdb_id FROM test_ids)))"""
 
 
-@query("audit_report", f"""WITH {_LISTED_SQL}, {_CHECKS_SQL} SELECT check_name, n, n = 0 AS passed FROM checks
+@query("audit_report", f"""WITH {_INDEXED_SQL}, {_CHECKS_SQL} SELECT check_name, n, n = 0 AS passed FROM checks
 UNION ALL SELECT 'overall', sum(n)::BIGINT, bool_and(n = 0) FROM checks""")
 def audit_report(spark, d):
     listed, held_out = _listed(spark, d), P.test_ids(spark, d)
@@ -114,5 +114,5 @@ def audit_report(spark, d):
     return U.audit_report({
         "val_test": U.overlap(part["val"], part["test"]),
         "train_test": U.overlap(part["train"], part["test"]),
-        "index": U.index_contamination(E.build_index(P.groups(spark, d), held_out), held_out),
+        "index": U.index_contamination(_indexed(spark, d), held_out),
     })

@@ -180,11 +180,12 @@ lengths AS (SELECT pdb_id, chain_id, count(*) AS L FROM backbone GROUP BY ALL),
 offsets AS (SELECT *, coalesce(sum(L + 10) OVER (PARTITION BY pdb_id ORDER BY (chain_id <> 'B')::INT, chain_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM lengths
     WHERE pdb_id IN (SELECT pdb_id FROM lengths WHERE chain_id = 'B'))
-SELECT pdb_id, (shift + pos)::INT AS at, chain_id, pos, round(ca.x, 6) + 0.0 AS ca_x
+SELECT pdb_id, (shift + pos)::INT AS at, chain_id, pos, {', '.join(f"round({a}.{x}, 6) + 0.0 AS {a}_{x}" for a in ('n', 'ca', 'c') for x in 'xyz')}
 FROM backbone JOIN offsets USING (pdb_id, chain_id)
-UNION ALL SELECT pdb_id, (shift - k)::INT, NULL, NULL, NULL FROM offsets, range(1, 11) t(k) WHERE shift > 0""")
+UNION ALL SELECT pdb_id, (shift - k)::INT, {', '.join(['NULL'] * 11)} FROM offsets, range(1, 11) t(k) WHERE shift > 0""")
 def concat_chains(spark, d):
-    return C.concat_chains(P.backbone(spark, d), "B").select("pdb_id", "at", "chain_id", "pos", r6(F.col("ca.x")).alias("ca_x"))
+    return C.concat_chains(P.backbone(spark, d), "B").select(
+        "pdb_id", "at", "chain_id", "pos", *[r6(F.col(f"{a}.{x}")).alias(f"{a}_{x}") for a in ("n", "ca", "c") for x in "xyz"])
 
 
 @query("multimer_encode", f"""WITH turns AS (SELECT conv_id AS key, turn, {P.clean_sql('text')} AS seq FROM conversations),
@@ -193,14 +194,11 @@ placed AS (SELECT *, coalesce(sum(length(seq) + 25) OVER (PARTITION BY key ORDER
     turn = max(turn) OVER (PARTITION BY key) AS last FROM turns),
 letters AS (SELECT key, start, c, length(seq) AS own, unnest(range(0, length(seq) + CASE WHEN last THEN 0 ELSE 25 END)) AS k,
     seq || 'GGGGGGGGGGGGGGGGGGGGGGGGG' AS text FROM placed)
-SELECT key, sum(strpos('{AMINO_ACIDS}', text[k + 1]) - 1)::BIGINT AS code_sum, sum(start + k)::BIGINT AS pos_sum,
-    sum(start + k + c * 512)::BIGINT AS index_sum, sum((k < own)::INT)::BIGINT AS in_chain, count(*) AS n,
-    max(c)::BIGINT AS last_chain FROM letters GROUP BY key""")
+SELECT key, (start + k)::INT AS pos, (strpos('{AMINO_ACIDS}', text[k + 1]) - 1)::INT AS code, (start + k + c * 512)::INT AS residue_index,
+    (k < own)::INT AS linker_mask, c::INT AS chain_index FROM letters""")
 def multimer_encode(spark, d):
     """Each conversation is a complex, its turns (in order, whole) are the chains."""
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "seq"))), lambda r: r["seq"])
     complexes = P.table(spark, d, "conversations").select("conv_id", "turn", P.clean(F.col("text")).alias("seq")).groupBy(
         F.col("conv_id").alias("key")).agg(F.array_join(turns, ":").alias("seq"))
-    return C.encode_multimer(complexes, AMINO_ACIDS).groupBy("key").agg(
-        F.sum("code").alias("code_sum"), F.sum("pos").alias("pos_sum"), F.sum("residue_index").alias("index_sum"),
-        F.sum("linker_mask").alias("in_chain"), F.count(F.lit(1)).alias("n"), F.max("chain_index").cast("bigint").alias("last_chain"))
+    return C.encode_multimer(complexes, AMINO_ACIDS).withColumn("chain_index", F.col("chain_index").cast("int"))
