@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import MIN_CHAIN_LENGTH
+from ..constants import CONTACT_CUTOFF, MIN_CHAIN_LENGTH, MIN_SEPARATION
 
 
 def _in_order(position: str, *fields: str) -> Column:
@@ -14,17 +14,20 @@ def _in_order(position: str, *fields: str) -> Column:
 
 
 def all_chains(residues: DataFrame) -> DataFrame:
-    """One row per chain: its residue string, length and number of residues with CA."""
+    """One row per chain of a file: its residue string, length and number of residues with CA."""
     letters = F.transform(_in_order("pos", "aa"), lambda r: r["aa"])
-    return residues.groupBy("chain_key", "pdb_id", "chain_id").agg(
+    keys = [c for c in ("chain_key", "pdb_id", "chain_id", "path") if c in residues.columns]
+    return residues.groupBy(*keys).agg(
         F.array_join(letters, "").alias("seq"), F.count(F.lit(1)).cast("int").alias("L"),
         F.count_if("has_ca").cast("int").alias("n_ca"),
     )
 
 
-def assemble_chains(residues: DataFrame, min_len: int = MIN_CHAIN_LENGTH) -> DataFrame:
-    """Chains of at least ``min_len`` residues with at least one CA."""
-    return all_chains(residues).filter((F.col("L") >= min_len) & (F.col("n_ca") > 0))
+def assemble_chains(residues: DataFrame, min_len: int = MIN_CHAIN_LENGTH, cutoff: float = CONTACT_CUTOFF,
+                    min_sep: int = MIN_SEPARATION) -> DataFrame:
+    """Chain records: chains of at least ``min_len`` residues with at least one CA, their source and the contact parameters."""
+    chains = all_chains(residues).filter((F.col("L") >= min_len) & (F.col("n_ca") > 0))
+    return chains.withColumnRenamed("path", "source_path").withColumns({"cutoff": F.lit(cutoff), "min_sep": F.lit(min_sep)})
 
 
 def select_chains(chains: DataFrame, ids: DataFrame, min_len: int = 0) -> DataFrame:

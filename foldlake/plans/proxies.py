@@ -216,7 +216,7 @@ def structure_lines(spark: SparkSession, d: str) -> DataFrame:
 
     Per residue up to five records: N, CA, C, a water (hetero) and a second,
     less occupied location of N. Some residues have an unknown name, some no CA,
-    some a broken coordinate.
+    in every fourth file some a broken coordinate.
     """
     b = backbone(spark, d).select("*", (F.regexp_extract("pdb_id", r"(\d+)", 1).cast("bigint") * 100
                                         + F.when(F.col("chain_id") == "A", 0).otherwise(50) + F.col("pos")).alias("v"))
@@ -225,7 +225,7 @@ def structure_lines(spark: SparkSession, d: str) -> DataFrame:
 
     def record(kind: str, k: int, atom: str, alt: str, name: Column, xyz: Column, occupancy: str) -> Column:
         x = F.format_string("%8.3f", F.round(xyz["x"], 3))
-        bad = F.when(F.col("v") % 43 == 5, F.lit("   x.xxx")).otherwise(x) if atom == "C" else x
+        bad = F.when((F.col("v") % 43 == 5) & (F.expr("v div 100") % 4 == 1), F.lit("   x.xxx")).otherwise(x) if atom == "C" else x
         return F.struct(
             (F.col("v") % 100 * 5 + k + 2).cast("int").alias("line_no"),
             F.concat(F.lit(f"{kind:<6}"), F.format_string("%5d", F.col("v") % 100 * 5 + k), F.lit(f"  {atom:<3}{alt}"), name,
@@ -246,7 +246,7 @@ def structure_lines(spark: SparkSession, d: str) -> DataFrame:
 def _record_sql(kind: str, k: int, atom: str, alt: str, name: str, xyz: str, occupancy: str) -> str:
     x = f"printf('%8.3f', round({xyz}.x, 3))"
     if atom == "C":
-        x = f"CASE WHEN v % 43 = 5 THEN '   x.xxx' ELSE {x} END"
+        x = f"CASE WHEN v % 43 = 5 AND v // 100 % 4 = 1 THEN '   x.xxx' ELSE {x} END"
     return (f"SELECT pdb_id, 'mem/' || pdb_id || '.pdb' AS path, (v % 100 * 5 + {k} + 2)::INT AS line_no, "
             f"'{kind:<6}' || printf('%5d', v % 100 * 5 + {k}) || '  {atom:<3}{alt}' || {name} || ' ' || chain_id || "
             f"printf('%4d', pos + 1) || '    ' || {x} || printf('%8.3f%8.3f', round({xyz}.y, 3), round({xyz}.z, 3)) || "
@@ -267,6 +267,17 @@ structure_lines AS (
     UNION ALL {_record_sql('ATOM', 4, 'CA', 'B', _RESIDUE_SQL, 'n', '  0.40')} WHERE v % 17 = 0 AND ca IS NOT NULL)"""
 
 
+def ingest_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same; every fifth structure is there a second time, in another folder."""
+    lines = structure_lines(spark, d)
+    again = lines.filter(F.substring("pdb_id", 2, 20).cast("bigint") % 5 == 2).withColumn("path", F.concat(F.lit("mem/old/"), F.col("pdb_id"), F.lit(".pdb")))
+    return lines.unionByName(again)
+
+
+INGEST_LINES_SQL = f"""{LINES_SQL}, ingest_lines AS (SELECT * FROM structure_lines
+    UNION ALL SELECT pdb_id, 'mem/old/' || pdb_id || '.pdb' AS path, line_no, line FROM structure_lines WHERE substr(pdb_id, 2)::BIGINT % 5 = 2)"""
+
+
 def structure_files(spark: SparkSession, d: str) -> DataFrame:
     """Whole structure files: a header, the records as model 1 and a second model to be ignored."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")

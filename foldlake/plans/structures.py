@@ -7,42 +7,58 @@ from pyspark.sql import functions as F
 from ..constants import AMINO_ACIDS, RESIDUE_LETTERS
 from ..functions.scalars import r6
 from ..operators import chains as C
+from ..session import shared_folder
 from ..sources import fasta, ids, ingest, structures
 from . import proxies as P
 from .registry import query
 
-ATOMS_SQL = f"""{P.LINES_SQL},
-atoms AS (SELECT pdb_id, path, line_no, trim(line[1:6]) = 'HETATM' AS hetero, trim(line[13:16]) AS atom,
+def _parsed_sql(lines: str) -> str:
+    return f"""SELECT pdb_id, path, line_no, trim(line[1:6]) = 'HETATM' AS hetero, trim(line[13:16]) AS atom,
     trim(line[17:17]) AS altloc, trim(line[18:20]) AS res_name, trim(line[22:22]) AS chain_id,
     try_cast(trim(line[23:26]) AS INT) AS res_no, trim(line[27:27]) AS icode,
     try_cast(trim(line[31:38]) AS DOUBLE) AS x, try_cast(trim(line[39:46]) AS DOUBLE) AS y,
-    try_cast(trim(line[47:54]) AS DOUBLE) AS z, try_cast(trim(line[55:60]) AS DOUBLE) AS occupancy
-    FROM structure_lines),
+    try_cast(trim(line[47:54]) AS DOUBLE) AS z, try_cast(trim(line[55:60]) AS DOUBLE) AS occupancy FROM {lines}"""
+
+
+ATOMS_SQL = f"""{P.LINES_SQL}, atoms AS ({_parsed_sql('structure_lines')}),
 good AS (SELECT * FROM atoms WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND res_no IS NOT NULL)"""
 
+#: Whole files only: those without a broken record, one per stem.
+FILES_SQL = f"""{P.INGEST_LINES_SQL}, atoms AS ({_parsed_sql('ingest_lines')}),
+files AS (SELECT pdb_id, path, count(*) AS records, count(*) FILTER (WHERE x IS NULL OR y IS NULL OR z IS NULL OR res_no IS NULL) AS broken FROM atoms GROUP BY ALL),
+states AS (SELECT *, CASE WHEN broken > 0 THEN 'broken' WHEN path = min(path) FILTER (WHERE broken = 0) OVER (PARTITION BY pdb_id) THEN 'ok' ELSE 'repeated' END AS state FROM files),
+good AS (SELECT * FROM atoms WHERE path IN (SELECT path FROM states WHERE state = 'ok'))"""
+
 _MAP_SQL = "letters(res_name, aa) AS (VALUES " + ", ".join(f"('{n}', '{a}')" for n, a in sorted(RESIDUE_LETTERS.items())) + ")"
 
-RESIDUES_SQL = f"""{ATOMS_SQL}, {_MAP_SQL},
-best AS (SELECT *, row_number() OVER (PARTITION BY pdb_id, chain_id, res_no, icode, res_name, atom
+_RESIDUE_STEPS_SQL = f"""{_MAP_SQL},
+best AS (SELECT *, row_number() OVER (PARTITION BY pdb_id, path, chain_id, res_no, icode, res_name, atom
     ORDER BY occupancy DESC, line_no) AS place FROM good WHERE NOT hetero),
 residues AS (SELECT pdb_id, chain_id, pdb_id || '_' || chain_id AS chain_key, path,
-    (row_number() OVER (PARTITION BY pdb_id, chain_id ORDER BY first_line) - 1)::INT AS pos, aa, x, y, z, x IS NOT NULL AS has_ca
+    (row_number() OVER (PARTITION BY pdb_id, path, chain_id ORDER BY first_line) - 1)::INT AS pos, aa, x, y, z, x IS NOT NULL AS has_ca
     FROM (SELECT pdb_id, path, chain_id, res_no, icode, aa, min(line_no) AS first_line,
             max(CASE WHEN atom = 'CA' AND place = 1 THEN x END) AS x, max(CASE WHEN atom = 'CA' AND place = 1 THEN y END) AS y,
             max(CASE WHEN atom = 'CA' AND place = 1 THEN z END) AS z
           FROM best JOIN letters USING (res_name) GROUP BY ALL))"""
-
-CHAINS_SQL = f"""{RESIDUES_SQL},
-all_chains AS (SELECT chain_key, pdb_id, chain_id, string_agg(aa, '' ORDER BY pos) AS seq, count(*)::INT AS L,
+_CHAIN_STEPS_SQL = """all_chains AS (SELECT chain_key, pdb_id, chain_id, path, string_agg(aa, '' ORDER BY pos) AS seq, count(*)::INT AS L,
     count(*) FILTER (WHERE has_ca)::INT AS n_ca FROM residues GROUP BY ALL)"""
 
+RESIDUES_SQL = f"{ATOMS_SQL}, {_RESIDUE_STEPS_SQL}"
+CHAINS_SQL = f"{RESIDUES_SQL}, {_CHAIN_STEPS_SQL}"
+BUILD_SQL = f"{FILES_SQL}, {_RESIDUE_STEPS_SQL}, {_CHAIN_STEPS_SQL}"
+
 
 def _atoms(spark, d):
     return structures.parse_atoms(structures.structure_lines(P.structure_files(spark, d)))
 
 
 def _good(spark, d):
-    return structures.split_rejects(structures.parse_atoms(P.structure_lines(spark, d)))[0]
+    return structures.split_rejects(structures.parse_atoms(P.structure_lines(spark, d)), "record")[0]
+
+
+def _built(spark, d):
+    """Residues of a build: whole files, one per stem."""
+    return structures.residues(structures.usable(structures.parse_atoms(P.ingest_lines(spark, d))))
 
 
 def _residues(spark, d):
@@ -61,7 +77,7 @@ def pdb_scan(spark, d):
 @query("pdb_atoms", f"""WITH {ATOMS_SQL} SELECT pdb_id, hetero, atom, altloc, res_name, chain_id, res_no, icode,
     x, y, z, occupancy FROM good""")
 def pdb_atoms(spark, d):
-    good, _ = structures.split_rejects(_atoms(spark, d))
+    good, _ = structures.split_rejects(_atoms(spark, d), "record")
     return good.select("pdb_id", "hetero", "atom", "altloc", "res_name", "chain_id", "res_no", "icode", "x", "y", "z", "occupancy")
 
 
@@ -70,27 +86,35 @@ def residues(spark, d):
     return _residues(spark, d).drop("path")
 
 
-@query("chains", f"WITH {CHAINS_SQL} SELECT * FROM all_chains WHERE L >= 20 AND n_ca > 0")
+_RECORDS_SQL = """SELECT chain_key, pdb_id, chain_id, path AS source_path, seq, L, n_ca, 8.0::DOUBLE AS cutoff, 6 AS min_sep
+FROM all_chains WHERE L >= 20 AND n_ca > 0"""
+
+
+@query("chains", f"WITH {BUILD_SQL} {_RECORDS_SQL}")
 def chains(spark, d):
-    return C.assemble_chains(_residues(spark, d))
+    return C.assemble_chains(_built(spark, d))
+
+
+@query("chain_sink", f"WITH {BUILD_SQL} {_RECORDS_SQL}")
+def chain_sink(spark, d):
+    """The chain records, written and read back."""
+    path = f"{shared_folder(spark)}/chains"
+    ingest.write_chains(C.assemble_chains(_built(spark, d)), path)
+    return spark.read.parquet(path).drop("bucket")
 
 
-@query("ingest_rejects", f"""WITH {ATOMS_SQL} SELECT pdb_id, count(*) AS records,
-    count(*) FILTER (WHERE x IS NULL) AS rejected FROM atoms GROUP BY pdb_id""")
+@query("ingest_rejects", f"WITH {FILES_SQL} SELECT pdb_id, path, records, broken, state FROM states")
 def ingest_rejects(spark, d):
-    good, bad = structures.split_rejects(structures.parse_atoms(P.structure_lines(spark, d)))
-    marked = good.select("pdb_id", F.lit(0).alias("bad")).unionAll(bad.select("pdb_id", F.lit(1).alias("bad")))
-    return marked.groupBy("pdb_id").agg(F.count(F.lit(1)).alias("records"), F.sum("bad").alias("rejected"))
+    return structures.file_states(structures.parse_atoms(P.ingest_lines(spark, d)))
 
 
-@query("ingest_summary", f"""WITH {CHAINS_SQL}
-SELECT (SELECT count(DISTINCT path) FROM atoms) AS files,
-       (SELECT count(DISTINCT path) FROM atoms WHERE x IS NULL) AS failed,
+@query("ingest_summary", f"""WITH {BUILD_SQL}
+SELECT (SELECT count(*) FROM states) AS files,
+       (SELECT count(*) FROM states WHERE state = 'broken') AS failed, (SELECT count(*) FROM states WHERE state = 'repeated') AS repeated,
        (SELECT count(*) FROM all_chains WHERE L >= 47 AND n_ca > 0) AS saved,
        (SELECT count(*) FROM all_chains WHERE NOT (L >= 47 AND n_ca > 0)) AS skipped""")
 def ingest_summary(spark, d):
-    atoms = structures.parse_atoms(P.structure_lines(spark, d))
-    return structures.ingest_summary(atoms, C.all_chains(_residues(spark, d)), min_len=47)
+    return structures.ingest_summary(structures.parse_atoms(P.ingest_lines(spark, d)), C.all_chains(_built(spark, d)), min_len=47)
 
 
 @query("ingest_incremental", f"""WITH {P.GROUPS_SQL}, existing AS (SELECT chain_key FROM groups JOIN labels USING (doc_id))

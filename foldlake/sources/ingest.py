@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 
-def write_chains(chains: DataFrame, path: str, buckets: int = 64, files_per_bucket: int = 4,
-                 mode: str = "overwrite") -> None:
-    """Chains as Parquet below hash buckets of their key; the file count does not follow the chain count."""
+
+def write_chains(chains: DataFrame, path: str, buckets: int = 64, rows_per_file: int = 100_000, mode: str = "overwrite") -> None:
+    """Chains as Parquet below hash buckets of their key; files hold up to ``rows_per_file`` rows, however many there are.
+
+    The chains are computed once and stored, then counted, so that tasks and files follow their number.
+    """
+    table = stored(chains)
+    pieces = max(1, -(-table.count() // (buckets * rows_per_file)))
     bucket = F.pmod(F.xxhash64("chain_key"), F.lit(buckets))
-    piece = F.pmod(F.xxhash64("chain_key", F.lit(1)), F.lit(files_per_bucket))
-    (chains.withColumn("bucket", bucket).repartition("bucket", piece)
-     .write.mode(mode).partitionBy("bucket").parquet(path))
+    piece = F.pmod(F.xxhash64("chain_key", F.lit(1)), F.lit(pieces))
+    (table.withColumn("bucket", bucket).repartition(buckets * pieces, "bucket", piece)
+     .write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("bucket").parquet(path))
 
 
 def ingest(new: DataFrame, existing: DataFrame, overwrite: bool = False, key: str = "chain_key") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import RESIDUE_LETTERS
@@ -46,24 +46,48 @@ def parse_atoms(lines: DataFrame) -> DataFrame:
     )
 
 
-def split_rejects(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable records, broken records); a broken record never stops the others."""
-    broken = F.col("res_no").isNull() | F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
-    return atoms.filter(~broken), atoms.filter(broken)
+def broken() -> Column:
+    """Whether a record lacks its residue number or a coordinate."""
+    return F.col("res_no").isNull() | F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
 
 
-def ingest_summary(atoms: DataFrame, chains: DataFrame, min_len: int) -> DataFrame:
-    """Files read, files with broken records, chains kept and chains too short or without CA."""
-    broken = F.col("res_no").isNull() | F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
-    names = ["files", "failed", "saved", "skipped"]
+def split_rejects(atoms: DataFrame, reject: str = "file") -> tuple[DataFrame, DataFrame]:
+    """(usable records, broken records).
+
+    ``file``: a file with a broken record gives no record at all; ``record``: only the broken ones are left out.
+    Either way the other files are not held up.
+    """
+    bad = atoms.filter(broken())
+    if reject == "record":
+        return atoms.filter(~broken()), bad
+    if reject != "file":
+        raise ValueError(f"reject must be file or record, not {reject!r}")
+    return atoms.join(bad.select("path").distinct(), "path", "left_anti").select(*atoms.columns), bad
+
+
+def file_states(atoms: DataFrame) -> DataFrame:
+    """pdb_id, path, records, broken and state of each file: ``ok``, ``broken`` or ``repeated``.
 
-    def tally(df: DataFrame, **flags) -> DataFrame:
-        return df.agg(*[F.coalesce(F.sum(flags[n].cast("bigint")), F.lit(0)).alias(n) if n in flags else F.lit(0).cast("bigint").alias(n) for n in names])
+    Of several unbroken files with one stem, the one with the first path is taken, the others are repeated.
+    """
+    files = atoms.groupBy("pdb_id", "path").agg(F.count(F.lit(1)).alias("records"), F.count_if(broken()).alias("broken"))
+    first = files.filter("broken = 0").groupBy("pdb_id").agg(F.min("path").alias("first"))
+    state = F.when(F.col("broken") > 0, "broken").when(F.col("path") == F.col("first"), "ok").otherwise("repeated")
+    return files.join(first, "pdb_id", "left").select("pdb_id", "path", "records", "broken", state.alias("state"))
+
+
+def usable(atoms: DataFrame) -> DataFrame:
+    """Records of the files whose state is ``ok``."""
+    return atoms.join(file_states(atoms).filter("state = 'ok'").select("path"), "path", "left_semi").select(*atoms.columns)
 
+
+def ingest_summary(atoms: DataFrame, chains: DataFrame, min_len: int) -> DataFrame:
+    """Files read, broken and repeated files, chains kept and chains too short or without CA."""
     kept = (F.col("L") >= min_len) & (F.col("n_ca") > 0)
-    per_file = atoms.groupBy("path").agg(F.max(F.when(broken, 1).otherwise(0)).alias("bad"))
-    both = tally(per_file, files=F.lit(1), failed=F.col("bad")).unionByName(tally(chains, saved=kept.cast("int"), skipped=(~kept).cast("int")))
-    return both.agg(*[F.sum(n).alias(n) for n in names])
+    files = file_states(atoms).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("state") == "broken").alias("failed"),
+                                   F.count_if(F.col("state") == "repeated").alias("repeated"))
+    made = chains.agg(F.count_if(kept).alias("saved"), F.count_if(~kept).alias("skipped"))
+    return files.select("*", *[made.select(n).scalar().alias(n) for n in ("saved", "skipped")])
 
 
 def _residue_letters(spark: SparkSession) -> DataFrame:
@@ -104,7 +128,7 @@ def backbone_pivot(atoms: DataFrame, wanted=("N", "CA", "C")) -> DataFrame:
         return F.when(F.count_if(mine) > 1, twice.cast("struct<x:double,y:double,z:double>")).otherwise(point).alias(name.lower())
 
     return atoms.filter(~F.col("hetero") & F.col("atom").isin(*wanted)).groupBy(
-        "pdb_id", "chain_id", "res_no", "icode", "res_name").agg(*[place(w) for w in wanted])
+        "pdb_id", "path", "chain_id", "res_no", "icode", "res_name").agg(*[place(w) for w in wanted])
 
 
 def best_locations(atoms: DataFrame) -> DataFrame:

@@ -20,12 +20,12 @@ def stream_structures(spark: SparkSession, path: str, glob: str = "*.pdb", files
 
 
 def ingest_available(spark: SparkSession, source: str, sink: str, checkpoint: str, glob: str = "*.pdb") -> StreamingQuery:
-    """Parse the files that arrived since the last run and append their usable atoms.
+    """Parse the files that arrived since the last run and append their atoms, broken ones below ``broken=true``.
 
-    The checkpoint remembers the files done, so a restart neither repeats nor
-    loses one. There is no other state.
+    The checkpoint remembers the files done, so a restart neither repeats nor loses one. There is no other state.
+    Whether a broken record rejects its file is decided by those who read the sink (``structures.split_rejects``).
     """
     atoms = structures.parse_atoms(structures.structure_lines(stream_structures(spark, source, glob)))
-    good, _ = structures.split_rejects(atoms)
-    return (good.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+    marked = atoms.withColumn("broken", structures.broken())
+    return (marked.writeStream.format("parquet").partitionBy("broken").option("path", sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -23,7 +23,7 @@ def structure_dir(spark, sf_dir, tmp_path_factory):
 
 def test_files_equal_lines(spark, sf_dir, structure_dir):
     def rows(lines):
-        atoms = structures.split_rejects(structures.parse_atoms(lines))[0]
+        atoms = structures.split_rejects(structures.parse_atoms(lines), "record")[0]
         return sorted(map(tuple, structures.residues(atoms).drop("path").collect()), key=str)
 
     read = structures.structure_lines(structures.read_structures(spark, structure_dir))
@@ -41,10 +41,27 @@ def test_only_the_first_model_counts(spark):
 
 def test_broken_records_are_kept_apart(spark, structure_dir):
     atoms = structures.parse_atoms(structures.structure_lines(structures.read_structures(spark, structure_dir)))
-    good, bad = structures.split_rejects(atoms)
+    good, bad = structures.split_rejects(atoms, "record")
     assert bad.count() > 0 and good.count() + bad.count() == atoms.count()
-    summary = structures.ingest_summary(atoms, chains.all_chains(structures.residues(good)), 20).first()
-    assert summary.files == 5 and summary.failed == 5 and summary.saved == 10 and summary.skipped == 0
+    whole, same = structures.split_rejects(atoms)
+    assert same.count() == bad.count()
+    assert {r.pdb_id for r in whole.select("pdb_id").distinct().collect()} == {"P0", "P2", "P3", "P4"}
+    summary = structures.ingest_summary(atoms, chains.all_chains(structures.residues(structures.usable(atoms))), 20).first()
+    assert (summary.files, summary.failed, summary.repeated, summary.saved, summary.skipped) == (5, 1, 0, 8, 0)
+    with pytest.raises(ValueError):
+        structures.split_rejects(atoms, "chain")
+
+
+def test_two_files_of_one_stem(spark):
+    def lines(path, name):
+        return [("P", path, k, f"ATOM      {k}  CA  {name} A   {k}       1.000   2.000   3.000  1.00") for k in (1, 2, 3)]
+
+    table = spark.createDataFrame(lines("/b/P.pdb", "TRP") + lines("/a/P.pdb", "GLY"), "pdb_id string, path string, line_no int, line string")
+    atoms = structures.parse_atoms(table)
+    assert sorted(r.seq for r in chains.all_chains(structures.residues(atoms)).collect()) == ["GGG", "WWW"]
+    assert [r.seq for r in chains.all_chains(structures.residues(structures.usable(atoms))).collect()] == ["GGG"]
+    assert {r.path: r.state for r in structures.file_states(atoms).collect()} == {"/a/P.pdb": "ok", "/b/P.pdb": "repeated"}
+    assert structures.backbone_pivot(atoms).count() == 6
 
 
 def test_repeated_atom_stops_the_job(spark):
@@ -80,8 +97,10 @@ def test_stream_reads_each_file_once(spark, structure_dir, tmp_path):
     sink, state = str(tmp_path / "atoms"), str(tmp_path / "state")
     for _ in range(2):
         ingest_available(spark, structure_dir, sink, state).awaitTermination()
-    direct = structures.split_rejects(structures.parse_atoms(structures.structure_lines(structures.read_structures(spark, structure_dir))))[0]
-    assert spark.read.parquet(sink).count() == direct.count()
+    direct = structures.parse_atoms(structures.structure_lines(structures.read_structures(spark, structure_dir)))
+    stored = spark.read.parquet(sink)
+    assert stored.count() == direct.count()
+    assert stored.filter("broken").count() == structures.split_rejects(direct)[1].count() > 0
 
 
 FASTA = "skip me\n>first one\nACD\nEFG\n\n>\nKKK\n>last\n"
