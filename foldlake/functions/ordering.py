@@ -67,11 +67,17 @@ def range_pieces(df: DataFrame, column: str, pieces: int = 256) -> list[Column]:
     return [F.size(F.filter(edges, lambda b: b < F.col(column)))]
 
 
-def probability_pieces(p: Column, tie_breaker: Column, width: int = 256) -> list[Column]:
-    """Coarse key for descending probabilities, also when most of them are equal.
+def score_pieces(df: DataFrame, score: str, tie_breaker: str, pieces: int = 256, width: int = 16) -> list[Column]:
+    """Coarse key for descending scores, also when most of them are equal, wherever they lie.
 
-    Values on the 1/1024 grid (0 and 1 above all) get pieces of their own. All rows
-    of such a piece tie, so it can be cut again along the tie breaker.
+    Borders are quantiles of the scores (at most ``pieces`` - 1 values reach the driver). A score that is a border has
+    a piece of its own, as any score more frequent than 1 in ``pieces`` is; there all rows tie, so the piece is cut
+    again along the tie breaker. Between borders lies about one part in ``pieces`` of the rows.
     """
-    grid = -(F.floor(p * 1024) + F.ceil(p * 1024))
-    return [grid, F.when(grid % 2 == 0, F.floor(tie_breaker / width)).otherwise(F.lit(0))]
+    cuts = [k / pieces for k in range(1, pieces)]
+    found = df.agg(F.percentile_approx(F.col(score).cast("double"), cuts, 20 * pieces).alias("q")).first()["q"]
+    borders = F.array(*[F.lit(b) for b in sorted(set(found or [0.0]))])
+    value = F.col(score).cast("double")
+    on_border = F.array_contains(borders, value)
+    rank = 2 * F.size(F.filter(borders, lambda b: b > value)) + F.when(on_border, 1).otherwise(0)
+    return [rank, F.when(on_border, F.floor(F.col(tie_breaker) / width)).otherwise(F.lit(0))]

@@ -30,17 +30,19 @@ def length_bins(chains: DataFrame, edges: list[int] | None = None) -> DataFrame:
     return chains.withColumn("bin", length_bin(F.col("L"), length_edges(chains) if edges is None else edges))
 
 
-def bucket_batches(chains: DataFrame, size: int, seed: int | None = SEED, edges: list[int] | None = None) -> DataFrame:
-    """Batches of ``size`` chains of one length bin, shuffled inside the bin or by key.
+def bucket_batches(chains: DataFrame, size: int, seed: int | None = SEED, edges: list[int] | None = None, order: str | None = None) -> DataFrame:
+    """Batches of ``size`` chains of one length bin, shuffled inside the bin, or by the numeric column ``order`` without a seed.
 
     A bin holds a fifth of everything, so places are found piece by piece.
     """
     hashed = length_bins(chains, edges).withColumn("__h", seeded(F.col("chain_key"), SEED if seed is None else seed))
+    if seed is None and order is None:
+        raise ValueError("without a seed, name the column that orders the chains")
     if seed is None:
-        order, pieces = [F.col("doc_id")], range_pieces(chains, "doc_id")
+        columns, pieces = [F.col(order), F.col("chain_key")], range_pieces(chains, order)
     else:
-        order, pieces = [F.col("__h"), F.col("chain_key")], hash_pieces(F.col("__h"))
-    placed = ordinal(hashed, ["bin"], order, pieces, "place")
+        columns, pieces = [F.col("__h"), F.col("chain_key")], hash_pieces(F.col("__h"))
+    placed = ordinal(hashed, ["bin"], columns, pieces, "place")
     return placed.select(*chains.columns, "bin", F.floor(F.col("place") / size).alias("batch_no"))
 
 
@@ -50,9 +52,9 @@ def batch_count(chains: DataFrame, size: int, edges: list[int] | None = None) ->
     return sizes.select("bin", "n", F.ceil(F.col("n") / size).alias("batches"))
 
 
-def plain_batches(chains: DataFrame, size: int, order: str = "doc_id") -> DataFrame:
-    """Batches in the order of a numeric column, lengths mixed."""
-    placed = ordinal(chains, [], [F.col(order)], range_pieces(chains, order), "place")
+def plain_batches(chains: DataFrame, size: int, order: str) -> DataFrame:
+    """Batches in the order of a numeric column, then of the keys, lengths mixed."""
+    placed = ordinal(chains, [], [F.col(order), F.col("chain_key")], range_pieces(chains, order), "place")
     return placed.select(*chains.columns, F.floor(F.col("place") / size).alias("batch_no"))
 
 

@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.vectors import l2_normalize
 
-def _mean_by_dim(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Mean vector per key. Averages combine map-side, one row per key and dimension moves."""
-    spread = df.select(*keys, F.posexplode(column).alias("dim", "v"))
-    means = spread.groupBy(*keys, "dim").agg(F.avg("v").alias("v"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"])
-    return means.groupBy(*keys).agg(ordered.alias("emb"))
+
+def _mean(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Mean vector per key, one aggregate of whole vectors that combines map-side."""
+    mean = Summarizer.mean(array_to_vector(F.col(column).cast("array<double>")))
+    return df.groupBy(*keys).agg(mean.alias("__mean")).select(*keys, vector_to_array("__mean").alias("emb"))
 
 
 def mean_pool(token_vecs: DataFrame, key: str = "chain_key", valid: str | None = None) -> DataFrame:
     """Mean token vector per sequence over valid tokens; zeros where none is valid."""
     if valid is None:
-        return _mean_by_dim(token_vecs, [key], "vec")
-    pooled = _mean_by_dim(token_vecs.filter(valid), [key], "vec")
+        return _mean(token_vecs, [key], "vec")
+    pooled = _mean(token_vecs.filter(valid), [key], "vec")
     empty = token_vecs.groupBy(key).agg(F.max(F.size("vec")).alias("__dims"))
     zeros = F.transform(F.sequence(F.lit(1), F.col("__dims")), lambda _: F.lit(0.0))
     return empty.join(pooled, key, "left").select(key, F.coalesce("emb", zeros).alias("emb"))
@@ -30,8 +31,8 @@ def mean_pool(token_vecs: DataFrame, key: str = "chain_key", valid: str | None =
 
 def chunk_pool(token_vecs: DataFrame, key: str = "chain_key", chunk: str = "chunk_no") -> DataFrame:
     """Plain mean of chunk means: a short last chunk counts like a full one."""
-    chunks = _mean_by_dim(token_vecs, [key, chunk], "vec")
-    return _mean_by_dim(chunks, [key], "emb")
+    chunks = _mean(token_vecs, [key, chunk], "vec")
+    return _mean(chunks, [key], "emb")
 
 
 def embed(df: DataFrame, make_predict_fn: Callable, input_col: str, dims: int, batch_size: int = 256) -> DataFrame:
@@ -46,6 +47,11 @@ def build_index(embeddings: DataFrame, exclude: DataFrame) -> DataFrame:
     return embeddings.filter(F.col("L") > 0).join(exclude.select("pdb_id").distinct(), "pdb_id", "left_anti")
 
 
+def chain_vectors(chunks: DataFrame, key: str = "chain_key") -> DataFrame:
+    """Unit vector of each chain from the vectors of its chunks (key, emb): their plain mean, scaled."""
+    return _mean(chunks, [key], "emb").withColumn("emb", l2_normalize(F.col("emb")))
+
+
 def require_rows(df: DataFrame, what: str = "index") -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{what} is empty")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import EPSILON
 from ..functions import vectors as V
 from ..functions.scalars import rbf
+from ..session import stored
 from .pairs import mirror, pair_distances
 
 # Ranks of pairs without coordinates, and where they begin.
@@ -27,6 +28,8 @@ def knn_edges(residues: DataFrame, k: int, radius: float = 16.0, block: int = 25
     * the few others are compared with blocks of their chain, and only the best
       ``k`` of each block leave the comparison.
     """
+    if k < 1:
+        raise ValueError(f"a graph needs at least one neighbour, not {k}")
     chain = Window.partitionBy("chain_key", "src").orderBy("rank", "dst")
     lengths = residues.groupBy("chain_key").agg(F.count(F.lit(1)).cast("int").alias("L"))
     nodes = residues.select("chain_key", F.col("pos").alias("src"), "x", "y", "z", "has_ca").join(lengths, "chain_key")
@@ -42,7 +45,7 @@ def knn_edges(residues: DataFrame, k: int, radius: float = 16.0, block: int = 25
         "chain_key", F.col("i").alias("src"), F.col("j").alias("dst"),
         F.sqrt(F.col("dist") * F.col("dist") + EPSILON).alias("rank"))
     itself = nodes.filter("has_ca").select("chain_key", "src", F.col("src").alias("dst"), F.lit(math.sqrt(EPSILON)).alias("rank"))
-    near = close.unionByName(itself)
+    near = stored(close.unionByName(itself))  # read for counts, for what is settled, and for the choice
     found = near.groupBy("chain_key", "src").agg(F.count(F.lit(1)).alias("found"))
     open_nodes = nodes.filter("has_ca").join(found, ["chain_key", "src"]).filter(F.col("found") < wanted)
     settled = near.join(open_nodes.select("chain_key", "src"), ["chain_key", "src"], "left_anti")
@@ -58,7 +61,9 @@ def knn_edges(residues: DataFrame, k: int, radius: float = 16.0, block: int = 25
         return F.struct(F.when(m["has_ca"], resolved).otherwise(along).alias("rank"), m["pos"].alias("dst"))
 
     best = F.slice(F.array_sort(F.transform("members", ranked)), 1, k)
-    far = open_nodes.join(blocks, "chain_key").select("chain_key", "src", F.explode(best).alias("b")).select(
+    numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("L") - 1) / block))).alias("block")
+    met = open_nodes.select("*", numbers).join(blocks, ["chain_key", "block"])
+    far = met.select("chain_key", "src", F.explode(best).alias("b")).select(
         "chain_key", "src", "b.dst", "b.rank")
 
     candidates = settled.unionByName(far).unionByName(loose)

@@ -26,11 +26,11 @@ def class_weights(pairs: DataFrame, scale: float = POS_WEIGHT_SCALE) -> DataFram
     return pairs.withColumn("weight", F.when(F.col("y") == 1, ratio.scalar()).otherwise(1.0))
 
 
-def fit_pair_classifier(features: DataFrame, iterations: int = 30):
-    """Weighted logistic regression over the feature columns."""
+def fit_pair_classifier(features: DataFrame, iterations: int = 300, tolerance: float = 1e-12):
+    """Weighted logistic regression over the feature columns, without penalty, fitted until it no longer improves."""
     flat = _flatten(class_weights(features))
     stages = [VectorAssembler(inputCols=_inputs(flat), outputCol="features"),
-              LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=iterations)]
+              LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=iterations, tol=tolerance)]
     return Pipeline(stages=stages).fit(flat)
 
 
@@ -48,3 +48,19 @@ def score_pairs(model, features: DataFrame) -> DataFrame:
 
     scored = model.transform(_flatten(features))
     return scored.select("chain_key", "i", "j", "y", vector_to_array("probability")[1].alias("p"))
+
+
+def residuals(model, features: DataFrame) -> DataFrame:
+    """feature, residual, rows and positives: the weighted mean of (y - p) * feature, which a fitted model has at 0.
+
+    The constant stands for the intercept.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    flat = _flatten(class_weights(features)).withColumn("constant", F.lit(1.0))
+    names = [*_inputs(flat), "constant"]
+    scored = model.transform(flat).withColumn("error", F.col("weight") * (F.col("y") - vector_to_array("probability")[1]))
+    sums = scored.agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("positives"), F.sum("weight").alias("w"),
+                      *[F.sum(F.col("error") * F.col(n)).alias(n) for n in names])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), (F.col(n) / F.col("w")).alias("residual")) for n in names])).alias("r")
+    return sums.select("rows", "positives", each).select("r.feature", "r.residual", "rows", "positives")

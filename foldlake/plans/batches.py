@@ -32,7 +32,7 @@ def bucket_batches(spark, d):
 
 @query("bucket_batches_sorted", f"WITH {_BINS_SQL} SELECT chain_key, bin, {_batch_sql('doc_id')} AS batch_no FROM binned")
 def bucket_batches_sorted(spark, d):
-    return N.bucket_batches(P.groups(spark, d), 16, seed=None).select("chain_key", "bin", "batch_no")
+    return N.bucket_batches(P.groups(spark, d), 16, seed=None, order="doc_id").select("chain_key", "bin", "batch_no")
 
 
 @query("batch_count", f"WITH {_BINS_SQL} SELECT bin, count(*) AS n, ceil(count(*) / 16)::BIGINT AS batches FROM binned GROUP BY bin")
@@ -45,11 +45,11 @@ _PLAIN_SQL = f"{P.GROUPS_SQL}, plain AS (SELECT chain_key, {_batch_sql('doc_id',
 
 @query("plain_batches", f"WITH {_PLAIN_SQL} SELECT * FROM plain")
 def plain_batches(spark, d):
-    return N.plain_batches(P.groups(spark, d), 16).select("chain_key", "batch_no")
+    return N.plain_batches(P.groups(spark, d), 16, "doc_id").select("chain_key", "batch_no")
 
 
 @query("limit_batches", f"""WITH {_PLAIN_SQL} SELECT chain_key, batch_no,
     batch_no < 3 AS in_first FROM plain WHERE batch_no < floor((SELECT max(batch_no) + 1 FROM plain) * 0.25)""")
 def limit_batches(spark, d):
-    some = N.limit_batches(N.plain_batches(P.groups(spark, d), 16), 0.25)
+    some = N.limit_batches(N.plain_batches(P.groups(spark, d), 16, "doc_id"), 0.25)
     return some.select("chain_key", "batch_no", (F.col("batch_no") < 3).alias("in_first"))

@@ -11,6 +11,7 @@ from ..functions.vectors import l2_normalize
 from ..operators import embed as E
 from ..operators import retrieve as R
 from ..operators import tokens as K
+from ..session import stored
 from . import proxies as P
 from .registry import query
 
@@ -183,3 +184,34 @@ SELECT query_key, tpl_key, round(e / (sum(e) OVER (PARTITION BY query_key) + 1e-
 def hit_weights(spark, d):
     vectors = P.index_vectors(spark, d)
     return R.hit_weights(R.topk_similar(vectors, vectors)).select("query_key", "tpl_key", r6(F.col("weight")).alias("weight"))
+
+
+_CHUNK_COUNTS = [f"(length(chunk) - length(replace(chunk, '{a}', '')))" for a in AMINO_ACIDS]
+_BUILD_SQL = f"""{P.SEQUENCES_SQL}, {P.GROUPS_SQL}, {P.TEST_IDS_SQL},
+cut AS (SELECT chain_key, substr(seq, unnest(range(0, (length(seq) + 1021) // 1022)) * 1022 + 1, 1022) AS chunk FROM sequences),
+counts AS (SELECT chain_key, {', '.join(f'{c} AS n{k}' for k, c in enumerate(_CHUNK_COUNTS))} FROM cut),
+norms AS (SELECT *, sqrt({' + '.join(f'n{k} * n{k}' for k in range(20))}) + 1e-8 AS norm FROM counts),
+means AS (SELECT chain_key, {', '.join(f'avg(n{k} / norm) AS m{k}' for k in range(20))} FROM norms GROUP BY chain_key),
+units AS (SELECT chain_key, sqrt({' + '.join(f'm{k} * m{k}' for k in range(20))}) + 1e-8 AS size, {', '.join(f'm{k}' for k in range(20))} FROM means),
+vectors AS (SELECT chain_key, pdb_id, pdb_id IN (SELECT pdb_id FROM test_ids) AS held_out, [{', '.join(f'm{k} / size' for k in range(20))}] AS emb
+    FROM units JOIN groups USING (chain_key)),
+normed AS (SELECT *, sqrt(list_inner_product(emb, emb)) + 1e-8 AS norm FROM vectors),
+built AS (SELECT q.chain_key AS query_key, t.chain_key AS tpl_key, round(list_inner_product(q.emb, t.emb) / (q.norm * t.norm), 9) AS sim
+    FROM normed q JOIN normed t ON q.held_out AND NOT t.held_out),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY sim DESC, tpl_key)::INT AS rank FROM built QUALIFY rank <= 4)"""
+
+
+@query("index_build", f"WITH {_BUILD_SQL} SELECT query_key, tpl_key, rank, round(sim, 6) + 0.0 AS sim FROM best")
+def index_build(spark, d):
+    """From texts to an index without held-out groups, asked with the held-out chains.
+
+    Sequences are cut, each chunk goes through the model, chunks are averaged and scaled, held-out groups are left out,
+    the index is written and read back, and every held-out chain is looked up in it.
+    """
+    chunks = K.chunk(P.sequences(spark, d)).select("chain_key", F.array(*[F.expr(c).cast("double") for c in _CHUNK_COUNTS]).alias("counts"))
+    vectors = E.chain_vectors(E.embed(chunks, _composition_model, "counts", len(AMINO_ACIDS)))
+    held_out = P.test_ids(spark, d)
+    embedded = stored(vectors.join(P.groups(spark, d), "chain_key"))
+    index = stored(E.build_index(embedded, held_out))
+    asked = embedded.join(held_out, "pdb_id", "left_semi")
+    return R.topk_similar(asked, index).select("query_key", "tpl_key", "rank", r6(F.col("sim")).alias("sim"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import RELPOS_CUTS
 from ..functions.scalars import r6
 from ..operators import model as M
 from ..operators import pairs as B
 from ..operators import retrieve as R
 from ..operators import runs as H
 from ..operators import transfer as T
-from ..session import cut_lineage
+from ..session import stored
 from . import proxies as P
 from .pairs import ALL_NEAR_SQL
 from .registry import query
@@ -59,7 +60,7 @@ def _features(spark, d):
     return M.pair_features(pairs, T.vote(rows, R.hit_weights(_candidates(spark, d))))
 
 
-_BUCKET_SQL = " + ".join(f"((n.j - n.i) > {c})::INT" for c in (0, 1, 2, 3, 4, 5, 8, 12, 16, 24, 32, 48, 64))
+_BUCKET_SQL = " + ".join(f"((n.j - n.i) > {c})::INT" for c in RELPOS_CUTS)
 
 
 @query("pair_features", f"""WITH {_PROJECTED_SQL}, {_WEIGHTS_SQL}, {ALL_NEAR_SQL[len(P.POINTS_SQL) + 2:]},
@@ -71,7 +72,14 @@ def pair_features(spark, d):
                                       (F.array_position("relpos", 1) - 1).cast("int").alias("bucket"))
 
 
-@query("pair_classifier")
+_FEATURE_NAMES = ["prior", "cnt", "score", *[f"relpos_{k}" for k in range(14)], "constant"]
+
+
+@query("pair_classifier", f"""WITH {ALL_NEAR_SQL} SELECT feature, 0.0::DOUBLE AS residual, (SELECT count(*) FROM near) AS rows,
+    (SELECT count(*) FROM near WHERE dist < 8)::BIGINT AS positives
+FROM (VALUES {', '.join(f"('{n}')" for n in _FEATURE_NAMES)}) t(feature)""")
 def pair_classifier(spark, d):
-    features = cut_lineage(_features(spark, d))  # read by the weights, the fit and the scoring
-    return M.score_pairs(M.fit_pair_classifier(features), features).withColumn("p", r6(F.col("p")))
+    """The fitted classifier by its residuals: at the optimum the weighted errors are orthogonal to every feature."""
+    features = stored(_features(spark, d))  # read by the weights, the fit and the scoring
+    found = M.residuals(M.fit_pair_classifier(features), features)
+    return found.withColumn("residual", F.round("residual", 3) + 0.0)

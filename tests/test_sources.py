@@ -100,7 +100,7 @@ def test_stream_reads_each_file_once(spark, structure_dir, tmp_path):
     direct = structures.parse_atoms(structures.structure_lines(structures.read_structures(spark, structure_dir)))
     stored = spark.read.parquet(sink)
     assert stored.count() == direct.count()
-    assert stored.filter("broken").count() == structures.split_rejects(direct)[1].count() > 0
+    assert stored.filter("broken = 'true'").count() == structures.split_rejects(direct)[1].count() > 0
 
 
 FASTA = "skip me\n>first one\nACD\nEFG\n\n>\nKKK\n>last\n"
