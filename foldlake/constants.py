@@ -43,7 +43,9 @@ SEED = 42
 PATIENCE = 5
 
 # Residue tokens in vocabulary order.
-RESIDUE_TOKENS = "L A G V S E R T I D P K Q N F Y M H W C X B U Z O . -".split()
+RESIDUE_TOKENS = [
+    "L", "A", "G", "V", "S", "E", "R", "T", "I", "D", "P", "K", "Q", "N", "F", "Y", "M", "H", "W", "C", "X", "B", "U", "Z", "O", ".", "-",
+]
 
 # Special tokens before and after the residues, and whether a
 # sequence gets a start and an end token, per model family.

@@ -13,11 +13,6 @@ def r6(col: Column) -> Column:
     return F.round(col, 6) + F.lit(0.0)
 
 
-def group_of(chain_key: Column) -> Column:
-    """Structure id of a ``structure_chain`` key."""
-    return F.split_part(chain_key, F.lit("_"), F.lit(1))
-
-
 def seeded(key: Column, seed: int) -> Column:
     """Reproducible shuffle key: the same text gives the same order on any cluster."""
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
@@ -76,10 +71,6 @@ def binned_logprob(logits: Column, value: Column, lo: float, hi: float, n: int)
     return F.element_at(logits, index) - top - F.log(_array_total(softmax_terms(logits)))
 
 
-def pick(array: Column, index: int) -> Column:
-    return F.element_at(array, index + 1)
-
-
 def relpos_one_hot(i: Column, j: Column, cuts=RELPOS_CUTS) -> Column:
     """The bucket as 0/1 flags, each from its own two borders (no lambda, so it stays in compiled code)."""
     distance = F.abs(i - j)

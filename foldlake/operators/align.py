@@ -140,16 +140,21 @@ def align_many(pairs: list[tuple[str, str]], gap: int = GAP) -> list[tuple[str,
     return results
 
 
-def align_pairs(pairs: DataFrame, queries: DataFrame, templates: DataFrame, gap: int = GAP) -> DataFrame:
-    """Alignments of (query_key, tpl_key) candidates: q_aln, t_aln, score.
+def _candidates(pairs: DataFrame, queries: DataFrame, templates: DataFrame) -> DataFrame:
+    """Each (query_key, tpl_key) once, with both strings, spread evenly over the tasks.
 
-    Repeated candidates are aligned once. Pairs are spread evenly over the tasks
-    after the two lookups, as the cost of a pair has nothing to do with its key.
+    The cost of a pair has nothing to do with its key, so pairs are dealt out after the two lookups.
     """
     wanted = pairs.select("query_key", "tpl_key").distinct()
     found = (wanted.join(queries.select(F.col("chain_key").alias("query_key"), F.col("seq").alias("q_seq")), "query_key")
              .join(templates.select(F.col("chain_key").alias("tpl_key"), F.col("seq").alias("t_seq")), "tpl_key"))
+    spark = pairs.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return found.repartition(tasks, "query_key", "tpl_key")
 
+
+def align_pairs(pairs: DataFrame, queries: DataFrame, templates: DataFrame, gap: int = GAP) -> DataFrame:
+    """Alignments of (query_key, tpl_key) candidates: q_aln, t_aln, score. Repeated candidates are aligned once."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             done = align_many(list(zip(frame["q_seq"], frame["t_seq"])), gap)
@@ -157,12 +162,33 @@ def align_pairs(pairs: DataFrame, queries: DataFrame, templates: DataFrame, gap:
                 "query_key": frame["query_key"], "tpl_key": frame["tpl_key"], "q_aln": [d[0] for d in done],
                 "t_aln": [d[1] for d in done], "score": [d[2] for d in done]})
 
-    spark = pairs.sparkSession
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return found.repartition(tasks, "query_key", "tpl_key").mapInPandas(
+    return _candidates(pairs, queries, templates).mapInPandas(
         run, "query_key string, tpl_key string, q_aln string, t_aln string, score int")
 
 
+_POSITIONS = "query_key string, tpl_key string, qpos int, tpos int, q_aa string, t_aa string"
+
+
+def _paired(query_key: str, tpl_key: str, q_aln: str, t_aln: str) -> pd.DataFrame:
+    """Positions that stand above each other in one alignment."""
+    q, t = np.array(list(q_aln), dtype="<U1"), np.array(list(t_aln), dtype="<U1")
+    both = (q != "-") & (t != "-")
+    return pd.DataFrame({
+        "query_key": query_key, "tpl_key": tpl_key, "qpos": (np.cumsum(q != "-") - 1)[both].astype("int32"),
+        "tpos": (np.cumsum(t != "-") - 1)[both].astype("int32"), "q_aa": q[both], "t_aa": t[both]})
+
+
+def align_positions(pairs: DataFrame, queries: DataFrame, templates: DataFrame, gap: int = GAP) -> DataFrame:
+    """Aligned positions of (query_key, tpl_key) candidates, made where they are aligned: no column of an alignment moves."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = align_many(list(zip(frame["q_seq"], frame["t_seq"])), gap)
+            for query_key, tpl_key, d in zip(frame["query_key"], frame["tpl_key"], done):
+                yield _paired(query_key, tpl_key, d[0], d[1])
+
+    return _candidates(pairs, queries, templates).mapInPandas(run, _POSITIONS)
+
+
 def _letter_score(a: Column, b: Column) -> Column:
     known = F.lit(AMINO_ACIDS)
     inside = (F.call_function("instr", known, a) > 0) & (F.call_function("instr", known, b) > 0)
@@ -197,18 +223,13 @@ def rescore(q_aln: Column, t_aln: Column, gap: int = GAP) -> Column:
 
 
 def aligned_positions(alignments: DataFrame) -> DataFrame:
-    """Pairs of positions (qpos, tpos) that stand above each other, with both letters.
+    """Pairs of positions (qpos, tpos) that stand above each other, with both letters, for alignments from elsewhere."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in zip(frame["query_key"], frame["tpl_key"], frame["q_aln"], frame["t_aln"]):
+                yield _paired(*row)
 
-    The running counts stay inside one alignment, which came from one row.
-    """
-    columns = F.arrays_zip(F.split("q_aln", "").alias("q"), F.split("t_aln", "").alias("t"))
-    cells = alignments.select("query_key", "tpl_key", F.posexplode(columns).alias("at", "c")).filter("c.q <> ''")
-    upto = Window.partitionBy("query_key", "tpl_key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = cells.select(
-        "query_key", "tpl_key", F.col("c.q").alias("q_aa"), F.col("c.t").alias("t_aa"),
-        (F.sum(F.when(F.col("c.q") != "-", 1).otherwise(0)).over(upto) - 1).cast("int").alias("qpos"),
-        (F.sum(F.when(F.col("c.t") != "-", 1).otherwise(0)).over(upto) - 1).cast("int").alias("tpos"))
-    return placed.filter((F.col("q_aa") != "-") & (F.col("t_aa") != "-")).select("query_key", "tpl_key", "qpos", "tpos", "q_aa", "t_aa")
+    return alignments.select("query_key", "tpl_key", "q_aln", "t_aln").mapInPandas(run, _POSITIONS)
 
 
 def cigar_positions(df: DataFrame, key: str = "key", column: str = "cigar") -> DataFrame:
@@ -216,13 +237,13 @@ def cigar_positions(df: DataFrame, key: str = "key", column: str = "cigar") -> D
     runs = F.transform(
         F.regexp_extract_all(F.col(column), F.lit(r"(\d+[MIDX=])"), 1),
         lambda r: F.struct(F.regexp_extract(r, r"(\d+)", 1).cast("int").alias("n"), F.substring(r, -1, 1).alias("op")))
-    ops = df.select(key, runs.alias("runs"))
+    steps = df.select(key, F.posexplode(runs).alias("at", "r")).select(key, "at", "r.n", "r.op")
+    before = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
 
-    def moved(before: Column, skip: str) -> Column:
-        return F.aggregate(before, F.lit(0), lambda acc, r: acc + F.when(r["op"] == skip, 0).otherwise(r["n"]))
+    def moved(skip: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("op") == skip, 0).otherwise(F.col("n"))).over(before), F.lit(0))
 
-    started = F.transform("runs", lambda r, k: F.struct(
-        r["n"].alias("n"), r["op"].alias("op"), moved(F.slice("runs", 1, k), "D").alias("q0"), moved(F.slice("runs", 1, k), "I").alias("t0")))
-    paired = ops.select(key, F.explode(started).alias("r")).filter(F.col("r.op").isin("M", "=", "X") & (F.col("r.n") > 0))
-    steps = paired.select(key, "r.q0", "r.t0", F.explode(F.sequence(F.lit(0), F.col("r.n") - 1)).alias("s"))
-    return steps.select(key, (F.col("q0") + F.col("s")).alias("qpos"), (F.col("t0") + F.col("s")).alias("tpos"))
+    placed = steps.select(key, "n", "op", moved("D").alias("q0"), moved("I").alias("t0"))
+    paired = placed.filter(F.col("op").isin("M", "=", "X") & (F.col("n") > 0))
+    cells = paired.select(key, "q0", "t0", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    return cells.select(key, (F.col("q0") + F.col("s")).cast("int").alias("qpos"), (F.col("t0") + F.col("s")).cast("int").alias("tpos"))

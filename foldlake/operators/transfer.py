@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import blosum62_pairs
-from .align import align_pairs, aligned_positions
+from ..session import stored
+from .align import align_positions
 from .retrieve import hit_weights, topk_similar
 
 
@@ -108,9 +109,18 @@ def vote(evidence_rows: DataFrame, weights: DataFrame, windows: DataFrame | None
 
 
 def transfer(queries: DataFrame, index: DataFrame, chains: DataFrame, tpl_contacts: DataFrame, k: int = 4,
-             min_sep: int = 0, positive_only: bool = True, scores: DataFrame | None = None) -> DataFrame:
-    """Template prior of every query: hits, alignments, projection and vote in one plan."""
-    weights = hit_weights(topk_similar(queries, index, k))
-    aligned = aligned_positions(align_pairs(weights, chains, chains))
-    rows = evidence(project(aligned, tpl_contacts, scores), positive_only, scores is not None, min_sep)
-    return vote(rows.filter("flag = 1"), weights)
+             min_sep: int = 0, positive_only: bool = True, scores: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Template prior of every query: hits, alignments, projection and vote in one plan.
+
+    With ``positive_only`` false, known pairs without contact count too, so the pairs in question must be given:
+    ``asked`` has query_key, i < j.
+    """
+    if not positive_only and asked is None:
+        raise ValueError("counting known pairs needs the asked pairs (query_key, i, j)")
+    weights = stored(hit_weights(topk_similar(queries, index, k)))
+    aligned = stored(align_positions(weights, chains, chains))
+    if asked is None:
+        rows = evidence(project(aligned, tpl_contacts, scores), positive_only, scores is not None, min_sep)
+        return vote(rows.filter("flag = 1"), weights)
+    pairs = asked.select("query_key", "i", "j").join(weights.select("query_key", "tpl_key"), "query_key")
+    return vote(evidence(project_onto(pairs, aligned, tpl_contacts, scores, min_sep), positive_only, scores is not None, min_sep), weights)

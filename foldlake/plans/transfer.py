@@ -215,7 +215,37 @@ def chain_index(spark, d):
     return E.mean_pool(raw).join(vectors.select("chain_key", "pdb_id").distinct(), "chain_key")
 
 
-@query("transfer_e2e")
+_WALK_LETTER = (f"CASE WHEN NOT (strpos('{AMINO_ACIDS}', p.a[w.i]) > 0 AND strpos('{AMINO_ACIDS}', p.b[w.j]) > 0) THEN 0 "
+                "WHEN p.a[w.i] = p.b[w.j] THEN 1 ELSE -1 END")
+_E2E_SQL = f"""WITH RECURSIVE {CONTACTS_SQL},
+dims AS (SELECT 'P' || (vec_id // 100) || CASE WHEN vec_id // 50 % 2 = 0 THEN '_A' ELSE '_B' END AS chain_key, 'P' || (vec_id // 100) AS pdb_id,
+    unnest(range(1, len(embedding) + 1)) AS k, embedding FROM embeddings),
+means AS (SELECT chain_key, pdb_id, k, avg(embedding[k]::DOUBLE) AS v FROM dims GROUP BY ALL),
+pooled AS (SELECT chain_key, pdb_id, list(v ORDER BY k) AS emb FROM means GROUP BY ALL),
+unit AS (SELECT *, sqrt(list_inner_product(emb, emb)) + 1e-8 AS norm FROM pooled),
+sims AS (SELECT q.chain_key AS query_key, t.chain_key AS tpl_key, round(list_inner_product(q.emb, t.emb) / (q.norm * t.norm), 9) AS sim
+    FROM unit q JOIN unit t ON q.pdb_id <> t.pdb_id),
+top AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY query_key ORDER BY sim DESC, tpl_key) <= 4),
+raised AS (SELECT *, exp(sim - max(sim) OVER (PARTITION BY query_key)) AS e FROM top),
+weights AS (SELECT query_key, tpl_key, e / (sum(e) OVER (PARTITION BY query_key) + 1e-8) AS weight FROM raised),
+seqs AS (SELECT chain_key, string_agg(aa, '' ORDER BY pos) AS seq FROM points GROUP BY chain_key),
+chain_pairs AS (SELECT query_key || '/' || tpl_key AS id, query_key, tpl_key, q.seq AS a, t.seq AS b FROM weights
+    JOIN seqs q ON q.chain_key = query_key JOIN seqs t ON t.chain_key = tpl_key), {score_sql('chain_pairs')},
+walk AS (SELECT id, length(a) AS i, length(b) AS j, NULL::BIGINT AS qpos, NULL::BIGINT AS tpos FROM chain_pairs
+    UNION ALL SELECT id, i - (step <> 'left')::INT, j - (step <> 'up')::INT, CASE WHEN step = 'both' THEN i - 1 END, CASE WHEN step = 'both' THEN j - 1 END
+    FROM (SELECT w.id, w.i, w.j, CASE WHEN w.i > 0 AND w.j > 0 AND r.h[w.j + 1] = u.h[w.j] + {_WALK_LETTER} THEN 'both'
+            WHEN w.i > 0 AND r.h[w.j + 1] = u.h[w.j + 1] - 2 THEN 'up' ELSE 'left' END AS step
+        FROM walk w JOIN chain_pairs p USING (id) JOIN score_rows r ON r.id = w.id AND r.i = w.i
+        LEFT JOIN score_rows u ON u.id = w.id AND u.i = w.i - 1 WHERE w.i > 0 OR w.j > 0)),
+aligned AS (SELECT query_key, tpl_key, qpos, tpos FROM walk JOIN chain_pairs USING (id) WHERE qpos IS NOT NULL),
+projected AS (SELECT a.query_key, a.tpl_key, least(a.qpos, b.qpos) AS i, greatest(a.qpos, b.qpos) AS j FROM contacts c
+    JOIN aligned a ON a.tpl_key = c.chain_key AND a.tpos = c.i
+    JOIN aligned b ON b.tpl_key = c.chain_key AND b.query_key = a.query_key AND b.tpos = c.j)
+SELECT query_key, i::INT AS i, j::INT AS j, round(sum(weight), 6) + 0.0 AS prior, count(*)::DOUBLE AS cnt
+FROM projected JOIN weights USING (query_key, tpl_key) WHERE j - i >= 6 GROUP BY query_key, i, j"""
+
+
+@query("transfer_e2e", _E2E_SQL)
 def transfer_e2e(spark, d):
     index = chain_index(spark, d)
     prior = T.transfer(index, index, _chain_seqs(spark, d), _contacts(spark, d), min_sep=6)

@@ -26,16 +26,21 @@ def fasta_records(files: DataFrame) -> DataFrame:
     marked = F.concat(F.lit("\n"), F.regexp_replace("value", "\r\n?", "\n"))
     chunks = F.split(marked, "\n>")
 
-    def line_number(record: Column) -> Column:
-        before = F.call_function("substring_index", marked, F.lit("\n>"), record)
-        return F.length(before) - F.length(F.replace(before, F.lit("\n")))
+    # The line of each header: one pass over the chunks that carries the lines so far.
+    empty = F.struct(F.lit(-1).alias("next"), F.array().cast("array<int>").alias("done"))
 
-    def parsed(chunk: Column, record: Column) -> Column:
+    def count(acc, chunk):
+        lines = F.length(chunk) - F.length(F.replace(chunk, F.lit("\n"))) + 1
+        return F.struct((acc["next"] + lines).alias("next"), F.concat(acc["done"], F.array(acc["next"])).alias("done"))
+
+    starts = F.aggregate(chunks, empty, count, lambda acc: acc["done"])
+
+    def parsed(chunk: Column, start: Column) -> Column:
         header = F.trim(F.substring_index(chunk, "\n", 1))
-        named = F.when(F.length(header) > 0, header).otherwise(F.format_string("seqnum%09d", line_number(record)))
+        named = F.when(F.length(header) > 0, header).otherwise(F.format_string("seqnum%09d", start))
         return F.struct(named.alias("label"), chunk.alias("chunk"))
 
-    records = files.select("path", F.posexplode(F.transform(chunks, parsed)).alias("record_no", "r"))
+    records = files.select("path", F.posexplode(F.zip_with(chunks, starts, parsed)).alias("record_no", "r"))
     lines = F.split(F.col("r.chunk"), "\n")
     return records.filter("record_no > 0").select(
         "path", (F.col("record_no") - 1).alias("record_no"), F.col("r.label").alias("label"),

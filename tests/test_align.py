@@ -182,7 +182,11 @@ def test_transfer_equals_brute_force(spark, sf_dir):
 
 
 def test_classifier_learns(spark, sf_dir):
-    import __spark_entry__ as entry
-    scored = entry.queries()["pair_classifier"](spark, sf_dir).toPandas()
+    from foldlake.operators import model as M
+    from foldlake.plans.runs import _features
+    from foldlake.session import stored
+
+    features = stored(_features(spark, sf_dir))
+    scored = M.score_pairs(M.fit_pair_classifier(features), features).toPandas()
     assert scored["p"].between(0, 1).all() and len(scored) > 1000
     assert scored.loc[scored.y == 1, "p"].mean() > scored.loc[scored.y == 0, "p"].mean()
