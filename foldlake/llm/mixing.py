@@ -113,29 +113,36 @@ def _with_leaf(rows: DataFrame, plan: DataFrame, names: list[str], leaves: int)
 def _planned(rows: DataFrame, tree: Tree, budget: Column, max_epochs: int, seed: int, digits: int) -> tuple[DataFrame, DataFrame, int]:
     """Documents of the buckets that are cut, with their place, and the leaves' plan.
 
-    The plan has, by leaf, epochs (whole ones), rest (tokens of the next), bucket (in which the cut lies) and ahead
-    (tokens of the buckets before it).
+    The plan has, by leaf, epochs (whole ones), rest (tokens of the next), bucket (leading digits of the hashes between
+    which the cut lies) and ahead (tokens of the hashes before). The bucket is narrowed by two digits at a time, so no
+    more than 256 sums of a leaf are ever compared.
     """
     names = tree.names
     shares = quotas(rows, tree, budget, max_epochs)
     whole = shares.select(*names, F.expr("CASE WHEN tokens > 0 THEN quota div tokens ELSE 0 END").alias("epochs"),
-                          F.expr("CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END").alias("rest"))
-    whole = stored(whole)
-    leaves = whole.count()
-    hashed = _with_leaf(rows, whole.filter("rest > 0"), names, leaves).withColumn("order", _order(seed))
-    bucket = F.substring("order", 1, digits)
-    sums = hashed.groupBy(*names, bucket.alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
+                          F.expr("CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END").cast("bigint").alias("rest"))
+    cut = stored(whole.withColumn("bucket", F.lit("")).withColumn("ahead", F.lit(0).cast("bigint")))
+    leaves = cut.count()
+    plan = cut
     before = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sums.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    cut = ahead.filter("ahead < rest and rest <= ahead + n").select(*names, "bucket", "ahead")
-    plan = stored(whole.join(cut, names, "left"))
-    crossed = _with_leaf(rows, plan.filter("bucket is not null"), names, leaves).withColumn("order", _order(seed))
-    crossed = crossed.filter(F.substring("order", 1, digits) == F.col("bucket"))
+    for width in range(2, digits + 1, 2):
+        inside = _inside(rows, cut.filter("rest > 0"), names, leaves, seed)
+        sums = inside.groupBy(*names, "epochs", "rest", "ahead", F.substring("order", 1, width).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+        running = sums.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        cut = stored(running.filter("ahead < rest and rest <= ahead + n").select(*names, "epochs", "rest", "bucket", "ahead"))
+    plan = stored(plan.select(*names, "epochs", "rest").join(cut.select(*names, "bucket", "ahead"), names, "left"))
+    crossed = _inside(rows, cut, names, leaves, seed)
     upto = Window.partitionBy(*names).orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = crossed.withColumn("start", F.sum("n_tokens").over(upto) - F.col("n_tokens") + F.col("ahead"))
     return placed.filter("start < rest"), plan, leaves
 
 
+def _inside(rows: DataFrame, cut: DataFrame, names: list[str], leaves: int, seed: int) -> DataFrame:
+    """Rows of the buckets in ``cut``, with their ``order``."""
+    met = _with_leaf(rows, cut, names, leaves).withColumn("order", _order(seed))
+    return met.filter(F.col("order").startswith(F.col("bucket")))
+
+
 def mix(docs: DataFrame, tree: Tree, budget: Column, max_epochs: int = 4, tokens: Column | None = None, seed: int = 42,
         digits: int = 4) -> DataFrame:
     """doc_id, the leaf's names, epoch (from 0), n_tokens and take_tokens of every document taken, once per epoch.

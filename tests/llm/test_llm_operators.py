@@ -89,13 +89,13 @@ def test_quotas_follow_weights_and_supplies(spark):
 def test_mix_takes_prefixes_of_epochs(spark):
     docs = spark.createDataFrame([(k, "w " * (k % 7), "en", "a" if k % 3 else "b", 0) for k in range(400)], DOCS)
     tree = mixing.Tree({"source": F.col("source")}, {"source": F.expr("CASE source WHEN 'a' THEN 1 ELSE 9 END")})
-    taken = rows(mixing.mix(docs, tree, F.col("total"), max_epochs=2, digits=1))
+    taken = rows(mixing.mix(docs, tree, F.col("total"), max_epochs=2, digits=0))
     total = sum(k % 7 for k in range(400))
     assert sum(r["take_tokens"] for r in taken) == total
     by = Counter(r["source"] for r in taken if r["take_tokens"] < r["n_tokens"])
     assert all(n == 1 for n in by.values())
     assert {r["doc_id"] for r in taken if r["source"] == "b" and r["epoch"] == 0} == {k for k in range(400) if k % 3 == 0}
-    again = rows(mixing.mix(docs.repartition(5), tree, F.col("total"), max_epochs=2, digits=3))
+    again = rows(mixing.mix(docs.repartition(5), tree, F.col("total"), max_epochs=2, digits=6))
     assert sorted(map(str, taken)) == sorted(map(str, again))
     whole = mixing.choose(docs, tree, F.col("total"), max_epochs=2, digits=2)
     assert whole.columns == docs.columns
