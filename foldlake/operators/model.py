@@ -8,8 +8,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import POS_WEIGHT_SCALE
+from ..constants import MIN_SEPARATION, POS_WEIGHT_SCALE
 from ..functions.scalars import relpos_one_hot
+from .evaluate import best_threshold, threshold_curve
 
 
 def pair_features(pairs: DataFrame, priors: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def class_weights(pairs: DataFrame, scale: float = POS_WEIGHT_SCALE) -> DataFram
     return pairs.withColumn("weight", F.when(F.col("y") == 1, ratio.scalar()).otherwise(1.0))
 
 
-def fit_pair_classifier(features: DataFrame, iterations: int = 300, tolerance: float = 1e-12):
+def fit_pair_classifier(features: DataFrame, iterations: int = 200, tolerance: float = 1e-9):
     """Weighted logistic regression over the feature columns, without penalty, fitted until it no longer improves."""
     flat = _flatten(class_weights(features))
     stages = [VectorAssembler(inputCols=_inputs(flat), outputCol="features"),
@@ -50,6 +51,20 @@ def score_pairs(model, features: DataFrame) -> DataFrame:
     return scored.select("chain_key", "i", "j", "y", vector_to_array("probability")[1].alias("p"))
 
 
+def predict_pairs(features: DataFrame, min_sep: int = MIN_SEPARATION) -> DataFrame:
+    """chain_key, i, j, y, p, tau and contact for the test pairs of ``features``, which has a ``split`` column.
+
+    The classifier learns from the train pairs, the threshold with the best F1 comes from the val pairs, and test pairs
+    at least ``min_sep`` apart that reach it are contacts. ``features`` is read several times: store it first.
+    """
+    model = fit_pair_classifier(features.filter("split = 'train'").drop("split"))
+    apart = F.abs(F.col("i") - F.col("j")) >= min_sep
+    judged = score_pairs(model, features.filter("split = 'val'")).withColumn("valid", apart)
+    tau = best_threshold(threshold_curve(judged)).select("tau").scalar()
+    scored = score_pairs(model, features.filter("split = 'test'")).withColumn("tau", tau)
+    return scored.withColumn("contact", (apart & (F.col("p") >= F.col("tau"))).cast("int"))
+
+
 def residuals(model, features: DataFrame) -> DataFrame:
     """feature, residual, rows and positives: the weighted mean of (y - p) * feature, which a fitted model has at 0.
 

@@ -24,9 +24,9 @@ def _cell(axis: str, size: float) -> Column:
 def pair_distances(residues: DataFrame, radius: float) -> DataFrame:
     """Pairs of one chain less than ``radius`` apart, with their distance.
 
-    Residues meet only in the same or a neighbouring cube of edge ``radius``,
-    so the work follows the number of close pairs and the join key (chain and
-    cube) stays small however long the chain is.
+    Residues meet only in the same or a neighbouring cube of edge ``radius``, and only in cubes that their ball
+    reaches, so the work follows the number of close pairs and the join key (chain and cube) stays small however long
+    the chain is.
     """
     size = radius * (1 + 1e-9)
     here = residues.filter("has_ca").select(
@@ -34,16 +34,21 @@ def pair_distances(residues: DataFrame, radius: float) -> DataFrame:
         _cell("x", size).alias("cx"), _cell("y", size).alias("cy"), _cell("z", size).alias("cz"))
     offsets = F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in _FORWARD])
-    reach = here.select("chain_key", "p", "x", "y", "z", "cx", "cy", "cz", F.explode(offsets).alias("o")).select(
+
+    def gap(axis: str, cell: str, step: str) -> Column:
+        """Distance along one axis to the cube ``step`` cubes away."""
+        inside = F.col(axis) - F.col(cell) * size
+        return F.when(F.col(step) > 0, size - inside).when(F.col(step) < 0, inside).otherwise(0.0)
+
+    gaps = [gap(axis, cell, step) for axis, cell, step in (("x", "cx", "o.a"), ("y", "cy", "o.b"), ("z", "cz", "o.c"))]
+    reached = sum((g * g for g in gaps), F.lit(0.0)) <= radius * radius * (1 + 1e-6)
+    reach = here.select("chain_key", "p", "x", "y", "z", "cx", "cy", "cz", F.explode(offsets).alias("o")).filter(reached).select(
         F.col("chain_key").alias("k"), F.col("p").alias("q"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"),
         (F.col("cx") + F.col("o.a")).alias("ex"), (F.col("cy") + F.col("o.b")).alias("ey"), (F.col("cz") + F.col("o.c")).alias("ez"),
         ((F.col("o.a") == 0) & (F.col("o.b") == 0) & (F.col("o.c") == 0)).alias("home"))
     dx, dy, dz = F.col("x") - F.col("u"), F.col("y") - F.col("v"), F.col("z") - F.col("w")
     dist = F.sqrt(dx * dx + dy * dy + dz * dz)
-    # Catalyst's size estimate does not see the explode, so the strategy is named: build the hash
-    # table from the plain side and stream the 14 times larger one past it. Keys are (chain, cube),
-    # which keeps the partitions even.
-    met = here.hint("shuffle_hash").join(reach, (F.col("chain_key") == F.col("k")) & (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey"))
+    met = here.join(reach, (F.col("chain_key") == F.col("k")) & (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey"))
                     & (F.col("cz") == F.col("ez")) & (~F.col("home") | (F.col("q") < F.col("p"))) & (dist < radius))
     return met.select("chain_key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), dist.alias("dist"))
 
@@ -60,12 +65,20 @@ def mirror(pairs: DataFrame) -> DataFrame:
     return pairs.select(*rest, F.explode(both).alias("ij")).select("ij.i", "ij.j", *rest).select(*pairs.columns)
 
 
-def matrix_rows(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Rows of the symmetric 0/1 matrix, for residues with at least one pair."""
-    partners = mirror(pairs.select("chain_key", "i", "j")).groupBy("chain_key", "i").agg(F.collect_set("j").alias("partners"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("L") - 1),
-                        lambda k: F.when(F.array_contains("partners", k), 1).otherwise(0))
-    return partners.join(lengths.select("chain_key", "L"), "chain_key").select("chain_key", "i", cells.alias("row"))
+def matrix_rows(pairs: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """Rows of the symmetric 0/1 matrix, for residues with at least one pair: their partners in order.
+
+    With ``windows`` (chain_key, crop_start, crop_end), rows inside a chain's window also get its cells, dense; a
+    window bounds them, whatever the length of the chain.
+    """
+    partners = mirror(pairs.select("chain_key", "i", "j")).groupBy("chain_key", "i").agg(F.array_sort(F.collect_set("j")).alias("partners"))
+    if windows is None:
+        return partners
+    inside = (F.col("i") >= F.col("crop_start")) & (F.col("i") < F.col("crop_end"))
+    near = F.filter("partners", lambda j: (j >= F.col("crop_start")) & (j < F.col("crop_end")))
+    cells = F.transform(F.sequence(F.col("crop_start"), F.col("crop_end") - 1), lambda k: F.when(F.array_contains("near", k), 1).otherwise(0))
+    met = partners.join(windows.select("chain_key", "crop_start", "crop_end"), "chain_key", "left").withColumn("near", near)
+    return met.select("chain_key", "i", "partners", F.when(inside, cells).alias("cells"))
 
 
 def pair_mask(pairs: DataFrame, residues: DataFrame, include_diagonal: bool = False) -> DataFrame:
@@ -169,16 +182,16 @@ def apc(pairs: DataFrame, keys: tuple[str, ...] = ("chain_key",), values: tuple[
 
     Several value columns are corrected in one pass. The row sums are map-side
     aggregates, one row per residue; the pairs are joined to them on (chain,
-    residue), which no single chain can make one-sided.
+    residue), which no single chain can make one-sided. Whole numbers give
+    results that are exact but for one division.
     """
-    ends = pairs.select(*keys, F.explode(F.array("i", "j")).alias("__r"), *values)
-    rows = ends.groupBy(*keys, "__r").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
+    ends = pairs.select(*keys, F.explode(F.array("i", "j")).alias("i"), *values)
+    rows = ends.groupBy(*keys, "i").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
     totals = rows.groupBy(*keys).agg(*[F.sum(f"__s_{v}").alias(f"__all_{v}") for v in values])
-    shares = rows.join(totals, list(keys)).select(
-        *keys, F.col("__r").alias("j"), *[(F.col(f"__s_{v}") / F.col(f"__all_{v}")).alias(f"__share_{v}") for v in values])
-    rows = rows.withColumnRenamed("__r", "i")
-    fixed = {v: (F.col(v) - F.col(f"__s_{v}") * F.col(f"__share_{v}")).alias(v) for v in values}
-    return (pairs.join(rows, [*keys, "i"]).join(shares, [*keys, "j"])
+    columns = rows.join(totals, list(keys)).select(
+        *keys, F.col("i").alias("j"), *[F.col(f"__s_{v}").alias(f"__t_{v}") for v in values], *[f"__all_{v}" for v in values])
+    fixed = {v: (F.col(v) - F.col(f"__s_{v}") * F.col(f"__t_{v}") / F.col(f"__all_{v}")).alias(v) for v in values}
+    return (pairs.join(rows, [*keys, "i"]).join(columns, [*keys, "j"])
             .select(*[fixed[c] if c in fixed else F.col(c) for c in pairs.columns]))
 
 

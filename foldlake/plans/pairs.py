@@ -58,16 +58,15 @@ def pair_distances(spark, d):
 
 
 @query("contact_rows", f"""WITH {CONTACTS_SQL},
-mirrored AS (SELECT chain_key, i, j FROM contacts UNION ALL SELECT chain_key, j, i FROM contacts),
-lengths AS (SELECT chain_key, count(*)::INT AS L FROM points GROUP BY chain_key)
-SELECT chain_key, i, string_agg(CASE WHEN hit THEN '1' ELSE '0' END, '' ORDER BY k) AS cells FROM (
-  SELECT r.chain_key, r.i, k, b.j IS NOT NULL AS hit FROM (SELECT DISTINCT chain_key, i FROM mirrored) r
-  JOIN lengths USING (chain_key), LATERAL (SELECT unnest(range(0, L)) AS k) u
-  LEFT JOIN mirrored b ON b.chain_key = r.chain_key AND b.i = r.i AND b.j = k) GROUP BY chain_key, i""")
+mirrored AS (SELECT chain_key, i, j FROM contacts UNION ALL SELECT chain_key, j, i FROM contacts)
+SELECT chain_key, i, string_agg(j, ',' ORDER BY j) AS partners, CASE WHEN i >= 5 AND i < 45 THEN
+    array_to_string(list_transform(range(5, 45), lambda k: list_contains(list(j), k)::INT), '') END AS cells
+FROM mirrored GROUP BY chain_key, i""")
 def contact_rows(spark, d):
-    lengths = P.points(spark, d).groupBy("chain_key").agg(F.count(F.lit(1)).cast("int").alias("L"))
-    return B.matrix_rows(_contacts(spark, d), lengths).select(
-        "chain_key", "i", F.array_join(F.col("row").cast("array<string>"), "").alias("cells"))
+    """Partners of every residue, and the dense cells of a window of forty residues."""
+    windows = P.points(spark, d).select("chain_key").distinct().select("chain_key", F.lit(5).alias("crop_start"), F.lit(45).alias("crop_end"))
+    rows = B.matrix_rows(_contacts(spark, d), windows)
+    return rows.select("chain_key", "i", *[F.array_join(F.col(c).cast("array<string>"), sep).alias(c) for c, sep in (("partners", ","), ("cells", ""))])
 
 
 @query("contact_mirror", f"""WITH {CONTACTS_SQL} SELECT chain_key, i, j FROM contacts
@@ -210,12 +209,11 @@ corrected AS (SELECT chain_key, channel, i, j, x - sum(x) OVER (PARTITION BY cha
     * sum(x) OVER (PARTITION BY chain_key, channel, j) / sum(x) OVER (PARTITION BY chain_key, channel) AS x FROM channels)"""
 
 
-@query("apc", f"""WITH {P.PAIRS_SQL}, {_CHANNEL_SQL} SELECT chain_key, i, j, round(x + 1.3e-8, 6) + 0.0 AS x FROM corrected WHERE channel = 0""")
+@query("apc", f"""WITH {P.PAIRS_SQL}, {_CHANNEL_SQL.replace("0 AS channel, p AS x", "0 AS channel, round(p * 1000) AS x")} SELECT chain_key, i, j, round(x, 6) + 0.0 AS x FROM corrected WHERE channel = 0""")
 def apc(spark, d):
-    scores = P.pair_scores(spark, d).select("chain_key", "i", "j", F.col("p").alias("x"))
-    # Corrected scores are short fractions, often half way between two roundings, where the order of
-    # a sum decides; the small step, taken in the SQL as well, moves them off that point.
-    return B.mirror(B.apc(scores)).withColumn("x", S.r6(F.col("x") + 1.3e-8))
+    """Scores in thousandths, whole numbers whose sums are exact."""
+    scores = P.pair_scores(spark, d).select("chain_key", "i", "j", F.round(F.col("p") * 1000).alias("x"))
+    return B.mirror(B.apc(scores)).withColumn("x", S.r6(F.col("x")))
 
 
 _LOGISTIC_SQL = f"""WITH {P.PAIRS_SQL}, {_CHANNEL_SQL}, weights(channel, w) AS (VALUES (0, 1.5), (1, -0.7), (2, 0.4))

@@ -15,7 +15,7 @@ from ..session import stored
 from . import proxies as P
 from .pairs import ALL_NEAR_SQL
 from .registry import query
-from .transfer import _PROJECTED_SQL, _WEIGHTS_SQL, _aligned, _candidates, _contacts
+from .transfer import _PROJECTED_SQL, _WEIGHTS_SQL, _aligned, _candidates, chain_index, chain_seqs, contacts
 
 _MEANS_SQL = f"{P.METRICS_SQL}, means AS (SELECT run_id, epoch, metric, avg(value) AS value FROM run_metrics GROUP BY ALL)"
 
@@ -56,7 +56,7 @@ def _features(spark, d):
     """Close pairs of every chain with a contact label, a score that falls with separation and the template prior."""
     near = B.pair_distances(P.points(spark, d).withColumn("has_ca", F.lit(True)), 12.0)
     pairs = near.select("chain_key", "i", "j", (F.col("dist") < 8).cast("int").alias("y"), (1 / (1 + F.col("j") - F.col("i"))).alias("score"))
-    rows = T.evidence(T.project(_aligned(spark, d), _contacts(spark, d)), True, False)
+    rows = T.evidence(T.project(_aligned(spark, d), contacts(spark, d)), True, False)
     return M.pair_features(pairs, T.vote(rows, R.hit_weights(_candidates(spark, d))))
 
 
@@ -83,3 +83,16 @@ def pair_classifier(spark, d):
     features = stored(_features(spark, d))  # read by the weights, the fit and the scoring
     found = M.residuals(M.fit_pair_classifier(features), features)
     return found.withColumn("residual", F.round("residual", 3) + 0.0)
+
+
+@query("predict_pairs")
+def predict_pairs(spark, d):
+    """From templates to contacts: priors of real hits, features, fit, threshold from validation chains, long-range mask."""
+    close = B.pair_distances(P.points(spark, d).withColumn("has_ca", F.lit(True)), 12.0)
+    pairs = close.select("chain_key", "i", "j", (F.col("dist") < 8).cast("int").alias("y"), (1 / (1 + F.col("j") - F.col("i"))).alias("score"))
+    index = chain_index(spark, d)
+    priors = T.transfer(index, index, chain_seqs(spark, d), contacts(spark, d))
+    number = F.substring_index(F.substring("chain_key", 2, 20), "_", 1).cast("int") * 2 + F.col("chain_key").endswith("B").cast("int")
+    split = F.when(number % 5 == 0, "test").when(number % 5 == 1, "val").otherwise("train")
+    features = stored(M.pair_features(pairs, priors).withColumn("split", split))
+    return M.predict_pairs(features).withColumn("p", r6(F.col("p")))

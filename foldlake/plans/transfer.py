@@ -17,7 +17,7 @@ from .pairs import ALL_NEAR_SQL, CONTACTS_SQL
 from .registry import query
 
 
-def _chain_seqs(spark, d):
+def chain_seqs(spark, d):
     return C.all_chains(P.points(spark, d)).select("chain_key", "pdb_id", "seq", "L")
 
 
@@ -71,7 +71,7 @@ onto AS (SELECT c.query_key, c.tpl_key, n.i, n.j, a.tpos IS NOT NULL AND b.tpos
     LEFT JOIN blosum s ON s.ai = a.t_aa AND s.aj = b.t_aa)"""
 
 
-def _contacts(spark, d):
+def contacts(spark, d):
     return B.contacts(P.points(spark, d))
 
 
@@ -97,7 +97,7 @@ SELECT query_key, tpl_key, h[length(r.b) + 1]::INT AS score, h[length(r.b) + 1]:
 FROM score_rows r JOIN chain_pairs USING (id) WHERE i = length(r.a)""")
 def align_pairs(spark, d):
     """Chains against their candidates. The gapped strings must spell the chains and earn the score."""
-    seqs = _chain_seqs(spark, d)
+    seqs = chain_seqs(spark, d)
     done = A.align_pairs(_candidates(spark, d), seqs, seqs)
     spelled = C.fetch(C.fetch(done, seqs.select("chain_key", F.col("seq").alias("q_seq")), "query_key"),
                       seqs.select("chain_key", F.col("seq").alias("t_seq")), "tpl_key")
@@ -162,19 +162,19 @@ def cigar_positions(spark, d):
 @query("project_binary", f"""WITH {_ONTO_SQL} SELECT query_key, tpl_key, i, j,
     CASE WHEN NOT known THEN -1.0 WHEN hit THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM onto""")
 def project_binary(spark, d):
-    return T.project_onto(_asked(spark, d), _aligned(spark, d), _contacts(spark, d))
+    return T.project_onto(_asked(spark, d), _aligned(spark, d), contacts(spark, d))
 
 
 @query("project_blosum", f"""WITH {_ONTO_SQL} SELECT query_key, tpl_key, i, j, round(CASE WHEN j - i < 3 OR NOT known THEN 0.0
     WHEN hit THEN strength ELSE -strength END::DOUBLE, 6) + 0.0 AS value FROM onto""")
 def project_blosum(spark, d):
-    onto = T.project_onto(_asked(spark, d), _aligned(spark, d), _contacts(spark, d), T.blosum62(spark), min_sep=3)
+    onto = T.project_onto(_asked(spark, d), _aligned(spark, d), contacts(spark, d), T.blosum62(spark), min_sep=3)
     return onto.withColumn("value", r6(F.col("value")))
 
 
 @query("project_contacts", f"""WITH {_PROJECTED_SQL} SELECT query_key, tpl_key, i, j, round(strength, 6) + 0.0 AS value FROM projected""")
 def project_contacts(spark, d):
-    out = T.project(_aligned(spark, d), _contacts(spark, d), T.blosum62(spark))
+    out = T.project(_aligned(spark, d), contacts(spark, d), T.blosum62(spark))
     return out.withColumn("value", r6(F.col("value")))
 
 
@@ -182,14 +182,14 @@ def project_contacts(spark, d):
     round(CASE WHEN j - i < 8 THEN 0 ELSE greatest(0, least(1, strength)) END::DOUBLE, 6) + 0.0 AS value,
     CASE WHEN j - i < 8 OR strength = 0 THEN 0 ELSE 1 END AS flag FROM projected""")
 def evidence(spark, d):
-    rows = T.evidence(T.project(_aligned(spark, d), _contacts(spark, d), T.blosum62(spark)), False, True, 8)
+    rows = T.evidence(T.project(_aligned(spark, d), contacts(spark, d), T.blosum62(spark)), False, True, 8)
     return rows.withColumn("value", r6(F.col("value")))
 
 
 @query("evidence_known", f"""WITH {_ONTO_SQL} SELECT query_key, tpl_key, i, j,
     CASE WHEN hit AND j - i >= 6 THEN 1.0 ELSE 0.0 END::DOUBLE AS value, CASE WHEN known AND j - i >= 6 THEN 1 ELSE 0 END AS flag FROM onto""")
 def evidence_known(spark, d):
-    return T.evidence(T.project_onto(_asked(spark, d), _aligned(spark, d), _contacts(spark, d)), False, False, 6)
+    return T.evidence(T.project_onto(_asked(spark, d), _aligned(spark, d), contacts(spark, d)), False, False, 6)
 
 
 _WEIGHTS_SQL = """raised AS (SELECT *, exp(sim - max(sim) OVER (PARTITION BY query_key)) AS e FROM candidates),
@@ -200,8 +200,8 @@ weights AS (SELECT query_key, tpl_key, e / (sum(e) OVER (PARTITION BY query_key)
 SELECT query_key, (i - 5)::INT AS i, (j - 5)::INT AS j, round(sum(weight), 6) + 0.0 AS prior, count(*)::DOUBLE AS cnt
 FROM projected JOIN weights USING (query_key, tpl_key) WHERE i >= 5 AND j < 45 GROUP BY query_key, i, j""")
 def template_vote(spark, d):
-    rows = T.evidence(T.project(_aligned(spark, d), _contacts(spark, d)), True, False)
-    windows = B.crop_windows(_chain_seqs(spark, d), 40, "center")
+    rows = T.evidence(T.project(_aligned(spark, d), contacts(spark, d)), True, False)
+    windows = B.crop_windows(chain_seqs(spark, d), 40, "center")
     voted = T.vote(rows, R.hit_weights(_candidates(spark, d)), windows)
     return voted.withColumn("prior", r6(F.col("prior")))
 
@@ -248,5 +248,5 @@ FROM projected JOIN weights USING (query_key, tpl_key) WHERE j - i >= 6 GROUP BY
 @query("transfer_e2e", _E2E_SQL)
 def transfer_e2e(spark, d):
     index = chain_index(spark, d)
-    prior = T.transfer(index, index, _chain_seqs(spark, d), _contacts(spark, d), min_sep=6)
+    prior = T.transfer(index, index, chain_seqs(spark, d), contacts(spark, d), min_sep=6)
     return prior.withColumn("prior", r6(F.col("prior")))

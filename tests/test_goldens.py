@@ -28,9 +28,11 @@ def test_contact_distance_is_strict(hairpin):
 
 
 def test_matrix_rows(spark, hairpin):
-    lengths = spark.createDataFrame([("c", 12)], "chain_key string, L int")
-    rows = {r.i: r.row for r in pairs.matrix_rows(pairs.contacts(hairpin), lengths).collect()}
-    assert rows[0] == [0] * 10 + [1, 1] and rows[11] == [1, 1] + [0] * 10
+    windows = spark.createDataFrame([("c", 1, 12)], "chain_key string, crop_start int, crop_end int")
+    rows = {r.i: r for r in pairs.matrix_rows(pairs.contacts(hairpin), windows).collect()}
+    assert rows[0].partners == [10, 11] and rows[0].cells is None
+    assert rows[11].partners == [0, 1] and rows[11].cells == [1] + [0] * 10
+    assert {r.i: r.partners for r in pairs.matrix_rows(pairs.contacts(hairpin)).collect()} == {i: r.partners for i, r in rows.items()}
 
 
 def test_relpos(spark):

@@ -132,7 +132,7 @@ def test_vectors_travel_once_per_block_of_the_other_side(spark):
 
 
 PYTHON_QUERIES = {"token_batches", "embed_stub", "topk_similar", "topk_blocked", "topk_other", "hit_weights", "index_build", "aligned_positions", "align_pairs", "align_turns",
-                  "transfer_e2e", "pair_classifier"}
+                  "transfer_e2e", "pair_classifier", "predict_pairs"}
 
 
 load_all()
