@@ -8,6 +8,7 @@ then holds more than one piece, however large the group is.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +68,8 @@ def range_pieces(df: DataFrame, column: str, pieces: int = 256) -> list[Column]:
     return [F.size(F.filter(edges, lambda b: b < F.col(column)))]
 
 
-def score_pieces(df: DataFrame, score: str, tie_breaker: str, pieces: int = 256, width: int = 16) -> list[Column]:
-    """Coarse key for descending scores, also when most of them are equal, wherever they lie.
+def with_score_pieces(df: DataFrame, score: str, tie_breaker: str, pieces: int = 128, width: int = 64) -> tuple[DataFrame, list[Column]]:
+    """``df`` with a coarse key for descending scores, also when most of them are equal, wherever they lie; and the key.
 
     Borders are quantiles of the scores (at most ``pieces`` - 1 values reach the driver). A score that is a border has
     a piece of its own, as any score more frequent than 1 in ``pieces`` is; there all rows tie, so the piece is cut
@@ -76,8 +77,11 @@ def score_pieces(df: DataFrame, score: str, tie_breaker: str, pieces: int = 256,
     """
     cuts = [k / pieces for k in range(1, pieces)]
     found = df.agg(F.percentile_approx(F.col(score).cast("double"), cuts, 20 * pieces).alias("q")).first()["q"]
-    borders = F.array(*[F.lit(b) for b in sorted(set(found or [0.0]))])
-    value = F.col(score).cast("double")
-    on_border = F.array_contains(borders, value)
-    rank = 2 * F.size(F.filter(borders, lambda b: b > value)) + F.when(on_border, 1).otherwise(0)
-    return [rank, F.when(on_border, F.floor(F.col(tie_breaker) / width)).otherwise(F.lit(0))]
+    borders = sorted({-b for b in found or [0.0]})
+    placed = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="__descending", outputCol="__range").transform(
+        df.withColumn("__descending", -F.col(score).cast("double")))  # range k starts at border k - 1, itself included
+    lower = F.element_at(F.array(F.lit(float("-inf")), *[F.lit(b) for b in borders]), F.col("__range").cast("int") + 1)
+    at_border = F.col("__descending") == lower
+    rank = 2 * F.col("__range").cast("int") + F.when(at_border, 0).otherwise(1)
+    tie = F.when(at_border, F.floor(F.col(tie_breaker) / width)).otherwise(F.lit(0))
+    return placed.withColumns({"__piece_range": rank, "__piece_tie": tie}).drop("__descending", "__range"), [F.col("__piece_range"), F.col("__piece_tie")]

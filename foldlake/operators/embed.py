@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +13,14 @@ from ..functions.vectors import l2_normalize
 
 
 def _mean(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Mean vector per key, one aggregate of whole vectors that combines map-side."""
-    mean = Summarizer.mean(array_to_vector(F.col(column).cast("array<double>")))
-    return df.groupBy(*keys).agg(mean.alias("__mean")).select(*keys, vector_to_array("__mean").alias("emb"))
+    """Mean vector per key: one row per key and task moves, with a sum for each dimension, and no vector is exploded.
+
+    The number of dimensions is read from one row; all vectors have as many.
+    """
+    first = df.select(F.size(column).alias("dims")).first()
+    dims = range(first["dims"] if first else 0)
+    means = df.groupBy(*keys).agg(*[F.avg(F.get(column, k)).alias(f"__m{k}") for k in dims], F.count(F.lit(1)).alias("__n"))
+    return means.select(*keys, F.array(*[F.col(f"__m{k}") for k in dims]).cast("array<double>").alias("emb"))
 
 
 def mean_pool(token_vecs: DataFrame, key: str = "chain_key", valid: str | None = None) -> DataFrame:

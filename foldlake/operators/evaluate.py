@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import ordinal, score_pieces
+from ..functions.ordering import ordinal, with_score_pieces
+from ..session import stored
 
 THRESHOLDS = [(k + 1) / 20 for k in range(19)]
 
@@ -15,19 +16,20 @@ def precision_at_k(scores: DataFrame, width: int = 64) -> DataFrame:
 
     L counts residues with a valid pair. Entries are ordered pairs: each row
     i < j stands for two entries that rank together. Best rows are taken per
-    stripe of ``width`` residues first; these are ranked piece by piece of the
-    score range, so a long chain is not sorted in one task.
+    stripe of ``width`` residues, then per ``width`` stripes, and only these
+    are ranked, so a long chain is not sorted in one task.
     """
     valid = scores.filter("valid").select("chain_key", "i", "j", "p", "y")
     ends = valid.select("chain_key", F.explode(F.array("i", "j")).alias("r")).groupBy("chain_key", "r").agg(F.count(F.lit(1)).alias("n"))
     # Each valid pair has two ends and stands for two entries.
     sizes = ends.groupBy("chain_key").agg(F.count(F.lit(1)).alias("Lb"), F.sum("n").alias("entries"))
     best = (F.desc("p"), "i", "j")
-    stripe = Window.partitionBy("chain_key", "stripe").orderBy(*best)
-    local = valid.withColumn("stripe", F.floor(F.col("i") / width)).withColumn("r", F.row_number().over(stripe))
-    kept = local.join(sizes, "chain_key").filter(F.col("r") <= F.floor((F.col("Lb") + 1) / 2))
-    placed = ordinal(kept.drop("r", "stripe"), ["chain_key"], [F.desc("p"), F.col("i"), F.col("j")], score_pieces(valid, "p", "i"), "place")
-    ranked = placed.withColumn("r", F.col("place") + 1).filter(2 * F.col("place") < F.col("Lb"))
+    kept = valid.join(sizes, "chain_key")
+    wanted = F.floor((F.col("Lb") + 1) / 2)
+    for part in (F.floor(F.col("i") / width), F.floor(F.col("i") / (width * width)), F.lit(0)):
+        group = Window.partitionBy("chain_key", "part").orderBy(*best)
+        kept = kept.withColumn("part", part).withColumn("r", F.row_number().over(group)).filter(F.col("r") <= wanted)
+    ranked = kept
 
     # Each chain keeps at least as many rows as its largest K needs, so sums below are complete.
     ks = {"p_at_l": F.col("Lb"), "p_at_l2": F.greatest(F.lit(1), F.floor(F.col("Lb") / 2)),
@@ -114,9 +116,8 @@ def pr_curve(scores: DataFrame, keys: tuple[str, ...] = ("chain_key",)) -> DataF
     when most scores are equal. Pass both orders of each pair to rank entries
     of the full matrix.
     """
-    valid = scores.filter("valid").select(*keys, "i", "j", "p", "y")
+    valid, pieces = with_score_pieces(stored(scores.filter("valid").select(*keys, "i", "j", "p", "y")), "p", "i")
     order = [F.desc("p"), F.col("i"), F.col("j")]
-    pieces = score_pieces(valid, "p", "i")
     ranked = ordinal(valid, list(keys), order, pieces, "place", {"tp": F.col("y")})
     totals = valid.groupBy(*keys).agg(F.sum("y").alias("positives"), F.count(F.lit(1)).alias("n")).filter("positives > 0")
     rank = F.col("place") + 1

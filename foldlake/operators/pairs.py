@@ -21,12 +21,13 @@ def _cell(axis: str, size: float) -> Column:
     return F.floor(F.col(axis) / size).cast("int")
 
 
-def pair_distances(residues: DataFrame, radius: float) -> DataFrame:
+def pair_distances(residues: DataFrame, radius: float, join: str | None = None) -> DataFrame:
     """Pairs of one chain less than ``radius`` apart, with their distance.
 
     Residues meet only in the same or a neighbouring cube of edge ``radius``, and only in cubes that their ball
     reaches, so the work follows the number of close pairs and the join key (chain and cube) stays small however long
-    the chain is.
+    the chain is. The planner chooses the join, which can spill; ``join="shuffle_hash"`` is faster where the residues
+    of a shuffle partition are known to fit in memory.
     """
     size = radius * (1 + 1e-9)
     here = residues.filter("has_ca").select(
@@ -48,14 +49,15 @@ def pair_distances(residues: DataFrame, radius: float) -> DataFrame:
         ((F.col("o.a") == 0) & (F.col("o.b") == 0) & (F.col("o.c") == 0)).alias("home"))
     dx, dy, dz = F.col("x") - F.col("u"), F.col("y") - F.col("v"), F.col("z") - F.col("w")
     dist = F.sqrt(dx * dx + dy * dy + dz * dz)
-    met = here.join(reach, (F.col("chain_key") == F.col("k")) & (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey"))
+    plain = here.hint(join) if join else here
+    met = plain.join(reach, (F.col("chain_key") == F.col("k")) & (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey"))
                     & (F.col("cz") == F.col("ez")) & (~F.col("home") | (F.col("q") < F.col("p"))) & (dist < radius))
     return met.select("chain_key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), dist.alias("dist"))
 
 
-def contacts(residues: DataFrame, cutoff: float = CONTACT_CUTOFF, min_sep: int = MIN_SEPARATION) -> DataFrame:
+def contacts(residues: DataFrame, cutoff: float = CONTACT_CUTOFF, min_sep: int = MIN_SEPARATION, join: str | None = None) -> DataFrame:
     """Pairs closer than ``cutoff`` and at least ``min_sep`` positions apart."""
-    return pair_distances(residues, cutoff).filter(F.col("j") - F.col("i") >= min_sep)
+    return pair_distances(residues, cutoff, join).filter(F.col("j") - F.col("i") >= min_sep)
 
 
 def mirror(pairs: DataFrame) -> DataFrame:

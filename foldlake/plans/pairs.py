@@ -46,7 +46,7 @@ SELECT chain_key, count(*) AS n, sum(i)::BIGINT AS sum_i, sum(j)::BIGINT AS sum_
 FROM near WHERE j - i >= 6 GROUP BY chain_key""")
 def contacts_bulk(spark, d):
     """Contacts of the large residue table, counted per chain."""
-    found = B.contacts(P.bulk_points(spark, d))
+    found = B.contacts(P.bulk_points(spark, d), join="shuffle_hash")
     return found.groupBy("chain_key").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"), F.sum("j").alias("sum_j"),
                                           S.r6(F.max("dist")).alias("max_dist"))
 

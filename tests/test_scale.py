@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldlake.functions.ordering import hash_pieces, ordinal, score_pieces, range_pieces
+from foldlake.functions.ordering import hash_pieces, ordinal, range_pieces, with_score_pieces
 from foldlake.operators import graph, pairs, retrieve
 from foldlake.plans import load_all
 from foldlake.plans.registry import QUERIES
@@ -33,7 +33,8 @@ def test_running_sum_with_ties(spark):
     rows = [(0, int(i), int(j), float(p), int(y)) for (i, j), p, y in zip(
         [(i, j) for i in range(60) for j in range(60)], rng.choice([0.0, 1.0, 0.25, 0.3, 0.30001], 3600), rng.integers(0, 2, 3600))]
     df = spark.createDataFrame(rows, "g int, i int, j int, p double, y int")
-    out = ordinal(df, ["g"], [F.desc("p"), F.col("i"), F.col("j")], score_pieces(df, "p", "i", 16, 8), "n", {"tp": F.col("y")})
+    cut, pieces = with_score_pieces(df, "p", "i", 16, 8)
+    out = ordinal(cut, ["g"], [F.desc("p"), F.col("i"), F.col("j")], pieces, "n", {"tp": F.col("y")})
     got = out.toPandas().sort_values("n")
     want = sorted(rows, key=lambda r: (-r[3], r[1], r[2]))
     assert list(zip(got.i, got.j)) == [(r[1], r[2]) for r in want]
@@ -45,8 +46,8 @@ def test_equal_scores_are_many_pieces(spark, scores):
     """A chain with 95 % of the rows and few distinct scores: no piece holds more than one part in twenty."""
     df = spark.range(40_000).select(F.when(F.col("id") % 20 == 0, "b").otherwise("a").alias("c"), (F.col("id") % 997).cast("int").alias("i"),
                                     F.element_at(F.array(*[F.lit(x) for x in scores]), (F.col("id") % len(scores)).cast("int") + 1).alias("p"))
-    pieces = [p.alias(f"k{n}") for n, p in enumerate(score_pieces(df, "p", "i"))]
-    assert df.select("c", *pieces).groupBy("c", "k0", "k1").count().agg(F.max("count")).first()[0] <= 2000
+    cut, pieces = with_score_pieces(df, "p", "i")
+    assert cut.select("c", *[p.alias(f"k{n}") for n, p in enumerate(pieces)]).groupBy("c", "k0", "k1").count().agg(F.max("count")).first()[0] <= 2000
 
 
 def _cloud(spark, sizes, spread, seed=3, missing=9):
