@@ -46,7 +46,7 @@ def test_equal_scores_are_many_pieces(spark, scores):
     """A chain with 95 % of the rows and few distinct scores: no piece holds more than one part in twenty."""
     df = spark.range(40_000).select(F.when(F.col("id") % 20 == 0, "b").otherwise("a").alias("c"), (F.col("id") % 997).cast("int").alias("i"),
                                     F.element_at(F.array(*[F.lit(x) for x in scores]), (F.col("id") % len(scores)).cast("int") + 1).alias("p"))
-    cut, pieces = with_score_pieces(df, "p", "i")
+    cut, pieces = with_score_pieces(df, "p", "i", width=16)
     assert cut.select("c", *[p.alias(f"k{n}") for n, p in enumerate(pieces)]).groupBy("c", "k0", "k1").count().agg(F.max("count")).first()[0] <= 2000
 
 
