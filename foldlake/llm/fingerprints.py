@@ -107,17 +107,22 @@ def likeness(a: Chunks, b: Chunks) -> float:
 
 # ---------------------------------------------------------------- the next document
 
+#: Ranges of ids, and so rows that reach the driver, whatever the size of the corpus.
+MOST_RANGES = 20_000
+
+
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, text (null: empty), to (a range) and end, ready to be read range by range.
 
     Rows are dealt to ranges of doc_id, descending, and sorted inside; a range is followed by a copy of the first row
     of the next one that has rows (``end``), so that every row finds its successor behind it. Whole texts travel once,
     plus one text per range. The last range is followed by the first row of all. Null ids come last. Borders are
-    quantiles of doc_id; the driver gets a border and a first id for each range, by default four per shuffle partition.
+    quantiles of doc_id; the driver gets a border and a first id for each range, by default four per shuffle partition
+    and at most ``MOST_RANGES``. A range may be of any size: it is sorted with spilling and read row by row.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or 4 * partitions
+    ranges = ranges or min(4 * partitions, MOST_RANGES)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
                        F.col("doc_id").cast("double").alias("at"))
     quantiles = F.percentile_approx("at", F.lit([k / ranges for k in range(1, ranges)] or [0.5]), F.lit(max(10_000, 20 * ranges)))
@@ -135,7 +140,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     copy = F.struct(F.col("ahead").alias("to"), F.lit(True).alias("end"))
     marked = keyed.join(F.broadcast(ahead), ["part", "id", "h"], "left")  # a row per range
     sent = marked.select("doc_id", "text", "id", "h", F.explode(F.when(F.col("ahead").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("c"))
-    dealt = sent.select("doc_id", "text", "id", "h", "c.to", "c.end").repartition(partitions, "to")
+    dealt = sent.select("doc_id", "text", "id", "h", "c.to", "c.end").repartition(min(partitions, ranges), "to")
     return dealt.sortWithinPartitions("to", "end", F.desc("id"), F.desc("h")).select("doc_id", "text", "to", "end")
 
 
