@@ -55,7 +55,9 @@ NAMES = frozenset(
 #: Names of the page's header; they are also used of the article's own.
 HEADER_NAMES = frozenset("header headers".split())
 #: Names that, beside another word, only say where an element stands or what it lacks.
-QUALIFIED = re.compile(r"(?:^|[\s_])(?:has|no|with|without|is|not)[-_][\w-]*", re.ASCII)
+QUALIFIED = re.compile(r"(?:^|[\s_-])(?:has|no|with|without|is|not)[-_][\w-]*", re.ASCII)
+#: Beginnings of names that mean the same when words are run together.
+BEGINNINGS = ("cookie", "newsletter", "advert", "sponsor", "sidebar", "breadcrumb", "disqus", "paywall", "popup", "navbar")
 
 LONG, SHORT = 200, 70  # characters
 STOP_HIGH, STOP_LOW, LINKS = 0.30, 0.15, 0.5
@@ -136,9 +138,9 @@ class _Reader:
         if tag not in ("html", "body"):
             hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""))
             is_article = tag == "article" or tag == "main" or "main" == attributes.get("role") or "articleBody" in attributes.get("itemprop", "")
-            bad = tag in OUTSIDE or bool(names & NAMES)
-            if is_article and tag != "article" and not (names & {"comment", "comments"}):
-                bad = False
+            bad = tag in OUTSIDE or bool(names & NAMES) or any(n.startswith(BEGINNINGS) for n in names)
+            if is_article and tag != "article":  # what is marked as the main part is it, whatever stands around
+                outside, bad = False, bool(names & {"comment", "comments"})
             outside = outside or bool(hidden) or bad
             if not outside and (tag == "header" or names & HEADER_NAMES and tag not in HEADINGS and not is_article):
                 outside, header = (False, True) if region else (True, header)

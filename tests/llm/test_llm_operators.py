@@ -502,6 +502,8 @@ LONG = "The story is about the man and the sea and it was told by all of them th
     (f"<div id=nav><a href=#>x</a></div><div><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div class='comment-list'><p>{LONG}</p></div>",
      f"{LONG.strip()} Short one. {LONG.strip()}"),
     (f"<main><p>{LONG}<p>next<script>var a = '<p>x</p>';</script><form><p>mail</p><input></form></main><div class=sidebar>{LONG}</div>", f"{LONG.strip()} next"),
+    (f"<div class='content-with-sidebar'><p>{LONG}</p><div id=cookiebar>{LONG}</div><p>{LONG}</p></div>", f"{LONG.strip()} {LONG.strip()}"),
+    (f"<div class=sidebar-layout><main><p>{LONG}</p></main><div class=navbarTop>{LONG}</div></div>", LONG.strip()),
     ("<!-- only --><script>x", ""), ("", ""), ("<p", "<p"), ("plain text &amp; more", "plain text & more"),
 ])
 def test_block_rules(html, want):
