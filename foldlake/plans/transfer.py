@@ -92,28 +92,41 @@ chain_pairs AS (SELECT query_key || '/' || tpl_key AS id, query_key, tpl_key, q.
     JOIN seqs q ON q.chain_key = query_key JOIN seqs t ON t.chain_key = tpl_key)"""
 
 
+def _checked(done, q_seqs, t_seqs):
+    """Alignments with what must hold: the gapped strings spell the sequences and earn the score."""
+    spelled = C.fetch(C.fetch(done, q_seqs.select("chain_key", F.col("seq").alias("q_seq")), "query_key"),
+                      t_seqs.select("chain_key", F.col("seq").alias("t_seq")), "tpl_key")
+    return spelled.select("query_key", "tpl_key", "score", A.rescore(F.col("q_aln"), F.col("t_aln")).alias("rescored"),
+                          (F.replace("q_aln", F.lit("-"), F.lit("")) == F.col("q_seq")).alias("q_whole"),
+                          (F.replace("t_aln", F.lit("-"), F.lit("")) == F.col("t_seq")).alias("t_whole"))
+
+
 @query("align_pairs", f"""WITH RECURSIVE {_CHAIN_PAIRS_SQL}, {score_sql('chain_pairs')}
 SELECT query_key, tpl_key, h[length(r.b) + 1]::INT AS score, h[length(r.b) + 1]::INT AS rescored, true AS q_whole, true AS t_whole
 FROM score_rows r JOIN chain_pairs USING (id) WHERE i = length(r.a)""")
 def align_pairs(spark, d):
     """Chains against their candidates. The gapped strings must spell the chains and earn the score."""
     seqs = chain_seqs(spark, d)
-    done = A.align_pairs(_candidates(spark, d), seqs, seqs)
-    spelled = C.fetch(C.fetch(done, seqs.select("chain_key", F.col("seq").alias("q_seq")), "query_key"),
-                      seqs.select("chain_key", F.col("seq").alias("t_seq")), "tpl_key")
-    return spelled.select("query_key", "tpl_key", "score", A.rescore(F.col("q_aln"), F.col("t_aln")).alias("rescored"),
-                          (F.replace("q_aln", F.lit("-"), F.lit("")) == F.col("q_seq")).alias("q_whole"),
-                          (F.replace("t_aln", F.lit("-"), F.lit("")) == F.col("t_seq")).alias("t_whole"))
-
-
-@query("align_turns")
+    return _checked(A.align_pairs(_candidates(spark, d), seqs, seqs), seqs, seqs)
+
+
+# Diagonal by diagonal: a cell needs the two diagonals before it, so a step is one list per pair.
+@query("align_turns", f"""WITH RECURSIVE turns AS (SELECT conv_id, turn, {P.clean_sql('text')} AS seq FROM conversations),
+turn_pairs AS (SELECT q.conv_id || '_' || q.turn AS query_key, t.conv_id || '_' || t.turn AS tpl_key, string_split(q.seq, '') AS a, string_split(t.seq, '') AS b,
+    length(q.seq) AS m, length(t.seq) AS n FROM turns q JOIN turns t ON t.conv_id = q.conv_id AND t.turn = q.turn + 1),
+diagonals(query_key, d, a, b, m, n, h2, h1) USING KEY (query_key) AS (SELECT query_key, 0::BIGINT, a, b, m, n,
+        list_transform(range(0, m + 1), lambda i: NULL::INT), list_transform(range(0, m + 1), lambda i: CASE WHEN i = 0 THEN 0 END) FROM turn_pairs
+    UNION ALL SELECT query_key, d + 1, a, b, m, n, h1, list_transform(range(0, m + 1), lambda i: CASE WHEN i > d + 1 OR d + 1 - i > n THEN NULL ELSE greatest(
+        CASE WHEN i > 0 AND i <= d THEN h2[i] + CASE WHEN a[i] = b[d + 1 - i] THEN 1 ELSE -1 END END, CASE WHEN i > 0 THEN h1[i] - 2 END,
+        CASE WHEN i <= d THEN h1[i + 1] - 2 END) END) FROM diagonals WHERE d < m + n)
+SELECT query_key, tpl_key, h1[p.m + 1] AS score, h1[p.m + 1] AS rescored, true AS q_whole, true AS t_whole FROM diagonals JOIN turn_pairs p USING (query_key)""")
 def align_turns(spark, d):
     """Every conversation turn against the next one, whole texts."""
     turns = P.table(spark, d, "conversations").select("conv_id", "turn", P.clean(F.col("text")).alias("seq"))
     keyed = turns.select(F.concat_ws("_", "conv_id", "turn").alias("chain_key"), "seq")
     pairs = turns.select(F.concat_ws("_", "conv_id", "turn").alias("query_key"),
                          F.concat_ws("_", F.col("conv_id"), F.col("turn") + 1).alias("tpl_key"))
-    return A.align_pairs(pairs, keyed, keyed)
+    return _checked(A.align_pairs(pairs, keyed, keyed), keyed, keyed)
 
 
 _NAME, _TYPE = "upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g'))", "upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g'))"
