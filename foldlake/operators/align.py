@@ -196,21 +196,31 @@ def _letter_score(a: Column, b: Column) -> Column:
 
 
 def align_score(query: Column, template: Column, gap: int = GAP) -> Column:
-    """Alignment score of two short strings without leaving the JVM."""
+    """Alignment score of two strings without leaving the JVM, in time of their lengths' product.
+
+    The table is made diagonal by diagonal: a cell needs the two diagonals in front only. Both strings travel with the
+    diagonals as letters, so that they are split once.
+    """
     def letters(c: Column) -> Column:
         return F.filter(F.split(c, ""), lambda x: x != "")
 
-    others = letters(template)
-    top = F.transform(F.sequence(F.lit(0), F.length(template)), lambda j: (-gap * j).cast("int"))
+    def line(value) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.length(query)), value)
+
+    def step(state: Column, d: Column) -> Column:
+        def cell(i: Column) -> Column:
+            j = d - i
+            both = F.when((i > 0) & (j > 0), F.get(state["h2"], i - 1) + _letter_score(F.get(state["a"], i - 1), F.get(state["b"], j - 1)))
+            up, left = F.when(i > 0, F.get(state["h1"], i - 1) - gap), F.when(j > 0, F.get(state["h1"], i) - gap)
+            return F.when((j >= 0) & (j <= F.size(state["b"])), F.greatest(both, up, left))
 
-    def next_row(row: Column, letter: Column) -> Column:
-        cells = F.arrays_zip(
-            F.slice(row, 1, F.length(template)).alias("diagonal"), F.slice(row, 2, F.length(template)).alias("up"), others.alias("other"))
-        start = F.array((F.element_at(row, 1) - gap).cast("int"))
-        return F.aggregate(cells, start, lambda done, cell: F.concat(done, F.array(F.greatest(
-            cell["diagonal"] + _letter_score(letter, cell["other"]), cell["up"] - gap, F.element_at(done, -1) - gap).cast("int"))))
+        following = F.transform(F.sequence(F.lit(0), F.size(state["a"])), cell)
+        return F.struct(state["a"].alias("a"), state["b"].alias("b"), state["h1"].alias("h2"), following.alias("h1"))
 
-    return F.element_at(F.aggregate(letters(query), top, next_row), -1)
+    start = F.struct(letters(query).alias("a"), letters(template).alias("b"), line(lambda i: F.lit(None).cast("int")).alias("h2"),
+                     line(lambda i: F.when(i == 0, 0)).alias("h1"))
+    diagonals = F.filter(F.sequence(F.lit(0), F.length(query) + F.length(template)), lambda d: d > 0)
+    return F.aggregate(diagonals, start, step, lambda s: F.element_at(s["h1"], -1))
 
 
 def rescore(q_aln: Column, t_aln: Column, gap: int = GAP) -> Column:
