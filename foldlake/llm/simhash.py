@@ -135,14 +135,16 @@ def _turned(fp: Column, bits: int) -> Column:
 def links(distinct: DataFrame, errors: int = ERRORS, unit: int = UNIT) -> DataFrame:
     """a, b: links that connect exactly the ``fp`` of ``distinct`` that differ in at most ``errors`` bits.
 
-    Inside a unit the links are reduced to a forest with the same components.
+    Inside a unit the links are reduced to a forest with the same components. Where ``distinct`` has a column ``seed``
+    (whole numbers from 0), only equal seeds are linked and the links carry it.
     """
     if not 0 <= errors < 8:
         raise ValueError("the error budget must be 0 to 7 bits")
     blocks = errors + 1
     starts = [64 * k // blocks for k in range(blocks + 1)]
+    seeded = "seed" in distinct.columns
     tries = F.array(*[
-        F.struct(F.lit(k).alias("trie"), F.lit(end - begin).alias("depth"), _turned(F.col("fp"), begin).alias("path"))
+        F.struct((F.col("seed") * blocks + k if seeded else F.lit(k)).alias("trie"), F.lit(end - begin).alias("depth"), _turned(F.col("fp"), begin).alias("path"))
         for k, (begin, end) in enumerate(zip(starts, starts[1:]))])
     rows = distinct.select(F.explode(tries).alias("t")).select("t.*")
     node = F.expr("shiftrightunsigned(path, 64 - depth)")
@@ -202,12 +204,15 @@ def links(distinct: DataFrame, errors: int = ERRORS, unit: int = UNIT) -> DataFr
         i, j = follow(v, new[use], middle[use], last[use], depth[new][use], errors)
         root = _forest(size, i, j)
         linked = np.flatnonzero(root != np.arange(size))
-        turn = np.array(starts, dtype=np.uint64)[trie]
+        turn = np.array(starts, dtype=np.uint64)[trie % blocks]
         back = np.where(turn == 0, v, v >> turn | v << (np.uint64(64) - turn) % np.uint64(64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(back[linked]), pa.array(back[root[linked]])], names=["a", "b"])
+        ends = [pa.array(back[linked]), pa.array(back[root[linked]])]
+        if seeded:
+            return pa.RecordBatch.from_arrays([*ends, pa.array(trie[linked] // blocks)], names=["a", "b", "seed"])
+        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
     dealt = units.repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint, seed bigint" if seeded else "a bigint, b bigint")
 
 
 def _above(child: Column) -> Column:

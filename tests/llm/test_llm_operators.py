@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from foldlake.llm import encoding, fingerprints, html_text, langid, licenses, mixing, packing, quality, queries, simhash, token_counts, topk
+from foldlake.llm import encoding, fingerprints, html_text, langid, licenses, mixing, near_text, packing, quality, queries, simhash, token_counts, topk
 from foldlake.llm.components import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -343,6 +343,35 @@ def test_simhash_edge_cases(messy, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[k:k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+
+def test_near_dedup_stage_keeps_one_of_each_group_by_five_word_jaccard(spark, sf_dir, monkeypatch):
+    rng = random.Random(9)
+    texts = []
+    for size in (30, 130, 190, 250) * 5:
+        base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        texts.append(base)
+        for share in (0.006, 0.012, 0.02, 0.03):
+            texts.append([f"v{rng.randrange(3000)}" if rng.random() < share else w for w in base])
+    base = texts[1]
+    texts += [base[:k] + ["changed"] + base[k + 1:] for k in range(len(base))]
+    texts = [" ".join(t) for t in texts]
+    sets = [five_words(t) for t in texts]
+    label = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if label[i] != label[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if v in (label[i], label[j]) else v for v in label]
+    docs = spark.createDataFrame([(k, t, "en", "src0", len(t)) for k, t in enumerate(texts)], DOCS)
+    for block in (near_text.BLOCK, 4):  # the second deals large groups into blocks
+        monkeypatch.setattr(near_text, "BLOCK", block)
+        assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == set(label)
+    assert len(set(label)) < simhash.keep_one(docs).count()
+
+
 # ---------------------------------------------------------------- 7 packing
 
 def check_packed(found, texts, capacity=1024):
