@@ -3,7 +3,8 @@
 A page is read as a sequence of text blocks. Blocks of elements that never hold the article (menus, footers, forms, and
 what classes, ids or roles name so) are left out. Where the page marks its article, blocks outside it are left out too.
 The first pass classifies each remaining block by its length, link density and stop-word density. The second settles
-ambiguous blocks, most of them short, by their nearest decided neighbours.
+ambiguous blocks, most of them short, by their nearest decided neighbours. Where the page's language or a block's script
+has no list of stop words, length and link density alone classify.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var "
     "wbr img br input".split())
+#: Elements whose text has few stop words in any language: code, tables, lists.
+FORMS = frozenset("pre li td th dt dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of classes, ids and roles that name what is not the article.
 NAMES = frozenset(
@@ -80,6 +83,7 @@ class Block:
     linked: int  # characters inside links
     heading: bool
     region: int  # number of the article it lies in, 0 outside
+    form: bool = False  # code, or a part of a table or list
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -118,7 +122,7 @@ class _Reader:
             outside, region, header = self.state()
             heading = any(e[0] in HEADINGS for e in self.open)
             if text and not outside and (heading or not header):
-                self.blocks.append(Block(text, self.linked, heading, region))
+                self.blocks.append(Block(text, self.linked, heading, region, any(e[0] in FORMS for e in self.open)))
         self.parts, self.linked = [], 0
 
     def start(self, tag: str, source: str) -> None:
@@ -226,7 +230,15 @@ def blocks(html: str) -> list[Block]:
 
 _WORD = re.compile(r"\w+")
 _STOPS = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
-GOOD, NEAR, OPEN, BAD = "good", "near", "open", "bad"
+_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile(r"[A-Za-z\u00aa\u00ba\u00c0-\u024f\u1e00-\u1eff]")
+#: Ideographs and kana; one holds about as much as three Latin letters.
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+GOOD, NEAR, OPEN, SPARSE, BAD = "good", "near", "open", "sparse", "bad"
+
+
+def _unlisted_script(text: str) -> bool:
+    return not text.isascii() and 2 * len(_LATIN.findall(text)) < len(_LETTER.findall(text))
 
 
 def classify(found: list[Block]) -> list[bool]:
@@ -234,11 +246,19 @@ def classify(found: list[Block]) -> list[bool]:
     words = [_WORD.findall(b.text.lower()) for b in found]
     every = [w for ws in words for w in ws]
     stops = max(_STOPS.values(), key=lambda s: sum(w in s for w in every))
+    sizes = [len(b.text) if b.text.isascii() else len(b.text) + 2 * len(_WIDE.findall(b.text)) for b in found]
+    densities = [sum(w in stops for w in ws) / max(1, len(ws)) for ws in words]
+    linked = [b.linked > LINKS * len(b.text.replace(" ", "")) for b in found]
+    scripts = [_unlisted_script(b.text) for b in found]
+    prose = [k for k, b in enumerate(found) if sizes[k] >= SHORT and not linked[k] and not b.form]
+    # of the prose in scripts that have lists: whether its language has one too
+    known = [k for k in prose if not scripts[k]]
+    listed = any(densities[k] >= STOP_HIGH for k in known) or (
+        sum(densities[k] * len(words[k]) for k in known) >= STOP_LOW * max(1, sum(len(words[k]) for k in known)))
+    main_script = 2 * sum(sizes[k] for k in prose if scripts[k]) > sum(sizes[k] for k in prose)
     kinds = []
-    for block, ws in zip(found, words):
-        size = len(block.text)
-        density = sum(w in stops for w in ws) / max(1, len(ws))
-        if block.linked > LINKS * len(block.text.replace(" ", "")):
+    for block, size, density, by_links, script in zip(found, sizes, densities, linked, scripts):
+        if by_links:
             kinds.append(BAD)
         elif size < SHORT:
             kinds.append(BAD if block.linked and not block.region else OPEN)
@@ -248,10 +268,16 @@ def classify(found: list[Block]) -> list[bool]:
             kinds.append(GOOD if size > LONG else NEAR)
         elif density >= STOP_LOW:
             kinds.append(NEAR)
-        else:  # the page says that it is part of the article
-            kinds.append(OPEN if block.region else BAD)
+        elif block.region:  # the page says that it is part of the article
+            kinds.append(OPEN)
+        elif script:
+            kinds.append(GOOD if main_script and size > LONG else NEAR)
+        elif not listed:
+            kinds.append(NEAR)
+        else:  # prose of a listed language would have stop words
+            kinds.append(OPEN if block.form else SPARSE)
     if GOOD not in kinds:  # a page of short paragraphs: the next best ones decide
-        best = NEAR if NEAR in kinds else OPEN if BAD not in kinds else GOOD
+        best = NEAR if NEAR in kinds else OPEN if BAD not in kinds and SPARSE not in kinds else GOOD
         kinds = [GOOD if kind == best else kind for kind in kinds]
     return [_settled(found, kinds, k) for k in range(len(found))]
 
@@ -269,6 +295,8 @@ def _settled(found: list[Block], kinds: list[str], k: int) -> bool:
         sides.append(kinds[j] == GOOD if 0 <= j < len(kinds) else marked)
     if marked or kind == NEAR:
         return any(sides)
+    if kind == SPARSE:
+        return all(sides)
     if found[k].heading:
         return sides[1]
     return all(sides) or any(sides) and not found[k].linked and _beside(kinds, k)

@@ -539,6 +539,24 @@ def test_block_rules(html, want):
     assert html_text.main_text(html) == want
 
 
+RUSSIAN = "Старый рыбак вышел в море рано утром и долго смотрел на тихую воду вдали от берега. " * 3
+CHINESE = "老渔夫清晨出海久久望着远离岸边的平静水面心里想着昨天的风暴和家人。"
+SWAHILI = "Mvuvi mzee alitoka baharini asubuhi mapema akatazama maji matulivu mbali sana kutoka pwani yake. " * 3
+CODE = "for (int k = 0; k < limit; ++k) { total += values[k] * weights[k]; printf(\"%d\", total); }"
+MENU = "<div><a href=#>Home</a> <a href=#>News</a></div>"
+
+
+@pytest.mark.parametrize("html, want", [
+    *((f"{MENU}<p>{text}</p><p>{text}</p>{MENU}", f"{text.strip()} {text.strip()}") for text in (RUSSIAN, CHINESE, SWAHILI)),
+    (f"<p>{LONG}</p>{MENU}<p>{RUSSIAN}</p><p>{RUSSIAN}</p><p>{RUSSIAN}</p>{MENU}", " ".join([LONG.strip(), *[RUSSIAN.strip()] * 3])),
+    (f"<p>{LONG}</p><pre>{CODE.replace('<', '&lt;')}</pre><p>{LONG}</p>", f"{LONG.strip()} {CODE} {LONG.strip()}"),
+    (f"<p>{LONG}</p><pre>{CODE.replace('<', '&lt;')}</pre>{MENU}", f"{LONG.strip()} {CODE}"),
+    (f"{MENU}<p>{SWAHILI}</p>{MENU}<p>{LONG}</p>", LONG.strip()),  # away from the text of a listed language
+])
+def test_unmarked_pages_without_stop_words(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_html_edge_cases(spark):
     table = [(1, None, None, "x"), (None, "u", "<p>a</p>", "x"), (2, "u", "", "x"), (3, "u", "<div>" * 3000 + "deep" + "</div>" * 3000, "x"), (3, "u", "<" * 5000, "x")]
     found = rows(html_text.extract(spark.createDataFrame(table, "page_id bigint, url string, html string, text string")))
