@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, langid, licenses, mixing, packing, quality, simhash, token_counts, topk
+from . import crosspoly, fingerprints, html_text, langid, licenses, mixing, negatives, packing, quality, ranked, simhash, token_counts, topk
 from .encoding import vocabulary_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,46 @@ def op9_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op11_strassen_negatives", """
+    WITH x AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    scored AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+               FROM x a JOIN x c ON a <> c AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+    positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    met AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+                   row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+            FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 5""")
+def op11_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", label=label)
+
+
+_TERMS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')"""
+
+
+@query("op12_rmq_search", rf"""
+    WITH docs AS (SELECT doc_id, row_number() OVER () AS doc, {_TERMS} AS terms FROM documents),
+    sizes AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS total FROM docs WHERE len(terms) > 0),
+    asked AS (SELECT item_id, item, unnest(list_distinct(terms)) AS term FROM (SELECT item_id, row_number() OVER () AS item, {_TERMS} AS terms FROM benchmark)),
+    held AS (SELECT doc, term, count(*)::BIGINT AS tf FROM (SELECT doc, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, sizes GROUP BY term, n_docs),
+    impacts AS (SELECT doc, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(terms)::BIGINT * n_docs) // total))) AS impact
+                FROM held JOIN weights USING (term) JOIN docs USING (doc), sizes),
+    scored AS (SELECT item, item_id, doc, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""")
+def op12_rmq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_cross_polytope")
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 #: Domains are runs of sources; the weights of domains, languages and sources are whole numbers.
 _DOMAIN = "'d' || cast(try_cast(substring(source, 4) AS int) % 4 AS string)"
 _WEIGHTS = {
@@ -115,7 +155,8 @@ def _level_sql(path: list[str], parent: str) -> str:
 _MIX_SQL = rf"""
     WITH rows AS (SELECT doc_id, coalesce('d' || (TRY_CAST(substring(source, 4) AS INT) % 4)::VARCHAR, '(none)') AS domain, coalesce(lang, '(none)') AS lang,
         coalesce(source, '(none)') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ 	
-]+'))::BIGINT AS n_tokens FROM documents),
+
+]+'))::BIGINT AS n_tokens FROM documents),
     leaves AS (SELECT *, ({_WEIGHTS["domain"]})::BIGINT AS w_domain, ({_WEIGHTS["lang"]})::BIGINT AS w_lang, ({_WEIGHTS["source"]})::BIGINT AS w_source, tokens * 3 AS supply
         FROM (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM rows GROUP BY ALL)),
     root AS (SELECT least(sum(supply), sum(tokens))::HUGEINT AS quota FROM leaves),

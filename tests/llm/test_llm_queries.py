@@ -12,6 +12,8 @@ COLUMNS = {
     "op7_": "doc_id piece start length ids_crc32 sequence_id offset",
     "op8_": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op9_": "page_id url text n_chars", "op10_": "query_id rank vec_id score",
+    "op11_": "anchor_id positive_id rank negative_id positive_score negative_score", "op12_": "item_id rank doc_id score",
+    "op13_": "query_id rank vec_id score",
 }
 
 
@@ -23,7 +25,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
