@@ -126,7 +126,7 @@ def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.n
     width = min(k, len(x))
     least = np.partition(found, len(x) - width, axis=1)[:, len(x) - width] - _SLACK * (_lengths(q) * _lengths(x).max())
     i, j = np.nonzero(found >= least[:, None])
-    score = np.concatenate([(q[i[a:a + 65536]] * x[j[a:a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)])
+    score = np.concatenate([np.empty(0), *((q[i[a:a + 65536]] * x[j[a:a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536))])
     order = np.lexsort((ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     starts = np.searchsorted(i, np.arange(len(q)))
@@ -169,6 +169,8 @@ def _first_ids(rows: DataFrame, k: int) -> DataFrame:
 def fit_probes(classes: DataFrame, asked: DataFrame, dims: int, longest: float, lifted: bool, fine: int, k: int, tables: int, sample: int, target: float) -> int:
     """The fewest probes a table that reach ``target`` of the exact neighbours of ``sample`` queries."""
     picked = asked.orderBy(F.xxhash64("class", F.lit(SEED)), "class").limit(sample).select("class", "v").collect()
+    if not picked:
+        return 1
     numbers, q = np.array([r["class"] for r in picked]), _matrix([r["v"] for r in picked], dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
