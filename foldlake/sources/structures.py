@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,37 +20,60 @@ def read_structures(spark: SparkSession, path: str, glob: str = "*.pdb") -> Data
     )
 
 
+def _first_model(value: Column) -> Column:
+    """Lines of the first model of a whole text."""
+    marked = F.concat(F.lit("\n"), value)
+    model = F.substring_index(F.substring_index(marked, "\nENDMDL", 1), "\nMODEL ", 2)
+    return F.split(F.substring(model, 2, 2**31 - 1), "\r?\n")
+
+
 def structure_lines(files: DataFrame) -> DataFrame:
     """Lines of the first model, numbered from 0 in file order.
 
     A file is one row here, so the order of its lines never depends on a shuffle
     and the later models are cut off before any line is made a row.
     """
-    marked = F.concat(F.lit("\n"), F.col("value"))
-    first_model = F.substring_index(F.substring_index(marked, "\nENDMDL", 1), "\nMODEL ", 2)
-    lines = F.split(F.substring(first_model, 2, 2**31 - 1), "\r?\n")
-    return files.select("pdb_id", "path", F.posexplode(lines).alias("line_no", "line"))
+    return files.select("pdb_id", "path", F.posexplode(_first_model(F.col("value"))).alias("line_no", "line"))
+
+
+def _field(line: Column, start: int, stop: int) -> Column:
+    """Fixed columns ``start`` to ``stop`` of a record, from 1."""
+    return F.trim(F.substring(line, start, stop - start + 1))
+
+
+def _is_atom(line: Column) -> Column:
+    return _field(line, 1, 6).isin("ATOM", "HETATM")
+
+
+#: Fixed columns of the numbers without which a record is broken: residue number and coordinates.
+_NUMBERS = {"res_no": (23, 26, "int"), "x": (31, 38, "double"), "y": (39, 46, "double"), "z": (47, 54, "double")}
 
 
 def parse_atoms(lines: DataFrame) -> DataFrame:
     """Atom records by fixed columns; numbers that do not parse become NULL."""
     def field(start: int, stop: int):
-        return F.trim(F.substring("line", start, stop - start + 1))
+        return _field(F.col("line"), start, stop)
 
-    record = field(1, 6)
-    return lines.filter(record.isin("ATOM", "HETATM")).select(
+    numbers = {name: field(start, stop).try_cast(kind).alias(name) for name, (start, stop, kind) in _NUMBERS.items()}
+    return lines.filter(_is_atom(F.col("line"))).select(
         "pdb_id", "path", "line_no",
-        (record == "HETATM").alias("hetero"),
+        (field(1, 6) == "HETATM").alias("hetero"),
         field(13, 16).alias("atom"), field(17, 17).alias("altloc"), field(18, 20).alias("res_name"),
-        field(22, 22).alias("chain_id"), field(23, 26).try_cast("int").alias("res_no"), field(27, 27).alias("icode"),
-        field(31, 38).try_cast("double").alias("x"), field(39, 46).try_cast("double").alias("y"),
-        field(47, 54).try_cast("double").alias("z"), F.coalesce(field(55, 60).try_cast("double"), F.lit(1.0)).alias("occupancy"),
+        field(22, 22).alias("chain_id"), numbers["res_no"], field(27, 27).alias("icode"),
+        numbers["x"], numbers["y"], numbers["z"], F.coalesce(field(55, 60).try_cast("double"), F.lit(1.0)).alias("occupancy"),
     )
 
 
+def record_counts(value: Column) -> tuple[Column, Column]:
+    """How many atom records a whole text has, and how many of them are broken, without making them rows."""
+    atoms = F.filter(_first_model(value), _is_atom)
+    bad = lambda line: reduce(Column.__or__, [_field(line, start, stop).try_cast(kind).isNull() for start, stop, kind in _NUMBERS.values()])
+    return F.size(atoms).cast("bigint"), F.size(F.filter(atoms, bad)).cast("bigint")
+
+
 def broken() -> Column:
     """Whether a record lacks its residue number or a coordinate."""
-    return F.col("res_no").isNull() | F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
+    return reduce(Column.__or__, [F.col(name).isNull() for name in _NUMBERS])
 
 
 def split_rejects(atoms: DataFrame, reject: str = "file") -> tuple[DataFrame, DataFrame]:
