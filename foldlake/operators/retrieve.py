@@ -1,85 +1,186 @@
 """Exact cosine top-k with a same-group filter.
 
-Vectors of both tables are cut once into blocks of some thousand. Every query block meets every index block, a pair of
-blocks is a unit of work, and only the best ``k`` per query leave it, to be merged in two steps. Exact search over all
-pairs costs queries times index; blocks make that matrix products and send a vector once per block of the other side.
+Vectors of both tables are scaled once and cut into compact blocks of some thousand: each goes to the nearest of a few
+centres, and what falls to one centre is dealt into pieces. A block is one row: keys, groups, one matrix, its centre and its
+radius. A query block first meets the index block whose centre is nearest; the lowest k-th similarity found for its queries
+is its cutoff. By the triangle inequality two blocks hold no similarity above
+
+    centre . centre + |centre| * radius + |centre| * radius + radius * radius
+
+so a pair of blocks below the cutoff is skipped, whole. The others are matrix products, of which the best ``k`` per query
+leave the task, to be merged in two steps. Results are exact; how much is skipped depends on how the vectors cluster.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import TOP_K
+from ..functions.vectors import array_dot
 from ..session import stored
 
-#: Vectors in a block, for queries and index alike.
-BLOCK = 8192
-_HITS = "query_key string, tpl_key string, sim double, same_group boolean"
+#: Vectors in a block, for queries and index alike, and centres they are dealt to.
+BLOCK, CENTRES = 8192, 64
+_HITS = "q bigint, query_key string, tpl_key string, sim double, same_group boolean"
+_BLOCKS = "block bigint, n int, keys array<string>, groups array<string>, matrix binary, centre array<double>, radius double"
+#: Room for rounding in bounds and cutoffs.
+_SLACK = 1e-7
+
 
+class Blocks(NamedTuple):
+    table: DataFrame
+    count: int
 
-def _unit_rows(vectors) -> np.ndarray:
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+
+def _unit(lists: pa.Array) -> np.ndarray:
+    """Rows of an array column, scaled to unit length."""
+    flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    matrix = flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 1)
     return matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-8)
 
 
-def _block_best(q: pd.DataFrame, qm: np.ndarray, t: pd.DataFrame, tm: np.ndarray, k: int, exclude: bool,
-                step: int = 1024) -> pd.DataFrame:
-    """Best ``k`` rows of one index block for every query, ties by key.
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), dtype=np.float64).reshape(len(rows), -1)
+
+
+def scaled(vectors: DataFrame) -> DataFrame:
+    """chain_key, pdb_id, unit (bytes of doubles), stored once; vectors of one table have one width, null ones take no part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = [row.tobytes() for row in _unit(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unit, pa.binary())], names=["chain_key", "pdb_id", "unit"])
+
+    return stored(vectors.filter(F.col("emb").isNotNull()).select("chain_key", "pdb_id", "emb").mapInArrow(run, "chain_key string, pdb_id string, unit binary"))
+
+
+def blocks(units: DataFrame, size: int = BLOCK, centres: int = CENTRES) -> Blocks:
+    """Compact blocks of the rows of ``units`` and how many there are, a row each; up to ``centres`` vectors reach the driver."""
+    wanted = -(-units.count() // size)
+    if wanted > 1:
+        nearest = _matrix([r["unit"] for r in units.select("unit").orderBy(F.xxhash64("chain_key"), "chain_key").take(min(centres, wanted))])
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    best = (_matrix(batch.column(2).to_pylist()) @ nearest.T).argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.int64())], names=[*batch.schema.names, "centre"])
+
+        dealt = stored(units.mapInArrow(assign, "chain_key string, pdb_id string, unit binary, centre bigint"))
+        pieces = dealt.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / size).alias("pieces"))
+        piece = F.pmod(F.xxhash64("chain_key"), F.col("pieces"))
+        placed = dealt.join(pieces, "centre").select("chain_key", "pdb_id", "unit", (F.col("centre") * (1 << 32) + piece).alias("block"))
+    else:
+        placed = units.withColumn("block", F.lit(0).cast("bigint"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces_of():
+            for batch in batches:
+                number = batch.column(3).to_numpy()
+                cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), batch.num_rows]
+                for a, b in zip(cuts, cuts[1:]):
+                    if b > a:
+                        yield int(number[a]), batch.slice(a, b - a)
+
+        for block, found in groupby(pieces_of(), lambda p: p[0]):
+            rows = pa.Table.from_batches([piece for _, piece in found])
+            matrix = _matrix(rows["unit"].to_pylist())
+            centre = matrix.mean(axis=0)
+            radius = float(np.linalg.norm(matrix - centre, axis=1).max())
+            yield pa.RecordBatch.from_pylist([{
+                "block": block, "n": len(matrix), "keys": rows["chain_key"].to_pylist(), "groups": rows["pdb_id"].to_pylist(),
+                "matrix": matrix.tobytes(), "centre": centre.tolist(), "radius": radius}], schema=_ARROW)
+
+    # By key inside a block, so that places stand for keys where similarities are equal.
+    ordered = placed.repartition("block").sortWithinPartitions("block", "chain_key")
+    made = stored(ordered.mapInArrow(gather, _BLOCKS))
+    return Blocks(made, wanted if wanted <= 1 else made.count())
+
+
+_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.string())), ("groups", pa.list_(pa.string())), ("matrix", pa.binary()),
+                    ("centre", pa.list_(pa.float64())), ("radius", pa.float64())])
+
+
+def block_pairs(queries: Blocks, index: Blocks) -> DataFrame:
+    """q, t, n (queries), near (similarity of the centres), bound (on all similarities): every pair of a query and an index block."""
+    def side(of: Blocks, name: str) -> DataFrame:
+        length = F.sqrt(array_dot(F.col("centre"), F.col("centre")))
+        return of.table.select(F.col("block").alias(name), F.col("n").alias(f"n_{name}"), F.col("centre").alias(f"c_{name}"),
+                               F.col("radius").alias(f"r_{name}"), length.alias(f"l_{name}"))
+
+    known = index.table.agg(F.collect_list("block"))  # a number per block
+    met = side(queries, "q").select("*", F.explode(known.scalar()).alias("t")).join(side(index, "t"), "t")
+    near = array_dot(F.col("c_q"), F.col("c_t"))
+    reach = near + F.col("l_q") * F.col("r_t") + F.col("l_t") * F.col("r_q") + F.col("r_q") * F.col("r_t")
+    return met.select("q", "t", F.col("n_q").alias("n"), near.alias("near"), (reach + _SLACK).alias("bound"))
+
+
+def _block_best(q: tuple, t: tuple, k: int, exclude: bool, step: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Best ``k`` rows of one index block for every query, ties by key. A side is (block, keys, groups, matrix).
 
     Similarities are compared at nine decimals; the place in key order, at most
     1e-9 in total, then decides between equal ones.
     """
-    order = np.argsort(t["chain_key"].to_numpy().astype(str))
-    keys, groups, tm = t["chain_key"].to_numpy()[order], t["pdb_id"].to_numpy()[order], tm[order]
+    (block, q_keys, q_groups, qm), (_, keys, groups, tm) = q, t
+    names = {g: n for n, g in enumerate(dict.fromkeys([*groups, *q_groups]))}
+    of, asked = np.array([names[g] for g in groups]), np.array([names[g] for g in q_groups])
     tie = np.arange(len(keys)) * (4e-10 / max(len(keys), 1))
-    out = []
-    for first in range(0, len(q), step):
-        part = q.iloc[first:first + step]
-        same = part["pdb_id"].to_numpy()[:, None] == groups[None, :]
+    width = min(k, len(keys))
+    for first in range(0, len(q_keys), step):
+        same = asked[first:first + step, None] == of[None, :]
         sims = np.round(qm[first:first + step] @ tm.T, 9)
-        score = sims - tie
-        if exclude:
-            score = np.where(same, -np.inf, score)
-        width = min(k, len(keys))
+        score = np.where(same, -np.inf, sims - tie) if exclude else sims - tie
         best = np.argpartition(-score, width - 1, axis=1)[:, :width]
-        rows = np.repeat(np.arange(len(part)), width)
+        rows = np.repeat(np.arange(len(same)), width)
         cols = best.ravel()
         keep = np.isfinite(score[rows, cols])
         rows, cols = rows[keep], cols[keep]
-        out.append(pd.DataFrame({
-            "query_key": part["chain_key"].to_numpy()[rows], "tpl_key": keys[cols], "sim": sims[rows, cols],
-            "same_group": same[rows, cols]}))
-    return pd.concat(out) if out else pd.DataFrame(columns=["query_key", "tpl_key", "sim", "same_group"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(rows), block)), pa.array([q_keys[first + r] for r in rows.tolist()], pa.string()),
+            pa.array([keys[c] for c in cols.tolist()], pa.string()), pa.array(sims[rows, cols]), pa.array(same[rows, cols])],
+            names=["q", "query_key", "tpl_key", "sim", "same_group"])
+
 
+def _compare(pairs: DataFrame, queries: Blocks, index: Blocks, k: int, exclude: bool) -> DataFrame:
+    """Hits of the given pairs of blocks (q, t), dealt out by pair."""
+    def side(of: Blocks, name: str) -> DataFrame:
+        return of.table.select(F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("keys", "groups", "matrix")])
 
-def blocks(vectors: DataFrame, name: str, size: int = BLOCK) -> tuple[DataFrame, int]:
-    """Block number ``name`` and the block's rows, and how many blocks there are; ``vectors`` must be stored."""
-    count = max(1, -(-vectors.count() // size))
-    number = F.pmod(F.xxhash64("chain_key"), F.lit(count)).cast("int")
-    return vectors.groupBy(number.alias(name)).agg(F.collect_list(F.struct("chain_key", "pdb_id", "emb")).alias(f"{name}_rows")), count
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                q, t = ((batch.column(n)[r].as_py(), batch.column(f"{n}_keys")[r].as_py(), batch.column(f"{n}_groups")[r].as_py(),
+                         np.frombuffer(batch.column(f"{n}_matrix")[r].as_buffer(), dtype=np.float64).reshape(len(batch.column(f"{n}_keys")[r]), -1)) for n in "qt")
+                yield from _block_best(q, t, k, exclude)
 
+    chosen = pairs.select("q", "t")
+    met = chosen.join(side(queries, "q"), "q").join(chosen.join(side(index, "t"), "t"), ["q", "t"])
+    return met.mapInArrow(run, _HITS)
 
-def block_pairs(queries: DataFrame, index: DataFrame, size: int = BLOCK) -> DataFrame:
-    """A row for each pair of a query block q and an index block t, dealt out by pair."""
-    asked, q_count = blocks(queries, "q", size)
-    known, t_count = blocks(index, "t", size)
-    meet = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    return asked.select("*", meet(t_count, "t")).join(known.select("*", meet(q_count, "q")), ["q", "t"])
 
+def _cutoffs(pairs: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """q, cutoff: the lowest k-th similarity of the block's queries so far; -2 where a query has fewer than ``k`` hits."""
+    each = hits.groupBy("q", "query_key").agg(F.count(F.lit(1)).alias("found"), F.min("sim").alias("least"))
+    full = each.groupBy("q").agg(F.count_if(F.col("found") >= k).alias("full"), F.min("least").alias("least"))
+    sizes = pairs.groupBy("q").agg(F.max("n").alias("n"))
+    return sizes.join(full, "q", "left").select("q", F.when(F.col("full") == F.col("n"), F.col("least") - _SLACK).otherwise(F.lit(-2.0)).alias("cutoff"))
 
-def _compare(pairs: DataFrame, k: int, exclude: bool) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for asked, known in zip(frame["q_rows"], frame["t_rows"]):
-                q, t = pd.DataFrame(list(asked)), pd.DataFrame(list(known))
-                yield _block_best(q, _unit_rows(q["emb"]), t, _unit_rows(t["emb"]), k, exclude)
 
-    return pairs.mapInPandas(run, _HITS)
+def search_plan(queries: Blocks, index: Blocks, k: int, exclude: bool) -> tuple[DataFrame, DataFrame]:
+    """(hits of the nearest blocks, all pairs of blocks with their bound, cutoff, and whether they are ``compared``)."""
+    pairs = stored(block_pairs(queries, index))
+    nearest = pairs.groupBy("q").agg(F.max_by("t", F.struct("near", F.col("t"))).alias("t"))
+    hits = stored(_compare(nearest, queries, index, k, exclude))
+    marked = pairs.join(nearest.withColumnRenamed("t", "first"), "q").join(_cutoffs(pairs, hits, k), "q")
+    begun = F.col("t") == F.col("first")
+    return hits, marked.select("q", "t", "bound", "cutoff", begun.alias("first"), (begun | (F.col("bound") >= F.col("cutoff"))).alias("compared"))
 
 
 def _merge(partial: DataFrame, k: int, pieces: int = 64) -> DataFrame:
@@ -99,11 +200,14 @@ def topk_similar(queries: DataFrame, index: DataFrame, k: int = TOP_K, exclude_s
     whenever that many other chains exist. Both tables are computed once and stored before they are cut into blocks;
     one table given twice is stored once.
     """
-    names = ["chain_key", "pdb_id", "emb"]
-    known = stored(index.select(*names))
-    asked = known if queries is index else stored(queries.select(*names))
-    partial = _compare(block_pairs(asked, known, block), k, exclude_same_group)
-    return _merge(partial, k).select("query_key", "tpl_key", "sim", "rank", "same_group")
+    known = blocks(scaled(index), block)
+    asked = known if queries is index else blocks(scaled(queries), block)
+    if known.count <= 1:  # every query block has one partner
+        found = _compare(asked.table.select(F.col("block").alias("q"), F.lit(0).cast("bigint").alias("t")), asked, known, k, exclude_same_group)
+    else:
+        hits, plan = search_plan(asked, known, k, exclude_same_group)
+        found = hits.unionByName(_compare(plan.filter("compared and not first"), asked, known, k, exclude_same_group))
+    return _merge(found, k).select("query_key", "tpl_key", "sim", "rank", "same_group")
 
 
 def hit_weights(hits: DataFrame) -> DataFrame:
