@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import EPSILON
@@ -17,56 +18,76 @@ from .pairs import mirror, pair_distances
 UNRESOLVED, PER_POSITION, RESOLVED_BELOW = 1e8, 1e6, 5e7
 
 
-def knn_edges(residues: DataFrame, k: int, radius: float = 16.0, block: int = 256) -> DataFrame:
-    """The ``k`` nearest residues of each residue, itself included, ties by position.
+def _ring(open_nodes: DataFrame, residues: DataFrame, radius: float) -> DataFrame:
+    """chain_key, src, dst, rank: residues less than ``radius`` away from open nodes, by cubes of edge ``radius``."""
+    def cell(axis: str) -> Column:
+        return F.floor(F.col(axis) / radius)
+
+    places = residues.filter("has_ca").select("chain_key", F.col("pos").alias("dst"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"),
+                                              cell("x").alias("cx"), cell("y").alias("cy"), cell("z").alias("cz"))
+    steps = [F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias(f"s{c}") for c in "xyz"]
+    around = open_nodes
+    for step in steps:
+        around = around.select("*", step)
+    around = around.select("chain_key", "src", "x", "y", "z", *[(cell(c) + F.col(f"s{c}")).alias(f"c{c}") for c in "xyz"])
+    dx, dy, dz = F.col("x") - F.col("u"), F.col("y") - F.col("v"), F.col("z") - F.col("w")
+    squared = dx * dx + dy * dy + dz * dz
+    return around.join(places, ["chain_key", "cx", "cy", "cz"]).filter(squared < radius * radius).select(
+        "chain_key", "src", "dst", F.sqrt(squared + EPSILON).alias("rank"))
 
-    Pairs with coordinates rank by distance, all others after them by distance
-    along the chain. Three exact ways share the work:
 
-    * residues without coordinates need only the positions around them;
-    * residues with ``k`` neighbours within ``radius`` are settled by the grid;
-    * the few others are compared with blocks of their chain, and only the best
-      ``k`` of each block leave the comparison.
+def nearest_rings(residues: DataFrame, k: int, radius: float) -> DataFrame:
+    """chain_key, src, dst, rank: at least the ``k`` nearest residues of each one with coordinates, itself included.
+
+    Rounds of doubling radius: a residue is settled once ``k`` lie within the ring, for then the k-th nearest does, or all
+    its chain has. Only the others go on, so the work of a round follows what is still open, and a residue is compared with
+    about as many others as the last ring holds. Where a chain has fewer than ``k``, all of them are listed.
+    """
+    nodes = residues.filter("has_ca").select("chain_key", F.col("pos").alias("src"), "x", "y", "z")
+    sizes = nodes.groupBy("chain_key").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("wanted"))
+    close = mirror(pair_distances(residues, radius)).select(
+        "chain_key", F.col("i").alias("src"), F.col("j").alias("dst"),
+        F.sqrt(F.col("dist") * F.col("dist") + EPSILON).alias("rank"))
+    itself = nodes.select("chain_key", "src", F.col("src").alias("dst"), F.lit(math.sqrt(EPSILON)).alias("rank"))
+    found, todo, settled = stored(close.unionByName(itself)), nodes.join(sizes, "chain_key"), []
+    while True:
+        counts = found.groupBy("chain_key", "src").agg(F.count(F.lit(1)).alias("found"))
+        met = todo.join(counts, ["chain_key", "src"], "left")
+        enough = F.coalesce("found", F.lit(0)) >= F.col("wanted")
+        left = stored(met.filter(~enough).drop("found"))
+        if left.isEmpty():
+            settled.append(found)
+            return reduce(DataFrame.unionByName, settled)
+        settled.append(found.join(left.select("chain_key", "src"), ["chain_key", "src"], "left_anti"))
+        radius, todo = radius * 2, left
+        found = stored(_ring(todo, residues, radius))
+
+
+def knn_edges(residues: DataFrame, k: int, radius: float = 16.0) -> DataFrame:
+    """The ``k`` nearest residues of each residue, itself included, ties by position.
+
+    Pairs with coordinates rank by distance, all others after them by distance along the chain. Residues with coordinates
+    find theirs in rings that grow from ``radius``. Others need only the positions around them: of 4 k positions around a
+    residue of a chain that has fewer than ``k`` with coordinates, at least ``k`` are without, and any ``k`` positions do for
+    a residue that has none itself. All ways are exact; the radius changes cost, not results.
     """
     if k < 1:
         raise ValueError(f"a graph needs at least one neighbour, not {k}")
     chain = Window.partitionBy("chain_key", "src").orderBy("rank", "dst")
-    lengths = residues.groupBy("chain_key").agg(F.count(F.lit(1)).cast("int").alias("L"))
-    nodes = residues.select("chain_key", F.col("pos").alias("src"), "x", "y", "z", "has_ca").join(lengths, "chain_key")
-    wanted = F.least(F.lit(k), F.col("L"))
-
-    # Without coordinates: k positions on either side always suffice.
-    around = F.explode(F.sequence(F.greatest(F.lit(0), F.col("src") - k), F.least(F.col("L") - 1, F.col("src") + k)))
-    loose = nodes.filter(~F.col("has_ca")).select("chain_key", "src", around.alias("dst")).select(
+    placed = F.col("has_ca")
+    for axis in "xyz":  # coordinates that are no numbers are none
+        placed = placed & (F.abs(axis) < float("inf"))
+    residues = residues.withColumn("has_ca", F.coalesce(placed, F.lit(False)))
+    sizes = residues.groupBy("chain_key").agg(F.count(F.lit(1)).cast("int").alias("L"), F.count_if("has_ca").alias("placed"))
+    nodes = residues.select("chain_key", F.col("pos").alias("src"), "has_ca").join(sizes, "chain_key")
+    reach = F.when(F.col("has_ca"), 2 * k).otherwise(k)
+    around = F.explode(F.sequence(F.greatest(F.lit(0), F.col("src") - reach), F.least(F.col("L") - 1, F.col("src") + reach)))
+    loose = nodes.filter(~F.col("has_ca") | (F.col("placed") < k)).select("chain_key", "src", "has_ca", around.alias("dst"))
+    bare = residues.filter(~F.col("has_ca")).select("chain_key", F.col("pos").alias("dst"))
+    loose = loose.filter(~F.col("has_ca")).unionByName(loose.filter("has_ca").join(bare, ["chain_key", "dst"], "left_semi")).select(
         "chain_key", "src", "dst", (UNRESOLVED + PER_POSITION * F.abs(F.col("src") - F.col("dst"))).alias("rank"))
 
-    # Within the radius, both orders, plus the residue itself.
-    close = mirror(pair_distances(residues, radius)).select(
-        "chain_key", F.col("i").alias("src"), F.col("j").alias("dst"),
-        F.sqrt(F.col("dist") * F.col("dist") + EPSILON).alias("rank"))
-    itself = nodes.filter("has_ca").select("chain_key", "src", F.col("src").alias("dst"), F.lit(math.sqrt(EPSILON)).alias("rank"))
-    near = stored(close.unionByName(itself))  # read for counts, for what is settled, and for the choice
-    found = near.groupBy("chain_key", "src").agg(F.count(F.lit(1)).alias("found"))
-    open_nodes = nodes.filter("has_ca").join(found, ["chain_key", "src"]).filter(F.col("found") < wanted)
-    settled = near.join(open_nodes.select("chain_key", "src"), ["chain_key", "src"], "left_anti")
-
-    # The rest against blocks of the chain.
-    member = F.struct(F.col("pos").alias("pos"), "x", "y", "z", "has_ca")
-    blocks = residues.groupBy("chain_key", F.floor(F.col("pos") / block).alias("block")).agg(F.collect_list(member).alias("members"))
-
-    def ranked(m):
-        dx, dy, dz = m["x"] - F.col("x"), m["y"] - F.col("y"), m["z"] - F.col("z")
-        resolved = F.sqrt(dx * dx + dy * dy + dz * dz + EPSILON)
-        along = UNRESOLVED + PER_POSITION * F.abs(m["pos"] - F.col("src"))
-        return F.struct(F.when(m["has_ca"], resolved).otherwise(along).alias("rank"), m["pos"].alias("dst"))
-
-    best = F.slice(F.array_sort(F.transform("members", ranked)), 1, k)
-    numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("L") - 1) / block))).alias("block")
-    met = open_nodes.select("*", numbers).join(blocks, ["chain_key", "block"])
-    far = met.select("chain_key", "src", F.explode(best).alias("b")).select(
-        "chain_key", "src", "b.dst", "b.rank")
-
-    candidates = settled.unionByName(far).unionByName(loose)
+    candidates = nearest_rings(residues, k, radius).unionByName(loose)
     return candidates.withColumn("place", F.row_number().over(chain)).filter(F.col("place") <= k).select(
         "chain_key", "src", "dst", F.col("rank").alias("dist"), (F.col("rank") < RESOLVED_BELOW).alias("resolved"))
 
