@@ -129,6 +129,30 @@ def embed_stub(spark, d):
     return out.select("chain_key", *[r6(F.col("emb")[k]).alias(f"v{k}") for k in range(20)])
 
 
+def _token_model():
+    """Stand-in for a user's model: a vector for each token, from its id and its place."""
+    def predict(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        place = np.arange(tokens.shape[1])
+        return np.stack([(tokens * (d + 3) + place * (d % 2)) % 7 / 7 for d in range(4)], axis=2)
+
+    return predict
+
+
+_TOKEN_DIMS = [f"avg((id * {d + 3} + k * {d % 2}) % 7 / 7.0::DOUBLE) AS v{d}" for d in range(4)]
+
+
+@query("embed_tokens", f"""WITH {P.SEQUENCES_SQL}, cut AS (SELECT chain_key, seq, unnest(range(0, (length(seq) + 1021) // 1022)) AS chunk_no FROM sequences),
+parts AS (SELECT chain_key, chunk_no, substr(seq, chunk_no * 1022 + 1, 1022) AS part FROM cut),
+spelled AS (SELECT chain_key, chunk_no, unnest(range(1, length(part) + 1)) AS k, unnest(string_split(part, '')) AS c FROM parts),
+coded AS (SELECT chain_key, chunk_no, k, ({_IDS_SQL})::INT AS id FROM spelled),
+chunks AS (SELECT chain_key, {', '.join(_TOKEN_DIMS)} FROM coded GROUP BY chain_key, chunk_no),
+means AS (SELECT chain_key, {', '.join(f'avg(v{d}) AS v{d}' for d in range(4))} FROM chunks GROUP BY chain_key)
+SELECT chain_key, {', '.join(f'round(v{d} / (sqrt(v0 * v0 + v1 * v1 + v2 * v2 + v3 * v3) + 1e-8), 6) + 0.0 AS v{d}' for d in range(4))} FROM means""")
+def embed_tokens(spark, d):
+    """Sequences of any length through a model on token batches padded to the longest of a batch."""
+    return _dims(E.embed_sequences(P.sequences(spark, d), _token_model))
+
+
 @query("l2_normalize", f"""WITH {P.INDEX_SQL}, n AS (SELECT chain_key, emb, sqrt(list_inner_product(emb, emb)) + 1e-8 AS norm FROM index_vectors)
 SELECT chain_key, {', '.join(f'round(emb[{k + 1}] / norm, 6) + 0.0 AS v{k}' for k in range(64))} FROM n""")
 def normalized(spark, d):

@@ -9,6 +9,7 @@ from ..functions.scalars import r6
 from ..operators import chains as C
 from ..session import shared_folder
 from ..sources import fasta, ids, ingest, structures
+from ..streaming import ingest_stream
 from . import proxies as P
 from .registry import query
 
@@ -103,20 +104,57 @@ def chain_sink(spark, d):
     return spark.read.parquet(path).drop("bucket")
 
 
+def _streamed(spark, d):
+    """The sink of a stream build over the structure files, in two runs: a second file of a stem comes in the second."""
+    folder = shared_folder(spark)
+    arrived, sink = f"{folder}/arrived", f"{folder}/sink"
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
+    files = P.ingest_lines(spark, d).groupBy("pdb_id", "path").agg(body.alias("value"))
+    for again in (False, True):
+        files.filter(F.col("path").startswith("mem/old/") == F.lit(again)).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 64).parquet(arrived)
+        ingest_stream.build_chains(stream, sink, f"{folder}/state", min_len=47).awaitTermination()
+    return sink
+
+
+@query("ingest_stream", f"WITH {BUILD_SQL} {_RECORDS_SQL.replace('L >= 20', 'L >= 47')}")
+def ingest_streamed(spark, d):
+    return ingest_stream.read_chains(spark, _streamed(spark, d))
+
+
 @query("ingest_rejects", f"WITH {FILES_SQL} SELECT pdb_id, path, records, broken, state FROM states")
 def ingest_rejects(spark, d):
     return structures.file_states(structures.parse_atoms(P.ingest_lines(spark, d)))
 
 
-@query("ingest_summary", f"""WITH {BUILD_SQL}
+_SUMMARY_SQL = f"""WITH {BUILD_SQL}
 SELECT (SELECT count(*) FROM states) AS files,
        (SELECT count(*) FROM states WHERE state = 'broken') AS failed, (SELECT count(*) FROM states WHERE state = 'repeated') AS repeated,
        (SELECT count(*) FROM all_chains WHERE L >= 47 AND n_ca > 0) AS saved,
-       (SELECT count(*) FROM all_chains WHERE NOT (L >= 47 AND n_ca > 0)) AS skipped""")
+       (SELECT count(*) FROM all_chains WHERE NOT (L >= 47 AND n_ca > 0)) AS skipped"""
+
+
+@query("ingest_observed", _SUMMARY_SQL)
+def ingest_observed(spark, d):
+    """The same counts, observed while the chains are written."""
+    counts = ingest.write_build(structures.parse_atoms(P.ingest_lines(spark, d)), f"{shared_folder(spark)}/built", min_len=47)
+    return spark.range(1).select(*[F.lit(counts[n]).cast("bigint").alias(n) for n in ("files", "failed", "repeated", "saved", "skipped")])
+
+
+@query("ingest_summary", _SUMMARY_SQL)
 def ingest_summary(spark, d):
     return structures.ingest_summary(structures.parse_atoms(P.ingest_lines(spark, d)), C.all_chains(_built(spark, d)), min_len=47)
 
 
+@query("fetch_stored", f"""WITH {P.GROUPS_SQL} SELECT chain_key, pdb_id, L, toxic FROM groups JOIN labels USING (doc_id) WHERE toxic = 1""")
+def fetch_stored(spark, d):
+    """Chains of the written sink for the toxic documents; only the buckets of their keys are read."""
+    path = f"{shared_folder(spark)}/groups"
+    ingest.write_chains(P.groups(spark, d), path, buckets=256)
+    marked = P.groups(spark, d).join(P.table(spark, d, "labels").filter("toxic = 1"), "doc_id").select("chain_key", "toxic")
+    return ingest.fetch_stored(spark, marked, path, buckets=256).select("chain_key", "pdb_id", "L", "toxic")
+
+
 @query("ingest_incremental", f"""WITH {P.GROUPS_SQL}, existing AS (SELECT chain_key FROM groups JOIN labels USING (doc_id))
 SELECT pdb_id, count(*) AS saved, sum(L)::BIGINT AS residues FROM groups
 WHERE chain_key NOT IN (SELECT chain_key FROM existing) GROUP BY pdb_id""")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,26 +51,51 @@ def fasta_records(files: DataFrame) -> DataFrame:
     )
 
 
-def read_fasta(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    return fasta_records(read_fasta_files(spark, path, glob))
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks between record marks with their place in the split and the lines of the split in front of them."""
+    split, lines, place = None, 0, 0
+    for batch in batches:
+        out = []
+        for path, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+            if (path, block) != split:
+                split, lines, place = (path, block), 0, 0
+            for chunk in value.removesuffix("\r").replace("\r\n", "\n").replace("\r", "\n").split("\n>"):
+                out.append((path, block, place, lines, chunk))
+                lines, place = lines + chunk.count("\n") + 1, place + 1
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _CHUNK.types)], schema=_CHUNK)
 
 
-def read_large_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Records of FASTA files too large for one row, read in parallel splits.
+_CHUNK = pa.schema([("path", pa.string()), ("block", pa.int64()), ("place", pa.int64()), ("line", pa.int64()), ("chunk", pa.string())])
 
-    Spark cuts the file at the record mark, so a record is a row and no line
-    order has to be restored. Headers must carry text (line numbers of the
-    whole file are not known in a split).
+
+def read_fasta(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Records of FASTA files of any size: path, record_no, label, seq; see ``fasta_records``.
+
+    Files are read in splits, cut at record marks, so a record is a row and no file has to fit in one. Each split counts its
+    chunks and lines in one pass over its text; the sums of the splits in front of it, a row per split, are then added.
+    Texts are not shuffled.
     """
-    rows = spark.read.format("text").option("lineSep", "\n>").load(path)
-    body = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
-    lines = F.split(body, "\n")
-    header = F.trim(F.element_at(lines, 1))
-    label = F.when(F.length(header) > 0, header).otherwise(F.raise_error(F.lit("header without a label")).cast("string"))
-    return rows.filter(F.length(F.trim("value")) > 0).select(
-        F.col("_metadata.file_path").alias("path"), label.alias("label"),
-        _joined(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("seq"),
-    )
+    rows = (spark.read.format("text").option("lineSep", "\n>").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"))
+    chunks = rows.mapInArrow(_numbered, "path string, block bigint, place bigint, line bigint, chunk string")
+    lines = F.length("chunk") - F.length(F.replace("chunk", F.lit("\n"))) + 1
+    splits = chunks.groupBy("path", "block").agg(F.count(F.lit(1)).alias("places"), F.sum(lines).alias("lines"),
+                                                 F.max(F.when((F.col("block") == 0) & (F.col("place") == 0), F.col("chunk").startswith(">"))).alias("begins"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("path")
+    sums = splits.select("path", "block", F.coalesce(F.sum("places").over(before), F.lit(0)).alias("places_before"),
+                         F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("lines_before"), F.max("begins").over(whole).alias("begins"))
+    placed = chunks.join(sums, ["path", "block"]).select(
+        "path", (F.col("places_before") + F.col("place")).alias("place"), (F.col("lines_before") + F.col("line")).alias("line"), "chunk", "begins")
+    # What stands before the first mark of a file is no record, unless the file begins with one.
+    records = placed.filter((F.col("place") > 0) | F.col("begins"))
+    parts = F.split(F.when(F.col("place") == 0, F.substring("chunk", 2, 2**31 - 1)).otherwise(F.col("chunk")), "\n")
+    header = F.trim(F.element_at(parts, 1))
+    return records.select(
+        "path", (F.col("place") - F.when(F.col("begins"), 0).otherwise(1)).cast("int").alias("record_no"),
+        F.when(F.length(header) > 0, header).otherwise(F.format_string("seqnum%09d", "line")).alias("label"),
+        _joined(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("seq"))
 
 
 def duplicate_labels(records: DataFrame) -> DataFrame:

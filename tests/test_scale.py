@@ -69,7 +69,7 @@ def test_knn_ways_agree(spark, radius):
     """The radius only moves work between the grid and the blocks."""
     rows, df = _cloud(spark, [60, 25, 4], 9.0)
     got = {(r.chain_key, r.src): [] for r in df.selectExpr("chain_key", "pos as src").collect()}
-    for r in graph.knn_edges(df, 6, radius=radius, block=16).orderBy("chain_key", "src", "dist", "dst").collect():
+    for r in graph.knn_edges(df, 6, radius=radius).orderBy("chain_key", "src", "dist", "dst").collect():
         got[r.chain_key, r.src].append(r.dst)
     for a in rows:
         ranked = []
@@ -80,6 +80,38 @@ def test_knn_ways_agree(spark, radius):
         assert got[a[0], a[1]] == [d for _, d in sorted(ranked)[:6]]
 
 
+def test_rings_stay_near_linear(spark, monkeypatch):
+    """Scattered points and a radius far too small: neighbours met per residue do not grow with the chain."""
+    met, ring = [], graph._ring
+
+    def counted(*args):
+        out = ring(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "_ring", counted)
+    per_node = []
+    for n in (400, 1600):
+        met.clear()
+        _, df = _cloud(spark, [n], 4.0 * n ** (1 / 3))
+        edges = graph.knn_edges(df, 6, radius=0.05)
+        assert edges.count() == 6 * n
+        per_node.append(sum(met) / n)
+    assert per_node[1] < 1.5 * per_node[0] and per_node[1] < 200
+
+
+def test_knn_without_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("c", 0, 0.0, 0.0, 0.0, True), ("c", 1, nan, 0.0, 0.0, True), ("c", 2, inf, 0.0, 0.0, True), ("c", 3, None, None, None, False), ("c", 4, 1.0, 0.0, 0.0, True),
+            ("d", 0, nan, nan, nan, True)]
+    df = spark.createDataFrame(rows, "chain_key string, pos int, x double, y double, z double, has_ca boolean")
+    got = {}
+    for r in graph.knn_edges(df, 3).orderBy("chain_key", "src", "dist", "dst").collect():
+        got.setdefault((r.chain_key, r.src), []).append((r.dst, r.resolved))
+    assert got[("c", 0)] == [(0, True), (4, True), (1, False)] and got[("c", 1)] == [(1, False), (0, False), (2, False)]
+    assert got[("d", 0)] == [(0, False)]
+
+
 def _vectors(spark, n, dims=8, groups=5, seed=2, duplicates=0):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(4, dims)) * 3
@@ -125,15 +157,44 @@ def test_topk_small_index_returns_fewer(spark):
     assert {r.query_key: r["count"] for r in got} == want
 
 
-def test_vectors_travel_once_per_block_of_the_other_side(spark):
-    _, df = _vectors(spark, 700)
-    sent = retrieve.block_pairs(df, df, 100).select(F.explode("q_rows.chain_key").alias("k")).groupBy("k").count()
-    assert sent.count() == 700 and sent.agg(F.max("count")).first()[0] == -(-700 // 100)
-    assert retrieve.BLOCK >= 8192
+def _clustered(spark, clusters, per, dims=16, spread=0.02):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(clusters, dims))
+    rows = [(f"k{c}_{n:03d}", f"g{n % 9}", (centres[c] + rng.normal(size=dims) * spread).tolist()) for c in range(clusters) for n in range(per)]
+    return rows, spark.createDataFrame(rows, "chain_key string, pdb_id string, emb array<double>").repartition(4)
+
+
+@pytest.mark.parametrize("exclude", [True, False])
+def test_pairs_of_blocks_are_skipped_where_vectors_cluster(spark, exclude):
+    rows, df = _clustered(spark, 12, 60)
+    index = retrieve.blocks(retrieve.scaled(df), 40)
+    _, plan = retrieve.search_plan(index, index, 4, exclude)
+    pairs, compared = plan.agg(F.count(F.lit(1)), F.count_if("compared")).first()
+    assert pairs == index.count ** 2 and compared < 0.4 * pairs
+    assert plan.groupBy("q", "t").count().filter("count > 1").count() == 0  # a vector is sent once per block of the other side
+    got = {}
+    for r in retrieve.topk_similar(df, df, 4, exclude, block=40).orderBy("query_key", "rank").collect():
+        got.setdefault(r.query_key, []).append((r.tpl_key, r.sim))
+    want = _brute(rows, 4, exclude)
+    assert {q: [t for t, _ in hits] for q, hits in got.items()} == {q: [t for t, _ in hits] for q, hits in want.items()}
+
+
+def test_block_bounds_hold(spark):
+    rows, df = _clustered(spark, 5, 30, spread=0.4)
+    made = retrieve.blocks(retrieve.scaled(df), 25)
+    of = {r.block: np.frombuffer(r.matrix).reshape(r.n, -1) for r in made.table.collect()}
+    assert sum(map(len, of.values())) == len(rows)
+    for r in retrieve.block_pairs(made, made).collect():
+        assert (of[r.q] @ of[r.t].T).max() <= r.bound
+
+
+def test_empty_search(spark):
+    rows, df = _vectors(spark, 6, groups=2)
+    assert retrieve.topk_similar(df, df.limit(0), 4).count() == retrieve.topk_similar(df.limit(0), df, 4).count() == 0
 
 
-PYTHON_QUERIES = {"token_batches", "embed_stub", "topk_similar", "topk_blocked", "topk_other", "hit_weights", "index_build", "aligned_positions", "align_pairs", "align_turns",
-                  "transfer_e2e", "pair_classifier", "predict_pairs"}
+PYTHON_QUERIES = {"token_batches", "embed_stub", "embed_tokens", "topk_similar", "topk_blocked", "topk_other", "hit_weights", "index_build", "aligned_positions", "align_pairs", "align_turns",
+                  "transfer_e2e", "ingest_stream", "pair_classifier", "predict_pairs"}
 
 
 load_all()

@@ -1,12 +1,18 @@
 """Files in, tables out."""
 
+import os
+import re
+import shutil
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
-from foldlake.operators import chains
+from foldlake.operators import chains, splits
 from foldlake.plans import proxies as P
 from foldlake.session import cut_lineage
 from foldlake.sources import fasta, ids, ingest, structures
+from foldlake.streaming import ingest_stream
 from foldlake.streaming.ingest_stream import ingest_available
 
 
@@ -103,6 +109,56 @@ def test_stream_reads_each_file_once(spark, structure_dir, tmp_path):
     assert stored.filter("broken = 'true'").count() == structures.split_rejects(direct)[1].count() > 0
 
 
+class Stopped(Exception):
+    pass
+
+
+def test_stream_build_equals_the_batch_build(spark, structure_dir, tmp_path):
+    """A stop between write and commit, a repeated file, and a second file of one stem."""
+    source, sink, state = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "state")
+    shutil.copytree(structure_dir, source)
+
+    def run(stop=None):
+        query = ingest_stream.build_chains(ingest_stream.stream_structures(spark, str(source), files_per_trigger=2), sink, state, before_commit=stop)
+        query.awaitTermination()
+
+    def stop(number):
+        if number == 1:
+            raise Stopped("between write and commit")
+
+    with pytest.raises(Exception, match="between write and commit"):
+        run(stop)
+    assert {r.batch for r in ingest_stream.read_files(spark, sink).collect()} == {0}
+    half = ingest_stream.read_chains(spark, sink).count()
+    assert half < spark.read.parquet(f"{sink}/chains").count()  # what the stopped batch wrote is there, but does not count
+    run()
+    first = ingest_stream.read_chains(spark, sink).count()
+
+    whole = next(p for p in source.rglob("P2.pdb"))
+    (source / "zz").mkdir()
+    shutil.copy(whole, source / "zz" / "P2.pdb")  # a second file of one stem
+    os.utime(next(p for p in source.rglob("P0.pdb")))  # a file that comes again
+    run()
+    run()
+    assert ingest_stream.read_chains(spark, sink).count() == first
+
+    atoms = structures.parse_atoms(structures.structure_lines(structures.read_structures(spark, str(source))))
+    batch = chains.assemble_chains(structures.residues(structures.usable(atoms)))
+    columns = sorted(batch.columns)
+    assert sorted(map(tuple, ingest_stream.read_chains(spark, sink).select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
+    counts = ingest_stream.build_counts(ingest_stream.read_files(spark, sink).dropDuplicates(["path"])).first()
+    want = structures.ingest_summary(atoms, chains.all_chains(structures.residues(structures.usable(atoms))), 20).first()
+    assert counts.asDict() == want.asDict()
+
+
+def test_records_counted_in_whole_texts(spark, structure_dir):
+    files = structures.read_structures(spark, structure_dir)
+    records, broken = structures.record_counts(F.col("value"))
+    got = {tuple(r) for r in files.select("path", records, broken).collect()}
+    want = structures.file_states(structures.parse_atoms(structures.structure_lines(files))).select("path", "records", "broken")
+    assert got == {tuple(r) for r in want.collect()}
+
+
 FASTA = "skip me\n>first one\nACD\nEFG\n\n>\nKKK\n>last\n"
 
 
@@ -112,11 +168,33 @@ def test_fasta(spark, tmp_path):
     assert [(r.label, r.seq) for r in rows] == [("first one", "ACDEFG"), ("seqnum000000005", "KKK"), ("last", "")]
 
 
-def test_large_fasta_reads_records(spark, tmp_path):
-    text = "".join(f">s{k} x\n{'ACDE' * (k % 5 + 1)}\nGG\n" for k in range(500))
-    (tmp_path / "b.fasta").write_text(text)
-    rows = {r.label: r.seq for r in fasta.read_large_fasta(spark, str(tmp_path / "b.fasta")).collect()}
-    assert len(rows) == 500 and rows["s3 x"] == "ACDE" * 4 + "GG" and rows["s499 x"] == "ACDE" * 5 + "GG"
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield spark
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_split_reading_equals_whole_files(small_splits, tmp_path):
+    spark = small_splits
+    texts = {
+        "named": "".join(f">s{k} x\n{'ACDE' * (k % 5 + 1)}\nGG\n" for k in range(700)),
+        "unnamed": "preamble\n\n" + "".join(f">{' ' if k % 3 else 'n%d' % k}\n" + "AC\n" * (k % 7) + "\n" * (k % 2) for k in range(900)),
+        "windows": "".join(f">{'' if k % 4 == 1 else 'w%d' % k}\r\nAC\r\nDE\r\n" for k in range(500)),
+        "long": ">one\n" + "ACDEFGHIKL\n" * 2000 + ">\n" + "W" * 9000 + "\n>last",
+        "none": "no record at all\n", "empty": "", "marks": ">\n>\n>\nA",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.fasta").write_bytes(text.encode())
+    whole = fasta.fasta_records(fasta.read_fasta_files(spark, str(tmp_path)))
+    split = fasta.read_fasta(spark, str(tmp_path))
+    assert split.columns == whole.columns
+    got, want = (sorted(map(tuple, df.collect())) for df in (split, whole))
+    assert got == want and len(want) == 700 + 900 + 500 + 3 + 3
+    places = spark.read.format("text").option("lineSep", "\n>").load(str(tmp_path / "long.fasta")).select("_metadata.file_block_start").distinct()
+    assert places.count() > 1
 
 
 def test_duplicate_labels(spark):
@@ -146,3 +224,91 @@ def test_multimer_small(spark):
     assert [r.residue_index for r in rows] == [0, 1, 2, 3, 104]
     assert [r.linker_mask for r in rows] == [1, 1, 0, 0, 1]
     assert [r.chain_index for r in rows] == [0, 0, 0, 0, 1]
+
+
+def test_fetch_reads_only_the_buckets_asked_for(spark, sf_dir, tmp_path):
+    table = P.groups(spark, sf_dir)
+    target = str(tmp_path / "sink")
+    ingest.write_chains(table, target, buckets=32)
+    keys = table.filter("doc_id in (3, 17)").select("chain_key", F.col("doc_id").alias("asked"))
+    got = ingest.fetch_stored(spark, keys, target, buckets=32)
+    assert sorted((r.chain_key, r.asked, r.doc_id) for r in got.collect()) == sorted((r.chain_key, r.asked, r.asked) for r in keys.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: [^\n]*array_contains\((Reused)?Subquery[^\n]*bucket", plan)
+    read = [m.getValue().value() for m in _metrics(got._jdf.queryExecution().executedPlan()) if m.getKey() == "numPartitions"]
+    assert read and max(read) <= 2
+
+
+def _metrics(plan):
+    """Metrics of all scans of an executed plan."""
+    nodes, found = [plan], []
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+            continue
+        if name == "FileSourceScanExec":
+            found += _java_list(node.metrics().toSeq())
+        nodes += _java_list(node.children())
+    return [_Entry(m) for m in found]
+
+
+class _Entry:
+    def __init__(self, pair):
+        self.pair = pair
+
+    def getKey(self):
+        return self.pair._1()
+
+    def getValue(self):
+        return self.pair._2()
+
+
+def _java_list(seq):
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def test_counts_are_observed_in_the_write(spark, sf_dir, tmp_path):
+    atoms = structures.parse_atoms(P.ingest_lines(spark, sf_dir))
+    counts = ingest.write_build(atoms, str(tmp_path / "built"), 47)
+    built = chains.all_chains(structures.residues(structures.usable(atoms)))
+    assert counts == structures.ingest_summary(atoms, built, 47).first().asDict()
+    assert spark.read.parquet(str(tmp_path / "built")).count() == counts["saved"]
+
+
+# ---------------------------------------------------------------- stored splits
+
+def _split_ids(spark, n=50):
+    return spark.range(n).select(F.col("id").cast("string").alias("pdb_id"))
+
+
+def test_only_a_complete_split_counts(spark, tmp_path):
+    half = tmp_path / "tag=t"
+    spark.createDataFrame([("x", "val")], "pdb_id string, split string").write.parquet(str(half))
+    (half / "_SUCCESS").unlink()  # as a writer leaves it that stops half-way
+    assert not splits.published(spark, str(tmp_path), "tag=t")
+    made = splits.named_split(spark, str(tmp_path), "t", _split_ids(spark))
+    assert made.count() == 50 and splits.published(spark, str(tmp_path), "tag=t")
+    assert sorted(map(tuple, splits.named_split(spark, str(tmp_path), "t", _split_ids(spark, 3)).collect())) == sorted(map(tuple, made.collect()))
+
+
+def test_the_first_of_two_writers_wins(spark, tmp_path):
+    one, two = (spark.createDataFrame([(w, "val")], "pdb_id string, split string") for w in ("one", "two"))
+    assert splits.publish(one, str(tmp_path), "tag=t") and not splits.publish(two, str(tmp_path), "tag=t")
+    assert [r.pdb_id for r in splits.named_split(spark, str(tmp_path), "t", _split_ids(spark)).collect()] == ["one"]
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda k: splits.publish(_split_ids(spark, k + 1), str(tmp_path), "tag=race"), range(4)))
+    assert won.count(True) == 1
+    assert spark.read.parquet(str(tmp_path / "tag=race")).count() == won.index(True) + 1
+
+
+def test_other_read_errors_pass_through(spark, tmp_path):
+    (tmp_path / "tag=t").mkdir()
+    (tmp_path / "tag=t" / "_SUCCESS").touch()
+    (tmp_path / "tag=t" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        splits.named_split(spark, str(tmp_path), "t", _split_ids(spark)).collect()
