@@ -16,7 +16,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -132,23 +132,28 @@ def _turned(fp: Column, bits: int) -> Column:
     return fp if bits == 0 else F.shiftleft(fp, bits).bitwiseOR(F.shiftrightunsigned(fp, 64 - bits))
 
 
-def links(distinct: DataFrame, errors: int = ERRORS, unit: int = UNIT) -> DataFrame:
+def links(distinct: DataFrame, errors: int = ERRORS, unit: int = UNIT, tries: tuple[int, int] | None = None) -> DataFrame:
     """a, b: links that connect exactly the ``fp`` of ``distinct`` that differ in at most ``errors`` bits.
 
     Inside a unit the links are reduced to a forest with the same components. Where ``distinct`` has a column ``seed``
-    (whole numbers from 0), only equal seeds are linked and the links carry it.
+    (whole numbers from 0), only equal seeds are linked. Where it has a column ``label``, links are between labels: what
+    has one label is connected already, and a unit gives fewer links than it has labels. ``tries`` limits the join to a
+    range of tries, counted from 0 over the seeds, ``errors + 1`` to a seed.
     """
     if not 0 <= errors < 8:
         raise ValueError("the error budget must be 0 to 7 bits")
     blocks = errors + 1
     starts = [64 * k // blocks for k in range(blocks + 1)]
     seeded = "seed" in distinct.columns
-    tries = F.array(*[
+    turned = F.array(*[
         F.struct((F.col("seed") * blocks + k if seeded else F.lit(k)).alias("trie"), F.lit(end - begin).alias("depth"), _turned(F.col("fp"), begin).alias("path"))
         for k, (begin, end) in enumerate(zip(starts, starts[1:]))])
-    rows = distinct.select(F.explode(tries).alias("t")).select("t.*")
+    carried = ["path", "label"] if "label" in distinct.columns else ["path"]
+    rows = distinct.select(F.explode(turned).alias("t"), *carried[1:]).select("t.*", *carried[1:])
+    if tries:
+        rows = rows.filter((F.col("trie") >= tries[0]) & (F.col("trie") < tries[1]))
     node = F.expr("shiftrightunsigned(path, 64 - depth)")
-    rows = rows.select("trie", "depth", node.alias("a"), node.alias("b"), "path")
+    rows = rows.select("trie", "depth", node.alias("a"), node.alias("b"), *carried)
     key = ["trie", "depth", "a", "b"]
 
     parts = []
@@ -165,11 +170,11 @@ def links(distinct: DataFrame, errors: int = ERRORS, unit: int = UNIT) -> DataFr
         met = crowded.join(children, key)
         other = F.filter("children", lambda c: (F.bit_count(c.bitwiseXOR(F.col("child"))) <= errors) & (
             (F.col("a") == F.col("b")) | (_above(c) != _above(F.col("child")))))
-        met = met.select("trie", "deeper", "path", "child", F.explode(other).alias("other"))
+        met = met.select("trie", "deeper", *carried, "child", F.explode(other).alias("other"))
         unsigned = lambda c: c.bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  orders paths of 64 bits as unsigned
         first = unsigned(F.col("child")) <= unsigned(F.col("other"))
         rows = met.select("trie", F.col("deeper").alias("depth"), F.when(first, F.col("child")).otherwise(F.col("other")).alias("a"),
-                          F.when(first, F.col("other")).otherwise(F.col("child")).alias("b"), "path")
+                          F.when(first, F.col("other")).otherwise(F.col("child")).alias("b"), *carried)
     units = parts[0]
     for part in parts[1:]:
         units = units.unionByName(part)
@@ -177,7 +182,7 @@ def links(distinct: DataFrame, errors: int = ERRORS, unit: int = UNIT) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*key, "path")]))
+            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*key, *carried)]))
             table = np.concatenate(held, axis=1)
             ends = np.flatnonzero((table[:4, 1:] != table[:4, :-1]).any(axis=0)) + 1
             if len(ends):
@@ -190,7 +195,7 @@ def links(distinct: DataFrame, errors: int = ERRORS, unit: int = UNIT) -> DataFr
 
     def solve(table: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((table[4].view(np.uint64), table[3], table[2], table[1], table[0]))
-        trie, depth, a, b, path = table[:, order]
+        trie, depth, a, b, path = table[:5, order]
         v = path.view(np.uint64)
         size = len(v)
         new = np.flatnonzero(np.concatenate([[True], (np.stack([trie, depth, a, b])[:, 1:] != np.stack([trie, depth, a, b])[:, :-1]).any(axis=0)]))
@@ -202,17 +207,22 @@ def links(distinct: DataFrame, errors: int = ERRORS, unit: int = UNIT) -> DataFr
         only_a = (a[new] != b[new]) & (middle == last)
         use = ~(only_a | only_b)
         i, j = follow(v, new[use], middle[use], last[use], depth[new][use], errors)
+        if len(carried) > 1:
+            names, first, of = np.unique(table[5, order], return_index=True, return_inverse=True)
+            root = _forest(size, np.concatenate([i, np.arange(size)]), np.concatenate([j, first[of]]))
+            group = root[first]
+            least = np.full(size, np.iinfo(np.int64).max)
+            np.minimum.at(least, group, names)
+            linked = names != least[group]
+            return pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(least[group][linked])], names=["a", "b"])
         root = _forest(size, i, j)
         linked = np.flatnonzero(root != np.arange(size))
         turn = np.array(starts, dtype=np.uint64)[trie % blocks]
         back = np.where(turn == 0, v, v >> turn | v << (np.uint64(64) - turn) % np.uint64(64)).view(np.int64)
-        ends = [pa.array(back[linked]), pa.array(back[root[linked]])]
-        if seeded:
-            return pa.RecordBatch.from_arrays([*ends, pa.array(trie[linked] // blocks)], names=["a", "b", "seed"])
-        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(back[linked]), pa.array(back[root[linked]])], names=["a", "b"])
 
     dealt = units.repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(run, "a bigint, b bigint, seed bigint" if seeded else "a bigint, b bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def _above(child: Column) -> Column:
@@ -241,19 +251,3 @@ def _grouped(rows: DataFrame, errors: int) -> DataFrame:
     ids = joined.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = joined.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp")
-
-
-def keep_one(docs: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id.
-
-    All columns are kept. Of repeated rows with that doc_id one stays. Rows with a null doc_id stay.
-    """
-    rows = stored(fingerprints(docs))
-    grouped = stored(_grouped(rows, errors))
-    losers = grouped.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
-    repeated = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__turn", turn).filter("__turn = 1 or doc_id is null").drop("__turn")

@@ -336,11 +336,35 @@ def test_simhash_edge_cases(messy, empty):
     assert {r["component_id"] for r in found if r["doc_id"] in (1, 2, 3)} == {1}
     assert all(r["fingerprint"] == "0" * 16 for r in found if r["doc_id"] in (1, 2, 3))
     assert {r["component_id"] for r in found if r["doc_id"] in (5, 6)} == {5}
-    kept = simhash.keep_one(messy)
-    assert kept.columns == messy.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [-10, 1, 4, 5, 7, 8, 9] and ids.count(None) == 2
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("unit, tries", [(4096, None), (4, None), (4096, (0, 4)), (4, (5, 9))])
+def test_links_between_labels(spark, unit, tries):
+    """Labels hang together as their fingerprints do, by the asked tries only, and no unit gives as many links as it has labels."""
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    values = {(s, b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4)))) for b in base for s in range(3) for _ in range(4)}
+    marks = [(s, v - (1 << 64) if v >> 63 else v, rng.randrange(60)) for s, v in sorted(values)]
+    table = spark.createDataFrame(marks, "seed int, fp bigint, label bigint")
+    found = [(r["a"], r["b"]) for r in simhash.links(table, 3, unit, tries).collect()]
+    groups = lambda pairs: by_force_groups(60, pairs)
+    low, high = tries or (0, 12)
+
+    def met(p, q):
+        """Whether two fingerprints of one seed meet in an asked trie: they agree in one of its four blocks."""
+        return any(low <= p[0] * 4 + k < high and not ((p[1] ^ q[1]) >> (48 - 16 * k)) & 0xFFFF for k in range(4))
+
+    want = [(p[2], q[2]) for p in marks for q in marks if p[0] == q[0] and ((p[1] ^ q[1]) & (2 ** 64 - 1)).bit_count() <= 3 and met(p, q)]
+    assert groups(found) == groups(want)
+    assert all(a > b for a, b in found)
+
+
+def by_force_groups(size, pairs):
+    label = list(range(size))
+    for a, b in pairs:
+        label = [min(label[a], label[b]) if v in (label[a], label[b]) else v for v in label]
+    return label
 
 
 def five_words(text):
@@ -366,10 +390,59 @@ def test_near_dedup_stage_keeps_one_of_each_group_by_five_word_jaccard(spark, sf
             if label[i] != label[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
                 label = [min(label[i], label[j]) if v in (label[i], label[j]) else v for v in label]
     docs = spark.createDataFrame([(k, t, "en", "src0", len(t)) for k, t in enumerate(texts)], DOCS)
-    for block in (near_text.BLOCK, 4):  # the second deals large groups into blocks
+    for block, pivots in ((near_text.BLOCK, near_text.PIVOTS), (4, 2), (25, 1)):  # all but the first deal large groups into blocks
         monkeypatch.setattr(near_text, "BLOCK", block)
+        monkeypatch.setattr(near_text, "PIVOTS", pivots)
         assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == set(label)
-    assert len(set(label)) < simhash.keep_one(docs).count()
+
+
+def test_near_dedup_on_messy_rows(spark, messy, empty):
+    kept = near_text.keep_one(messy)
+    assert kept.columns == messy.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [-10, 1, 4, 5, 7, 8, 9] and ids.count(None) == 2
+    twice = spark.createDataFrame([(1, "a b c d e f g h", "en", "x", 1), (1, "other words of one and the same id", "en", "x", 1), (2, "a b c d e f g h", "de", "y", 2)], DOCS)
+    assert sorted((r["doc_id"], r["text"][:5]) for r in near_text.keep_one(twice).collect()) == [(1, "a b c"), (1, "other")]
+
+
+def near_copies(count, words=120, edits=2):
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    texts = [base]
+    for _ in range(count - 1):
+        copy = list(base)
+        for k in rng.sample(range(words), edits):
+            copy[k] = f"v{rng.randrange(10 ** 6)}"
+        texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+def test_near_dedup_work_follows_the_size_of_a_group(spark, monkeypatch):
+    """Links and bytes that are sent to be compared, for one group of near copies that doubles."""
+    sent = {}
+    connect, compare = near_text.components, near_text._compared
+
+    def counted_links(links):
+        sent["links"].append(links.count())
+        return connect(links)
+
+    def counted_units(units):
+        sent["bytes"] += units.agg(F.sum(F.length("hashes") + 100)).first()[0] or 0
+        return compare(units)
+
+    monkeypatch.setattr(near_text, "components", counted_links)
+    monkeypatch.setattr(near_text, "_compared", counted_units)
+    monkeypatch.setattr(near_text, "BLOCK", 150)  # so that the groups take several blocks
+    before = None
+    for size in (400, 800, 1600):
+        sent.update(links=[], bytes=0)
+        docs = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in enumerate(near_copies(size))], DOCS).repartition(8)
+        assert near_text.keep_one(docs).count() == 1
+        assert sum(sent["links"][:3]) <= 2 * size  # the three passes over the tries
+        assert max(sent["links"][3:]) <= size  # pairs found similar
+        if before:
+            assert sent["bytes"] <= 2.3 * before
+        before = sent["bytes"]
 
 
 # ---------------------------------------------------------------- 7 packing
