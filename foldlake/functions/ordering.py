@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def _pieces(count: int) -> list[str]:
     return [f"__piece{k}" for k in range(count)]
@@ -85,3 +87,45 @@ def with_score_pieces(df: DataFrame, score: str, tie_breaker: str, pieces: int =
     rank = 2 * F.col("__range").cast("int") + F.when(at_border, 0).otherwise(1)
     tie = F.when(at_border, F.floor(F.col(tie_breaker) / width)).otherwise(F.lit(0))
     return placed.withColumns({"__piece_range": rank, "__piece_tie": tie}).drop("__descending", "__range"), [F.col("__piece_range"), F.col("__piece_tie")]
+
+
+def sums_of_best(df: DataFrame, group: str, wanted: DataFrame, order: list[str], value: str, limit: int = 1 << 16, digits: int = 256) -> DataFrame:
+    """``wanted`` (``group``, n) with ``best``: the sum of ``value`` over the first ``n`` rows of each group.
+
+    Rows come by the first column of ``order`` descending, then by the others rising. Nothing but what lies around the asked
+    places is sorted: the range of a group's scores is cut into ``digits`` parts, which are counted and summed; the part in
+    which a place falls is cut again, by the next column where its scores are all equal, until it has at most ``limit``
+    rows. A place needs the sums of the parts in front and the order inside its own. ``df`` is read once per round: store it.
+    """
+    asked = wanted.select(group, "n").distinct()
+    # Of a part: its number, and as ``need`` and ``sum`` the places asked inside it and what lies in front of them.
+    marks = asked.select(group, F.lit(0).cast("bigint").alias("__part"), "n", F.col("n").alias("__need"), F.lit(0).cast("bigint").alias("__sum"))
+    rows = df.select(group, *order, value, F.lit(0).cast("bigint").alias("__part"))
+    before_round = None
+    while True:
+        extremes = rows.groupBy(group, "__part").agg(*[e for c in order for e in (F.min(c).alias(f"__lo_{c}"), F.max(c).alias(f"__hi_{c}"))])
+        digit = F.lit(0)
+        for c in reversed(order):
+            low, high = F.col(f"__lo_{c}").cast("double"), F.col(f"__hi_{c}").cast("double")
+            share = (high - F.col(c) if c == order[0] else F.col(c) - low) / (high - low)
+            digit = F.when(low < high, F.least(F.lit(digits - 1), F.floor(share * digits))).otherwise(digit)
+        cut = rows.join(extremes, [group, "__part"]).select(group, *order, value, (F.col("__part") * digits + digit).alias("__sub"), "__part")
+        sizes = cut.groupBy(group, "__part", "__sub").agg(F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__v"))
+        before = Window.partitionBy(group, "__part").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
+        summed = sizes.select(group, "__part", "__sub", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__front"),
+                              F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__front_v"))
+        inside = (F.col("__need") > F.col("__front")) & (F.col("__need") <= F.col("__front") + F.col("__n"))
+        marks = stored(marks.join(summed, [group, "__part"]).filter(inside).select(
+            group, F.col("__sub").alias("__part"), "n", (F.col("__need") - F.col("__front")).alias("__need"),
+            (F.col("__sum") + F.col("__front_v")).alias("__sum"), "__n"))
+        largest = marks.agg(F.max("__n")).first()[0] or 0
+        marks = marks.drop("__n")
+        rows = cut.select(group, *order, value, F.col("__sub").alias("__part")).join(marks.select(group, "__part").distinct(), [group, "__part"], "left_semi")
+        if largest <= limit or largest == before_round:  # scores that are no numbers are not cut
+            break
+        rows, before_round = stored(rows), largest
+    place = F.row_number().over(Window.partitionBy(group, "__part").orderBy(F.desc(order[0]), *order[1:]))
+    ranked = rows.withColumn("__place", place)
+    found = marks.join(ranked, [group, "__part"]).filter("__place <= __need").groupBy(group, "n", "__sum").agg(F.sum(value).alias("__v"))
+    best = found.select(group, "n", (F.col("__sum") + F.col("__v")).alias("best"))
+    return wanted.join(best, [group, "n"], "left").withColumn("best", F.coalesce("best", F.lit(0)))

@@ -5,41 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import ordinal, with_score_pieces
+from ..functions.ordering import ordinal, sums_of_best, with_score_pieces
 from ..session import stored
 
 THRESHOLDS = [(k + 1) / 20 for k in range(19)]
 
 
-def precision_at_k(scores: DataFrame, width: int = 64) -> DataFrame:
+def precision_at_k(scores: DataFrame, limit: int = 1 << 16) -> DataFrame:
     """Precision among the L, L/2 and L/5 best entries of each chain.
 
     L counts residues with a valid pair. Entries are ordered pairs: each row
-    i < j stands for two entries that rank together. Best rows are taken per
-    stripe of ``width`` residues, then per ``width`` stripes, and only these
-    are ranked, so a long chain is not sorted in one task.
+    i < j stands for two entries that rank together. The places are found by
+    counts of score ranges; of a chain, only rows around them are sorted.
     """
-    valid = scores.filter("valid").select("chain_key", "i", "j", "p", "y")
+    valid = stored(scores.filter("valid").select("chain_key", "i", "j", "p", "y"))
     ends = valid.select("chain_key", F.explode(F.array("i", "j")).alias("r")).groupBy("chain_key", "r").agg(F.count(F.lit(1)).alias("n"))
     # Each valid pair has two ends and stands for two entries.
-    sizes = ends.groupBy("chain_key").agg(F.count(F.lit(1)).alias("Lb"), F.sum("n").alias("entries"))
-    best = (F.desc("p"), "i", "j")
-    kept = valid.join(sizes, "chain_key")
-    wanted = F.floor((F.col("Lb") + 1) / 2)
-    for part in (F.floor(F.col("i") / width), F.floor(F.col("i") / (width * width)), F.lit(0)):
-        group = Window.partitionBy("chain_key", "part").orderBy(*best)
-        kept = kept.withColumn("part", part).withColumn("r", F.row_number().over(group)).filter(F.col("r") <= wanted)
-    ranked = kept
-
-    # Each chain keeps at least as many rows as its largest K needs, so sums below are complete.
+    sizes = stored(ends.groupBy("chain_key").agg(F.count(F.lit(1)).alias("Lb"), F.sum("n").alias("entries")))
+
     ks = {"p_at_l": F.col("Lb"), "p_at_l2": F.greatest(F.lit(1), F.floor(F.col("Lb") / 2)),
           "p_at_l5": F.greatest(F.lit(1), F.floor(F.col("Lb") / 5))}
-    aggs = []
-    for name, k in ks.items():
-        cap = F.least(k, F.col("entries"))
-        share = F.greatest(F.lit(0), F.least(F.lit(2), cap - 2 * (F.col("r") - 1)))
-        aggs.append((F.sum(share * F.col("y")) / F.max(cap)).alias(name))
-    return ranked.groupBy("chain_key").agg(F.max("Lb").alias("Lb"), *aggs)
+    # The best k entries are the best k / 2 rows, once rounded down and once up, with one entry of each.
+    halves = F.array(*[F.struct(F.lit(name).alias("name"), cap.alias("cap"), n.alias("n")) for name, k in ks.items()
+                       for cap in [F.least(k, F.col("entries"))] for n in (F.floor(cap / 2), F.ceil(cap / 2))])
+    wanted = sizes.select("chain_key", F.explode(halves).alias("h")).select("chain_key", "h.*")
+    best = sums_of_best(valid, "chain_key", wanted, ["p", "i", "j"], "y", limit)
+    shares = [(F.sum(F.when(F.col("name") == name, F.col("best"))) / F.max(F.when(F.col("name") == name, F.col("cap")))).alias(name) for name in ks]
+    return best.groupBy("chain_key").agg(*shares).join(sizes.select("chain_key", "Lb"), "chain_key").select("chain_key", "Lb", *ks)
 
 
 def mean_precision(per_chain: DataFrame) -> DataFrame:

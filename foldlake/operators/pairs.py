@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CONTACT_CUTOFF, MIN_SEPARATION, SEED
 from ..functions import vectors as V
+from ..session import stored
 
 # The zero offset and the 13 offsets after it: each pair of neighbouring cells is met once.
 _FORWARD = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
@@ -179,22 +180,40 @@ def symmetrize(directed: DataFrame, how: str = "mean", keys: tuple[str, ...] = (
     return summed.select(*keys, "i", "j", F.when(F.col("i") == F.col("j"), F.col("__diagonal")).otherwise(F.col("__total")).alias(value))
 
 
-def apc(pairs: DataFrame, keys: tuple[str, ...] = ("chain_key",), values: tuple[str, ...] = ("x",)) -> DataFrame:
+def apc(pairs: DataFrame, keys: tuple[str, ...] = ("chain_key",), values: tuple[str, ...] = ("x",), stripe: int = 256) -> DataFrame:
     """x - row sum * column sum / total of a symmetric matrix given by its pairs i < j.
 
-    Several value columns are corrected in one pass. The row sums are map-side
-    aggregates, one row per residue; the pairs are joined to them on (chain,
-    residue), which no single chain can make one-sided. Whole numbers give
-    results that are exact but for one division.
+    Several value columns are corrected in one pass. The row sums are map-side aggregates, one row per residue. They are
+    laid out in arrays of ``stripe`` residues, and each tile of the matrix that has pairs gets the two arrays of its sides
+    and the total, so the pairs are joined once, on (chain, tile), which no single chain can make one-sided. Whole numbers
+    give results that are exact but for one division.
     """
-    ends = pairs.select(*keys, F.explode(F.array("i", "j")).alias("i"), *values)
-    rows = ends.groupBy(*keys, "i").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
-    totals = rows.groupBy(*keys).agg(*[F.sum(f"__s_{v}").alias(f"__all_{v}") for v in values])
-    columns = rows.join(totals, list(keys)).select(
-        *keys, F.col("i").alias("j"), *[F.col(f"__s_{v}").alias(f"__t_{v}") for v in values], *[f"__all_{v}" for v in values])
-    fixed = {v: (F.col(v) - F.col(f"__s_{v}") * F.col(f"__t_{v}") / F.col(f"__all_{v}")).alias(v) for v in values}
-    return (pairs.join(rows, [*keys, "i"]).join(columns, [*keys, "j"])
-            .select(*[fixed[c] if c in fixed else F.col(c) for c in pairs.columns]))
+    table = stored(pairs)
+    ends = table.select(*keys, F.explode(F.array("i", "j")).alias("i"), *values)
+    rows = stored(ends.groupBy(*keys, "i").agg(*[F.sum(v).alias(v) for v in values]))
+    totals = rows.groupBy(*keys).agg(*[F.sum(v).alias(f"__all_{v}") for v in values])
+
+    def tile(column: str) -> Column:
+        return F.floor(F.col(column) / stripe)
+
+    listed = rows.groupBy(*keys, tile("i").alias("__tile")).agg(F.map_from_entries(F.collect_list(F.struct(F.pmod("i", F.lit(stripe)).cast("int").alias("at"), F.struct(*values)))).alias("__m"))
+
+    def array(v: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(stripe - 1)), lambda k: F.try_element_at("__m", k)[v])
+
+    sides = listed.select(*keys, "__tile", *[array(v).alias(f"__s_{v}") for v in values])
+
+    def side(name: str) -> DataFrame:
+        return sides.select(*keys, F.col("__tile").alias(f"__{name}"), *[F.col(f"__s_{v}").alias(f"__{name}_{v}") for v in values])
+
+    tiles = table.select(*keys, tile("i").alias("__i"), tile("j").alias("__j")).distinct().join(side("i"), [*keys, "__i"]).join(side("j"), [*keys, "__j"]).join(totals, list(keys))
+    met = table.withColumns({"__i": tile("i"), "__j": tile("j")}).join(tiles, [*keys, "__i", "__j"])
+
+    def of(name: str, v: str) -> Column:
+        return F.get(F.col(f"__{name}_{v}"), F.pmod(F.col(name), F.lit(stripe)).cast("int"))
+
+    fixed = {v: (F.col(v) - of("i", v) * of("j", v) / F.col(f"__all_{v}")).alias(v) for v in values}
+    return met.select(*[fixed[c] if c in fixed else F.col(c) for c in pairs.columns])
 
 
 def logistic_score(features: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:

@@ -12,9 +12,10 @@ from ..operators import embed as E
 from ..operators import pairs as B
 from ..operators import retrieve as R
 from ..operators import transfer as T
+from ..operators.align_tiles import align_long
 from . import proxies as P
 from .pairs import ALL_NEAR_SQL, CONTACTS_SQL
-from .registry import query
+from .registry import ORACLES, query
 
 
 def chain_seqs(spark, d):
@@ -110,6 +111,13 @@ def align_pairs(spark, d):
     return _checked(A.align_pairs(_candidates(spark, d), seqs, seqs), seqs, seqs)
 
 
+@query("align_tiles", ORACLES["align_pairs"])
+def align_tiles(spark, d):
+    """The same pairs tile by tile, as pairs too long for one task are aligned."""
+    seqs = chain_seqs(spark, d)
+    return _checked(align_long(_candidates(spark, d), seqs, seqs, tile=16), seqs, seqs)
+
+
 # Diagonal by diagonal: a cell needs the two diagonals before it, so a step is one list per pair.
 @query("align_turns", f"""WITH RECURSIVE turns AS (SELECT conv_id, turn, {P.clean_sql('text')} AS seq FROM conversations),
 turn_pairs AS (SELECT q.conv_id || '_' || q.turn AS query_key, t.conv_id || '_' || t.turn AS tpl_key, string_split(q.seq, '') AS a, string_split(t.seq, '') AS b,

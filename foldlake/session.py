@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +32,41 @@ def build_session(app: str = "foldlake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Lists of the folders made inside the open ``temporary_tables``.
+_watched: ContextVar[tuple[list[str], ...]] = ContextVar("watched", default=())
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders that the library makes inside are removed at the end; write or collect results before.
+
+        with temporary_tables(spark):
+            retrieve.topk_similar(queries, index).write.parquet(target)
+    """
+    made: list[str] = []
+    token = _watched.set((*_watched.get(), made))
+    try:
+        yield made
+    finally:
+        _watched.reset(token)
+        for folder in made:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors can read and write.
 
     It lies in the folder the cluster names in ``spark.checkpoint.dir``. A temporary one is made only where
     driver and executors are one process on one machine, as in tests; elsewhere the setting is required.
     """
+    folder = _new_folder(spark)
+    for names in _watched.get():
+        names.append(folder)
+    return folder
+
+
+def _new_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -43,15 +75,6 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/foldlake-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably, in the shared folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read back.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foldlake.operators import align as A
 from foldlake.operators import tokens as K
 from foldlake.operators import transfer as T
+from foldlake.operators.align_tiles import align_long
 
 
 def plain_score(a, b, gap=2):
@@ -190,3 +191,26 @@ def test_classifier_learns(spark, sf_dir):
     scored = M.score_pairs(M.fit_pair_classifier(features), features).toPandas()
     assert scored["p"].between(0, 1).all() and len(scored) > 1000
     assert scored.loc[scored.y == 1, "p"].mean() > scored.loc[scored.y == 0, "p"].mean()
+
+
+@pytest.mark.parametrize("tile", [1, 7, 64])
+def test_tiles_give_the_same_strings(spark, tile):
+    rng = np.random.default_rng(4)
+    seqs = ["".join(rng.choice(list("ACDEXU"), n)) for n in (0, 1, 5, 7, 14, 20 if tile == 1 else 90, 3 if tile == 1 else 130)]
+    table = spark.createDataFrame([(f"s{k}", s) for k, s in enumerate(seqs)], "chain_key string, seq string")
+    pairs = spark.createDataFrame([(f"s{a}", f"s{b}") for a in range(len(seqs)) for b in range(len(seqs)) if tile > 1 or a + b < 8], "query_key string, tpl_key string")
+    if tile == 1:
+        pairs = pairs.filter("query_key < 's4' and tpl_key < 's4'")
+    found = {(r.query_key, r.tpl_key): (r.q_aln, r.t_aln, r.score) for r in align_long(pairs, table, table, tile=tile).collect()}
+    assert len(found) == pairs.count()
+    for (q, t), done in found.items():
+        assert done == A.align(seqs[int(q[1])], seqs[int(t[1])]), (q, t)
+
+
+def test_tiles_of_a_long_pair(spark):
+    rng = np.random.default_rng(5)
+    a = "".join(rng.choice(list("ACDE"), 3000))
+    b = a[:1200] + a[1300:]
+    table = spark.createDataFrame([("a", a), ("b", b)], "chain_key string, seq string")
+    row = align_long(spark.createDataFrame([("a", "b")], "query_key string, tpl_key string"), table, table, tile=600).first()
+    assert (row.q_aln, row.t_aln, row.score) == A.align(a, b)

@@ -125,12 +125,13 @@ def test_random_crop(spark):
     assert got == {"1ABC": (29, 285), "short": (0, 10)}
 
 
-def test_precision_equals_mirrored_ranking(spark):
+@pytest.mark.parametrize("limit", [1 << 16, 5])
+def test_precision_equals_mirrored_ranking(spark, limit):
     rng = np.random.default_rng(5)
     rows = [("s", f"c{c}", i, j, float(rng.random()), int(rng.random() < .3), bool(rng.random() < .8))
             for c in range(4) for i in range(70 + c) for j in range(i + 1, 70 + c) if rng.random() < .2 + .2 * c]
     df = spark.createDataFrame(rows, "split string, chain_key string, i int, j int, p double, y int, valid boolean")
-    got = {r.chain_key: r for r in evaluate.precision_at_k(df, width=16).collect()}
+    got = {r.chain_key: r for r in evaluate.precision_at_k(df, limit=limit).collect()}
     for c in range(4):
         entries = [(-p, i, j, o, y) for _, k, i, j, p, y, v in rows if k == f"c{c}" and v for o in (0, 1)]
         entries.sort()

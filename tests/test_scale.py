@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldlake.functions.ordering import hash_pieces, ordinal, range_pieces, with_score_pieces
+from foldlake.functions.ordering import hash_pieces, ordinal, range_pieces, sums_of_best, with_score_pieces
 from foldlake.operators import graph, pairs, retrieve
 from foldlake.plans import load_all
 from foldlake.plans.registry import QUERIES
@@ -193,7 +193,7 @@ def test_empty_search(spark):
     assert retrieve.topk_similar(df, df.limit(0), 4).count() == retrieve.topk_similar(df.limit(0), df, 4).count() == 0
 
 
-PYTHON_QUERIES = {"token_batches", "embed_stub", "embed_tokens", "topk_similar", "topk_blocked", "topk_other", "hit_weights", "index_build", "aligned_positions", "align_pairs", "align_turns",
+PYTHON_QUERIES = {"token_batches", "embed_stub", "embed_tokens", "topk_similar", "topk_blocked", "topk_other", "hit_weights", "index_build", "aligned_positions", "align_pairs", "align_tiles", "align_turns",
                   "transfer_e2e", "ingest_stream", "pair_classifier", "predict_pairs"}
 
 
@@ -215,3 +215,15 @@ def test_library_keeps_data_distributed():
         text = path.read_text()
         assert "crossJoin" not in text and "localCheckpoint" not in text and ".collect()" not in text and ".rdd" not in text, path
         assert "toPandas()" not in text, path
+
+
+@pytest.mark.parametrize("scores", ["random", "equal", "few"])
+def test_sums_of_best_sort_only_around_the_places(spark, scores):
+    rng = np.random.default_rng(6)
+    p = {"random": rng.normal(size=3000), "equal": np.zeros(3000), "few": rng.choice([0.1, 0.5], 3000)}[scores]
+    rows = [("c" if k % 3 else "d", float(p[k]), k // 60, k % 60, int(rng.integers(0, 2))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, p double, i int, j int, y int")
+    wanted = [(g, n) for g in "cd" for n in (0, 1, 7, 400, 1000)]
+    got = {(r.g, r.n): r.best for r in sums_of_best(df, "g", spark.createDataFrame(wanted, "g string, n bigint"), ["p", "i", "j"], "y", limit=20, digits=8).collect()}
+    for g, n in wanted:
+        assert got[g, n] == sum(r[4] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2], r[3]))[:n])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldlake.operators import chains, splits
 from foldlake.plans import proxies as P
-from foldlake.session import cut_lineage
+from foldlake.session import stored, temporary_tables
 from foldlake.sources import fasta, ids, ingest, structures
 from foldlake.streaming import ingest_stream
 from foldlake.streaming.ingest_stream import ingest_available
@@ -89,14 +89,14 @@ def test_chain_sink_and_increment(spark, sf_dir, tmp_path):
     table = chains.all_chains(P.points(spark, sf_dir))
     target = str(tmp_path / "chains")
     ingest.write_chains(table.filter("chain_id = 'A'"), target, buckets=4)
-    stored = spark.read.parquet(target)
-    fresh = cut_lineage(ingest.ingest(table, stored))
+    known = spark.read.parquet(target)
+    fresh = stored(ingest.ingest(table, known))
     assert {r.chain_id for r in fresh.collect()} == {"B"}
-    counts = ingest.ingest_counts(table, stored).first()
+    counts = ingest.ingest_counts(table, known).first()
     assert (counts.saved, counts.skipped) == (5, 5)
     ingest.write_chains(fresh, target, buckets=4, mode="append")
     assert spark.read.parquet(target).count() == table.count()
-    assert ingest.ingest(table, stored, overwrite=True).count() == table.count()
+    assert ingest.ingest(table, known, overwrite=True).count() == table.count()
 
 
 def test_stream_reads_each_file_once(spark, structure_dir, tmp_path):
@@ -312,3 +312,14 @@ def test_other_read_errors_pass_through(spark, tmp_path):
     (tmp_path / "tag=t" / "part-0.parquet").write_text("not parquet")
     with pytest.raises(Exception, match="(?i)parquet"):
         splits.named_split(spark, str(tmp_path), "t", _split_ids(spark)).collect()
+
+
+def test_temporary_tables_are_removed(spark):
+    with temporary_tables(spark) as outer:
+        kept = stored(spark.range(3))
+        with temporary_tables(spark) as inner:
+            assert stored(spark.range(5)).count() == 5
+        assert len(inner) == 1 and not os.path.exists(inner[0])
+        assert len(outer) == 2 and kept.count() == 3
+    assert not any(os.path.exists(folder) for folder in outer)
+    assert stored(spark.range(2)).count() == 2
