@@ -1,7 +1,7 @@
 """Token ids of whole texts, made inside tasks.
 
 The vocabulary file is a parameter. Its merges are run by the faster of two libraries that give the same ids; texts
-the faster one cannot take (white space runs beyond its stack) go to the other.
+the faster one cannot take (white space runs beyond its stack, added tokens of the vocabulary) go to the other.
 """
 
 from __future__ import annotations
@@ -32,28 +32,34 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of texts; special-token strings inside a text are ordinary text."""
+    """Ids of texts as ``tokenizers`` gives them, added tokens of the vocabulary inside a text included."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            described = json.load(file)
+        vocabulary = described["model"]["vocab"]
+        added = [re.escape(token["content"]) for token in described.get("added_tokens", []) if token["content"]]
+        self._added = re.compile("|".join(added)) if added else None
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in piece): number for piece, number in vocabulary.items()}
         self._fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._path = path
         self._plain: Tokenizer | None = None
 
+    def _by_merges(self, text: str) -> bool:
+        """Whether merges alone give the ids, and the faster library can run them."""
+        return not (self._added and self._added.search(text)) and (len(text) < 5000 or not _LONG_BLANK.search(text))
+
     def ids(self, text: str) -> list[int]:
-        if len(text) < 5000 or not _LONG_BLANK.search(text):
+        if self._by_merges(text):
             return self._fast.encode_ordinary(text)
         if self._plain is None:
             self._plain = Tokenizer.from_file(self._path)
-            self._plain.encode_special_tokens = True
         return self._plain.encode(text, add_special_tokens=False).ids
 
     def array(self, text: str):
         """The same ids as an unsigned 32-bit array."""
-        if len(text) < 5000 or not _LONG_BLANK.search(text):
+        if self._by_merges(text):
             return self._fast.encode_to_numpy(text, disallowed_special=())
         import numpy as np
 

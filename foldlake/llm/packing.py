@@ -32,13 +32,14 @@ END_ID = 2
 class Limits:
     """Capacities of a bin and the weights (tokens, documents, attention cost) of the score.
 
-    The defaults for documents and cost can never bind before the tokens do, so that as few bins as possible are made.
+    All three take part in the score. The default capacities for documents and cost can never bind before the tokens do, so
+    that as few bins as possible are made.
     """
 
     tokens: int = 1024
     documents: int = 1024
     attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     score: str = "residual"
 
     def capacity(self) -> np.ndarray:

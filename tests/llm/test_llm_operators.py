@@ -172,10 +172,11 @@ def test_token_counts_edge_cases(messy, empty):
 
 def test_encoder_equals_the_plain_library():
     plain = Tokenizer.from_file(encoding.vocabulary_path())
-    plain.encode_special_tokens = True
     enc = encoding.encoder(encoding.vocabulary_path())
-    for text in ("", "Hello world", "é😀 ß\n\n x  y", "a" * 7000, " " * 20_000 + "x", "<|endoftext|> ok", "   tab\t" * 50):
-        assert enc.ids(text) == plain.encode(text, add_special_tokens=False).ids
+    special = "<|endoftext|>"
+    for text in ("", "Hello world", "é😀 ß\n\n x  y", "a" * 7000, " " * 20_000 + "x", "   tab\t" * 50, special, f"{special} ok", f"a {special} b", f"end {special}",
+                 f"{special}{special}x{special} {special}\n", "<|endoftext", f"{special[:5]} {special[5:]}", f"é{special}" + " " * 6000):
+        assert enc.ids(text) == plain.encode(text, add_special_tokens=False).ids, text[:40]
         assert enc.array(text).tolist() == enc.ids(text)
 
 
@@ -438,8 +439,8 @@ def test_near_dedup_work_follows_the_size_of_a_group(spark, monkeypatch):
         sent.update(links=[], bytes=0)
         docs = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in enumerate(near_copies(size))], DOCS).repartition(8)
         assert near_text.keep_one(docs).count() == 1
-        assert sum(sent["links"][:3]) <= 2 * size  # the three passes over the tries
-        assert max(sent["links"][3:]) <= size  # pairs found similar
+        assert sum(sent["links"][:2]) <= 2 * size  # the two passes over the tries
+        assert max(sent["links"][2:]) <= size  # pairs found similar
         if before:
             assert sent["bytes"] <= 2.3 * before
         before = sent["bytes"]
@@ -497,7 +498,7 @@ def by_hand(histogram, limits):
 
 @pytest.mark.parametrize("limits", [
     packing.Limits(64, 64, 4096), packing.Limits(64, 3, 4096), packing.Limits(64, 5, 1500), packing.Limits(64, 4, 2000, (1.0, 0.5, 0.5), "residual"),
-    packing.Limits(64, 4, 2000, (1.0, 0.5, 0.5), "dot"),
+    packing.Limits(64, 4, 2000, (1.0, 0.5, 0.5), "dot"), packing.Limits(64, 64, 4096, (1.0, 0.0, 0.0)),
 ])
 def test_plan_follows_the_rule(limits):
     rng = random.Random(7)
