@@ -10,10 +10,12 @@ lengths; likeness is the length two sets share over the length of the shorter se
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
+from math import inf, nextafter
 
 import numpy as np
 import pyarrow as pa
@@ -107,35 +109,47 @@ def likeness(a: Chunks, b: Chunks) -> float:
 
 # ---------------------------------------------------------------- the next document
 
-#: Ranges of ids, and so rows that reach the driver, whatever the size of the corpus.
-MOST_RANGES = 20_000
+#: Rows that a range of ids holds on average.
+ROWS = 100_000
 
 
-def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, ranges: int | None = None, rows_per_range: int = ROWS) -> DataFrame:
     """doc_id, text (null: empty), to (a range) and end, ready to be read range by range.
 
     Rows are dealt to ranges of doc_id, descending, and sorted inside; a range is followed by a copy of the first row
     of the next one that has rows (``end``), so that every row finds its successor behind it. Whole texts travel once,
     plus one text per range. The last range is followed by the first row of all. Null ids come last. Borders are
-    quantiles of doc_id; the driver gets a border and a first id for each range, by default four per shuffle partition
-    and at most ``MOST_RANGES``. A range may be of any size: it is sorted with spilling and read row by row.
+    quantiles of doc_id. There is a range for ``rows_per_range`` rows and four per shuffle partition at least; a range that
+    holds one id only, or null ids, is cut by the hash of the text into as many pieces. The driver gets a border, a count
+    and a first id of each. Rows are read one by one, so a range may be of any size.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or min(4 * partitions, MOST_RANGES)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
                        F.col("doc_id").cast("double").alias("at"))
+    ranges = ranges or max(4 * partitions, -(-rows.count() // rows_per_range))
     quantiles = F.percentile_approx("at", F.lit([k / ranges for k in range(1, ranges)] or [0.5]), F.lit(max(10_000, 20 * ranges)))
-    borders = sorted(set(rows.agg(quantiles.alias("q")).first()["q"] or [0.0]))
+    found = Counter(rows.agg(quantiles.alias("q")).first()["q"] or [0.0])
+    borders = sorted({*found, *(nextafter(b, inf) for b, times in found.items() if times > 1)})  # a frequent id has a range of its own
     splits = [float("-inf"), *borders, float("inf")]
     placed = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep").transform(rows)
-    part = F.when(F.col("at").isNull(), len(splits)).otherwise(len(splits) - 1 - F.col("bucket")).cast("int")
+    part = F.when(F.col("at").isNull(), len(splits)).otherwise(len(splits) - 1 - F.col("bucket")).cast("bigint")
     keyed = placed.select("doc_id", "text", part.alias("part"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))
+    sizes = keyed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    single = sizes.filter((F.col("low") == F.col("high")) & (F.col("n") > rows_per_range)).select("part", F.ceil(F.col("n") / rows_per_range).alias("pieces"))
+    cut = {r["part"]: r["pieces"] for r in single.collect()}  # at most a row per range
+    if cut:
+        pieces = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in cut.items() for x in pair]), F.col("part")), F.lit(1))
+        along = 0.5 - F.col("h") / F.lit(float(1 << 64))  # falls as the hash rises
+        piece = F.least(pieces - 1, F.floor(along * pieces))
+    else:
+        piece = F.lit(0)
+    keyed = keyed.withColumn("part", F.col("part") * (1 << 32) + piece)
 
     heads = keyed.groupBy("part").agg(F.max(F.struct("id", "h")).alias("m")).select("part", "m.id", "m.h").collect()  # a row per range
     order = sorted(r["part"] for r in heads)
     before = {p: order[k - 1] for k, p in enumerate(order)}  # the range in front, the last one for the first
-    ahead = spark.createDataFrame([(r["part"], r["id"], r["h"], before[r["part"]]) for r in heads], "part int, id bigint, h bigint, ahead int")
+    ahead = spark.createDataFrame([(r["part"], r["id"], r["h"], before[r["part"]]) for r in heads], "part bigint, id bigint, h bigint, ahead bigint")
     own = F.struct(F.col("part").alias("to"), F.lit(False).alias("end"))
     copy = F.struct(F.col("ahead").alias("to"), F.lit(True).alias("end"))
     marked = keyed.join(F.broadcast(ahead), ["part", "id", "h"], "left")  # a row per range

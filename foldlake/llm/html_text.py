@@ -3,7 +3,7 @@
 A page is read as a sequence of text blocks. Blocks of elements that never hold the article (menus, footers, forms, and
 what classes, ids or roles name so) are left out. Where the page marks its article, blocks outside it are left out too.
 The first pass classifies each remaining block by its length, link density and stop-word density. The second settles
-ambiguous blocks, most of them short, by their nearest decided neighbours. Where the page's language or a block's script
+ambiguous blocks, most of them short, by their nearest decided neighbours, those of the same element first. Where the page's language or a block's script
 has no list of stop words, length and link density alone classify.
 """
 
@@ -84,6 +84,7 @@ class Block:
     heading: bool
     region: int  # number of the article it lies in, 0 outside
     form: bool = False  # code, or a part of a table or list
+    parent: int = 0  # number of the element that holds the block's paragraph
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -102,13 +103,13 @@ class _Reader:
 
     def __init__(self):
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # element, is outside, article, is the article's header
+        self.open: list[tuple[str, bool, int, bool, int]] = []  # element, is outside, article, is the article's header, number
         self.parts: list[str] = []
         self.linked = self.links = 0
-        self.articles = 0
+        self.articles = self.elements = 0
 
     def state(self) -> tuple[bool, int, bool]:
-        return self.open[-1][1:] if self.open else (False, 0, False)
+        return self.open[-1][1:4] if self.open else (False, 0, False)
 
     def text(self, source: str) -> None:
         if not self.state()[0]:
@@ -122,7 +123,8 @@ class _Reader:
             outside, region, header = self.state()
             heading = any(e[0] in HEADINGS for e in self.open)
             if text and not outside and (heading or not header):
-                self.blocks.append(Block(text, self.linked, heading, region, any(e[0] in FORMS for e in self.open)))
+                holder = next((e[4] for e in reversed(self.open) if e[0] not in INLINE and e[0] != "p" and e[0] not in HEADINGS), 0)
+                self.blocks.append(Block(text, self.linked, heading, region, any(e[0] in FORMS for e in self.open), holder))
         self.parts, self.linked = [], 0
 
     def start(self, tag: str, source: str) -> None:
@@ -153,7 +155,8 @@ class _Reader:
                 region = self.articles
         if tag == "a":
             self.links += 1
-        self.open.append((tag, outside, region, header))
+        self.elements += 1
+        self.open.append((tag, outside, region, header, self.elements))
 
     def end(self, tag: str) -> None:
         if tag not in INLINE:
@@ -287,14 +290,19 @@ def _settled(found: list[Block], kinds: list[str], k: int) -> bool:
     kind, marked = kinds[k], found[k].region > 0
     if kind in (GOOD, BAD):
         return kind == GOOD
-    sides = []
+    sides, siblings = [], []
     for step in (-1, 1):
         j = k + step
         while 0 <= j < len(kinds) and kinds[j] not in (GOOD, BAD):
             j += step
-        sides.append(kinds[j] == GOOD if 0 <= j < len(kinds) else marked)
+        inside = 0 <= j < len(kinds)
+        sides.append(kinds[j] == GOOD if inside else marked)
+        if inside and found[j].parent == found[k].parent:
+            siblings.append(kinds[j] == GOOD)
     if marked or kind == NEAR:
         return any(sides)
+    if siblings and all(siblings) and not found[k].linked and not found[k].form:
+        return True  # a paragraph of the element whose other paragraphs are good
     if kind == SPARSE:
         return all(sides)
     if found[k].heading:

@@ -7,10 +7,10 @@ meets every index block once a phase; between phases only a few numbers per quer
 1. Each block gives, for each slice, the entries with the highest local scores, and resolves these few exactly. The
    k-th best of them over all blocks is a score that the k-th result cannot fall below: the safe cutoff.
 2. The cutoffs go back with the query blocks. An entry can reach a cutoff c only if one of its local scores is at least
-   c / slices, so each block collects the entries that do in some slice, and drops those whose other components
-   (Cauchy-Schwarz) cannot make up the rest.
-3. What is left is resolved exactly. Each block keeps its best k per query among those at or above the cutoff; the
-   lists are merged in two steps, first over groups of blocks.
+   c / slices, so each block collects the entries that do in some slice. Slices are formed one by one, and entries whose
+   later components (Cauchy-Schwarz) cannot make up what is missing are dropped on the way.
+3. What is left is resolved exactly, its later slices alone. Each block keeps its best k per query among those at or above
+   the cutoff; the lists are merged in two steps, first over groups of blocks.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SCALE = 256
 SLICES = 4
 #: Vectors in a block of the index and of the queries.
 BLOCK = 8192
+#: Share of a block's pairs from which the next slice is formed for the others no more.
+SPARSE = 0.2
 _HIT = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -60,27 +62,66 @@ def _matrix(rows: pa.StructArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Scores:
-    """Local and whole scores of a query block against an index block, exact.
+    """Local scores of a query block against an index block, exact, slice by slice.
 
-    Products are summed in doubles while every sum stays below 2^53, else in 64-bit integers, else in Python's.
+    Products are summed in doubles while every sum stays below 2^53, else in 64-bit integers, else in Python's. Bounds are
+    doubles with room for their rounding, whatever the scores are.
     """
 
     def __init__(self, queries: np.ndarray, index: np.ndarray, slices: int):
         most = (np.abs(queries.astype(float)).max(initial=0) + 1) * (np.abs(index.astype(float)).max(initial=0) + 1) * max(1, queries.shape[1])
         kind = np.float64 if most < 2 ** 53 else np.int64 if most < 2 ** 63 else object
-        self.fast = kind is np.float64
         self.queries, self.index = queries.astype(kind), index.astype(kind)
         self.parts = [p for p in np.array_split(np.arange(queries.shape[1]), slices) if len(p)] or [np.arange(0)]
-        if self.fast:  # lengths of what lies outside each slice
-            self.q_rest, self.x_rest = self._rest(self.queries), self._rest(self.index)
+        self.q_rest, self.x_rest = self._rest(queries), self._rest(index)
 
     def _rest(self, vectors: np.ndarray) -> list[np.ndarray]:
-        squares = [(vectors[:, p] ** 2).sum(axis=1) for p in self.parts]
-        total = sum(squares)
-        return [np.sqrt(np.maximum(total - s, 0)) for s in squares]
+        """Lengths of what lies in the slices after each."""
+        squares = [(vectors[:, p].astype(float) ** 2).sum(axis=1) for p in self.parts]
+        return [np.sqrt(sum(squares[k + 1:], np.zeros(len(vectors)))) for k in range(len(squares))]
 
-    def local(self, rows: slice) -> list[np.ndarray]:
-        return [self.queries[rows][:, p] @ self.index[:, p].T for p in self.parts]
+    def local(self, rows: slice, part: int) -> np.ndarray:
+        """Local scores of all pairs in one slice."""
+        p = self.parts[part]
+        return self.queries[rows][:, p] @ self.index[:, p].T
+
+    def local_of(self, rows: slice, part: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The same for some pairs only."""
+        p, q = self.parts[part], self.queries[rows]
+        steps = range(0, len(i), 1 << 16)
+        return np.concatenate([np.empty(0, q.dtype), *((q[i[a:a + (1 << 16)]][:, p] * self.index[j[a:a + (1 << 16)]][:, p]).sum(axis=1) for a in steps)])
+
+
+def _collect(scores: _Scores, rows: slice, cut: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query, entry and exact score of the pairs that reach their cutoff, and how many local scores were formed.
+
+    Slices are formed one by one. A pair goes on while its score so far and the lengths of what is left (Cauchy-Schwarz)
+    can make up the cutoff; once few do, only theirs are formed. It counts if some local score reached the uniform threshold.
+    """
+    wanted = cut.astype(float)
+    room = 1 + 1e-9 * np.abs(wanted)
+    slices = len(scores.parts)
+    alive, total, lists, formed = ~own, None, [], 0
+    for part in range(slices):
+        if part and np.count_nonzero(alive) < SPARSE * alive.size:
+            break
+        lists.append(scores.local(rows, part))
+        formed += alive.size
+        total = lists[0] if total is None else total + lists[-1]
+        missing = (wanted - room)[:, None] - total.astype(float, copy=False)
+        alive &= scores.q_rest[part][rows, None] * scores.x_rest[part] * (1 + 1e-9) >= missing
+    i, j = np.nonzero(alive)
+    whole, most = total[i, j], reduce(np.maximum, [local[i, j] for local in lists])
+    for part in range(len(lists), slices):
+        local = scores.local_of(rows, part, i, j)
+        formed += len(local)
+        whole, most = whole + local, np.maximum(most, local)
+        keep = whole.astype(float) + scores.q_rest[part][rows][i] * scores.x_rest[part][j] * (1 + 1e-9) >= wanted[i] - room[i]
+        i, j, whole, most = i[keep], j[keep], whole[keep], most[keep]
+    met = most.astype(float) * slices >= wanted[i] - room[i] * slices
+    whole = _clip(whole)
+    keep = met & (whole >= cut[i])
+    return i[keep], j[keep], whole[keep], formed
 
 
 def _clip(score: np.ndarray) -> np.ndarray:
@@ -116,22 +157,18 @@ def _meet(pairs: DataFrame, k: int, slices: int, step: int, final: bool) -> Data
                 scores = _Scores(q, x, slices)
                 for first in range(0, len(q_ids), step):
                     rows = slice(first, first + step)
-                    local = scores.local(rows)
-                    whole = reduce(np.add, local)
                     own = q_ids[rows, None] == x_ids[None, :]
                     if final:
-                        asked = _collect(scores, rows, local, cut[rows])
-                        asked &= ~own & (whole >= cut[rows, None])
+                        i, j, found, _ = _collect(scores, rows, cut[rows], own)
                     else:
-                        asked = np.zeros(whole.shape, dtype=bool)
-                        for part in local:
+                        asked, lists = np.zeros(own.shape, dtype=bool), [scores.local(rows, p) for p in range(len(scores.parts))]
+                        for part in lists:
                             top = np.argpartition(-part, min(k, part.shape[1] - 1), axis=1)[:, :k + 1]  # one may be its own
                             np.put_along_axis(asked, top, True, axis=1)
-                        asked &= ~own
-                    i, j = np.nonzero(asked)
+                        i, j = np.nonzero(asked & ~own)
+                        found = _clip(reduce(np.add, [part[i, j] for part in lists]))
                     if len(i) == 0:
                         continue
-                    found = _clip(whole[i, j])
                     keep = _best(i, x_ids[j], found, k)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(q_ids[rows][i[keep]]), pa.array(x_ids[j[keep]]), pa.array(found[keep])],
@@ -140,17 +177,6 @@ def _meet(pairs: DataFrame, k: int, slices: int, step: int, final: bool) -> Data
     return pairs.mapInArrow(run, _HIT)
 
 
-def _collect(scores: _Scores, rows: slice, local: list[np.ndarray], cut: np.ndarray) -> np.ndarray:
-    """Entries that reach the uniform threshold in some slice and can make up the rest."""
-    if not scores.fast:
-        return np.ones(local[0].shape, dtype=bool)
-    found = np.zeros(local[0].shape, dtype=bool)
-    for part, q_rest, x_rest in zip(local, scores.q_rest, scores.x_rest):
-        reach = part + (q_rest[rows, None] * x_rest[None, :]) * (1 + 1e-12) + 1
-        found |= (part * len(local) >= cut[:, None]) & (reach >= cut[:, None])
-    return found
-
-
 def _merge(hits: DataFrame, k: int, groups: int = 64) -> DataFrame:
     """Ranks 1 to ``k`` per query. Lists are cut to ``k`` over groups of entries first."""
     order = [F.desc("score"), "vec_id"]
