@@ -89,19 +89,44 @@ def with_score_pieces(df: DataFrame, score: str, tie_breaker: str, pieces: int =
     return placed.withColumns({"__piece_range": rank, "__piece_tie": tie}).drop("__descending", "__range"), [F.col("__piece_range"), F.col("__piece_tie")]
 
 
-def sums_of_best(df: DataFrame, group: str, wanted: DataFrame, order: list[str], value: str, limit: int = 1 << 16, digits: int = 256) -> DataFrame:
-    """``wanted`` (``group``, n) with ``best``: the sum of ``value`` over the first ``n`` rows of each group.
-
-    Rows come by the first column of ``order`` descending, then by the others rising. Nothing but what lies around the asked
-    places is sorted: the range of a group's scores is cut into ``digits`` parts, which are counted and summed; the part in
-    which a place falls is cut again, by the next column where its scores are all equal, until it has at most ``limit``
-    rows. A place needs the sums of the parts in front and the order inside its own. ``df`` is read once per round: store it.
+def sums_of_best(df: DataFrame, group: str, wanted: DataFrame, places: list[str], order: list[str], value: str, limit: int = 1 << 16,
+                 digits: int = 256) -> DataFrame:
+    """``wanted`` (``group`` and ``places``, a row per group) with each place replaced by the sum of ``value`` over so many first rows.
+
+    Rows come by the first column of ``order`` descending, then by the others rising. A group of up to ``limit`` rows is
+    ranked as it is. Of larger ones nothing but what lies around the asked places is sorted: the range of a group's scores
+    is cut into ``digits`` parts, which are counted and summed; the part in which a place falls is cut again, by the next
+    column where its scores are all equal, until it has at most ``limit`` rows. ``df`` is read several times: store it.
     """
-    asked = wanted.select(group, "n").distinct()
-    # Of a part: its number, and as ``need`` and ``sum`` the places asked inside it and what lies in front of them.
-    marks = asked.select(group, F.lit(0).cast("bigint").alias("__part"), "n", F.col("n").alias("__need"), F.lit(0).cast("bigint").alias("__sum"))
-    rows = df.select(group, *order, value, F.lit(0).cast("bigint").alias("__part"))
-    before_round = None
+    rows = df.select(group, *order, value)
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__rows"))
+    if (sizes.agg(F.max("__rows")).first()[0] or 0) <= limit:
+        return _ranked_sums(rows, group, wanted, places, order, value)
+    sizes = stored(sizes)
+    small, large = (sizes.filter(c).select(group) for c in (F.col("__rows") <= limit, F.col("__rows") > limit))
+    ranked = _ranked_sums(rows.join(small, group, "left_semi"), group, wanted.join(large, group, "left_anti"), places, order, value)
+    asked = wanted.join(large, group, "left_semi")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("bigint").alias("n")) for n in places])).alias("a")
+    marks = asked.select(group, each).select(group, "a.name", F.col("a.n").alias("__need"), F.lit(0).cast("bigint").alias("__part"), F.lit(0).cast("bigint").alias("__sum"))
+    found = _sums_by_digits(rows.join(large, group, "left_semi"), group, marks, order, value, limit, digits)
+    wide = found.groupBy(group).agg(*[F.sum(F.when(F.col("name") == n, F.col("best"))).alias(n) for n in places])
+    rest = [c for c in wanted.columns if c not in places]
+    summed = asked.select(*rest).join(wide, group, "left").select(*[F.coalesce(c, F.lit(0)).alias(c) if c in places else F.col(c) for c in wanted.columns])
+    return ranked.unionByName(summed)
+
+
+def _ranked_sums(rows: DataFrame, group: str, wanted: DataFrame, places: list[str], order: list[str], value: str) -> DataFrame:
+    """``sums_of_best`` where every group fits in a task."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order[0]), *order[1:]))
+    rest = [c for c in wanted.columns if c != group and c not in places]
+    ranked = wanted.join(rows, group, "left").withColumn("__place", place)
+    sums = [F.coalesce(F.sum(F.when(F.col("__place") <= F.col(n), F.col(value))), F.lit(0)).alias(n) for n in places]
+    return ranked.groupBy(group, *rest).agg(*sums).select(*wanted.columns)
+
+
+def _sums_by_digits(rows: DataFrame, group: str, marks: DataFrame, order: list[str], value: str, limit: int, digits: int) -> DataFrame:
+    """group, name, best of ``marks``: places (``__need``) inside a part (``__part``), with what lies in front (``__sum``)."""
+    rows, before_round = rows.withColumn("__part", F.lit(0).cast("bigint")), None
     while True:
         extremes = rows.groupBy(group, "__part").agg(*[e for c in order for e in (F.min(c).alias(f"__lo_{c}"), F.max(c).alias(f"__hi_{c}"))])
         digit = F.lit(0)
@@ -116,7 +141,7 @@ def sums_of_best(df: DataFrame, group: str, wanted: DataFrame, order: list[str],
                               F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__front_v"))
         inside = (F.col("__need") > F.col("__front")) & (F.col("__need") <= F.col("__front") + F.col("__n"))
         marks = stored(marks.join(summed, [group, "__part"]).filter(inside).select(
-            group, F.col("__sub").alias("__part"), "n", (F.col("__need") - F.col("__front")).alias("__need"),
+            group, "name", F.col("__sub").alias("__part"), (F.col("__need") - F.col("__front")).alias("__need"),
             (F.col("__sum") + F.col("__front_v")).alias("__sum"), "__n"))
         largest = marks.agg(F.max("__n")).first()[0] or 0
         marks = marks.drop("__n")
@@ -125,7 +150,5 @@ def sums_of_best(df: DataFrame, group: str, wanted: DataFrame, order: list[str],
             break
         rows, before_round = stored(rows), largest
     place = F.row_number().over(Window.partitionBy(group, "__part").orderBy(F.desc(order[0]), *order[1:]))
-    ranked = rows.withColumn("__place", place)
-    found = marks.join(ranked, [group, "__part"]).filter("__place <= __need").groupBy(group, "n", "__sum").agg(F.sum(value).alias("__v"))
-    best = found.select(group, "n", (F.col("__sum") + F.col("__v")).alias("best"))
-    return wanted.join(best, [group, "n"], "left").withColumn("best", F.coalesce("best", F.lit(0)))
+    met = marks.join(rows.withColumn("__place", place), [group, "__part"]).filter("__place <= __need")
+    return met.groupBy(group, "name", "__sum").agg(F.sum(value).alias("__v")).select(group, "name", (F.col("__sum") + F.col("__v")).alias("best"))

@@ -21,17 +21,16 @@ def precision_at_k(scores: DataFrame, limit: int = 1 << 16) -> DataFrame:
     valid = stored(scores.filter("valid").select("chain_key", "i", "j", "p", "y"))
     ends = valid.select("chain_key", F.explode(F.array("i", "j")).alias("r")).groupBy("chain_key", "r").agg(F.count(F.lit(1)).alias("n"))
     # Each valid pair has two ends and stands for two entries.
-    sizes = stored(ends.groupBy("chain_key").agg(F.count(F.lit(1)).alias("Lb"), F.sum("n").alias("entries")))
+    sizes = ends.groupBy("chain_key").agg(F.count(F.lit(1)).alias("Lb"), F.sum("n").alias("entries"))
 
     ks = {"p_at_l": F.col("Lb"), "p_at_l2": F.greatest(F.lit(1), F.floor(F.col("Lb") / 2)),
           "p_at_l5": F.greatest(F.lit(1), F.floor(F.col("Lb") / 5))}
+    caps = {name: F.least(k, F.col("entries")) for name, k in ks.items()}
     # The best k entries are the best k / 2 rows, once rounded down and once up, with one entry of each.
-    halves = F.array(*[F.struct(F.lit(name).alias("name"), cap.alias("cap"), n.alias("n")) for name, k in ks.items()
-                       for cap in [F.least(k, F.col("entries"))] for n in (F.floor(cap / 2), F.ceil(cap / 2))])
-    wanted = sizes.select("chain_key", F.explode(halves).alias("h")).select("chain_key", "h.*")
-    best = sums_of_best(valid, "chain_key", wanted, ["p", "i", "j"], "y", limit)
-    shares = [(F.sum(F.when(F.col("name") == name, F.col("best"))) / F.max(F.when(F.col("name") == name, F.col("cap")))).alias(name) for name in ks]
-    return best.groupBy("chain_key").agg(*shares).join(sizes.select("chain_key", "Lb"), "chain_key").select("chain_key", "Lb", *ks)
+    halves = {f"{name}_{side}": cut(cap / 2) for name, cap in caps.items() for side, cut in (("low", F.floor), ("high", F.ceil))}
+    wanted = sizes.select("chain_key", "Lb", *[cap.alias(f"{name}_cap") for name, cap in caps.items()], *[n.alias(name) for name, n in halves.items()])
+    best = sums_of_best(valid, "chain_key", wanted, list(halves), ["p", "i", "j"], "y", limit)
+    return best.select("chain_key", "Lb", *[((F.col(f"{k}_low") + F.col(f"{k}_high")) / F.col(f"{k}_cap")).alias(k) for k in ks])
 
 
 def mean_precision(per_chain: DataFrame) -> DataFrame:

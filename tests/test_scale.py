@@ -223,7 +223,10 @@ def test_sums_of_best_sort_only_around_the_places(spark, scores):
     p = {"random": rng.normal(size=3000), "equal": np.zeros(3000), "few": rng.choice([0.1, 0.5], 3000)}[scores]
     rows = [("c" if k % 3 else "d", float(p[k]), k // 60, k % 60, int(rng.integers(0, 2))) for k in range(3000)]
     df = spark.createDataFrame(rows, "g string, p double, i int, j int, y int")
-    wanted = [(g, n) for g in "cd" for n in (0, 1, 7, 400, 1000)]
-    got = {(r.g, r.n): r.best for r in sums_of_best(df, "g", spark.createDataFrame(wanted, "g string, n bigint"), ["p", "i", "j"], "y", limit=20, digits=8).collect()}
-    for g, n in wanted:
-        assert got[g, n] == sum(r[4] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2], r[3]))[:n])
+    places = {"c": (0, 1, 7, 400, 2000), "d": (3, 0, 1000, 2, 999), "none": (1, 2, 3, 4, 5)}
+    names = [f"n{k}" for k in range(5)]
+    wanted = spark.createDataFrame([(g, f"{g}!", *ns) for g, ns in places.items()], ["g", "extra", *names])
+    for limit in (20, 1500, 10_000):
+        for row in sums_of_best(df, "g", wanted, names, ["p", "i", "j"], "y", limit=limit, digits=8).collect():
+            best = sorted((r for r in rows if r[0] == row.g), key=lambda r: (-r[1], r[2], r[3]))
+            assert row.extra == f"{row.g}!" and [row[n] for n in names] == [sum(r[4] for r in best[:n]) for n in places[row.g]]
