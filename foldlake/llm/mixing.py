@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 NONE = "(none)"
-#: Up to this many leaves, their quotas are sent to every task; beyond, they are joined by shuffling.
-BROADCAST_LEAVES = 50_000
 
 
 @dataclass(frozen=True)
@@ -106,11 +104,7 @@ def _order(seed: int, epoch: str = "epochs") -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)), F.col(epoch).cast("string")))
 
 
-def _with_leaf(rows: DataFrame, plan: DataFrame, names: list[str], leaves: int) -> DataFrame:
-    return rows.join(F.broadcast(plan) if leaves <= BROADCAST_LEAVES else plan, names)
-
-
-def _planned(rows: DataFrame, tree: Tree, budget: Column, max_epochs: int, seed: int, digits: int) -> tuple[DataFrame, DataFrame, int]:
+def _planned(rows: DataFrame, tree: Tree, budget: Column, max_epochs: int, seed: int, digits: int) -> tuple[DataFrame, DataFrame]:
     """Documents of the buckets that are cut, with their place, and the leaves' plan.
 
     The plan has, by leaf, epochs (whole ones), rest (tokens of the next), bucket (leading digits of the hashes between
@@ -122,24 +116,23 @@ def _planned(rows: DataFrame, tree: Tree, budget: Column, max_epochs: int, seed:
     whole = shares.select(*names, F.expr("CASE WHEN tokens > 0 THEN quota div tokens ELSE 0 END").alias("epochs"),
                           F.expr("CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END").cast("bigint").alias("rest"))
     cut = stored(whole.withColumn("bucket", F.lit("")).withColumn("ahead", F.lit(0).cast("bigint")))
-    leaves = cut.count()
     plan = cut
     before = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     for width in range(2, digits + 1, 2):
-        inside = _inside(rows, cut.filter("rest > 0"), names, leaves, seed)
+        inside = _inside(rows, cut.filter("rest > 0"), names, seed)
         sums = inside.groupBy(*names, "epochs", "rest", "ahead", F.substring("order", 1, width).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
         running = sums.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("n").over(before), F.lit(0)))
         cut = stored(running.filter("ahead < rest and rest <= ahead + n").select(*names, "epochs", "rest", "bucket", "ahead"))
     plan = stored(plan.select(*names, "epochs", "rest").join(cut.select(*names, "bucket", "ahead"), names, "left"))
-    crossed = _inside(rows, cut, names, leaves, seed)
+    crossed = _inside(rows, cut, names, seed)
     upto = Window.partitionBy(*names).orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = crossed.withColumn("start", F.sum("n_tokens").over(upto) - F.col("n_tokens") + F.col("ahead"))
-    return placed.filter("start < rest"), plan, leaves
+    return placed.filter("start < rest"), plan
 
 
-def _inside(rows: DataFrame, cut: DataFrame, names: list[str], leaves: int, seed: int) -> DataFrame:
+def _inside(rows: DataFrame, cut: DataFrame, names: list[str], seed: int) -> DataFrame:
     """Rows of the buckets in ``cut``, with their ``order``."""
-    met = _with_leaf(rows, cut, names, leaves).withColumn("order", _order(seed))
+    met = rows.join(cut, names).withColumn("order", _order(seed))
     return met.filter(F.col("order").startswith(F.col("bucket")))
 
 
@@ -153,9 +146,9 @@ def mix(docs: DataFrame, tree: Tree, budget: Column, max_epochs: int = 4, tokens
     """
     names = tree.names
     rows = stored(keyed(docs, tree, words() if tokens is None else tokens))
-    placed, plan, leaves = _planned(rows, tree, budget, max_epochs, seed, digits)
+    placed, plan = _planned(rows, tree, budget, max_epochs, seed, digits)
     out = ["doc_id", *names, "epoch", "n_tokens", "take_tokens"]
-    joined = _with_leaf(rows, plan.filter("epochs > 0 or bucket is not null"), names, leaves)
+    joined = rows.join(plan.filter("epochs > 0 or bucket is not null"), names)
     whole = joined.filter("epochs > 0").select("*", F.explode(F.expr("sequence(0, cast(epochs as int) - 1)")).alias("epoch"), F.col("n_tokens").alias("take_tokens"))
     first = joined.filter("bucket is not null").filter(F.substring(_order(seed), 1, digits) < F.col("bucket")).select(
         "*", F.col("epochs").cast("int").alias("epoch"), F.col("n_tokens").alias("take_tokens"))
@@ -173,12 +166,12 @@ def choose(docs: DataFrame, tree: Tree, budget: Column, max_epochs: int = 1, tok
     names = tree.names
     tokens = words() if tokens is None else tokens
     rows = stored(keyed(docs, tree, tokens))
-    placed, plan, leaves = _planned(rows, tree, budget, max_epochs, seed, digits)
+    placed, plan = _planned(rows, tree, budget, max_epochs, seed, digits)
     cut = placed.groupBy(*names).agg(F.max(F.struct("order", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("cut"))
     cut = plan.join(cut, names, "left").filter("epochs > 0 or cut is not null")
     cut = stored(cut.select(*[F.col(n).alias(f"__{n}") for n in names], F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut")))
     leaf = [F.coalesce(c.cast("string"), F.lit(NONE)) == F.col(f"__{n}") for n, c in tree.levels.items()]
-    met = docs.join(F.broadcast(cut) if leaves <= BROADCAST_LEAVES else cut, leaf)
+    met = docs.join(cut, leaf)
     place = F.struct(_order(seed, "__epochs").alias("order"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"))
     times = F.col("__epochs").cast("int") + F.when(F.col("__cut").isNotNull() & (place <= F.col("__cut")), 1).otherwise(0)
     if max_epochs == 1:
