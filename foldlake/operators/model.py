@@ -65,6 +65,22 @@ def predict_pairs(features: DataFrame, min_sep: int = MIN_SEPARATION) -> DataFra
     return scored.withColumn("contact", (apart & (F.col("p") >= F.col("tau"))).cast("int"))
 
 
+def prediction_proof(features: DataFrame, min_sep: int = MIN_SEPARATION) -> DataFrame:
+    """feature, residual, rows, positives of the train pairs, and predicted, apart and wrong of the test pairs.
+
+    What makes ``predict_pairs`` right: its classifier is at its optimum where all residuals are 0, every test pair is
+    predicted, and ``wrong`` counts those whose contact does not follow from p, tau and the separation (``apart``: pairs far
+    enough from each other).
+    """
+    train = features.filter("split = 'train'").drop("split")
+    found = residuals(fit_pair_classifier(train), train)
+    far = F.abs(F.col("i") - F.col("j")) >= min_sep
+    sums = predict_pairs(features, min_sep).agg(
+        F.count(F.lit(1)).alias("predicted"), F.count_if(far).alias("apart"),
+        F.count_if(F.col("contact") != (far & (F.col("p") >= F.col("tau"))).cast("int")).alias("wrong"))
+    return found.select("*", *[sums.select(n).scalar().alias(n) for n in ("predicted", "apart", "wrong")])
+
+
 def residuals(model, features: DataFrame) -> DataFrame:
     """feature, residual, rows and positives: the weighted mean of (y - p) * feature, which a fitted model has at 0.
 

@@ -85,14 +85,27 @@ def pair_classifier(spark, d):
     return found.withColumn("residual", F.round("residual", 3) + 0.0)
 
 
-@query("predict_pairs")
-def predict_pairs(spark, d):
-    """From templates to contacts: priors of real hits, features, fit, threshold from validation chains, long-range mask."""
+def _predicted_features(spark, d):
+    """Pairs of all chains with priors of real hits, each fifth chain for testing and the next for validation."""
     close = B.pair_distances(P.points(spark, d).withColumn("has_ca", F.lit(True)), 12.0)
     pairs = close.select("chain_key", "i", "j", (F.col("dist") < 8).cast("int").alias("y"), (1 / (1 + F.col("j") - F.col("i"))).alias("score"))
     index = chain_index(spark, d)
     priors = T.transfer(index, index, chain_seqs(spark, d), contacts(spark, d))
     number = F.substring_index(F.substring("chain_key", 2, 20), "_", 1).cast("int") * 2 + F.col("chain_key").endswith("B").cast("int")
     split = F.when(number % 5 == 0, "test").when(number % 5 == 1, "val").otherwise("train")
-    features = stored(M.pair_features(pairs, priors).withColumn("split", split))
-    return M.predict_pairs(features).withColumn("p", r6(F.col("p")))
+    return stored(M.pair_features(pairs, priors).withColumn("split", split))
+
+
+@query("predict_pairs")
+def predict_pairs(spark, d):
+    """From templates to contacts: priors of real hits, features, fit, threshold from validation chains, long-range mask."""
+    return M.predict_pairs(_predicted_features(spark, d)).withColumn("p", r6(F.col("p")))
+
+
+@query("predict_proof", f"""WITH {ALL_NEAR_SQL}, parted AS (SELECT *, (regexp_extract(chain_key, '([0-9]+)', 1)::INT * 2 + chain_key.ends_with('B')::INT) % 5 AS part FROM near)
+SELECT feature, 0.0::DOUBLE AS residual, (SELECT count(*) FROM parted WHERE part > 1) AS rows, (SELECT count(*) FROM parted WHERE part > 1 AND dist < 8)::BIGINT AS positives,
+    (SELECT count(*) FROM parted WHERE part = 0) AS predicted, (SELECT count(*) FROM parted WHERE part = 0 AND j - i >= 6) AS apart, 0::BIGINT AS wrong
+FROM (VALUES {', '.join(f"('{n}')" for n in _FEATURE_NAMES)}) t(feature)""")
+def predict_proof(spark, d):
+    """The end-to-end prediction by what must hold: the fit at its optimum, all test pairs predicted, contacts by threshold."""
+    return M.prediction_proof(_predicted_features(spark, d)).withColumn("residual", F.round("residual", 3) + 0.0)

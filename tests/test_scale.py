@@ -194,7 +194,7 @@ def test_empty_search(spark):
 
 
 PYTHON_QUERIES = {"token_batches", "embed_stub", "embed_tokens", "topk_similar", "topk_blocked", "topk_other", "hit_weights", "index_build", "aligned_positions", "align_pairs", "align_tiles", "align_turns",
-                  "transfer_e2e", "ingest_stream", "pair_classifier", "predict_pairs"}
+                  "transfer_e2e", "ingest_stream", "pair_classifier", "predict_pairs", "predict_proof"}
 
 
 load_all()
