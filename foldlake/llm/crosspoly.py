@@ -285,7 +285,8 @@ def search(table: DataFrame, is_query: str, k: int = 20, key: str = "vec_id", ve
         axes = fine if fine is not None else min(width // 2, kind["n"] // (2 * CELL * width))
         mine = classes.filter(F.col("dims") == dims)
         queries = mine.join(asked.filter(F.col("dims") == dims).select("class").distinct(), "class", "left_semi")
-        visits = probes or fit_probes(mine, queries, dims, longest, lifted, axes, k, tables, sample, target)
+        every = _cell_count(dims + lifted, axes) if kind["n"] <= k + 1 else None  # with no more vectors than are asked for, all are met
+        visits = probes or every or fit_probes(mine, queries, dims, longest, lifted, axes, k, tables, sample, target)
         index = stored(_hashed(mine, dims, longest, lifted, axes, tables, None))
         lists = _visited(index, _hashed(queries, dims, longest, lifted, axes, tables, visits), dims, k + 1, piece)
         found = lists if found is None else found.unionByName(lists)

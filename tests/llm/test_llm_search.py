@@ -229,6 +229,13 @@ def test_search_is_exact_where_every_cell_is_probed(spark):
     assert neighbours(table, k=4, probes=64, tables=2, piece=20) == {q: h for q, h in neighbours_by_force(rows, 4, 20).items() if h}
 
 
+def test_fewer_candidates_than_asked_for_are_all_listed(spark):
+    rows = [(k, v) for k, v in enumerate(np.random.default_rng(11).normal(size=(18, 40)).tolist())]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = crosspoly.search(table, "vec_id % 20 = 0").collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(k, i) for k, (i, _) in enumerate(neighbours_by_force(rows, 20, 20)[0], 1)] and len(got) == 17
+
+
 def test_search_edge_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.5]), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [None, 1.0]), (5, None), (None, [1.0, 1.0]), (7, [0.5, 0.5]),
