@@ -134,9 +134,9 @@ SELECT (SELECT count(*) FROM states) AS files,
        (SELECT count(*) FROM all_chains WHERE NOT (L >= 47 AND n_ca > 0)) AS skipped"""
 
 
-@query("ingest_observed", _SUMMARY_SQL)
-def ingest_observed(spark, d):
-    """The same counts, observed while the chains are written."""
+@query("ingest_build", _SUMMARY_SQL)
+def ingest_build(spark, d):
+    """The same counts, of a build that writes its chains."""
     counts = ingest.write_build(structures.parse_atoms(P.ingest_lines(spark, d)), f"{shared_folder(spark)}/built", min_len=47)
     return spark.range(1).select(*[F.lit(counts[n]).cast("bigint").alias(n) for n in ("files", "failed", "repeated", "saved", "skipped")])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chains import all_chains
@@ -45,16 +45,18 @@ def fetch_stored(spark: SparkSession, keys: DataFrame, path: str, key: str = "ch
 def write_build(atoms: DataFrame, path: str, min_len: int, mode: str = "overwrite") -> dict[str, int]:
     """Write the chains of a build below ``path`` and return its counts, as ``structures.ingest_summary`` gives them.
 
-    Files and chains are counted while they pass by in the write itself: no second pass, and no table in between.
+    Structure text is parsed once. Counts come from what was stored on the way, a row per file and a row per chain. They are
+    not observed in the write: in Spark 4.1 a session that has made an ``Observation`` can no longer ship MLlib's tasks.
     """
-    files, made = Observation("files"), Observation("chains")
-    states = file_states(atoms).observe(
-        files, F.count(F.lit(1)).alias("files"), F.count_if(F.col("state") == "broken").alias("failed"), F.count_if(F.col("state") == "repeated").alias("repeated"))
-    usable = atoms.join(states.filter("state = 'ok'").select("path"), "path", "left_semi")
+    parsed = stored(atoms)
+    states = stored(file_states(parsed))
+    usable = parsed.join(states.filter("state = 'ok'").select("path"), "path", "left_semi")
     kept = F.coalesce((F.col("L") >= min_len) & (F.col("n_ca") > 0), F.lit(False))
-    chains = all_chains(residues(usable)).observe(made, F.count_if(kept).alias("saved"), F.count_if(~kept).alias("skipped"))
+    chains = stored(all_chains(residues(usable)))
     chains.filter(kept).write.mode(mode).parquet(path)
-    return {**files.get, **made.get}
+    files = states.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("state") == "broken").alias("failed"), F.count_if(F.col("state") == "repeated").alias("repeated"))
+    made = chains.agg(F.count_if(kept).alias("saved"), F.count_if(~kept).alias("skipped"))
+    return {**files.first().asDict(), **made.first().asDict()}
 
 
 def ingest(new: DataFrame, existing: DataFrame, overwrite: bool = False, key: str = "chain_key") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import RESIDUE_LETTERS
+from ..session import stored
 
 
 def read_structures(spark: SparkSession, path: str, glob: str = "*.pdb") -> DataFrame:
@@ -102,8 +103,9 @@ def file_states(atoms: DataFrame) -> DataFrame:
 
 
 def usable(atoms: DataFrame) -> DataFrame:
-    """Records of the files whose state is ``ok``."""
-    return atoms.join(file_states(atoms).filter("state = 'ok'").select("path"), "path", "left_semi").select(*atoms.columns)
+    """Records of the files whose state is ``ok``. The files are parsed once: what is parsed is stored, judged, and read again."""
+    parsed = stored(atoms)
+    return parsed.join(file_states(parsed).filter("state = 'ok'").select("path"), "path", "left_semi").select(*atoms.columns)
 
 
 def ingest_summary(atoms: DataFrame, chains: DataFrame, min_len: int) -> DataFrame:

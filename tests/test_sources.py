@@ -272,7 +272,7 @@ def _java_list(seq):
     return [seq.apply(k) for k in range(seq.size())]
 
 
-def test_counts_are_observed_in_the_write(spark, sf_dir, tmp_path):
+def test_a_build_counts_what_it_writes(spark, sf_dir, tmp_path):
     atoms = structures.parse_atoms(P.ingest_lines(spark, sf_dir))
     counts = ingest.write_build(atoms, str(tmp_path / "built"), 47)
     built = chains.all_chains(structures.residues(structures.usable(atoms)))
