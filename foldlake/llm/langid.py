@@ -113,27 +113,17 @@ class Model:
     seed: int
 
 
-def _sample(labelled: DataFrame, rows_per_language: int, seed: int) -> DataFrame | None:
-    """lang, text of about so many rows of each language, those with the smallest hashes of their ids; None without any."""
-    labelled = labelled.filter("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*[x for lang, size in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, rows_per_language / size)))])
-    lot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit("")), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    return labelled.filter(lot < F.element_at(share, F.col("lang"))).select("lang", "text")
-
-
-def fit(labelled: DataFrame, rows_per_language: int = 4000, dims: int = 1024, n: int = 3, seed: int = 11) -> Model:
-    """Prototypes from ``labelled`` (doc_id, text, lang), of about ``rows_per_language`` rows of each language.
-
-    The rows are those with the smallest hashes of their ids, whole texts. Rows without a language or text teach
-    nothing; without any, the model knows no language.
-    """
-    sample = _sample(labelled, rows_per_language, seed)
-    if sample is None:
-        return Model([], np.empty((0, dims)), dims, n, seed)
+def _learned(labelled: DataFrame) -> DataFrame:
+    """lang, text of the rows that teach: all that have both."""
+    return labelled.filter("lang is not null and text is not null").select("lang", "text")
+
 
+def fit(labelled: DataFrame, dims: int = 1024, n: int = 3, seed: int = 11) -> Model:
+    """Prototypes from ``labelled`` (text, lang): all rows, whole texts.
+
+    Rows without a language or text teach nothing; without any, the model knows no language. Texts stay where they are
+    read; a task gives one sum per language, and sums meet in 64 tasks before they reach the driver.
+    """
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(dims, n, seed), {}
         for batch in batches:
@@ -144,8 +134,17 @@ def fit(labelled: DataFrame, rows_per_language: int = 4000, dims: int = 1024, n:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in batches:
+            for lang, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[lang] = sums.get(lang, 0) + v.values.to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
+
+    made = _learned(labelled).mapInArrow(bundle, "lang string, v array<double>")
     sums: dict[str, np.ndarray] = {}
-    for row in sample.repartition(64).mapInArrow(bundle, "lang string, v array<double>").collect():  # 64 sums per language at most
+    for row in made.repartition(64).mapInArrow(add, "lang string, v array<double>").collect():  # 64 sums per language at most
         sums[row["lang"]] = sums.get(row["lang"], 0) + np.array(row["v"])
     languages = sorted(sums)
     prototypes = np.array([sums[lang] / np.linalg.norm(sums[lang]) for lang in languages]).reshape(len(languages), dims)
@@ -193,16 +192,13 @@ def _length_class(text: str) -> Column:
     return F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))).cast("int")
 
 
-def floors(labelled: DataFrame, model: Model, rows_per_language: int = 4000, quantile: float = 0.01, part: float = 0.5) -> dict[int, float]:
+def floors(labelled: DataFrame, model: Model, quantile: float = 0.01, part: float = 0.5) -> dict[int, float]:
     """By length class, the score under which a text is in none of the learned languages.
 
     That is ``part`` of the ``quantile`` of the scores of learned texts of that length. Texts under SHORT characters have
     no floor: a few clean words score as low as noise does. Without learned rows there is none at all.
     """
-    sample = _sample(labelled, rows_per_language, model.seed)
-    if sample is None:
-        return {}
-    scored = predict(sample, model, ("__lang", "__score")).filter(F.length("text") >= SHORT)
+    scored = predict(_learned(labelled), model, ("__lang", "__score")).filter(F.length("text") >= SHORT)
     found = scored.groupBy(_length_class("text").alias("k")).agg(F.percentile_approx("__score", quantile, 10_000).alias("q")).collect()  # a row per class
     return {r["k"]: part * r["q"] for r in found}
 

@@ -119,7 +119,7 @@ def _paths(node, above: dict) -> Iterator[Rule]:
 
 
 def fit(labelled: DataFrame, trees: int = 12, depth: int = 3, penalty: float = 0.0005, seed: int = 5) -> Ensemble:
-    """Rules and weights from ``labelled``: the statistics and ``label`` 0.0 or 1.0, a bounded table.
+    """Rules and weights from ``labelled``: the statistics and ``label`` 0.0 or 1.0.
 
     With no rows, or one label only, there are no rules and the score is 0.5, or near that label.
     """
@@ -142,19 +142,15 @@ def fit(labelled: DataFrame, trees: int = 12, depth: int = 3, penalty: float = 0
     return Ensemble(chosen, float(weights.intercept))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 20_000, seed: int = 5) -> Ensemble:
-    """Fit on about ``rows`` labelled documents, those with the smallest hashes of their ids.
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ensemble:
+    """Fit on all labelled documents.
 
     ``labels`` has doc_id and ``label``; rows without either, and ids that no document has, teach nothing. An id
-    with several labels is taken at its largest.
+    with several labels is taken at its largest. Texts become statistics where they are read; only those meet the labels.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    count = known.count()
-    lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20))
-    chosen = known.filter(lot < int(min(1.0, rows / max(count, 1)) * (1 << 20)))
-    chosen = chosen.groupBy("doc_id").agg(F.max(F.col(label)).cast("double").alias("label"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about `rows` ids and numbers
-    return fit(stored(with_statistics(texts, drop_text=True)))
+    chosen = known.groupBy("doc_id").agg(F.max(F.col(label)).cast("double").alias("label"))
+    return fit(stored(with_statistics(docs.select("doc_id", "text"), drop_text=True).join(chosen, "doc_id")))
 
 
 def predict(docs: DataFrame, ensemble: Ensemble, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

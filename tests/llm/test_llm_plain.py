@@ -84,6 +84,15 @@ def test_texts_in_no_learned_language_are_told_from_short_ones(spark, texts):
     assert langid.floors(docs.limit(0), model) == {}
 
 
+def test_all_learned_rows_make_the_prototypes(spark):
+    rows = [(k, f"{'abcdefghij'[k % 10] * 3} {'klmnopqrst'[k // 10 % 10] * 2}{k % 7 * 'u'}", "one") for k in range(4500)] + [(9000, "xyz", "two"), (9001, None, "two"), (9002, "w", None)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), dims=64)
+    profiles = langid.Profiles(64, model.n, model.seed)
+    total = sum(v / np.linalg.norm(v) for v in (profiles.vector(text).astype(float) for _, text, lang in rows if lang == "one"))
+    assert model.languages == ["one", "two"]
+    assert np.allclose(model.prototypes[0], total / np.linalg.norm(total), atol=1e-9)
+
+
 # ---------------------------------------------------------------- 4 quality
 
 def plain_statistics(text):
@@ -162,6 +171,14 @@ def test_scores_equal_the_weighted_rules(spark, texts, sf_dir):
         assert found[doc]["predicted"] == int(found[doc]["score"] >= 0.5)
 
 
+def test_all_labelled_rows_are_learned(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(quality, "fit", lambda table: learned.append(table.count()))
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    quality.learn(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    assert learned == [20_500]
+
+
 # ---------------------------------------------------------------- 5 licences
 
 def test_the_keyword_gate_loses_nothing(texts):
