@@ -122,47 +122,145 @@ def block_pairs(queries: Blocks, index: Blocks) -> DataFrame:
     return met.select("q", "t", F.col("n_q").alias("n"), near.alias("near"), (reach + _SLACK).alias("bound"))
 
 
-def _block_best(q: tuple, t: tuple, k: int, exclude: bool, step: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Best ``k`` rows of one index block for every query, ties by key. A side is (block, keys, groups, matrix).
+def _dense_best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the best ``k`` of every row, columns in key order; looks at all of them."""
+    score = np.round(sims, 9) - np.arange(sims.shape[1]) * (4e-10 / sims.shape[1])
+    width = min(k, sims.shape[1])
+    cols = np.argpartition(-score, width - 1, axis=1)[:, :width].ravel()
+    return np.repeat(np.arange(len(sims)), width), cols
 
-    Similarities are compared at nine decimals; the place in key order, at most
-    1e-9 in total, then decides between equal ones.
+
+def _row_best(sims: np.ndarray, floor: np.ndarray, k: int, many: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and similarities (nine decimals) of the best ``k`` of every row that are not below its ``floor``.
+
+    Of equal similarities the first columns, which are in key order. The ``k``-th largest of the maxima of some runs of
+    columns is a lower bound of a row's ``k``-th similarity, so that only the few above it are ranked. Where more than
+    ``many`` per row reach it, as with copies, all are.
     """
-    (block, q_keys, q_groups, qm), (_, keys, groups, tm) = q, t
-    names = {g: n for n, g in enumerate(dict.fromkeys([*groups, *q_groups]))}
-    of, asked = np.array([names[g] for g in groups]), np.array([names[g] for g in q_groups])
-    tie = np.arange(len(keys)) * (4e-10 / max(len(keys), 1))
-    width = min(k, len(keys))
-    for first in range(0, len(q_keys), step):
-        same = asked[first:first + step, None] == of[None, :]
-        sims = np.round(qm[first:first + step] @ tm.T, 9)
-        score = np.where(same, -np.inf, sims - tie) if exclude else sims - tie
-        best = np.argpartition(-score, width - 1, axis=1)[:, :width]
-        rows = np.repeat(np.arange(len(same)), width)
-        cols = best.ravel()
-        keep = np.isfinite(score[rows, cols])
-        rows, cols = rows[keep], cols[keep]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(rows), block)), pa.array([q_keys[first + r] for r in rows.tolist()], pa.string()),
-            pa.array([keys[c] for c in cols.tolist()], pa.string()), pa.array(sims[rows, cols]), pa.array(same[rows, cols])],
-            names=["q", "query_key", "tpl_key", "sim", "same_group"])
+    n, width = sims.shape
+    runs = 16 * k
+    if width >= 4 * runs:
+        whole = width // runs * runs
+        peaks = sims[:, :whole].reshape(n, runs, -1).max(axis=2)
+        floor = np.maximum(floor, np.partition(peaks, runs - k, axis=1)[:, runs - k])
+    reached = sims >= (floor - _SLACK)[:, None]
+    if np.count_nonzero(reached) > many * n:
+        rows, cols = _dense_best(sims, k)
+        kept = reached[rows, cols]
+        rows, cols = rows[kept], cols[kept]
+    else:
+        rows, cols = np.nonzero(reached)
+    found = np.round(sims[rows, cols], 9)
+    kept = np.isfinite(found)
+    rows, cols, found = rows[kept], cols[kept], found[kept]
+    order = np.lexsort((cols, -found, rows))
+    rows, cols, found = rows[order], cols[order], found[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], cols[place < k], found[place < k]
+
+
+class _Side(NamedTuple):
+    """A block inside a task: keys and group numbers, and the matrix."""
+
+    block: int
+    keys: pa.Array
+    groups: np.ndarray
+    matrix: np.ndarray
+    whole: bool  # all numbers finite
+
+
+class _Asked:
+    """A query block inside a task, with the best of the index blocks it has met."""
+
+    def __init__(self, side: _Side, partners: list[int], k: int):
+        self.side, self.partners, self.k = side, set(partners), k
+        self.best = np.full((len(side.matrix), k), -np.inf)  # similarities so far, the lowest first
+        self.found: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]] = []
+
+    def meet(self, other: _Side, exclude: bool, cells: int = 1 << 22) -> None:
+        step = max(64, cells // max(1, len(other.matrix)))
+        for first in range(0, len(self.best), step):
+            part = slice(first, first + step)
+            sims = self.side.matrix[part] @ other.matrix.T
+            if not (self.side.whole and other.whole):
+                sims[np.isnan(sims)] = -np.inf
+            asked = self.side.groups[part]
+            if exclude:
+                for group in np.intersect1d(asked, other.groups):
+                    sims[np.ix_(asked == group, other.groups == group)] = -np.inf
+            rows, cols, found = _row_best(sims, self.best[part, 0], self.k)
+            if not len(rows):
+                continue
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            new = np.full((len(sims), self.k), -np.inf)
+            new[rows, place] = found
+            self.best[part] = np.sort(np.hstack([self.best[part], new]), axis=1)[:, -self.k:]
+            self.found.append((rows + first, other.keys.take(pa.array(cols)), found, asked[rows] == other.groups[cols]))
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        """What is not below the ``k``-th best of its query."""
+        for rows, keys, found, same in self.found:
+            kept = np.flatnonzero(found >= self.best[rows, 0])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(kept), self.side.block)), self.side.keys.take(pa.array(rows[kept])), keys.take(pa.array(kept)),
+                pa.array(found[kept]), pa.array(same[kept])], names=["q", "query_key", "tpl_key", "sim", "same_group"])
+
+
+#: Query blocks and index blocks that meet in one task; the first are held, the others come one by one.
+HELD, PASSING = 8, 16
 
 
 def _compare(pairs: DataFrame, queries: Blocks, index: Blocks, k: int, exclude: bool) -> DataFrame:
-    """Hits of the given pairs of blocks (q, t), dealt out by pair."""
-    def side(of: Blocks, name: str) -> DataFrame:
-        return of.table.select(F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("keys", "groups", "matrix")])
+    """Hits of the given pairs of blocks (q, t).
+
+    Pairs are dealt out in cells of a grid, some query blocks by some index blocks, a task each: a block is sent once per
+    cell and not once per pair, and a query leaves a cell with its best ``k`` of all index blocks there.
+    """
+    tasks = 2 * pairs.sparkSession.sparkContext.defaultParallelism
+    down = max(1, -(-queries.count // HELD))
+    across = max(1, -(-index.count // PASSING))
+    if down * across < tasks:  # few blocks: smaller cells, so that all cores have some
+        down, across = min(max(1, queries.count), max(down, -(-tasks // across))), across
+        across = min(max(1, index.count), max(across, -(-tasks // down)))
+
+    def lot(of: Blocks, name: str, count: int) -> DataFrame:
+        """Each block's row or column of the grid, as many blocks in each; a number per block is ordered."""
+        place = F.row_number().over(Window.orderBy("block")) - 1
+        return of.table.select("block").select(F.col("block").alias(name), (place % count).alias(f"{name}_lot"))
+
+    cells = pairs.select("q", "t").join(lot(queries, "q", down), "q").join(lot(index, "t", across), "t").select(
+        "q", "t", (F.col("q_lot") * across + F.col("t_lot")).cast("int").alias("cell"))
+    names = ["keys", "groups", "matrix"]
+    held = cells.groupBy("cell", "q").agg(F.collect_list("t").alias("partners")).withColumnRenamed("q", "block").join(
+        queries.table.select("block", *names), "block").select("cell", F.lit(0).alias("side"), "block", "partners", *names)
+    passing = cells.select("cell", F.col("t").alias("block")).distinct().join(index.table.select("block", *names), "block").select(
+        "cell", F.lit(1).alias("side"), "block", F.array().cast("array<bigint>").alias("partners"), *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str | None, int] = {}
+        here, asked = None, []
         for batch in batches:
             for r in range(batch.num_rows):
-                q, t = ((batch.column(n)[r].as_py(), batch.column(f"{n}_keys")[r].as_py(), batch.column(f"{n}_groups")[r].as_py(),
-                         np.frombuffer(batch.column(f"{n}_matrix")[r].as_buffer(), dtype=np.float64).reshape(len(batch.column(f"{n}_keys")[r]), -1)) for n in "qt")
-                yield from _block_best(q, t, k, exclude)
-
-    chosen = pairs.select("q", "t")
-    met = chosen.join(side(queries, "q"), "q").join(chosen.join(side(index, "t"), "t"), ["q", "t"])
-    return met.mapInArrow(run, _HITS)
+                cell, side, block = (batch.column(c)[r].as_py() for c in range(3))
+                if cell != here:
+                    for one in asked:
+                        yield from one.hits()
+                    here, asked = cell, []
+                groups = batch.column(5)[r].values.dictionary_encode()
+                own = np.array([numbers.setdefault(g, len(numbers)) for g in groups.dictionary.to_pylist()] + [numbers.setdefault(None, len(numbers))])
+                matrix = np.frombuffer(batch.column(6)[r].as_buffer(), dtype=np.float64).reshape(len(groups), -1)
+                met = _Side(block, batch.column(4)[r].values, own[groups.indices.fill_null(len(own) - 1).to_numpy()], matrix, bool(np.isfinite(matrix).all()))
+                if side == 0:
+                    asked.append(_Asked(met, batch.column(3)[r].as_py(), k))
+                else:
+                    for one in asked:
+                        if block in one.partners:
+                            one.meet(met, exclude)
+        for one in asked:
+            yield from one.hits()
+
+    dealt = held.unionByName(passing).repartitionById(down * across, "cell").sortWithinPartitions("cell", "side", "block")
+    return dealt.mapInArrow(run, _HITS)
 
 
 def _cutoffs(pairs: DataFrame, hits: DataFrame, k: int) -> DataFrame:

@@ -179,6 +179,28 @@ def test_pairs_of_blocks_are_skipped_where_vectors_cluster(spark, exclude):
     assert {q: [t for t, _ in hits] for q, hits in got.items()} == {q: [t for t, _ in hits] for q, hits in want.items()}
 
 
+def test_blocks_meet_in_cells(spark):
+    """A query leaves a cell with its best of all blocks there, not with the best of each block."""
+    rows, df = _vectors(spark, 400, groups=7)
+    index = retrieve.blocks(retrieve.scaled(df), 15)
+    every = retrieve.block_pairs(index, index)
+    hits = retrieve._compare(every, index, index, 4, True)
+    assert index.count > 16 and hits.count() < 400 * 4 * index.count / 4
+    best = retrieve._merge(hits, 4).select("query_key", "tpl_key").collect()
+    assert {tuple(r) for r in best} == {(q, t) for q, found in _brute(rows, 4).items() for t, _ in found}
+
+
+@pytest.mark.parametrize("copies", [0, 300])
+def test_best_of_rows_equal_those_of_a_full_sort(copies):
+    rng = np.random.default_rng(3)
+    sims = rng.normal(size=(40, 1000))
+    sims[:, 500:500 + copies] = 2.5
+    sims[3, 7], sims[4] = -np.inf, -np.inf
+    rows, cols, found = retrieve._row_best(sims, np.full(40, -np.inf), 4)
+    want = [(r, c) for r in range(40) if r != 4 for c in sorted(range(1000), key=lambda c: (-round(sims[r, c], 9), c))[:4]]
+    assert list(zip(rows.tolist(), cols.tolist())) == want
+
+
 def test_block_bounds_hold(spark):
     rows, df = _clustered(spark, 5, 30, spread=0.4)
     made = retrieve.blocks(retrieve.scaled(df), 25)
