@@ -90,7 +90,8 @@ def build_chains(files: DataFrame, sink: str, checkpoint: str, min_len: int = MI
         counts = all_chains(residues).groupBy("path").agg(F.count_if(kept).alias("saved"), F.count_if(~kept).alias("skipped"))
         listed = batch.drop("value").join(counts, "path", "left").select(
             "pdb_id", "path", "records", "broken", "state", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("saved", "skipped")])
-        listed.coalesce(1).write.mode("overwrite").parquet(f"{sink}/files/batch={number}")  # as many rows as files in a batch
+        # Moved, not coalesced: the joins and sorts in front keep their tasks.
+        listed.repartition(1).write.mode("overwrite").parquet(f"{sink}/files/batch={number}")  # as many rows as files in a batch
         batch.unpersist()
 
     return (file_states_of(files).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

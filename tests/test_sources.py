@@ -323,3 +323,14 @@ def test_temporary_tables_are_removed(spark):
         assert len(outer) == 2 and kept.count() == 3
     assert not any(os.path.exists(folder) for folder in outer)
     assert stored(spark.range(2)).count() == 2
+
+
+def test_list_of_a_batch_is_not_made_in_one_task(spark, sf_dir, monkeypatch):
+    """The rows of the list move to one task after they are made; with coalesce all that makes them would run there."""
+    from foldlake.plans.structures import ingest_streamed
+
+    def stop(*_):
+        raise AssertionError("coalesce")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", stop)
+    assert ingest_streamed(spark, sf_dir).count() >= 0
