@@ -140,6 +140,12 @@ def align_many(pairs: list[tuple[str, str]], gap: int = GAP) -> list[tuple[str,
     return results
 
 
+def many_tasks(df: DataFrame) -> int:
+    """Tasks for rows whose cost has nothing to do with their bytes; a number that is given is not lowered for small data."""
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _candidates(pairs: DataFrame, queries: DataFrame, templates: DataFrame) -> DataFrame:
     """Each (query_key, tpl_key) once, with both strings, spread evenly over the tasks.
 
@@ -148,9 +154,7 @@ def _candidates(pairs: DataFrame, queries: DataFrame, templates: DataFrame) -> D
     wanted = pairs.select("query_key", "tpl_key").distinct()
     found = (wanted.join(queries.select(F.col("chain_key").alias("query_key"), F.col("seq").alias("q_seq")), "query_key")
              .join(templates.select(F.col("chain_key").alias("tpl_key"), F.col("seq").alias("t_seq")), "tpl_key"))
-    spark = pairs.sparkSession
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return found.repartition(tasks, "query_key", "tpl_key")
+    return found.repartition(many_tasks(pairs), "query_key", "tpl_key")
 
 
 def align_pairs(pairs: DataFrame, queries: DataFrame, templates: DataFrame, gap: int = GAP) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..constants import GAP, MATCH, MISMATCH
 from ..session import stored
-from .align import _codes
+from .align import _codes, many_tasks
 
 #: Residues along the side of a tile.
 TILE = 4096
@@ -62,6 +62,19 @@ def _numbers(border) -> np.ndarray:
     return np.frombuffer(border, dtype=np.int32)
 
 
+def _frames(rows: Iterator[tuple], columns: list[str], room: int = 1 << 25) -> Iterator[pd.DataFrame]:
+    """Rows as frames of about ``room`` bytes at most: many small tiles share a frame, large ones do not pile up."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, str | bytes))
+        if size >= room:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def _pieces(strings: DataFrame, keys: list[str], column: str, number: str, tile: int) -> DataFrame:
     """keys, number and piece of every string, ``tile`` letters each."""
     cuts = F.posexplode(F.sequence(F.lit(0), F.length(column) - 1, F.lit(tile))).alias(number, "at")
@@ -81,36 +94,36 @@ def align_long(pairs: DataFrame, queries: DataFrame, templates: DataFrame, gap:
     rows, cols = stored(_pieces(sized, _PAIR, "q", "row", tile)), stored(_pieces(sized, _PAIR, "t", "col", tile))
     ends = sized.filter("m > 0 and n > 0").select(*_PAIR, F.expr(f"(m - 1) div {tile}").cast("int").alias("last_row"), F.expr(f"(n - 1) div {tile}").cast("int").alias("last_col"))
     waves = (ends.agg(F.max(F.col("last_row") + F.col("last_col"))).first()[0] or 0) + 1
+    tasks = many_tasks(pairs)
+    tile_columns, walk_columns = ([part.split()[0] for part in schema.split(", ")] for schema in (_TILE, _WALK))
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
             for r in frame.itertuples(index=False):
                 top = _numbers(r.top) if r.top is not None else -gap * np.arange(r.col * tile, r.col * tile + len(r.t_piece) + 1, dtype=np.int32)
                 side = _numbers(r.side) if r.side is not None else -gap * np.arange(r.row * tile + 1, r.row * tile + len(r.q_piece) + 1, dtype=np.int32)
                 table = table_of(r.q_piece, r.t_piece, top, side, gap)
-                yield pd.DataFrame([(r.query_key, r.tpl_key, r.row, r.col, top.tobytes(), side.tobytes(), table[-1].tobytes(), table[1:, -1].tobytes())],
-                                   columns=["query_key", "tpl_key", "row", "col", "top", "side", "bottom", "right"])
+                yield r.query_key, r.tpl_key, r.row, r.col, top.tobytes(), side.tobytes(), table[-1].tobytes(), table[1:, -1].tobytes()
 
     none = F.lit(None).cast("binary")
     begun = ends.select(*_PAIR, F.lit(0).alias("row"), F.lit(0).alias("col"), none.alias("top"), none.alias("side"))
     done = None
     for _ in range(waves):
-        met = begun.join(rows, [*_PAIR, "row"]).join(cols, [*_PAIR, "col"]).repartition(*_PAIR, "row", "col")
-        made = stored(met.mapInPandas(score, _TILE))
+        met = begun.join(rows, [*_PAIR, "row"]).join(cols, [*_PAIR, "col"]).repartition(tasks, *_PAIR, "row", "col")
+        made = stored(met.mapInPandas(lambda frames: _frames(score(frames), tile_columns), _TILE))
         done = made if done is None else done.unionByName(made)
         down = made.select(*_PAIR, (F.col("row") + 1).alias("row"), "col", F.col("bottom").alias("top"), none.alias("side"))
         right = made.select(*_PAIR, "row", (F.col("col") + 1).alias("col"), none.alias("top"), F.col("right").alias("side"))
         begun = down.unionByName(right).join(ends, _PAIR).filter("row <= last_row and col <= last_col").groupBy(*_PAIR, "row", "col").agg(
             F.first("top", ignorenulls=True).alias("top"), F.first("side", ignorenulls=True).alias("side"))
 
-    def back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def back(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
             for r in frame.itertuples(index=False):
                 table = table_of(r.q_piece, r.t_piece, _numbers(r.top), _numbers(r.side), gap)
                 i, j, q_part, t_part = walk(table, r.q_piece, r.t_piece, r.i - r.row * tile, r.j - r.col * tile, gap)
                 total = int(table[-1, -1]) if r.step == 0 else 0
-                yield pd.DataFrame([(r.query_key, r.tpl_key, r.step + 1, i + r.row * tile, j + r.col * tile, total, q_part, t_part)],
-                                   columns=["query_key", "tpl_key", "step", "i", "j", "score", "q_part", "t_part"])
+                yield r.query_key, r.tpl_key, r.step + 1, i + r.row * tile, j + r.col * tile, total, q_part, t_part
 
     # Pairs with an empty string have no tile: all gaps.
     at = sized.select(*_PAIR, F.lit(0).alias("step"), F.col("m").alias("i"), F.col("n").alias("j"),
@@ -119,7 +132,7 @@ def align_long(pairs: DataFrame, queries: DataFrame, templates: DataFrame, gap:
     for _ in range(waves):
         standing = at.filter("i > 0 and j > 0").select(*_PAIR, "step", "i", "j", F.expr(f"(i - 1) div {tile}").cast("int").alias("row"), F.expr(f"(j - 1) div {tile}").cast("int").alias("col"))
         met = standing.join(done.select(*_PAIR, "row", "col", "top", "side"), [*_PAIR, "row", "col"]).join(rows, [*_PAIR, "row"]).join(cols, [*_PAIR, "col"])
-        at = stored(met.repartition(*_PAIR).mapInPandas(back, _WALK))
+        at = stored(met.repartition(tasks, *_PAIR).mapInPandas(lambda frames: _frames(back(frames), walk_columns), _WALK))
         walked = walked.unionByName(at)
 
     # What is left in front of the last step stands against gaps; parts come last step first.

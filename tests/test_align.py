@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foldlake.operators import align as A
 from foldlake.operators import tokens as K
 from foldlake.operators import transfer as T
-from foldlake.operators.align_tiles import align_long
+from foldlake.operators.align_tiles import _frames, align_long
 
 
 def plain_score(a, b, gap=2):
@@ -214,3 +214,10 @@ def test_tiles_of_a_long_pair(spark):
     table = spark.createDataFrame([("a", a), ("b", b)], "chain_key string, seq string")
     row = align_long(spark.createDataFrame([("a", "b")], "query_key string, tpl_key string"), table, table, tile=600).first()
     assert (row.q_aln, row.t_aln, row.score) == A.align(a, b)
+
+
+def test_small_tiles_share_a_frame():
+    rows = [("a" * 10, k) for k in range(25)]
+    frames = list(_frames(iter(rows), ["s", "k"], room=100))
+    assert [len(f) for f in frames] == [10, 10, 5] and [tuple(r) for f in frames for r in f.itertuples(index=False)] == rows
+    assert len(list(_frames(iter(rows), ["s", "k"]))) == 1
