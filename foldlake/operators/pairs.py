@@ -7,7 +7,7 @@ nothing here lists all pairs of a chain.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CONTACT_CUTOFF, MIN_SEPARATION, SEED
@@ -16,6 +16,10 @@ from ..functions import vectors as V
 # The zero offset and the 13 offsets after it: each pair of neighbouring cells is met once.
 _FORWARD = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
 
+# Background correction: blocks of 128 by 128 residues; numbers that stand for an unknown residue and for all of them.
+_TILE_BITS = 7
+_NOWHERE, _ALL = -(1 << 63), (1 << 63) - 1
+
 
 def _cell(axis: str, size: float) -> Column:
     return F.floor(F.col(axis) / size).cast("int")
@@ -179,22 +183,40 @@ def symmetrize(directed: DataFrame, how: str = "mean", keys: tuple[str, ...] = (
     return summed.select(*keys, "i", "j", F.when(F.col("i") == F.col("j"), F.col("__diagonal")).otherwise(F.col("__total")).alias(value))
 
 
-def apc(pairs: DataFrame, keys: tuple[str, ...] = ("chain_key",), values: tuple[str, ...] = ("x",)) -> DataFrame:
+def _end(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("bigint"), F.lit(_NOWHERE))
+
+
+def apc(pairs: DataFrame, keys: tuple[str, ...] = ("chain_key",), values: tuple[str, ...] = ("x",), tasks: int | None = None) -> DataFrame:
     """x - row sum * column sum / total of a symmetric matrix given by its pairs i < j.
 
-    Several value columns are corrected in one pass. The row sums are map-side
-    aggregates, one row per residue; the pairs are joined to them on (chain,
-    residue), which no single chain can make one-sided. Whole numbers give
-    results that are exact but for one division.
+    Several value columns are corrected in one pass, in ``tasks`` tasks (``spark.sql.shuffle.partitions`` unless given).
+    The pairs move once, into blocks of the matrix, which no single chain can make one-sided; keys after the first, such
+    as a channel, stay together in a block. A block's sums, one row per residue and one for all, are added up over the
+    blocks of the chain and come back to the block as a map. Whole numbers give results that are exact but for one
+    division.
     """
-    ends = pairs.select(*keys, F.explode(F.array("i", "j")).alias("i"), *values)
-    rows = ends.groupBy(*keys, "i").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
-    totals = rows.groupBy(*keys).agg(*[F.sum(f"__s_{v}").alias(f"__all_{v}") for v in values])
-    columns = rows.join(totals, list(keys)).select(
-        *keys, F.col("i").alias("j"), *[F.col(f"__s_{v}").alias(f"__t_{v}") for v in values], *[f"__all_{v}" for v in values])
-    fixed = {v: (F.col(v) - F.col(f"__s_{v}") * F.col(f"__t_{v}") / F.col(f"__all_{v}")).alias(v) for v in values}
-    return (pairs.join(rows, [*keys, "i"]).join(columns, [*keys, "j"])
-            .select(*[fixed[c] if c in fixed else F.col(c) for c in pairs.columns]))
+    tasks = tasks or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first, inner = keys[0], keys[1:]
+    block, sums = [first, "__ti", "__tj"], [f"__s_{v}" for v in values]
+    tiles = {t: F.shiftright(_end(c), _TILE_BITS) for t, c in (("__ti", "i"), ("__tj", "j"))}
+    # The tiles are not sent along; and as they need i and j, both readers below need the same columns and share one shuffle.
+    dealt = pairs.dropna(subset=list(keys)).repartition(tasks, first, *tiles.values()).withColumns(tiles)
+    ends = dealt.select(*block, *inner, F.explode(F.array(_end("i"), _end("j"), F.lit(_ALL))).alias("__at"), *values)
+    local = ends.groupBy(*block, *inner, "__at").agg(*[F.sum(v).alias(s) for v, s in zip(values, sums)]).filter(F.col("__at") != _NOWHERE)
+    over = Window.partitionBy(*keys, "__at")
+    whole = local.repartition(tasks, *keys, "__at").select(*block, *inner, "__at", *[F.sum(s).over(over).alias(s) for s in sums])
+    known = whole.repartition(tasks, *block).groupBy(*block, *inner).agg(
+        F.map_from_entries(F.collect_list(F.struct("__at", F.struct(*sums)))).alias("__known"))
+    found = F.col("__known")
+    if inner:
+        known = known.groupBy(*block).agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*inner), "__known"))).alias("__known"))
+        found = F.try_element_at("__known", F.struct(*inner))
+    row, column, total = (F.try_element_at(found, at) for at in (_end("i"), _end("j"), F.lit(_ALL)))
+    met = dealt.join(known, block).select(*pairs.columns, row.alias("__row"), column.alias("__column"), total.alias("__total"))
+    fixed = {v: (F.col(v) - F.col(f"__row.{s}") * F.col(f"__column.{s}") / (F.col(f"__total.{s}") * 2)).alias(v) for v, s in zip(values, sums)}
+    return met.filter(F.col("__row").isNotNull() & F.col("__column").isNotNull()).select(
+        *[fixed[c] if c in fixed else F.col(c) for c in pairs.columns])
 
 
 def logistic_score(features: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
@@ -209,4 +231,4 @@ def logistic_score_long(features: DataFrame, weights: DataFrame, bias: float) ->
     ``weights`` (channel, w) has one row per channel, a size fixed by the model.
     """
     z = F.sum(F.col("x") * F.col("w")) + bias
-    return features.join(weights, "channel").groupBy("chain_key", "i", "j").agg((1 / (1 + F.exp(-z))).alias("score"))
+    return features.join(F.broadcast(weights), "channel").groupBy("chain_key", "i", "j").agg((1 / (1 + F.exp(-z))).alias("score"))

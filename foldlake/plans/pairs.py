@@ -233,4 +233,5 @@ def logistic_score_long(spark, d):
     rows = F.array(*[F.struct(F.lit(k).alias("channel"), F.col(f"c{k}").alias("x")) for k in range(3)])
     long = _channels(spark, d).select("chain_key", "i", "j", F.explode(rows).alias("r")).select("chain_key", "i", "j", "r.channel", "r.x")
     weights = spark.createDataFrame([(0, 1.5), (1, -0.7), (2, 0.4)], "channel int, w double")
-    return B.logistic_score_long(B.apc(long, keys=("chain_key", "channel")), weights, -0.25).withColumn("score", S.r6(F.col("score")))
+    corrected = B.apc(long, keys=("chain_key", "channel"), tasks=P.pair_tasks(spark, d, 3))
+    return B.logistic_score_long(corrected, weights, -0.25).withColumn("score", S.r6(F.col("score")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import AMINO_ACIDS, RESIDUE_LETTERS
-from ..session import spread
+from ..session import spread, tasks_for
 
 CHAIN_SIZE = 50
 
@@ -123,6 +123,11 @@ def pair_scores(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def pair_tasks(spark: SparkSession, d: str, channels: int = 1) -> int:
+    """Tasks for the pairs, with one row per channel, so that a task stays as small however many there are."""
+    return tasks_for(table(spark, d, "lineitem"), 500_000 // channels)
+
+
 PAIRS_SQL = """pair_scores AS (SELECT CASE WHEN chain % 2 = 0 THEN 'val' ELSE 'test' END AS split,
     'C' || chain AS chain_key, i, j, p, y, j - i >= 6 AS valid FROM (
       SELECT l_orderkey // 64 AS chain, (l_orderkey % 64)::INT AS i,

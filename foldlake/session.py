@@ -94,3 +94,10 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     """
     partitions = int(df.sparkSession.conf.get("spark.foldlake.text.partitions", "0"))
     return df.repartition(partitions, *keys) if partitions else df
+
+
+def tasks_for(table: DataFrame, rows: int = 500_000) -> int:
+    """Tasks of about ``rows`` rows of ``table``, as many as run at once at least; only a Parquet table's footers are read."""
+    spark = table.sparkSession
+    at_once = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(at_once, -(-table.count() // rows))

@@ -239,6 +239,52 @@ def test_library_keeps_data_distributed():
         assert "toPandas()" not in text, path
 
 
+def _matrix(residues, count, channels, seed=8):
+    """Rows of one long and one short chain, some repeated, some without an end, a chain or a value."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for chain, size, n in (("a", residues, count), ("b", 9, 20)):
+        for i, j in rng.integers(0, size, (n, 2)):
+            rows += [(chain, c, int(min(i, j)), int(max(i, j)), float(rng.integers(1, 9))) for c in range(channels)]
+    rows += rows[:50] + [("a", 0, None, 3, 2.0), ("a", 0, 140, None, 5.0), (None, 0, 1, 2, 7.0), ("a", 0, 5, 130, None), ("b", None, 1, 2, 3.0)]
+    return rows
+
+
+@pytest.mark.parametrize("channels", [1, 3])
+def test_background_correction_of_a_long_chain(spark, channels):
+    """Blocks of one chain are dealt to all tasks; the rows equal the plain way, and the pairs are shuffled once."""
+    rows = _matrix(700, 6000, channels)
+    df = spark.createDataFrame(rows, "chain_key string, channel int, i int, j int, x double")
+    out = pairs.apc(df, keys=("chain_key", "channel"), tasks=6)
+    got = out.select("*", F.spark_partition_id().alias("task")).collect()
+    ends, total = {}, {}
+    for chain, c, i, j, x in rows:
+        for end in (i, j):
+            ends[chain, c, end] = ends.get((chain, c, end), 0) + (x or 0)
+            total[chain, c] = total.get((chain, c), 0) + (x or 0)
+    want = [(a, c, i, j, x and x - ends[a, c, i] * ends[a, c, j] / total[a, c]) for a, c, i, j, x in rows if None not in (a, c, i, j)]
+    key = lambda r: (*r[:4], r[4] is None, r[4] or 0)
+    assert [tuple(r)[:5] for r in sorted(got, key=key)] == [pytest.approx(r) for r in sorted(want, key=key)]
+    share = [sum(r.task == t for r in got) for t in range(6)]
+    assert max(share) < len(got) / 2 and sum(s > 0 for s in share) >= 5
+    places = {}
+    for r in got:
+        places.setdefault((r.chain_key, r.i, r.j), set()).add(r.task)
+    assert all(len(tasks) == 1 for tasks in places.values())  # a pair's channels meet without another shuffle of each
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weights_move_to_the_channels(spark):
+    """Joined on the channel by a shuffle, all pairs would land in as many tasks as there are channels."""
+    features = spark.createDataFrame([("a", c, 0, 1, 0.5) for c in range(3)], "chain_key string, channel int, i int, j int, x double")
+    weights = spark.createDataFrame([(0, 1.5), (1, -0.7), (2, 0.4)], "channel int, w double")
+    out = pairs.logistic_score_long(features, weights, -0.25)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(channel" not in plan
+    assert out.first().score == pytest.approx(1 / (1 + np.exp(-0.35)))
+
+
 @pytest.mark.parametrize("scores", ["random", "equal", "few"])
 def test_sums_of_best_sort_only_around_the_places(spark, scores):
     rng = np.random.default_rng(6)
