@@ -223,7 +223,7 @@ FROM corrected JOIN weights USING (channel) WHERE i < j GROUP BY chain_key, i, j
 
 @query("logistic_score", _LOGISTIC_SQL)
 def logistic_score(spark, d):
-    corrected = B.apc(_channels(spark, d), values=("c0", "c1", "c2"))
+    corrected = B.apc(_channels(spark, d), values=("c0", "c1", "c2"), tasks=P.pair_tasks(spark, d))
     return B.logistic_score(corrected, {"c0": 1.5, "c1": -0.7, "c2": 0.4}, -0.25).withColumn("score", S.r6(F.col("score")))
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from foldlake.functions.ordering import hash_pieces, ordinal, range_pieces, sums_of_best, with_score_pieces
 from foldlake.operators import graph, pairs, retrieve
-from foldlake.plans import load_all
+from foldlake.plans import load_all, proxies
 from foldlake.plans.registry import QUERIES
+from foldlake.session import tasks_for
 
 ROOT = Path(__file__).resolve().parents[1] / "foldlake"
 
@@ -275,6 +276,15 @@ def test_background_correction_of_a_long_chain(spark, channels):
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["logistic_score"])
+def test_pairs_of_a_query_are_dealt_by_their_number(spark, sf_dir, monkeypatch, name):
+    """Tasks grow with the rows, so that none does; a channel is a row more."""
+    assert tasks_for(spark.range(2_100_000)) == 5 and tasks_for(spark.range(10)) == 4
+    monkeypatch.setattr(proxies, "pair_tasks", lambda spark, d: 23)
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 23), REPARTITION_BY_NUM") >= 3
+
+
 def test_weights_move_to_the_channels(spark):
     """Joined on the channel by a shuffle, all pairs would land in as many tasks as there are channels."""
     features = spark.createDataFrame([("a", c, 0, 1, 0.5) for c in range(3)], "chain_key string, channel int, i int, j int, x double")
