@@ -213,7 +213,7 @@ corrected AS (SELECT chain_key, channel, i, j, x - sum(x) OVER (PARTITION BY cha
 def apc(spark, d):
     """Scores in thousandths, whole numbers whose sums are exact."""
     scores = P.pair_scores(spark, d).select("chain_key", "i", "j", F.round(F.col("p") * 1000).alias("x"))
-    return B.mirror(B.apc(scores)).withColumn("x", S.r6(F.col("x")))
+    return B.mirror(B.apc(scores, tasks=P.pair_tasks(spark, d))).withColumn("x", S.r6(F.col("x")))
 
 
 _LOGISTIC_SQL = f"""WITH {P.PAIRS_SQL}, {_CHANNEL_SQL}, weights(channel, w) AS (VALUES (0, 1.5), (1, -0.7), (2, 0.4))

@@ -276,7 +276,7 @@ def test_background_correction_of_a_long_chain(spark, channels):
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["logistic_score"])
+@pytest.mark.parametrize("name", ["apc", "logistic_score"])
 def test_pairs_of_a_query_are_dealt_by_their_number(spark, sf_dir, monkeypatch, name):
     """Tasks grow with the rows, so that none does; a channel is a row more."""
     assert tasks_for(spark.range(2_100_000)) == 5 and tasks_for(spark.range(10)) == 4
