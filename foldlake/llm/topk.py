@@ -2,7 +2,8 @@
 
 A vector's components are cut into slices. A slice of all vectors, for one query, is a list of local scores, and the
 score of a vector is the sum of its local scores. Vectors lie in blocks of rows, queries too, and every query block
-meets every index block once a phase; between phases only a few numbers per query travel.
+meets every index block once a phase; between phases only a few numbers per query travel. Blocks meet in cells of a grid,
+some query blocks by some index blocks, a task each: a block is sent once per cell, and none is broadcast.
 
 1. Each block gives, for each slice, the entries with the highest local scores, and resolves these few exactly. The
    k-th best of them over all blocks is a score that the k-th result cannot fall below: the safe cutoff.
@@ -10,7 +11,7 @@ meets every index block once a phase; between phases only a few numbers per quer
    c / slices, so each block collects the entries that do in some slice. Slices are formed one by one, and entries whose
    later components (Cauchy-Schwarz) cannot make up what is missing are dropped on the way.
 3. What is left is resolved exactly, its later slices alone. Each block keeps its best k per query among those at or above
-   the cutoff; the lists are merged in two steps, first over groups of blocks.
+   the cutoff, merged within a cell; the lists of the cells are merged in two steps, first over groups of entries.
 """
 
 from __future__ import annotations
@@ -29,9 +30,12 @@ SCALE = 256
 SLICES = 4
 #: Vectors in a block of the index and of the queries.
 BLOCK = 8192
+#: Query blocks and index blocks that meet in one task; the first are held, the others come one by one.
+HELD, PASSING = 8, 16
 #: Share of a block's pairs from which the next slice is formed for the others no more.
 SPARSE = 0.2
 _HIT = "query_id bigint, vec_id bigint, score bigint"
+_CUTOFFS = "array<struct<query_id:bigint,cutoff:bigint>>"
 
 
 def scaled(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -49,10 +53,22 @@ def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     return stored(blocks), count
 
 
-def _pairs(queries: DataFrame, query_blocks: int, index: DataFrame, index_blocks: int) -> DataFrame:
-    """A row for each pair of blocks, dealt out by pair. A vector is sent once per block of the other side."""
-    to = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    return queries.select("*", to(index_blocks, "x")).join(index.select("*", to(query_blocks, "q")), ["dims", "q", "x"])
+def _cells(queries: DataFrame, query_blocks: int, index: DataFrame, index_blocks: int) -> DataFrame:
+    """cell, side (0 query, 1 index), dims, block, rows, cutoffs: each query block meets each index block in one cell.
+
+    A cell is a partition, its query blocks first. Cells are smaller where blocks are few, so that all cores have some.
+    """
+    tasks = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    across = max(1, -(-index_blocks // PASSING))
+    down = min(query_blocks, max(-(-query_blocks // HELD), -(-tasks // across)))
+    across = min(index_blocks, max(across, -(-tasks // down)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = queries.select("*", each(across).alias("at")).select(
+        (F.col("q") % down * across + F.col("at")).alias("cell"), F.lit(0).alias("side"), "dims", F.col("q").alias("block"), F.col("q_rows").alias("rows"), "cutoffs")
+    passing = index.select("*", each(down).alias("at")).select(
+        (F.col("at") * across + F.col("x") % across).alias("cell"), F.lit(1).alias("side"), "dims", F.col("x").alias("block"), F.col("x_rows").alias("rows"),
+        F.lit(None).cast(_CUTOFFS).alias("cutoffs"))
+    return held.unionByName(passing).repartitionById(down * across, "cell").sortWithinPartitions("cell", "side", "dims", "block")
 
 
 def _matrix(rows: pa.StructArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,42 +155,75 @@ def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarr
     return order[np.arange(len(order)) - first < k]
 
 
-def _meet(pairs: DataFrame, k: int, slices: int, step: int, final: bool) -> DataFrame:
-    """Entries of each (query block, index block) pair: of phase 1, or of phases 2 and 3 if ``final``."""
+class _Asked:
+    """A query block inside a task, with the best of the index blocks it has met."""
+
+    def __init__(self, dims: int, ids: np.ndarray, vectors: np.ndarray, cut: np.ndarray | None, k: int, slices: int, step: int):
+        self.dims, self.ids, self.vectors, self.cut, self.k, self.slices, self.step = dims, ids, vectors, cut, k, slices, step
+        self.best = tuple(np.empty(0, np.int64) for _ in range(3))  # place of the query, vec_id, score
+
+    def meet(self, x_ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Takes in the entries of an index block: of phase 1, or of phases 2 and 3 where there are cutoffs."""
+        scores = _Scores(self.vectors, vectors, self.slices)
+        lists = [self.best]
+        for first in range(0, len(self.ids), self.step):
+            rows = slice(first, first + self.step)
+            own = self.ids[rows, None] == x_ids[None, :]
+            if self.cut is not None:
+                i, j, found, _ = _collect(scores, rows, self.cut[rows], own)
+            else:
+                i, j, found = _leading(scores, rows, own, self.k)
+            keep = _best(i, x_ids[j], found, self.k) if len(i) else i
+            lists.append((i[keep] + first, x_ids[j[keep]], found[keep]))
+        q, ids, found = (np.concatenate(part) for part in zip(*lists))
+        keep = _best(q, ids, found, self.k) if len(q) else q
+        self.best = q[keep], ids[keep], found[keep]
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        q, ids, found = self.best
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(ids), pa.array(found)], names=["query_id", "vec_id", "score"])
+
+
+def _leading(scores: _Scores, rows: slice, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, entry and exact score of the pairs with the highest local scores of each slice."""
+    asked, lists = np.zeros(own.shape, dtype=bool), [scores.local(rows, p) for p in range(len(scores.parts))]
+    for part in lists:
+        top = np.argpartition(-part, min(k, part.shape[1] - 1), axis=1)[:, :k + 1]  # one may be its own
+        np.put_along_axis(asked, top, True, axis=1)
+    i, j = np.nonzero(asked & ~own)
+    return i, j, _clip(reduce(np.add, [part[i, j] for part in lists]))
+
+
+def _meet(cells: DataFrame, k: int, slices: int, step: int, final: bool) -> DataFrame:
+    """The best entries of each query block in each cell: of phase 1, or of phases 2 and 3 if ``final``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, asked = None, []
         for batch in batches:
             columns = {n: batch.column(n) for n in batch.schema.names}
             for r in range(batch.num_rows):
-                dims = columns["dims"][r].as_py()
-                q_ids, q = _matrix(columns["q_rows"][r].values, dims)
-                x_ids, x = _matrix(columns["x_rows"][r].values, dims)
+                cell, dims = columns["cell"][r].as_py(), columns["dims"][r].as_py()
+                if cell != here:
+                    for one in asked:
+                        yield from one.hits()
+                    here, asked = cell, []
+                ids, vectors = _matrix(columns["rows"][r].values, dims)
+                if columns["side"][r].as_py():
+                    for one in asked:
+                        if one.dims == dims:
+                            one.meet(ids, vectors)
+                    continue
                 cut = None
                 if final:
                     table = columns["cutoffs"][r].values
                     known = dict(zip(table.field("query_id").to_pylist(), table.field("cutoff").to_pylist())) if table is not None else {}
-                    cut = np.array([known.get(i) if known.get(i) is not None else -2 ** 63 for i in q_ids.tolist()], dtype=np.int64)
-                scores = _Scores(q, x, slices)
-                for first in range(0, len(q_ids), step):
-                    rows = slice(first, first + step)
-                    own = q_ids[rows, None] == x_ids[None, :]
-                    if final:
-                        i, j, found, _ = _collect(scores, rows, cut[rows], own)
-                    else:
-                        asked, lists = np.zeros(own.shape, dtype=bool), [scores.local(rows, p) for p in range(len(scores.parts))]
-                        for part in lists:
-                            top = np.argpartition(-part, min(k, part.shape[1] - 1), axis=1)[:, :k + 1]  # one may be its own
-                            np.put_along_axis(asked, top, True, axis=1)
-                        i, j = np.nonzero(asked & ~own)
-                        found = _clip(reduce(np.add, [part[i, j] for part in lists]))
-                    if len(i) == 0:
-                        continue
-                    keep = _best(i, x_ids[j], found, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(q_ids[rows][i[keep]]), pa.array(x_ids[j[keep]]), pa.array(found[keep])],
-                        names=["query_id", "vec_id", "score"])
-
-    return pairs.mapInArrow(run, _HIT)
+                    cut = np.array([known.get(i) if known.get(i) is not None else -2 ** 63 for i in ids.tolist()], dtype=np.int64)
+                asked.append(_Asked(dims, ids, vectors, cut, k, slices, step))
+        for one in asked:
+            yield from one.hits()
+
+    return cells.mapInArrow(run, _HIT)
 
 
 def _merge(hits: DataFrame, k: int, groups: int = 64) -> DataFrame:
@@ -202,12 +251,14 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", ve
     index, index_blocks = _blocks(rows, block, "x")
     queries, query_blocks = _blocks(rows.filter(is_query), block, "q")
 
-    first = _meet(_pairs(queries, query_blocks, index, index_blocks), k, slices, step, final=False)
+    unbound = queries.withColumn("cutoffs", F.lit(None).cast(_CUTOFFS))
+    first = _meet(_cells(unbound, query_blocks, index, index_blocks), k, slices, step, final=False)
     cutoffs = stored(_merge(first, k).groupBy("query_id").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).select(
         "query_id", F.when(F.col("n") >= k, F.col("score")).alias("cutoff")))
 
+    # Merged by sorting: a broadcast would take what grows with the queries through the driver.
     ids = queries.select("dims", "q", F.explode("q_rows.vec_id").alias("query_id")).distinct()
-    sent = ids.join(cutoffs, "query_id").groupBy("dims", "q").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("cutoffs"))
-    bounded = stored(queries.join(sent, ["dims", "q"], "left"))
-    hits = _meet(_pairs(bounded, query_blocks, index, index_blocks), k, slices, step, final=True)
+    sent = ids.join(cutoffs.hint("merge"), "query_id").groupBy("dims", "q").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("cutoffs"))
+    bounded = stored(queries.join(sent.hint("merge"), ["dims", "q"], "left"))
+    hits = _meet(_cells(bounded, query_blocks, index, index_blocks), k, slices, step, final=True)
     return _merge(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -668,6 +668,24 @@ def test_top_k_equals_brute_force(spark, scale, block):
         assert sorted(found[q]) == hits, q
 
 
+def test_top_k_blocks_meet_in_cells(spark, monkeypatch):
+    """Blocks reach their tasks by a shuffle, never by a broadcast, which the driver would have to hold."""
+    plans, meet = [], topk._meet
+
+    def seen(blocks, *args, **named):
+        plans.append(blocks._jdf.queryExecution().executedPlan().toString())
+        return meet(blocks, *args, **named)
+
+    monkeypatch.setattr(topk, "_meet", seen)
+    rng = np.random.default_rng(6)
+    vectors = [(k, rng.normal(size=8).tolist()) for k in range(230)] + [(k, [0.5, k / 400]) for k in range(300, 340)]
+    found = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>"), "vec_id % 2 = 0", block=10).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert {q: sorted(hits) for q, hits in found.items()} == best_by_force(vectors, step=2)
+    assert len(plans) == 2 and not any("Broadcast" in plan for plan in plans)
+
+
 def test_top_k_edge_cases(spark):
     table = [(0, [0.5, 0.5]), (0, [0.5, 0.5]), (1, [0.5, None]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, None), (None, [1.0, 1.0]), (5, [0.1, 0.2])]
     docs = spark.createDataFrame([(i, v, "x", "y") for i, v in table], "vec_id bigint, embedding array<double>, rank string, score string")
