@@ -7,18 +7,22 @@ is its cutoff. By the triangle inequality two blocks hold no similarity above
 
     centre . centre + |centre| * radius + |centre| * radius + radius * radius
 
-so a pair of blocks below the cutoff is skipped, whole. The others are matrix products, of which the best ``k`` per query
-leave the task, to be merged in two steps. Results are exact; how much is skipped depends on how the vectors cluster.
+so a pair of blocks below the cutoff is skipped, whole. The others meet leaf by leaf: a leaf is some index vectors of a block
+that lie close together, in a box along the block's principal axes, and a query skips the leaves whose box is farther away than
+its own k-th similarity found so far allows. What is left are matrix products, of which the best ``k`` per query leave the task,
+to be merged in two steps. Results are exact; how much is skipped depends on how the vectors cluster.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,72 +134,148 @@ def _dense_best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sims)), width), cols
 
 
-def _row_best(sims: np.ndarray, floor: np.ndarray, k: int, many: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _row_best(sims: np.ndarray, floor: np.ndarray, k: int, many: int = 32, peaks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, columns and similarities (nine decimals) of the best ``k`` of every row that are not below its ``floor``.
 
     Of equal similarities the first columns, which are in key order. The ``k``-th largest of the maxima of some runs of
-    columns is a lower bound of a row's ``k``-th similarity, so that only the few above it are ranked. Where more than
-    ``many`` per row reach it, as with copies, all are.
+    columns is a lower bound of a row's ``k``-th similarity, so that only the few above it are ranked; without ``peaks`` the
+    ``floor`` alone is. Where more than ``many`` per row reach it, as with copies, all are.
     """
     n, width = sims.shape
     runs = 16 * k
-    if width >= 4 * runs:
+    if peaks and width >= 4 * runs:
         whole = width // runs * runs
-        peaks = sims[:, :whole].reshape(n, runs, -1).max(axis=2)
-        floor = np.maximum(floor, np.partition(peaks, runs - k, axis=1)[:, runs - k])
+        highest = sims[:, :whole].reshape(n, runs, -1).max(axis=2)
+        floor = np.maximum(floor, np.partition(highest, runs - k, axis=1)[:, runs - k])
     reached = sims >= (floor - _SLACK)[:, None]
     if np.count_nonzero(reached) > many * n:
         rows, cols = _dense_best(sims, k)
         kept = reached[rows, cols]
         rows, cols = rows[kept], cols[kept]
     else:
-        rows, cols = np.nonzero(reached)
+        rows, cols = np.divmod(np.flatnonzero(reached), width)  # faster than nonzero on two axes
     found = np.round(sims[rows, cols], 9)
     kept = np.isfinite(found)
     rows, cols, found = rows[kept], cols[kept], found[kept]
+    return _first(rows, cols, found, k)
+
+
+def _first(rows: np.ndarray, cols: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``k`` of every row by similarity, then column."""
     order = np.lexsort((cols, -found, rows))
     rows, cols, found = rows[order], cols[order], found[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
     return rows[place < k], cols[place < k], found[place < k]
 
 
-class _Side(NamedTuple):
+#: Vectors in a leaf at most, and principal axes its box is measured on.
+LEAF, AXES = 256, 8
+
+
+class _Leaves:
+    """An index block cut into leaves at medians along its principal axes, each with its box on them."""
+
+    def __init__(self, matrix: np.ndarray, size: int = LEAF, axes: int = AXES):
+        moved = matrix - matrix.mean(axis=0)
+        self.axes = np.linalg.eigh(moved.T @ moved)[1][:, -axes:]
+        near = matrix @ self.axes
+        self.places, todo = [], [np.arange(len(matrix))]
+        while todo:
+            part = todo.pop()
+            if len(part) <= size:
+                self.places.append(np.sort(part))  # in key order
+                continue
+            inside, half = near[part], len(part) // 2
+            order = part[np.argpartition(inside[:, inside.var(axis=0).argmax()], half)]
+            todo += [order[:half], order[half:]]
+        self.vectors = [matrix[places] for places in self.places]
+        self.low = np.array([near[places].min(axis=0) for places in self.places])
+        self.high = np.array([near[places].max(axis=0) for places in self.places])
+
+    def reach(self, queries: np.ndarray, floor: np.ndarray, step: int = 1024) -> np.ndarray:
+        """Leaves by queries: whether a vector of the leaf may have a similarity of ``floor`` to the query.
+
+        Vectors are no longer than 1, so a similarity is at most 1 - distance^2 / 2, and the distance at least that to the box.
+        """
+        allowed = 2 - 2 * floor + 4 * _SLACK
+        reached = np.empty((len(self.places), len(queries)), dtype=bool)
+        for first in range(0, len(queries), step):
+            part = slice(first, first + step)
+            near = (queries[part] @ self.axes).T
+            gap = np.zeros((len(self.places), near.shape[1]))
+            for low, high, at in zip(self.low.T, self.high.T, near):
+                off = np.maximum(low[:, None] - at, at - high[:, None])
+                np.maximum(off, 0, out=off)
+                off *= off
+                gap += off
+            reached[:, part] = gap <= allowed[part]
+        return reached
+
+
+class _Side:
     """A block inside a task: keys and group numbers, and the matrix."""
 
-    block: int
-    keys: pa.Array
-    groups: np.ndarray
-    matrix: np.ndarray
-    whole: bool  # all numbers finite
+    def __init__(self, block: int, keys: pa.Array, groups: np.ndarray, matrix: np.ndarray):
+        self.block, self.keys, self.groups, self.matrix = block, keys, groups, matrix
+        self.whole = bool(np.isfinite(matrix).all())
+
+    @cached_property
+    def leaves(self) -> _Leaves:
+        return _Leaves(self.matrix)
 
 
 class _Asked:
     """A query block inside a task, with the best of the index blocks it has met."""
 
-    def __init__(self, side: _Side, partners: list[int], k: int):
+    def __init__(self, side: _Side, partners: list[int], floor: np.ndarray, k: int):
         self.side, self.partners, self.k = side, set(partners), k
-        self.best = np.full((len(side.matrix), k), -np.inf)  # similarities so far, the lowest first
+        self.best = np.repeat(floor[:, None], k, axis=1)  # similarities so far, the lowest first
         self.found: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]] = []
 
-    def meet(self, other: _Side, exclude: bool, cells: int = 1 << 22) -> None:
+    def meet(self, other: _Side, exclude: bool, cells: int = 1 << 19) -> None:
+        exclude = exclude and bool(np.isin(self.side.groups, other.groups).any())
+        if self.side.whole and other.whole and len(other.matrix) > LEAF and np.isfinite(self.best[:, 0]).mean() > 0.5:
+            reached = other.leaves.reach(self.side.matrix, self.best[:, 0])
+            if np.count_nonzero(reached) < 0.5 * reached.size:
+                self._meet_leaves(other, reached, exclude)
+                return
         step = max(64, cells // max(1, len(other.matrix)))
         for first in range(0, len(self.best), step):
             part = slice(first, first + step)
-            sims = self.side.matrix[part] @ other.matrix.T
+            sims = self._similar(self.side.matrix[part], self.side.groups[part], other.matrix, other.groups, exclude)
             if not (self.side.whole and other.whole):
                 sims[np.isnan(sims)] = -np.inf
-            asked = self.side.groups[part]
-            if exclude:
-                for group in np.intersect1d(asked, other.groups):
-                    sims[np.ix_(asked == group, other.groups == group)] = -np.inf
             rows, cols, found = _row_best(sims, self.best[part, 0], self.k)
-            if not len(rows):
-                continue
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            new = np.full((len(sims), self.k), -np.inf)
-            new[rows, place] = found
-            self.best[part] = np.sort(np.hstack([self.best[part], new]), axis=1)[:, -self.k:]
-            self.found.append((rows + first, other.keys.take(pa.array(cols)), found, asked[rows] == other.groups[cols]))
+            self._take(rows + first, cols, found, other)
+
+    def _meet_leaves(self, other: _Side, reached: np.ndarray, exclude: bool) -> None:
+        """Each leaf with the queries that may find something in it."""
+        floor, lists = self.best[:, 0].copy(), []
+        for places, vectors, some in zip(other.leaves.places, other.leaves.vectors, reached):
+            asked = np.flatnonzero(some)
+            if len(asked):
+                sims = self._similar(self.side.matrix[asked], self.side.groups[asked], vectors, other.groups[places], exclude)
+                rows, cols, found = _row_best(sims, floor[asked], self.k, peaks=False)
+                lists.append((asked[rows], places[cols], found))
+        if lists:
+            self._take(*_first(*(np.concatenate(part) for part in zip(*lists)), self.k), other)
+
+    @staticmethod
+    def _similar(queries: np.ndarray, asked: np.ndarray, vectors: np.ndarray, groups: np.ndarray, exclude: bool) -> np.ndarray:
+        sims = queries @ vectors.T
+        for group in np.intersect1d(asked, groups) if exclude else ():
+            sims[np.ix_(asked == group, groups == group)] = -np.inf
+        return sims
+
+    def _take(self, rows: np.ndarray, cols: np.ndarray, found: np.ndarray, other: _Side) -> None:
+        """At most ``k`` of each query, by query and falling similarity."""
+        if not len(rows):
+            return
+        here, place = np.unique(rows), np.arange(len(rows)) - np.searchsorted(rows, rows)
+        new = np.full((len(here), self.k), -np.inf)
+        new[np.searchsorted(here, rows), place] = found
+        self.best[here] = np.sort(np.hstack([self.best[here], new]), axis=1)[:, -self.k:]
+        self.found.append((rows, other.keys.take(pa.array(cols)), found, self.side.groups[rows] == other.groups[cols]))
 
     def hits(self) -> Iterator[pa.RecordBatch]:
         """What is not below the ``k``-th best of its query."""
@@ -210,8 +290,8 @@ class _Asked:
 HELD, PASSING = 8, 16
 
 
-def _compare(pairs: DataFrame, queries: Blocks, index: Blocks, k: int, exclude: bool) -> DataFrame:
-    """Hits of the given pairs of blocks (q, t).
+def _compare(pairs: DataFrame, queries: Blocks, index: Blocks, k: int, exclude: bool, floors: DataFrame | None = None) -> DataFrame:
+    """Hits of the given pairs of blocks (q, t); only those that are not below the query's floor, where ``floors`` (see ``_floors``) has one.
 
     Pairs are dealt out in cells of a grid, some query blocks by some index blocks, a task each: a block is sent once per
     cell and not once per pair, and a query leaves a cell with its best ``k`` of all index blocks there.
@@ -231,10 +311,14 @@ def _compare(pairs: DataFrame, queries: Blocks, index: Blocks, k: int, exclude:
     cells = pairs.select("q", "t").join(lot(queries, "q", down), "q").join(lot(index, "t", across), "t").select(
         "q", "t", (F.col("q_lot") * across + F.col("t_lot")).cast("int").alias("cell"))
     names = ["keys", "groups", "matrix"]
-    held = cells.groupBy("cell", "q").agg(F.collect_list("t").alias("partners")).withColumnRenamed("q", "block").join(
-        queries.table.select("block", *names), "block").select("cell", F.lit(0).alias("side"), "block", "partners", *names)
+    known = F.lit(None).cast(_FLOORS).alias("floors")
+    source = queries.table.select("block", *names, *([known] if floors is None else []))
+    if floors is not None:
+        source = source.join(floors.withColumnRenamed("q", "block").hint("merge"), "block", "left")
+    held = cells.groupBy("cell", "q").agg(F.collect_list("t").alias("partners")).withColumnRenamed("q", "block").join(source, "block").select(
+        "cell", F.lit(0).alias("side"), "block", "partners", *names, "floors")
     passing = cells.select("cell", F.col("t").alias("block")).distinct().join(index.table.select("block", *names), "block").select(
-        "cell", F.lit(1).alias("side"), "block", F.array().cast("array<bigint>").alias("partners"), *names)
+        "cell", F.lit(1).alias("side"), "block", F.array().cast("array<bigint>").alias("partners"), *names, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str | None, int] = {}
@@ -249,9 +333,9 @@ def _compare(pairs: DataFrame, queries: Blocks, index: Blocks, k: int, exclude:
                 groups = batch.column(5)[r].values.dictionary_encode()
                 own = np.array([numbers.setdefault(g, len(numbers)) for g in groups.dictionary.to_pylist()] + [numbers.setdefault(None, len(numbers))])
                 matrix = np.frombuffer(batch.column(6)[r].as_buffer(), dtype=np.float64).reshape(len(groups), -1)
-                met = _Side(block, batch.column(4)[r].values, own[groups.indices.fill_null(len(own) - 1).to_numpy()], matrix, bool(np.isfinite(matrix).all()))
+                met = _Side(block, batch.column(4)[r].values, own[groups.indices.fill_null(len(own) - 1).to_numpy()], matrix)
                 if side == 0:
-                    asked.append(_Asked(met, batch.column(3)[r].as_py(), k))
+                    asked.append(_Asked(met, batch.column(3)[r].as_py(), _floor_of(met.keys, batch.column(7)[r].values), k))
                 else:
                     for one in asked:
                         if block in one.partners:
@@ -271,6 +355,23 @@ def _cutoffs(pairs: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     return sizes.join(full, "q", "left").select("q", F.when(F.col("full") == F.col("n"), F.col("least") - _SLACK).otherwise(F.lit(-2.0)).alias("cutoff"))
 
 
+_FLOORS = "array<struct<key:string,floor:double>>"
+
+
+def _floors(hits: DataFrame, k: int) -> DataFrame:
+    """q, floors: the keys of a query block that have ``k`` hits, with the lowest similarity among them."""
+    each = hits.groupBy("q", F.col("query_key").alias("key")).agg(F.count(F.lit(1)).alias("found"), F.min("sim").alias("floor"))
+    return each.filter(F.col("found") >= k).groupBy("q").agg(F.collect_list(F.struct("key", "floor")).alias("floors"))
+
+
+def _floor_of(keys: pa.Array, floors: pa.StructArray | None) -> np.ndarray:
+    """The floor of each key, -infinity where it has none."""
+    if floors is None:
+        return np.full(len(keys), -np.inf)
+    place = pc.index_in(keys, value_set=floors.field("key"))
+    return floors.field("floor").take(place).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+
+
 def search_plan(queries: Blocks, index: Blocks, k: int, exclude: bool) -> tuple[DataFrame, DataFrame]:
     """(hits of the nearest blocks, all pairs of blocks with their bound, cutoff, and whether they are ``compared``)."""
     pairs = stored(block_pairs(queries, index))
@@ -304,7 +405,7 @@ def topk_similar(queries: DataFrame, index: DataFrame, k: int = TOP_K, exclude_s
         found = _compare(asked.table.select(F.col("block").alias("q"), F.lit(0).cast("bigint").alias("t")), asked, known, k, exclude_same_group)
     else:
         hits, plan = search_plan(asked, known, k, exclude_same_group)
-        found = hits.unionByName(_compare(plan.filter("compared and not first"), asked, known, k, exclude_same_group))
+        found = hits.unionByName(_compare(plan.filter("compared and not first"), asked, known, k, exclude_same_group, _floors(hits, k)))
     return _merge(found, k).select("query_key", "tpl_key", "sim", "rank", "same_group")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..constants import AMINO_ACIDS, RESIDUE_TOKENS
@@ -225,6 +226,20 @@ built AS (SELECT q.chain_key AS query_key, t.chain_key AS tpl_key, round(list_in
 best AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY sim DESC, tpl_key)::INT AS rank FROM built QUALIFY rank <= 4)"""
 
 
+def _letter_counts(chunks):
+    """chain_key, counts: how often each residue letter occurs in a chunk, counted in one pass over its bytes."""
+    letters = np.frombuffer(AMINO_ACIDS.encode(), dtype=np.uint8)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            counts = np.array([np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)[letters] for text in texts], dtype=np.float64)
+            ends = pa.array(np.arange(len(texts) + 1) * len(letters), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(counts.ravel()))], names=["chain_key", "counts"])
+
+    return chunks.select("chain_key", "chunk").mapInArrow(run, "chain_key string, counts array<double>")
+
+
 @query("index_build", f"WITH {_BUILD_SQL} SELECT query_key, tpl_key, rank, round(sim, 6) + 0.0 AS sim FROM best")
 def index_build(spark, d):
     """From texts to an index without held-out groups, asked with the held-out chains.
@@ -232,8 +247,8 @@ def index_build(spark, d):
     Sequences are cut, each chunk goes through the model, chunks are averaged and scaled, held-out groups are left out,
     the index is written and read back, and every held-out chain is looked up in it.
     """
-    chunks = K.chunk(P.sequences(spark, d)).select("chain_key", F.array(*[F.expr(c).cast("double") for c in _CHUNK_COUNTS]).alias("counts"))
-    vectors = E.chain_vectors(E.embed(chunks, _composition_model, "counts", len(AMINO_ACIDS)))
+    chunks = K.chunk(P.sequences(spark, d))
+    vectors = E.chain_vectors(E.embed(_letter_counts(chunks), _composition_model, "counts", len(AMINO_ACIDS)))
     held_out = P.test_ids(spark, d)
     embedded = stored(vectors.join(P.groups(spark, d), "chain_key"))
     index = stored(E.build_index(embedded, held_out))

@@ -7,8 +7,10 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from foldlake.constants import AMINO_ACIDS
 from foldlake.operators import embed
 from foldlake.operators.tokens import encode
+from foldlake.plans.retrieval import _letter_counts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import the tests
 ROWS = [(f"k{n:03d}", [0, *[4 + (n * 7 + i) % 20 for i in range(n * n % 61)], 2]) for n in range(120)] + [("none", None), ("bare", []), ("ends", [0, 2])]
@@ -95,3 +97,12 @@ def test_wide_means_are_one_aggregate(spark):
     for key, emb in pooled.items():
         chunks = [np.mean([v for c, n, v in data if (c, n) == (key, m)], axis=0) for m in {n for c, n, _ in data if c == key}]
         assert emb == pytest.approx(np.mean(chunks, axis=0).tolist(), abs=1e-12)
+
+
+def test_letters_of_chunks_are_counted(spark):
+    """One pass over the bytes of a chunk, not one per letter."""
+    rows = [("a", "ACDEFGHIKLMNPQRSTVWY" * 3 + "WWY"), ("b", "A"), (None, "KKKKK"), ("a", "YV" * 511)]
+    out = _letter_counts(spark.createDataFrame(rows, "chain_key string, chunk string").repartition(2))
+    assert "replace(" not in out._jdf.queryExecution().toString()
+    got = sorted((r.chain_key or "", r.counts) for r in out.collect())
+    assert got == sorted((key or "", [float(chunk.count(a)) for a in AMINO_ACIDS]) for key, chunk in rows)

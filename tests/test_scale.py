@@ -4,6 +4,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +309,79 @@ def test_sums_of_best_sort_only_around_the_places(spark, scores):
         for row in sums_of_best(df, "g", wanted, names, ["p", "i", "j"], "y", limit=limit, digits=8).collect():
             best = sorted((r for r in rows if r[0] == row.g), key=lambda r: (-r[1], r[2], r[3]))
             assert row.extra == f"{row.g}!" and [row[n] for n in names] == [sum(r[4] for r in best[:n]) for n in places[row.g]]
+
+
+def _bent(rng, n, dims=12):
+    """Vectors with few large directions and many small ones, some far off, most with a close neighbour."""
+    spread = 0.4 ** np.arange(dims)
+    near = 1 + rng.normal(size=(n // 2, dims)) * spread
+    m = np.vstack([near, near[:n - n // 2] + rng.normal(size=(n - n // 2, dims)) * 0.01 * spread])
+    m[::97] = rng.normal(size=m[::97].shape)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def test_leaves_out_of_reach_are_not_multiplied(monkeypatch):
+    """Once a query has its hits, only leaves of the next block that may beat them are; the rows are those of a full sort."""
+    rng = np.random.default_rng(9)
+    m = _bent(rng, 4000)
+    side = lambda b, at: retrieve._Side(b, pa.array([f"{k:05d}" for k in at]), np.array(at) % 5, m[at])
+    formed, similar = [], retrieve._Asked._similar
+
+    def counted(*args):
+        formed.append(len(args[0]) * len(args[2]))
+        return similar(*args)
+
+    monkeypatch.setattr(retrieve._Asked, "_similar", staticmethod(counted))
+    asked = list(range(0, 4000, 4))
+    one = retrieve._Asked(side(0, asked), [0, 1], np.full(len(asked), -np.inf), 4)
+    one.meet(side(0, list(range(2000))), True)
+    first = sum(formed)
+    one.meet(side(1, list(range(2000, 4000))), True)
+    assert first == 1000 * 2000 and sum(formed) - first < 0.25 * first
+    sims = np.round(m[asked] @ m.T, 9)
+    sims[np.array(asked)[:, None] % 5 == np.arange(4000) % 5] = -np.inf
+    got = {}
+    for batch in one.hits():
+        for r in batch.to_pylist():
+            got.setdefault(r["query_key"], []).append((-r["sim"], r["tpl_key"]))
+    for row, q in zip(sims, asked):
+        want = [(-row[c], f"{c:05d}") for c in sorted(range(4000), key=lambda c: (-row[c], c))[:4]]
+        assert sorted(got[f"{q:05d}"])[:4] == want
+
+
+def test_boxes_of_leaves_hold():
+    rng = np.random.default_rng(4)
+    m, q = _bent(rng, 900), _bent(rng, 300)
+    q[5], m[7] = 0, 0
+    leaves = retrieve._Leaves(m, 50, 3)
+    assert sorted(np.concatenate(leaves.places).tolist()) == list(range(900)) and max(map(len, leaves.places)) <= 50
+    for floor in (-np.inf, -1.0, 0.5, 0.999, 1.0):
+        reached = leaves.reach(q, np.full(300, floor), step=128)
+        for places, some in zip(leaves.places, reached):
+            assert not ((q @ m[places].T).max(axis=1) >= floor)[~some].any()
+
+
+@pytest.mark.parametrize("exclude", [True, False])
+def test_topk_through_leaves_equals_brute_force(spark, exclude):
+    """Blocks of several leaves; with copies, vectors without a number, keys that come twice and queries without a key."""
+    rng = np.random.default_rng(12)
+    m = _bent(rng, 1600)
+    m[300:420], m[9], m[11] = m[300], np.nan, 0
+    rows = [(f"k{k:04d}", f"g{k % 7}", v.tolist()) for k, v in enumerate(m)]
+    asked = rows + [("k0020", "g1", rows[1500][2]), ("k0020", "g2", rows[1][2]), (None, "g3", rows[40][2]), (None, None, rows[41][2])]
+    schema = "chain_key string, pdb_id string, emb array<double>"
+    index, queries = spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema)
+    unit = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)
+    groups, want = np.array([r[1] for r in rows]), {}
+    for key, group, v in asked:
+        sims = np.round(unit @ (np.array(v) / (np.linalg.norm(v) + 1e-8)), 9)
+        kept = np.isfinite(sims) & ((groups != group) | (not exclude))
+        want.setdefault(key, []).extend((-sims[t], rows[t][0]) for t in np.flatnonzero(kept))
+    got = {}
+    for r in retrieve.topk_similar(queries, index, 4, exclude, block=500).collect():
+        got.setdefault(r.query_key, []).append((r["rank"], -r.sim, r.tpl_key))
+    for key, all_of in want.items():
+        best = sorted(all_of)[:4]
+        assert [s for _, s, _ in sorted(got.get(key, []))] == pytest.approx([s for s, _ in best], abs=2e-9), key
+        if sorted({round(s, 8) for s, _ in sorted(all_of)[:5]}) == sorted(round(s, 8) for s, _ in sorted(all_of)[:5]):
+            assert [t for _, _, t in sorted(got.get(key, []))] == [t for _, t in best], key
